@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe
+from scriptorium.llm import bpe, secrets_crf
 from scriptorium.llm.common import table
 
 
@@ -20,12 +20,17 @@ def tokenizer_path(spark: SparkSession) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets_crf.scan(docs, secrets_crf.fit(docs))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bpe_automaton,)}
+    return {f.__name__: f for f in (op1_secrets_crf, op8_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
