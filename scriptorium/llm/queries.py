@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, secrets_crf
-from scriptorium.llm.common import table
+from scriptorium.llm import bpe, pst, secrets_crf
+from scriptorium.llm.common import crc_mod, table
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -25,12 +25,17 @@ def op1_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_crf.scan(docs, secrets_crf.fit(docs))
 
 
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pst.score(docs, *pst.train(docs.where(crc_mod("doc_id", 5) != 1)))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets_crf, op8_bpe_automaton)}
+    return {f.__name__: f for f in (op1_secrets_crf, op7_suffix_tree_lm, op8_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
