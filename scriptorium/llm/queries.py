@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, pst, secrets_crf
+from scriptorium.llm import bpe, partenum, pst, secrets_crf
 from scriptorium.llm.common import crc_mod, table
 
 
@@ -34,8 +34,12 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join(table(spark, sf_dir, "documents"), partenum.Rule(words=4, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets_crf, op7_suffix_tree_lm, op8_bpe_automaton)}
+    return {f.__name__: f for f in (op1_secrets_crf, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join)}
 
 
 def oracle_sql() -> dict[str, str]:
