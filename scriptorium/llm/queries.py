@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, partenum, pst, secrets_crf
+from scriptorium.llm import bpe, langid, partenum, pst, secrets_crf, toxicity
 from scriptorium.llm.common import crc_mod, table
 
 
@@ -25,6 +26,21 @@ def op1_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_crf.scan(docs, secrets_crf.fit(docs))
 
 
+def op4_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    return langid.predict(docs, langid.fit(docs.where("not held_out")))
+
+
+def op5_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    return toxicity.score(docs, toxicity.fit(labelled(docs.where("not held_out"), table(spark, sf_dir, "labels"))))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and toxic of the documents that have a label; of several labels the largest."""
+    return docs.select("doc_id", "text").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+
+
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pst.score(docs, *pst.train(docs.where(crc_mod("doc_id", 5) != 1)))
@@ -39,7 +55,7 @@ def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets_crf, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join)}
+    return {f.__name__: f for f in (op1_secrets_crf, op4_string_kernel_langid, op5_toxicity_trees, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join)}
 
 
 def oracle_sql() -> dict[str, str]:
