@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, langid, partenum, pst, secrets_crf, toxicity
+from scriptorium.llm import bpe, html_blocks, langid, lsh_forest, partenum, pst, secrets_crf, toxicity
 from scriptorium.llm.common import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op1_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_crf.scan(docs, secrets_crf.fit(docs))
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     return langid.predict(docs, langid.fit(docs.where("not held_out")))
@@ -54,8 +58,12 @@ def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(table(spark, sf_dir, "documents"), partenum.Rule(words=4, percent=85))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets_crf, op4_string_kernel_langid, op5_toxicity_trees, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join)}
+    return {f.__name__: f for f in (op1_secrets_crf, op3_html_blocks, op4_string_kernel_langid, op5_toxicity_trees, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
