@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import map_arrow
 
 #: Trees, bits of a hash string, least share of a stretch that are candidates, rows of a stretch, queries sent at once, rows of the mean's sample.
-TREES, BITS, CANDIDATES, BLOCK_ROWS, QUERY_ROWS, SAMPLE = 48, 32, 0.4, 16_384, 20_000, 2_000
+TREES, BITS, CANDIDATES, BLOCK_ROWS, QUERY_ROWS, SAMPLE = 48, 32, 0.5, 16_384, 20_000, 2_000
 
 
 def usable(v: str | Column) -> Column:
@@ -123,7 +123,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
 
             def answer(ids: list[np.ndarray], vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
                 forest = Forest(np.concatenate(ids), np.concatenate(vectors), mean_, planes_, k)
-                least = max(20 * k, math.ceil(candidates * len(forest.vectors)))
+                least = max(1_000, math.ceil(candidates * len(forest.vectors)))
                 for a in range(0, len(query_ids), 256):
                     got = list(forest.nearest(query_ids[a : a + 256], queries[a : a + 256], least, k))
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in got], [len(x) for _, x, _ in got]), pa.int64()), pa.array(np.concatenate([x for _, x, _ in got]), pa.int64()), pa.array(np.concatenate([s for _, _, s in got]), pa.float64())], ["query_id", "vec_id", "score"])

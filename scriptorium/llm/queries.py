@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, html_blocks, langid, lsh_forest, partenum, pst, secrets_crf, toxicity
+from scriptorium.llm import bpe, html_blocks, iblt, langid, lsh_forest, partenum, pst, secrets_crf, toxicity
 from scriptorium.llm.common import crc_mod, table
 
 
@@ -45,6 +45,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
 
 
+def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pst.score(docs, *pst.train(docs.where(crc_mod("doc_id", 5) != 1)))
@@ -63,7 +67,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets_crf, op3_html_blocks, op4_string_kernel_langid, op5_toxicity_trees, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_secrets_crf, op3_html_blocks, op4_string_kernel_langid, op5_toxicity_trees, op6_iblt_fingerprints, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
