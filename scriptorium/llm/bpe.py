@@ -222,3 +222,19 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_digest(docs: DataFrame, path: str) -> DataFrame:
+    """The rows' other columns than text, with n_tokens, ids and decoded_sha256."""
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            parts = [[p for p in c.parts(t) if p[0]] for t in texts(b)]
+            ids = [[int(i) for p in row for i in p[1].split()] for row in parts]
+            sha = [hashlib.sha256(" ".join(p[2] for p in row).encode()).hexdigest() for row in parts]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in others), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sha, pa.string())], [*others, "n_tokens", "ids", "decoded_sha256"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return map_arrow(docs, run, "".join(f"`{c}` {kinds[c]}, " for c in others) + "n_tokens long, ids array<int>, decoded_sha256 string")

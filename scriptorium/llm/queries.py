@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, html_blocks, iblt, langid, lsh_forest, partenum, pst, secrets_crf, toxicity
+from scriptorium.llm import bpe, html_blocks, iblt, langid, lsh_forest, mixing, partenum, pst, secrets_crf, toxicity
 from scriptorium.llm.common import crc_mod, table
 
 
@@ -26,6 +26,11 @@ def op1_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_crf.scan(docs, secrets_crf.fit(docs))
 
 
+def op2_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.sample(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_weight").alias("weight"), F.col("mix_kept").alias("kept"))
+
+
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -67,7 +72,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets_crf, op3_html_blocks, op4_string_kernel_langid, op5_toxicity_trees, op6_iblt_fingerprints, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_secrets_crf, op2_ipf_mixing, op3_html_blocks, op4_string_kernel_langid, op5_toxicity_trees, op6_iblt_fingerprints, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
