@@ -28,7 +28,7 @@ def index(rows: DataFrame, weights: Mapping[str, int] = vocab.FIELD_WEIGHTS, tab
         before: list[Column] = [v]
         for t in tables:
             x = T.transliterate(v, t)
-            parts.append(F.when(F.forall(F.array(*before), lambda y, x=x: y != x), x))
+            parts.append(F.when(~F.array_contains(F.array(*before), x), x))
             before.append(x)
     return rows.withColumns({"fields": F.filter(F.array(*fields), lambda x: x["value"].isNotNull()), "combined": norm(F.concat_ws(" ", *parts))})
 

@@ -139,8 +139,11 @@ def name_suggestions(rows: DataFrame, text: Column, candidates: Sequence[str], t
 
 def facet_counts(rows: DataFrame, facets: dict[str, Column]) -> DataFrame:
     """(facet, value, n) of several facets in one pass; arrays count each value, blanks do not count."""
-    entries = [F.transform(c, lambda v, n=n: F.struct(F.lit(n).alias("facet"), v.alias("value"))) for n, c in facets.items()]
-    return rows.select(F.explode(F.concat(*entries)).alias("e")).select("e.*").where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+    def entries(name: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+
+    return rows.select(F.explode(F.concat(*[entries(n, c) for n, c in facets.items()])).alias("e")).select("e.*").where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
 def hero_figures(rows: DataFrame, text: str, views: str, seconds: str) -> DataFrame:
