@@ -214,15 +214,19 @@ def name_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(10) || chr(13) || chr(9))), lambda x: x <> '')"
 
 
+_CAST_HIT, _SPOKEN_HIT = (_HIT.format(w=f"regexp_extract_all(lower({c}), '[\\p{{L}}]+')", n="en", ends=ENDS) for c in ("lang", "text"))
+
+
 @register(
-    f"""SELECT doc_id, CASE WHEN {_HIT.format(w="regexp_extract_all(lower(source), '[\\p{L}]+')", n="src", ends=ENDS)} AND lang = 'es' THEN 'actor' ELSE 'mention' END AS kind,
- CASE WHEN {_HIT.format(w="regexp_extract_all(lower(source), '[\\p{L}]+')", n="src", ends=ENDS)} AND lang = 'es' THEN NULL ELSE list_filter({_LINES}, lambda l: {_HIT.format(w="regexp_extract_all(lower(l), '[\\p{L}]+')", n="the", ends=ENDS)})[1] END AS snippet
- FROM documents WHERE lang = 'es_none' OR {_HIT.format(w=_W, n="the", ends=ENDS)}""".replace("AND lang = 'es' THEN", "AND false THEN")
+    f"""SELECT doc_id, CASE WHEN {_CAST_HIT} THEN 'actor' ELSE 'mention' END AS kind,
+ coalesce(CASE WHEN {_CAST_HIT} THEN NULL ELSE list_filter({_LINES}, lambda l: {_HIT.format(w="regexp_extract_all(lower(l), '[\\p{L}]+')", n="en", ends=ENDS)})[1] END, '') AS snippet
+ FROM documents WHERE {_CAST_HIT} OR {_SPOKEN_HIT}"""
 )
 def find_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language stands in for the cast."""
     docs = table(spark, sf_dir, "documents").withColumns({"lines": T.split_lines("text", "\n"), "phrase": F.lit("")})
-    found = discover.find_by_name(docs, " The ", "n_chars", "doc_id", F.lit(""), F.col("source"), F.col("text"), "lines", "text", "phrase", ENDS)
-    return found.select("doc_id", "kind", "snippet")
+    found = discover.find_by_name(docs, " EN ", "n_chars", "doc_id", F.col("lang"), F.lit(""), F.col("text"), "lines", "text", "phrase", ENDS)
+    return found.select("doc_id", "kind", F.coalesce("snippet", F.lit("")).alias("snippet"))
 
 
 @register("SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g')) AS folded FROM documents")
