@@ -265,6 +265,6 @@ def test_csv_round_and_writers(spark, tmp_path):
     assert writers.markdown(rows, "T").count("|") > 8
     with pytest.raises(ValueError):
         writers.json_document({"s": rows}, str(tmp_path / "s.json"), most=1)
-    writers.upsert_table(None, rows, str(tmp_path / "u1"), "id", "id", "t")
-    writers.upsert_table(str(tmp_path / "u1"), rows.withColumn("t", F.lit("z")), str(tmp_path / "u2"), "id", "id", "t")
-    assert {r.t for r in spark.read.parquet(str(tmp_path / "u2")).collect()} == {"z", "б"}
+    writers.upsert_table(None, rows, str(tmp_path / "u1"), "source_lang", "id", "t")
+    writers.upsert_table(str(tmp_path / "u1"), rows.where("id = 1").withColumn("id", F.lit(5)), str(tmp_path / "u2"), "source_lang", "id", "t")
+    assert {r.id for r in spark.read.parquet(str(tmp_path / "u2")).collect()} == {5, 2}
