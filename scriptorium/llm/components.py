@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed
+from scriptorium.llm.common import checkpointed, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,13 +26,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (u, v); the component is its least node.
 
-    Each round is checkpointed in the shared folder. The number of rounds grows with the logarithm of the longest path;
+    Each round is a table in the shared folder, which replaces the one before. The number of rounds grows with the logarithm of the longest path;
     if `rounds` is not enough, an error says so, as a partial answer would lose links.
     """
     now = checkpointed(edges.select("u", "v").where("u <> v").distinct())
     before = None
     for _ in range(rounds):
-        now = checkpointed(_small_star(_large_star(now)))
+        last, now = now, checkpointed(_small_star(_large_star(now)))
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break

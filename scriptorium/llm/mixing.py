@@ -27,6 +27,8 @@ from scriptorium.llm.common import checkpointed
 #: Power of the shares that default targets follow; share of the tokens to keep; rounds, tolerance, cells raked on the driver.
 TEMPER, BUDGET, ROUNDS, TOLERANCE, MAX_CELLS = 0.7, 0.7, 500, 1e-9, 100_000
 DIMENSIONS = ("source", "lang", "topic")
+#: Columns that sample() adds or works with.
+ADDED = ("mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_factor", "mix_probability", "mix_weight", "mix_kept")
 #: Topics, each with the marks that a text of it has; the first that fits is taken. Fixed values.
 TOPICS = (("legal", ("license", "License", "LICENSE", "opyright")), ("contact", ("@", "http://", "https://")), ("settings", ("password", "token = ", "AKIA")), ("table", (" | ",)), ("symbols", ("%%%", "$$$", "###")), ("outcry", ("!!",)))
 
@@ -59,6 +61,8 @@ def targets_of(totals: Mapping[str, float], given: Mapping[str, float] | None, t
 def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """The cells' weights, of the same sum as their tokens, with the targets' marginals."""
     w, total = tokens.astype(float).copy(), float(tokens.sum())
+    if not cells:
+        return w
     places = []
     for d, target in enumerate(targets):
         values = {v: i for i, v in enumerate(sorted(target))}
@@ -137,15 +141,16 @@ def factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None
 
 
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, topic_of: Column | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
-    """The rows with mix_topic, mix_tokens, mix_probability, mix_weight and mix_kept."""
+    """The rows, columns of these names aside, with mix_topic, mix_tokens, mix_probability, mix_weight and mix_kept."""
+    docs = docs.drop(*ADDED)
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
     cell = {"source": value("source"), "lang": value("lang"), "topic": F.coalesce(topic_of if topic_of is not None else topic(), F.lit("prose"))}
     counted = docs.select(*(e.alias(c) for c, e in cell.items()), n_tokens().alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     by_cell, small = factors(counted, targets, temper, budget, max_cells)
-    by_cell = by_cell.select(*(F.col(c).alias(f"mix_{c}") for c in DIMENSIONS), "factor")
+    by_cell = by_cell.select(*(F.col(c).alias(f"mix_{c}") for c in DIMENSIONS), F.col("factor").alias("mix_factor"))
     keyed = docs.withColumns({f"mix_{c}": e for c, e in cell.items()})
-    p = F.least(F.lit(1.0), F.col("factor"))
+    p = F.least(F.lit(1.0), F.col("mix_factor"))
     # The hash's 53 upper bits as a number from 0 to 1.
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 11) / F.lit(float(1 << 53))
     joined = keyed.join(F.broadcast(by_cell) if small else by_cell, [f"mix_{c}" for c in DIMENSIONS])
-    return joined.select(*docs.columns, "mix_topic", n_tokens().alias("mix_tokens"), p.alias("mix_probability"), F.when(p > 0, F.col("factor") / p).otherwise(0.0).alias("mix_weight"), (draw < p).alias("mix_kept"))
+    return joined.select(*docs.columns, "mix_topic", n_tokens().alias("mix_tokens"), p.alias("mix_probability"), F.when(p > 0, F.col("mix_factor") / p).otherwise(0.0).alias("mix_weight"), (draw < p).alias("mix_kept"))

@@ -1,15 +1,21 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document is the set of its distinct word shingles. Sets lie in size bands; a set has signatures for its own band and,
-if a partner may lie there, the next. Two sets of similarity `part / whole` or more that may meet in a band differ in at
-most k features, k following from the band's largest size. The feature domain is dealt into k + 1 partitions, of which k
-differences leave at least one alike; the subsets enumerated are the single partitions. So similar sets share a signature.
-
-Equal sets are one class from the start and cost nothing more. Classes that share a signature are tied to the
-signature's least class, which is linear in its group; connected classes form a candidate group, a superset of linked
-ones. A group is dealt by hash into blocks of bounded size, and each pair of blocks is one task's work: it counts
-intersections exactly, by the sets themselves, and returns a spanning forest of the links it finds. So no task holds more than two
-blocks and nothing quadratic is written. Components of all forests are those of all links.
+if a partner may lie there, the next. Two similar sets that meet in a band differ in at most k features, k following
+from the band's largest size. The feature domain is dealt into n > k partitions; at least n - k are alike in both. The
+signature of a partition stands for its band, its number and its features.
+
+A partition with fewer than two features says little, and so do shingles of frequent words alone. A set leaves such
+shingles out of the domain, which only lowers the differences, and has no signatures for light partitions as long as
+fewer than n - k of them are light, as then a heavy one is alike in both. Otherwise it also has signatures over the whole
+domain, and if that fails too, over its light partitions. As either set's count is enough, no similar pair is missed.
+
+Equal sets are one class from the start. Classes that share a signature are a list; equal lists are looked at once, long
+ones in blocks. Within a list, pairs are filtered by sizes and by parity sketches, whose differing bits never exceed the
+sets' differences, and a spanning forest of what is left joins candidate groups, a superset of linked ones. A group is
+dealt by hash into blocks of bounded size, and each pair of blocks is one task's work: it counts intersections exactly,
+by the sets themselves, and returns a spanning forest of the links. So no task holds more than two blocks, and nothing
+quadratic is written. Components of all forests are those of all links.
 
 Null texts and those without words have the empty set, link with nothing and are their own component; equal ids are one
 node. Texts of any length are read whole. An empty table gives an empty result. Extra columns are ignored.
@@ -17,9 +23,11 @@ node. Texts of any length are read whole. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed, map_arrow
+from scriptorium.llm.common import checkpointed, discard, map_arrow
 from scriptorium.llm.components import components
 
 #: Features and sets that a block may hold.
 BLOCK_FEATURES, BLOCK_SETS = 400_000, 1_024
+#: Documents of the sample for frequent words, and how many words are frequent; bits of the filter on documents in groups.
+SAMPLE, FREQUENT, FILTER_BITS = 2_000, 2_000, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -41,21 +51,35 @@ class Rule:
     words: int = 5
     percent: int = 80
 
+    def most_different(self, both: int) -> int:
+        """The most differences of similar sets whose sizes together are `both`."""
+        return both * (100 - self.percent) // (100 + self.percent)
+
     def linked(self, a: int, b: int, shared: int) -> bool:
         return 100 * shared >= self.percent * (a + b - shared)
 
 
-def features(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles."""
+def shingles(text: str | None, width: int, frequent: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles, and which of them are of frequent words alone."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, bool)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    out = np.full(n, len(words) if len(words) < width else width, np.uint64)
-    for k in range(min(width, len(words))):
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    out, first = np.unique(out, return_index=True)
+    if not frequent:
+        return out, np.zeros(len(out), bool)
+    known = np.concatenate(([0], np.cumsum(np.fromiter(map(frequent.__contains__, words), np.int64, len(words)))))
+    return out, (known[width:] - known[:-width] == width)[first]
+
+
+def features(text: str | None, width: int) -> np.ndarray:
+    """The set of a text."""
+    return shingles(text, width)[0]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,7 +90,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Bands:
-    """Size bands whose bounds grow by the cube of the inverse similarity."""
+    """Size bands, each up to the inverse similarity times the one before."""
 
     def __init__(self, rule: Rule):
         self.rule, self.upper = rule, [1]
@@ -74,59 +98,219 @@ class Bands:
     def of(self, size: int) -> int:
         """The band of a size; upper[b] is the largest size of band b."""
         while self.upper[-1] < size:
-            self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * 1_000_000 // self.rule.percent**3))
+            self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * 100 // self.rule.percent))
         return int(np.searchsorted(self.upper, size))
 
     def k(self, band: int) -> int:
-        """The most differences of similar sets that meet in the band: (whole - part) / (whole + part) of the two sizes together."""
-        p = self.rule.percent
-        return (100 - p) * 2 * self.upper[band] // (100 + p)
+        """The most differences of similar sets that meet in the band."""
+        return self.rule.most_different(2 * self.upper[band])
+
+    def parts(self, band: int) -> int:
+        return self.k(band) + 1 + max(3, self.k(band) // 4)
 
     def met(self, size: int) -> list[int]:
-        """The bands in which a set may meet its partners of its own size or more."""
-        own = self.of(size)
-        partner = size * 100 // self.rule.percent
-        return [own] if self.of(partner) == own else [own, own + 1]
+        """The bands in which a set may meet partners of its own size or more; none where only equal sets are similar."""
+        own, partner = self.of(size), self.of(size * 100 // self.rule.percent)
+        return [b for b in range(own, partner + 1) if self.k(b)]
 
 
-def signatures(feats: np.ndarray, bands: Bands) -> np.ndarray:
-    """One 64-bit signature for each band and partition."""
-    out = []
+def _parts(spread: np.ndarray, band: int, n: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all partitions, and how many features each has. The lowest byte of a signature is its band."""
+    at = ((spread >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    sums = np.zeros(n, np.uint64)
+    np.add.at(sums, at, _mix(spread + np.uint64(band)))
+    tag = np.uint64((level * 256 + band) << 32) + np.arange(n, dtype=np.uint64)
+    return (_mix(_mix(tag + np.uint64(1)) + sums) & ~np.uint64(255)) | np.uint64(min(band, 255)), np.bincount(at, minlength=n)
+
+
+def signatures(feats: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
+    """A set's signatures in all bands where it meets partners; common: which features are of frequent words alone."""
+    out = [np.empty(0, np.uint64)]
     spread = _mix(feats)
     for band in bands.met(len(feats)):
-        parts = bands.k(band) + 1
-        at = (spread >> np.uint64(20)) % np.uint64(parts)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, at.astype(np.int64), _mix(spread + np.uint64(band)))
-        tag = np.uint64(band) * np.uint64(1 << 32) + np.arange(parts, dtype=np.uint64)
-        out.append(_mix(_mix(tag + np.uint64(1)) + sums))
+        n, k = bands.parts(band), bands.k(band)
+        sigs, size = _parts(spread[~common], band, n, 0)
+        out.append(sigs[size > 1])
+        if (size < 2).sum() >= n - k:
+            sigs, size = _parts(spread, band, n, 1)
+            out.append(sigs[size > 1])
+            if (size < 2).sum() >= n - k:
+                out.append(sigs[size < 2])
     return np.concatenate(out)
 
 
+def parity(feats: np.ndarray, k: int) -> bytes:
+    """A bit for each of about 4 k places: whether an odd number of features fall there."""
+    bits = np.zeros(-(-max(64, 4 * (k + 1)) // 64) * 64, np.uint8)
+    np.bitwise_xor.at(bits, ((_mix(feats + np.uint64(99)) >> np.uint64(16)) % np.uint64(len(bits))).astype(np.int64), 1)
+    return np.packbits(bits).tobytes()
+
+
 def node_of(feats: np.ndarray) -> int | None:
     """The class of a set: a digest of all its features; none for the empty set."""
     return int.from_bytes(blake2b(feats.tobytes(), digest_size=8).digest(), "little", signed=True) if len(feats) else None
 
 
-def _describe(rule: Rule):
+def _describe(rule: Rule, frequent: frozenset):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, done = Bands(rule), {}
         for b in batches:
-            sizes, nodes, sigs = [], [], []
+            sizes, nodes, sigs, sketches = [], [], [], []
             for t in b.column("text").to_pylist():
-                f = features(t, rule.words)
+                f, common = shingles(t, rule.words, frequent)
                 sizes.append(len(f))
                 node = node_of(f)
                 nodes.append(node)
                 # Signatures of equal sets are written once by a worker.
                 if node is None or node in done:
                     sigs.append(None)
+                    sketches.append(None)
                 else:
                     if len(done) > 200_000:
                         done.clear()
                     done[node] = True
-                    sigs.append(signatures(f, bands).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sigs"])
+                    sigs.append(signatures(f, bands, common).view(np.int64))
+                    sketches.append([{"band": min(x, 255), "bits": parity(f, bands.k(x))} for x in bands.met(len(f))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())])))], ["doc_id", "n_shingles", "node", "sigs", "sketches"])
+
+    return run
+
+
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n: Counter = Counter()
+        for t in b.column("text").to_pylist():
+            n.update((t or "").encode("utf-8", "replace").lower().split())
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+
+def frequent_words(docs: DataFrame, sample: int = SAMPLE, words: int = FREQUENT) -> frozenset:
+    """The most frequent words of a bounded sample. They only steer which signatures are made; any list gives whole results."""
+    h = F.xxhash64("doc_id")
+    limit = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if limit is None:
+        return frozenset()
+    n = map_arrow(docs.where(h <= limit).select("text"), _words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(bytes(r.word) for r in n.orderBy(F.col("n").desc(), "word").limit(words).collect())
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys of sorted rows, with the runs' bounds; only the run at a batch's end is held over."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new |= v[1:] != v[:-1]
+        return np.concatenate(([0], np.flatnonzero(new) + 1, [t.num_rows]))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        same = all(held[0].column(k)[0] == b.column(k)[b.num_rows - 1] for k in keys)
+        if same:
+            continue
+        t = pa.Table.from_batches(held)
+        at = bounds(t)
+        yield t.slice(0, at[-2]), at[:-1]
+        held = t.slice(at[-2]).to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, bounds(t)
+
+
+def _lists(block: int):
+    """Lists of the classes that share a signature, each list once by a worker."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for t, at in runs(batches, ["sig"]):
+            sig, node = t.column("sig").to_numpy(), t.column("node").to_numpy()
+            out: list[list] = [[], [], [], []]
+            for r in np.flatnonzero(np.diff(at) > 1):
+                nodes = np.unique(node[at[r] : at[r + 1]])
+                if len(nodes) < 2:
+                    continue
+                band = int(sig[at[r]]) & 255
+                name = int.from_bytes(blake2b(nodes.tobytes() + bytes([band]), digest_size=8).digest(), "little", signed=True)
+                if name in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
+                for col, x in zip(out, (np.full(len(nodes), name), np.arange(len(nodes), dtype=np.int32) // block, np.full(len(nodes), band, np.int32), nodes), strict=True):
+                    col.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["list", "block", "band", "node"])
+
+    return run
+
+
+def spanning(n_first: int, n_second: int, same: bool, near) -> Iterator[tuple[int, int]]:
+    """A spanning forest, by search in breadth, of the graph between two sides (or within one, if same).
+
+    near(side, x, others) says which of the others x is tied to. A place is asked about once and only against places not
+    reached yet, so a group that hangs together costs little more than its own size.
+    """
+    left = [np.arange(n_first), np.arange(n_second)]
+    if same:
+        left[1] = left[0]
+    for start in range(n_first):
+        if not np.any(left[0] == start):
+            continue
+        left[0] = left[0][left[0] != start]
+        if same:
+            left[1] = left[0]
+        queue = [(0, start)]
+        while queue:
+            side, x = queue.pop()
+            other = 1 - side
+            rest = left[other]
+            if not len(rest):
+                continue
+            hit = near(side, x, rest)
+            for y in rest[hit].tolist():
+                yield (x, y) if side == 0 or same else (y, x)
+                queue.append((0 if same else other, y))
+            if hit.any():
+                left[other] = rest[~hit]
+                if same:
+                    left[0] = left[1] = left[other]
+
+
+def _filtered(rule: Rule):
+    """A spanning forest of the pairs of a list that may be similar, by sizes and parity sketches."""
+
+    def may(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        most = (size + sizes) * (100 - rule.percent) // (100 + rule.percent)
+        return (np.abs(size - sizes) <= most) & (np.bitwise_count(bits ^ others).sum(axis=1, dtype=np.int64) <= most)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in runs(batches, ["list", "i", "j"]):
+            u, v = [], []
+            node, block, size = (t.column(c).to_numpy() for c in ("node", "block", "n"))
+            bits = t.column("bits").to_pylist()
+            i_, j_ = t.column("i").to_numpy(), t.column("j").to_numpy()
+            for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                words = np.frombuffer(b"".join(bits[a:e]), np.uint64).reshape(e - a, -1)
+                if e - a == 2:
+                    if i_[a] == j_[a] and may(size[a], words[0], size[a + 1 : e], words[1:])[0]:
+                        u.append(node[a])
+                        v.append(node[a + 1])
+                    continue
+                sides = [np.flatnonzero(block[a:e] == x) for x in (i_[a], j_[a])]
+                held = [(size[a:e][s], words[s]) for s in sides]
+
+                def near(side: int, x: int, others: np.ndarray, held=held, same=i_[a] == j_[a]) -> np.ndarray:
+                    sizes, w = held[0 if same else 1 - side]
+                    return may(held[side][0][x], held[side][1][x], sizes[others], w[others])
+
+                for x, y in spanning(len(sides[0]), len(sides[1]), bool(i_[a] == j_[a]), near):
+                    u.append(node[a + sides[0][x]])
+                    v.append(node[a + sides[1][y]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -179,11 +363,10 @@ def linked_pairs(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray,
         y[col_of[o[r]], c[r]] = 1
         shared += x @ y.T
     shared = shared.astype(np.int64)
-    whole = sizes[first][:, None] + sizes[second][None, :] - shared
-    for i, j in np.argwhere(100 * shared >= rule.percent * whole):
-        if first[i] != second[j]:
-            tie(int(first[i]), int(second[j]))
-    return out
+    linked = 100 * shared >= rule.percent * (sizes[first][:, None] + sizes[second][None, :] - shared)
+    same = len(first) == len(second) and bool((first == second).all())
+    near = lambda side, x, others: linked[x, others] if side == 0 or same else linked[others, x]
+    return [(int(first[i]), int(second[j])) for i, j in spanning(len(first), len(second), same, near)]
 
 
 def _verify(rule: Rule):
@@ -198,34 +381,53 @@ def _verify(rule: Rule):
     return run
 
 
-def _features(rule: Rule):
+def _features(rule: Rule, wanted: np.ndarray):
+    """Classes and sets of the documents that may be in a group, by a bit for the remainder of their ids' crc32."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids = b.column("doc_id").to_pylist()
+            keep = [i is not None and wanted[crc32(str(i).encode()) % len(wanted)] for i in ids]
+            b = b.filter(pa.array(keep, pa.bool_()))
             feats = [features(t, rule.words) for t in b.column("text").to_pylist()]
-            # Another row may have the id of the class's least document; its set is not the class's.
-            b = b.append_column("features", pa.array([f.tobytes() if node_of(f) == n else None for f, n in zip(feats, b.column("node").to_pylist(), strict=True)], pa.binary()))
-            yield b.select(["node", "group", "blocks", "features"]).filter(b.column("features").is_valid())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([node_of(f) for f in feats], pa.int64()), pa.array([f.tobytes() for f in feats], pa.binary())], ["doc_id", "node", "features"])
 
     return run
 
 
 def join(docs: DataFrame, rule: Rule, block_features: int = BLOCK_FEATURES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) of every document."""
-    rows = checkpointed(map_arrow(docs.select("doc_id", "text"), _describe(rule), "doc_id long, n_shingles long, node long, sigs array<long>"))
+    spark = docs.sparkSession
+    frequent = frequent_words(docs)
+    rows = checkpointed(map_arrow(docs.select("doc_id", "text"), _describe(rule, frequent), "doc_id long, n_shingles long, node long, sigs array<long>, sketches array<struct<band:int,bits:binary>>"))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
 
-    sigs = rows.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("sig", "v")
-    ties = sigs.join(shared, "sig").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    sigs = rows.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    lists = checkpointed(sigs.mapInArrow(_lists(block_sets), "list long, block int, band int, node long").distinct())
+    long = lists.where("block > 0").groupBy("list").agg(F.max("block").alias("last"))
+    pairs = lists.join(long, "list", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
+    pairs = pairs.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node")
+    sketches = rows.where("sigs is not null").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.bits")
+    held = pairs.join(sketches, ["node", "band"]).select("list", "i", "j", "block", "node", "n", "bits").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+    ties = map_arrow(held, _filtered(rule), "u long, v long", 10_000).distinct()
     groups = checkpointed(components(ties).withColumnRenamed("component", "group"))
+    discard(lists)
 
     known = groups.join(least, "node")
     blocks = known.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block_features)), F.ceil(F.count("*") / F.lit(block_sets))).cast("int").alias("blocks"))
-    place = known.join(blocks, "group").select("doc_id", "node", "group", "blocks")
-    texts = docs.select("doc_id", "text").join(place, "doc_id")
-    sets = map_arrow(texts.select("node", "group", "blocks", "text"), _features(rule), "node long, group long, blocks int, features binary")
-    # A set goes to every pair that its block is part of.
+    place = checkpointed(known.join(blocks, "group").select("doc_id", "node", "group", "blocks"))
+    wanted = np.zeros(FILTER_BITS, bool)
+    bits = place.where("doc_id is not null").select(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FILTER_BITS)).alias("h"))
+    for r in bits.groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect():  # FILTER_BITS bits in all
+        part = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        at = (r.bucket - 1) * len(part) + 1 if r.bucket else 0
+        own = np.flatnonzero(part) + (at if r.bucket else 0)
+        wanted[own[own < FILTER_BITS]] = True
+    # Another row may have the id of the class's least document; only the class's own set is taken.
+    sets = map_arrow(docs.select("doc_id", "text"), _features(rule, wanted), "doc_id long, node long, features binary").join(place, ["doc_id", "node"])
     own = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A set goes to every pair that its block is part of.
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "features")
     links = dealt.groupBy("group", "i", "j").applyInArrow(_verify(rule), "u long, v long")
     joined = components(links)

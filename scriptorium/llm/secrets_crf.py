@@ -326,4 +326,4 @@ def redact(docs: DataFrame, field: Field, mask: str = "[SECRET]") -> DataFrame:
                 b = b.set_column(i, "n_chars", pa.array([None if t is None else len(t) for t in out], b.column(i).type))
             yield b
 
-    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_arrow(docs, run, docs.schema)

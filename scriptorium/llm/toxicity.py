@@ -258,4 +258,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for b in batches:
             yield b.filter(pa.array(_scores(shared.value, b.column("text").to_pylist(), marks) < threshold))
 
-    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_arrow(docs, run, docs.schema)
