@@ -99,8 +99,9 @@ def phrase_tiles(phrases: DataFrame, phrase: str, docs: DataFrame, text: str, ke
     p = phrases.select(F.col(phrase).alias("phrase"), longest.alias("w"))
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(views), F.lit(0)).alias("views"), F.col(text).alias("text"))
     keyed = p.where("w is not null")
-    tokens = d.select("key", "views", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    hits = tokens.join(keyed, "w").where(F.contains("text", F.col("phrase"))).select("phrase", "key", "views")
+    # Words travel with keys only; texts come in for the pairs that share a word.
+    tokens = d.select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    hits = tokens.join(keyed, "w").select("key", "phrase").distinct().join(d, "key").where(F.contains("text", F.col("phrase"))).select("phrase", "key", "views")
     rest = p.where("w is null").select("phrase").join(d, F.contains(F.col("text"), F.col("phrase"))).select("phrase", "key", "views")
     best = hits.unionByName(rest).groupBy("phrase").agg(F.min(F.struct((-F.col("views")).alias("v"), F.col("key").alias("key"))).alias("b"))
     return best.select("phrase", F.col("b.key").alias("key"), (-F.col("b.v")).alias("views"))
