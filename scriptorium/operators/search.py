@@ -20,17 +20,20 @@ def index(rows: DataFrame, weights: Mapping[str, int] = vocab.FIELD_WEIGHTS, tab
     Write the result as a table once and search it many times. composed=True leaves out composition (the only Python step) for input known to be composed.
     """
     norm = T.fold if composed else T.normalize
+    # Each field is composed once; all else is made of that.
+    once = rows.withColumns({f"_{f}": norm(F.nullif(F.col(f), F.lit(""))) for f in weights})
     fields, parts = [], []
     for f, w in weights.items():
-        v = F.nullif(F.col(f), F.lit(""))
-        fields.append(F.struct(norm(v).alias("value"), F.lit(w).alias("weight")))
+        raw, v = F.nullif(F.col(f), F.lit("")), F.col(f"_{f}")
+        fields.append(F.struct(v.alias("value"), F.lit(w).alias("weight")))
         parts.append(v)
-        before: list[Column] = [v]
+        before: list[Column] = [raw]
         for t in tables:
             x = T.transliterate(v, t)
-            parts.append(F.when(~F.array_contains(F.array(*before), x), x))
+            parts.append(F.when(~F.array_contains(F.array(*before), x), T.fold(x)))
             before.append(x)
-    return rows.withColumns({"fields": F.filter(F.array(*fields), lambda x: x["value"].isNotNull()), "combined": norm(F.concat_ws(" ", *parts))})
+    made = once.withColumns({"fields": F.filter(F.array(*fields), lambda x: x["value"].isNotNull()), "combined": T.strip(F.concat_ws(" ", *parts))})
+    return made.drop(*[f"_{f}" for f in weights])
 
 
 def filters(location: Sequence[str] = (), actors: Sequence[str] = (), language: Sequence[str] = (), duration: str | None = None) -> Column:
