@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, mixing, partenum, secrets_crf, toxicity
-from scriptorium.llm.common import checkpoint_dir, checkpointed, crc_mod, table
+from scriptorium.llm.common import checkpoint_dir, checkpointed, crc_mod, split_by, table
 from scriptorium.llm.queries import labelled, tokenizer_path
 
 #: Near duplicates: five words a shingle and a similarity of 0.8.
@@ -27,11 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the least id. Rows without an id or words stay; of equal rows one stays."""
-    groups = checkpointed(partenum.join(docs, RULE))
-    ids = groups.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = docs.join(ids.where("n = 1"), "doc_id", "left_semi")
-    repeated = docs.join(ids.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    ids = partenum.join(docs, RULE).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("n"))
+    special = checkpointed(ids.where("not stays or n > 1"))
+    # Most documents are none of these and stay where they are; only the others meet their ids in a join.
+    sure, rest = split_by(docs, special)
+    kept = rest.join(special.where("not stays"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return sure.unionByName(kept).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,19 +6,28 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bits of filters on ids; more ids than that only let more rows pass on to the join behind.
+FILTER_BITS = 1 << 24
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow with batches of few rows, so that a batch of long texts stays small in a worker's memory."""
+    """mapInArrow with batches of few rows and bytes, so that a batch of long texts stays small in a worker's memory.
+
+    The settings hold when the plan runs, so of several calls in one plan the last one's count.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.mapInArrow(fn, schema)
 
 
@@ -53,6 +62,36 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _hash(id_col: str) -> Column:
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FILTER_BITS))
+
+
+def _bitmap(ids: DataFrame, id_col: str) -> DataFrame:
+    """The bits of the ids' hashes, FILTER_BITS in all, as a table of at most FILTER_BITS / 32768 + 1 rows."""
+    h = ids.where(F.col(id_col).isNotNull()).select(_hash(id_col).alias("h"))
+    return h.groupBy(F.expr("bitmap_bucket_number(h)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_bits"))
+
+
+def bits_of(ids: DataFrame, id_col: str = "doc_id") -> np.ndarray:
+    """A filter of fixed size on ids: whether some id has a hash. Ids that share a hash pass too, so a join must follow."""
+    out = np.zeros(FILTER_BITS + 32_768 + 1, bool)
+    for r in _bitmap(ids, id_col).collect():
+        part = np.unpackbits(np.frombuffer(bytes(r._bits), np.uint8), bitorder="little").astype(bool)
+        at = (r._bucket - 1) * len(part) + 1 if r._bucket else 0
+        out[at : at + len(part)] |= part[: len(out) - at]
+    return out[:FILTER_BITS]
+
+
+def split_by(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose id is surely not among ids (null ids too), and rows whose id may be. No row of df is shuffled."""
+    bitmap = F.broadcast(_bitmap(ids, id_col))  # of fixed size
+    keyed = df.withColumn("_h", _hash(id_col)).withColumn("_bucket", F.expr("bitmap_bucket_number(_h)")).withColumn("_place", F.expr("bitmap_bit_position(_h)"))
+    met = keyed.join(bitmap, "_bucket", "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = met.withColumn("_may", F.expr(f"coalesce((shiftright({byte}, cast(_place % 8 as int)) & 1) = 1, false)"))
+    return marked.where("not _may").select(*df.columns), marked.where("_may").select(*df.columns)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A text column as Python strings, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where paragraphs are cut; documents of a range; digests of a pair that a group has on average; cells in a row, by try.
+#: Where paragraphs are cut (a pattern within an SQL string); documents of a range; digests of a pair that a group has on average; cells in a row, by try.
 PARAGRAPHS, RANGE, GROUP, CELLS = r"(?<=[.!?])\\s+|\\n", 500, 5, (4, 8, 32)
 #: Seed of the check of a digest; rounds of peeling.
 CHECK, ROUNDS = 77, 12
@@ -33,7 +33,7 @@ FIRST = -(2**63)
 
 def digests(text: str) -> str:
     """The distinct digests of a text's paragraphs."""
-    return f"array_distinct(transform(filter(split({text}, r'{PARAGRAPHS}'), p -> p <> ''), p -> xxhash64(p)))".replace("r'", "'")
+    return f"array_distinct(transform(filter(split({text}, '{PARAGRAPHS}'), p -> p <> ''), p -> xxhash64(p)))"
 
 
 def sketch(keys: str, cells: int) -> str:

@@ -17,8 +17,11 @@ dealt by hash into blocks of bounded size, and each pair of blocks is one task's
 by the sets themselves, and returns a spanning forest of the links. So no task holds more than two blocks, and nothing
 quadratic is written. Components of all forests are those of all links.
 
-Null texts and those without words have the empty set, link with nothing and are their own component; equal ids are one
-node. Texts of any length are read whole. An empty table gives an empty result. Extra columns are ignored.
+A group of n distinct sets takes n / 1024 passes of its sets through the exchange, which only very large groups of near
+copies notice.
+
+Null texts and those without words have the empty set, link with nothing and are their own component; a class whose only
+rows have null ids has a null component, and rows that share an id are told apart by their sets. Texts of any length are read whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed, discard, map_arrow
+from scriptorium.llm.common import FILTER_BITS, bits_of, checkpointed, discard, map_arrow
 from scriptorium.llm.components import components
 
 #: Features and sets that a block may hold.
 BLOCK_FEATURES, BLOCK_SETS = 400_000, 1_024
-#: Documents of the sample for frequent words, and how many words are frequent; bits of the filter on documents in groups.
-SAMPLE, FREQUENT, FILTER_BITS = 2_000, 2_000, 1 << 24
+#: Documents of the sample for frequent words, and how many words are frequent.
+SAMPLE, FREQUENT = 2_000, 2_000
 
 
 @dataclass(frozen=True)
@@ -151,27 +154,54 @@ def node_of(feats: np.ndarray) -> int | None:
     return int.from_bytes(blake2b(feats.tobytes(), digest_size=8).digest(), "little", signed=True) if len(feats) else None
 
 
-def _describe(rule: Rule, frequent: frozenset):
+class Seen(dict):
+    """Classes that a worker has met, bounded; what is made of equal sets is written once by a worker."""
+
+    def first(self, node: int | None) -> bool:
+        if node is None or node in self:
+            return False
+        if len(self) > 100_000:
+            self.clear()
+        self[node] = True
+        return True
+
+
+def _describe(rule: Rule):
+    """Size, class and sketches of every document's set."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, done = Bands(rule), {}
+        bands, seen = Bands(rule), Seen()
         for b in batches:
-            sizes, nodes, sigs, sketches = [], [], [], []
+            sizes, nodes, sketches = [], [], []
             for t in b.column("text").to_pylist():
-                f, common = shingles(t, rule.words, frequent)
-                sizes.append(len(f))
+                f = features(t, rule.words)
                 node = node_of(f)
+                sizes.append(len(f))
                 nodes.append(node)
-                # Signatures of equal sets are written once by a worker.
-                if node is None or node in done:
-                    sigs.append(None)
-                    sketches.append(None)
-                else:
-                    if len(done) > 200_000:
-                        done.clear()
-                    done[node] = True
+                sketches.append([{"band": min(x, 255), "bits": parity(f, bands.k(x))} for x in bands.met(len(f))] if seen.first(node) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())])))], ["doc_id", "n_shingles", "node", "sketches"])
+
+    return run
+
+
+def _sign(rule: Rule, frequent: frozenset):
+    """A row for each signature of each class."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(rule), Seen()
+        for b in batches:
+            sigs, nodes, held = [], [], 0
+            for t in b.column("text"):
+                f, common = shingles(t.as_py(), rule.words, frequent)
+                if seen.first(node := node_of(f)):
                     sigs.append(signatures(f, bands, common).view(np.int64))
-                    sketches.append([{"band": min(x, 255), "bits": parity(f, bands.k(x))} for x in bands.met(len(f))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())])))], ["doc_id", "n_shingles", "node", "sigs", "sketches"])
+                    nodes.append(np.full(len(sigs[-1]), node))
+                    held += len(sigs[-1])
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                    sigs, nodes, held = [], [], 0
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
 
     return run
 
@@ -237,7 +267,7 @@ def _lists(block: int):
                 name = int.from_bytes(blake2b(nodes.tobytes() + bytes([band]), digest_size=8).digest(), "little", signed=True)
                 if name in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(name)
                 for col, x in zip(out, (np.full(len(nodes), name), np.arange(len(nodes), dtype=np.int32) // block, np.full(len(nodes), band, np.int32), nodes), strict=True):
@@ -387,7 +417,7 @@ def _features(rule: Rule, wanted: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            keep = [i is not None and wanted[crc32(str(i).encode()) % len(wanted)] for i in ids]
+            keep = [i is not None and bool(wanted[(h := crc32(str(i).encode()) % FILTER_BITS) >> 3] >> (h & 7) & 1) for i in ids]
             b = b.filter(pa.array(keep, pa.bool_()))
             feats = [features(t, rule.words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([node_of(f) for f in feats], pa.int64()), pa.array([f.tobytes() for f in feats], pa.binary())], ["doc_id", "node", "features"])
@@ -397,35 +427,28 @@ def _features(rule: Rule, wanted: np.ndarray):
 
 def join(docs: DataFrame, rule: Rule, block_features: int = BLOCK_FEATURES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) of every document."""
-    spark = docs.sparkSession
-    frequent = frequent_words(docs)
-    rows = checkpointed(map_arrow(docs.select("doc_id", "text"), _describe(rule, frequent), "doc_id long, n_shingles long, node long, sigs array<long>, sketches array<struct<band:int,bits:binary>>"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Texts are read twice rather than signatures kept: those are many times larger than all else.
+    rows = checkpointed(map_arrow(docs, _describe(rule), "doc_id long, n_shingles long, node long, sketches array<struct<band:int,bits:binary>>"))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
 
-    sigs = rows.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    lists = checkpointed(sigs.mapInArrow(_lists(block_sets), "list long, block int, band int, node long").distinct())
+    sigs = map_arrow(docs.select("text"), _sign(rule, frequent_words(docs)), "sig long, node long").repartition("sig").sortWithinPartitions("sig")
+    lists = checkpointed(map_arrow(sigs, _lists(block_sets), "list long, block int, band int, node long", 4_096).distinct())
     long = lists.where("block > 0").groupBy("list").agg(F.max("block").alias("last"))
     pairs = lists.join(long, "list", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
     pairs = pairs.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node")
-    sketches = rows.where("sigs is not null").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.bits")
+    sketches = rows.where("sketches is not null").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.bits")
     held = pairs.join(sketches, ["node", "band"]).select("list", "i", "j", "block", "node", "n", "bits").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
-    ties = map_arrow(held, _filtered(rule), "u long, v long", 10_000).distinct()
+    ties = map_arrow(held, _filtered(rule), "u long, v long", 4_096).distinct()
     groups = checkpointed(components(ties).withColumnRenamed("component", "group"))
     discard(lists)
 
     known = groups.join(least, "node")
     blocks = known.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block_features)), F.ceil(F.count("*") / F.lit(block_sets))).cast("int").alias("blocks"))
     place = checkpointed(known.join(blocks, "group").select("doc_id", "node", "group", "blocks"))
-    wanted = np.zeros(FILTER_BITS, bool)
-    bits = place.where("doc_id is not null").select(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FILTER_BITS)).alias("h"))
-    for r in bits.groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect():  # FILTER_BITS bits in all
-        part = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-        at = (r.bucket - 1) * len(part) + 1 if r.bucket else 0
-        own = np.flatnonzero(part) + (at if r.bucket else 0)
-        wanted[own[own < FILTER_BITS]] = True
+    wanted = np.packbits(bits_of(place), bitorder="little")
     # Another row may have the id of the class's least document; only the class's own set is taken.
-    sets = map_arrow(docs.select("doc_id", "text"), _features(rule, wanted), "doc_id long, node long, features binary").join(place, ["doc_id", "node"])
+    sets = map_arrow(docs, _features(rule, wanted), "doc_id long, node long, features binary").join(place, ["doc_id", "node"])
     own = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A set goes to every pair that its block is part of.
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "features")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from scriptorium.llm import mixing, partenum, secrets_crf, toxicity
 from scriptorium.llm.common import crc_mod
-from scriptorium.llm.queries import labelled, queries
+from scriptorium.llm.queries import labelled, oracle_sql, queries
 
 from test_llm_operators import brute_components
 
@@ -81,6 +81,16 @@ def test_stages_handle_odd_rows(spark, odd, nothing, tmp_path):
     assert kept.where("doc_id = 6").count() == 1 and kept.where("doc_id is null").count() == 1 and kept.count() == 9
 
 
+@needs_data
+def test_sql_gives_the_same_rows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for name, sql in oracle_sql().items():
+        got, want = queries()[name](spark, SF).toPandas(), con.sql(sql).df()
+        assert sorted(map(tuple, got[want.columns].itertuples(index=False))) == sorted(map(tuple, want.itertuples(index=False)))
+
+
 @needs_data
 def test_queries_run_on_the_smallest_tables(spark):
     counts = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
