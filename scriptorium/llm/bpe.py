@@ -26,8 +26,10 @@ from scriptorium.llm.common import map_arrow, texts
 
 #: Marks the last symbol of a word. Fixed value of the vocabulary file.
 WORD_END = "</w>"
-#: Words of a text that may be cached by a worker, in each of two generations.
-CACHE = 250_000
+#: Entries of a worker's caches: words, and stretches in each of two generations.
+CACHE = 200_000
+#: Entries of the transition table, and how many may stay between tasks.
+PAIRS, KEPT = 1_000_000, 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -41,13 +43,17 @@ class MergeAutomaton:
     """The deterministic automaton of a merge list."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.arcs = vocab
         self.labels = {i: s for s, i in vocab.items()}
-        #: The longest arc that ends in two given symbols, with or without the word end.
-        self.reach: dict[str, int] = {}
-        for s in vocab:
-            body, tail = (s.removesuffix(WORD_END), WORD_END) if s.endswith(WORD_END) else (s, "")
-            self.reach[body[-2:] + tail] = max(len(body), self.reach.get(body[-2:] + tail, 1))
+        #: Arcs inside a word and at its end, by what they spell, and the longest arc that ends in two given symbols.
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        self.inner_reach: dict[str, int] = {}
+        self.final_reach: dict[str, int] = {}
+        for s, i in vocab.items():
+            end = s.endswith(WORD_END)
+            body, arcs, reach = (s.removesuffix(WORD_END), self.final, self.final_reach) if end else (s, self.inner, self.inner_reach)
+            arcs[body] = i
+            reach[body[-2:]] = max(len(body), reach.get(body[-2:], 1))
         never = len(merges)
         #: For each arc: its leading and trailing parts, each with the rank of the merge that closes it.
         self.leading: dict[int, tuple[tuple[int, int], ...]] = {}
@@ -57,7 +63,8 @@ class MergeAutomaton:
             self.leading[i] = self.trailing[i] = ((i, never),)
         for rank, (a, b) in enumerate(merges):
             self.add_gadget(vocab[a], vocab[b], vocab[a + b], rank, never)
-        self.table: dict[tuple[int, int], bool] = {}
+        #: By state x 65536 + arc.
+        self.table: dict[int, bool] = {}
 
     def add_gadget(self, a: int, b: int, ab: int, rank: int, never: int) -> None:
         """The merge's left part opens no path to its right part any more; the item ab inherits what its parts expose."""
@@ -70,11 +77,11 @@ class MergeAutomaton:
 
         Of two equal merges the left one is made first, so a part on the right stays open at its own closing rank.
         """
-        known = self.table.get((state, arc))
+        known = self.table.get(state << 16 | arc)
         if known is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) > PAIRS:
                 self.table.clear()
-            known = self.table[state, arc] = not any(
+            known = self.table[state << 16 | arc] = not any(
                 (rank := self.gadgets.get((u, v))) is not None and closed_u > rank and closed_v >= rank
                 for u, closed_u in self.trailing[state]
                 for v, closed_v in self.leading[arc]
@@ -83,17 +90,24 @@ class MergeAutomaton:
 
     def encode(self, word: str) -> list[int]:
         """The arcs of the one path that spells the word; its last symbol carries the word end."""
-        n, arcs, table, reach = len(word), self.arcs, self.table, self.reach
+        n, table = len(word), self.table
         state, came = [-1] * (n + 1), [0] * (n + 1)
+        arcs, reach = self.inner, self.inner_reach
         for end in range(1, n + 1):
-            tail = WORD_END if end == n else ""
-            for start in range(max(0, end - reach.get(word[max(0, end - 2) : end] + tail, 1)), end):
-                arc = arcs.get(word[start:end] + tail)
+            if end == n:
+                arcs, reach = self.final, self.final_reach
+            far = reach.get(word[end - 2 : end] if end > 1 else word[:1], 1)
+            for start in range(end - far if end > far else 0, end):
+                arc = arcs.get(word[start:end])
                 if arc is None:
                     continue
-                before = state[start]
-                if start and (before < 0 or not (table[before, arc] if (before, arc) in table else self.follows(before, arc))):
-                    continue
+                if start:
+                    before = state[start]
+                    if before < 0:
+                        continue
+                    may = table.get(before << 16 | arc)
+                    if not (self.follows(before, arc) if may is None else may):
+                        continue
                 state[end], came[end] = arc, start
                 break
         path, end = [], n
@@ -120,16 +134,36 @@ class Codec:
         self.blank = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
+
+    def release(self) -> None:
+        """Empties the caches; workers outlive tasks, and what they hold counts against whatever runs next."""
+        self.young, self.old, self.words = {}, {}, {}
+        if len(self.automaton.table) > KEPT:
+            self.automaton.table = {}
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """The ids of a stretch without white space."""
+    def split(self, chunk: str) -> list[str]:
+        """The pre-split words of a stretch without white space."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         low = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
-        ids: list[int] = []
-        for piece in self.pieces(low):
-            ids += self.automaton.encode(piece if piece.isascii() and piece.isprintable() else "".join(self.symbols[b] for b in piece.encode("utf-8", "replace")))
-        return ids
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.pieces(low)
+
+    def piece(self, piece: str) -> tuple[int, str, str]:
+        """Count, ids and labels of a pre-split word, from a cache of bounded size."""
+        found = self.words.get(piece)
+        if found is None:
+            ids = self.automaton.encode(piece if piece.isascii() and piece.isprintable() else "".join(self.symbols[b] for b in piece.encode("utf-8", "replace")))
+            labels = self.labels
+            found = (len(ids), " ".join(map(str, ids)), " ".join([labels[i] for i in ids]))
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[piece] = found
+        return found
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Count, ids and labels of a stretch, from a cache of bounded size."""
@@ -137,8 +171,8 @@ class Codec:
         if found is None:
             found = self.old.get(chunk)
             if found is None:
-                ids = self.chunk_ids(chunk)
-                found = (len(ids), " ".join(map(str, ids)), " ".join(self.labels[i] for i in ids))
+                parts = [self.piece(p) for p in self.split(chunk)]
+                found = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
             self.young[chunk] = found
@@ -180,12 +214,20 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def released(batches: Iterable[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last the codec's caches are emptied."""
+    try:
+        yield from batches
+    finally:
+        c.release()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids and decoded text of every whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in released(batches, c):
             parts = [c.parts(t) for t in texts(b, "text")]
             ids = [[int(i) for n, s, _ in p if n for i in s.split()] for p in parts]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(x[2] for x in p if x[0]) for p in parts], pa.string())], ["id", "n_tokens", "ids", "decoded"])
@@ -212,7 +254,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in released(batches, c):
             rows = []
             for t in texts(b):
                 parts = [p for p in c.parts(t) if p[0]]
@@ -230,7 +272,7 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in released(batches, c):
             parts = [[p for p in c.parts(t) if p[0]] for t in texts(b)]
             ids = [[int(i) for p in row for i in p[1].split()] for row in parts]
             sha = [hashlib.sha256(" ".join(p[2] for p in row).encode()).hexdigest() for row in parts]
