@@ -1,9 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a whole text: densities and numbers of lexicon words (a fixed list, learnt words and learnt word beginnings,
-which catch inflected forms), second-person words near lexicon words, capitals, punctuation, and obfuscated spellings.
-The lexicon, the trees and the calibration are learnt from at most `fit_rows` labelled rows, those with the smallest
-hashes of their ids, each from its own part of them.
+which catch inflected forms, with weights), second-person words near lexicon words, capitals, punctuation, and obfuscated spellings.
+All is learnt from at most `fit_rows` labelled rows, those with the smallest hashes of their ids: lexicons from either
+half, which give the other half's features, the trees and the calibration from two parts of those, and the final lexicon from all.
 
 Null and empty texts have all features 0 and get a score like any other. Texts of any length are read whole. With no labelled rows of both labels,
 trees are left out and lexicon hits alone decide. Repeated rows score alike; an empty table gives an empty result. Extra
@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import map_arrow
+from scriptorium.llm.common import checkpointed, discard, map_arrow
 
 #: Labelled rows; the score from which a text counts as toxic.
 FIT_ROWS, THRESHOLD = 9_000, 0.3
@@ -39,13 +39,22 @@ SECOND = frozenset("you your you're yours u ur tu te toi ton ta tes vous votre v
 LEET = str.maketrans("01345789@$!|+", "oieastbgasilt")
 EDGES = ".,;:!?()[]{}<>\"'`*#%&$~_-…«»¡¿|/\\"
 INSULT, LEARNT, BEGINNING, YOU, CAPS, ODD, HIDDEN, LOUD = (1 << i for i in range(8))
-FEATURES = 20
+#: Above the marks a token has its weight, in eighths, up to this.
+WEIGHT_BITS, MOST = 8, 63
+FEATURES = 25
+#: Lengths of learnt beginnings; keys of the learnt lexicon; least log ratio of a key, of a learnt word and of a marked beginning.
+LENGTHS, KEYS, LEAST, WORD, BEGIN = (4, 5, 6, 7, 8), 4_000, 1.2, 3.0, 2.5
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    words: frozenset = frozenset()
-    beginnings: frozenset = frozenset()
+    """Weights of learnt words and beginnings: how much more often toxic texts have them, as a natural logarithm."""
+
+    words: dict = field(default_factory=dict)
+    beginnings: dict = field(default_factory=dict)
+
+    def weight(self, word: str) -> tuple[float, float]:
+        return self.words.get(word, 0.0), max([self.beginnings.get(word[:n], 0.0) for n in LENGTHS if len(word) >= n], default=0.0)
 
 
 class Marks(dict):
@@ -56,14 +65,14 @@ class Marks(dict):
         self.lexicon = lexicon
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         core = token.strip(EDGES)
         low = core.lower()
         m = (LOUD if token[-1] in "!?" else 0) | (CAPS if len(core) > 1 and core.isupper() else 0) | (YOU if low in SECOND else 0)
-        m |= (INSULT if low in INSULTS else 0) | (LEARNT if low in self.lexicon.words else 0)
-        if len(low) >= 4 and any(low[:n] in self.lexicon.beginnings for n in (4, 5, 6)):
-            m |= BEGINNING
+        own, begin = self.lexicon.weight(low)
+        m |= (INSULT if low in INSULTS else 0) | (LEARNT if own >= WORD else 0) | (BEGINNING if begin >= BEGIN else 0)
+        m |= min(MOST, int(8 * max(own, begin))) << WEIGHT_BITS
         if core and not core.isalpha() and any(map(str.isalpha, core)):
             m |= ODD
             plain = "".join(filter(str.isalpha, low.translate(LEET)))
@@ -78,7 +87,7 @@ def features(text: str, marks: Marks) -> list[float]:
     tokens = text.split()
     if not tokens:
         return [0.0] * FEATURES
-    m = np.fromiter(map(marks.__getitem__, tokens), np.uint8, len(tokens))
+    m = np.fromiter(map(marks.__getitem__, tokens), np.uint16, len(tokens))
     n = len(m)
     count = [int(np.count_nonzero(m & bit)) for bit in (INSULT, LEARNT, BEGINNING, YOU, CAPS, ODD, HIDDEN, LOUD)]
     hits = np.flatnonzero(m & (INSULT | LEARNT | BEGINNING | HIDDEN))
@@ -91,29 +100,42 @@ def features(text: str, marks: Marks) -> list[float]:
     closest = float(1 / (1 + np.diff(hits).min())) if len(hits) > 1 else 0.0
     marks_ = sum(text.count(c) for c in "!?")
     singles = sum(len(t) == 1 for t in tokens) / n if n < 200 else 0.0
-    return [*(c / n for c in count), float(min(count[0], 50)), float(min(count[1], 50)), float(min(count[2], 50)), float(min(count[6], 50)), len(hits) / n, float(min(len(hits), 50)), near / max(1, len(hits)), float(min(near, 50)), closest, marks_ / n, float(np.log1p(n)), singles]
+    w = (m >> WEIGHT_BITS).astype(float) / 8
+    heavy = w[w > 0]
+    rank = np.sort(heavy)[::-1]
+    weights = [float(w.sum()) / n, min(float(w.sum()), 300.0), float(rank[0]) if len(rank) else 0.0, float(rank[:3].sum()), len(heavy) / n]
+    return [*(c / n for c in count), float(min(count[0], 50)), float(min(count[1], 50)), float(min(count[2], 50)), float(min(count[6], 50)), len(hits) / n, float(min(len(hits), 50)), near / max(1, len(hits)), float(min(near, 50)), closest, marks_ / n, float(np.log1p(n)), singles, *weights]
 
 
-def _first_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of either label a word or beginning is."""
+def _words_of_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of each half and label a word or beginning is."""
     found: Counter = Counter()
     for b in batches:
-        for t, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+        for t, toxic, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
             words = {w for x in (t or "").lower().split() if (w := x.strip(EDGES)) and w.isalpha()}
-            keys = {"w" + w for w in words if len(w) <= 40} | {"b" + w[:n] for w in words for n in (4, 5, 6) if len(w) >= n}
-            found.update((k, toxic) for k in keys)
+            keys = {"w" + w for w in words if len(w) <= 40} | {"b" + w[:n] for w in words for n in LENGTHS if len(w) >= n}
+            found.update((k, int(toxic == 1), half) for k in keys)
     keys = list(found)
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["key", "toxic", "n"])
-
-
-def learn_lexicon(rows: DataFrame, toxic: int, clean: int) -> Lexicon:
-    """Words and beginnings that at least 1 % of toxic texts have, 25 times as often as clean ones; at most 2 000 of them."""
-    if not toxic:
-        return Lexicon()
-    n = map_arrow(rows.select("text", "toxic"), _first_words, "key string, toxic int, n long").groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    ratio = (F.col("t") / toxic) / ((F.col("c") + 0.5) / (clean + 1))
-    keys = [r.key for r in n.where((F.col("t") >= max(4, 0.01 * toxic)) & (ratio >= 25)).orderBy(F.col("t").desc(), "key").limit(2_000).collect()]
-    return Lexicon(frozenset(k[1:] for k in keys if k[0] == "w"), frozenset(k[1:] for k in keys if k[0] == "b"))
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keys], pa.string()), pa.array([y for _, y, _ in keys], pa.int32()), pa.array([h for _, _, h in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["key", "toxic", "half", "n"])
+
+
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """The lexicons of the first half, the second half, and all rows (text, toxic, half): words and beginnings that toxic
+    texts have more often than clean ones, the weightiest by their log ratio times its evidence."""
+    size = {(r.toxic, r.half): r["count"] for r in rows.groupBy((F.col("toxic") == 1).cast("int").alias("toxic"), "half").count().collect()}
+    counted = map_arrow(rows.select("text", "toxic", "half"), _words_of_rows, "key string, toxic int, half int, n long")
+    of = lambda y, h: F.sum(F.when((F.col("toxic") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}")
+    table = checkpointed(counted.groupBy("key").agg(*[of(y, h) for y in (0, 1) for h in (0, 1)]).where("n10 + n11 >= 2"))
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        toxic, clean = (sum(size.get((y, h), 0) for h in halves) for y in (1, 0))
+        t, c = (sum((F.col(f"n{y}{h}") for h in halves), F.lit(0)) for y in (1, 0))
+        # A text or so more on either side keeps rare keys modest.
+        weight = F.log((t + 0.5) / (toxic + 1) / ((c + 1.0) / (clean + 2)))
+        keys = table.select("key", t.alias("t"), weight.alias("w")).where((F.col("t") >= 3) & (F.col("w") >= LEAST)).orderBy((F.col("w") * F.sqrt("t")).desc(), "key").limit(KEYS).collect() if toxic else []
+        out.append(Lexicon({r.key[1:]: r.w for r in keys if r.key[0] == "w"}, {r.key[1:]: r.w for r in keys if r.key[0] == "b"}))
+    discard(table)
+    return out
 
 
 @dataclass
@@ -208,27 +230,26 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     limit = rows.select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
     if limit is None:
         return Model(Lexicon(), None, np.zeros(0), np.zeros(0))
-    sample = rows.where(F.col("h") <= limit).withColumn("part", F.pmod(F.col("h"), F.lit(10)))
-    words = sample.where("part < 5")
-    counts = {r.toxic: r["count"] for r in words.groupBy("toxic").count().collect()}
-    lexicon = learn_lexicon(words, counts.get(1, 0), counts.get(0, 0))
+    sample = rows.where(F.col("h") <= limit).withColumn("part", F.pmod(F.col("h"), F.lit(10))).withColumn("half", (F.col("part") % 2).cast("int"))
+    first, second, whole = learn_lexicons(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(lexicon)
+        # A row's features are by the lexicon of the half that it isn't in, which knows nothing of its label.
+        marks = [Marks(second), Marks(first)]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("part"), b.column("toxic"), pa.array([features(t or "", marks) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))], ["h", "part", "toxic", "x"])
+            x = [features(t or "", marks[h]) for t, h in zip(b.column("text").to_pylist(), b.column("half").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("part"), b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["h", "part", "toxic", "x"])
 
-    got = map_arrow(sample.select("h", "part", "toxic", "text"), run, "h long, part long, toxic int, x array<double>").orderBy("h", "toxic", "x").limit(fit_rows).collect()
+    got = map_arrow(sample.select("h", "part", "half", "toxic", "text"), run, "h long, part long, toxic int, x array<double>").orderBy("h", "toxic", "x").limit(fit_rows).collect()
     x, y, part = np.array([r.x for r in got]), np.array([float(r.toxic == 1) for r in got]), np.array([r.part for r in got])
-    # Rows that gave the lexicon know its words too well; trees get few of them only where the rest are few.
-    grown, held = (part >= 5) & (part < 8), part >= 8
-    if y[grown].sum() < 20 or y[held].sum() < 10:
+    grown, held = part < 7, part >= 7
+    if len(got) and (y[grown].sum() < 20 or y[held].sum() < 10):
         grown = held = np.ones(len(y), bool)
-    if not 0 < y[grown].sum() < grown.sum() or not len(got):
-        return Model(lexicon, None, np.zeros(0), np.zeros(0))
+    if not len(got) or not 0 < y[grown].sum() < grown.sum():
+        return Model(whole, None, np.zeros(0), np.zeros(0))
     trees = boost(x[grown], y[grown])
     knots, values = isotonic(trees.raw(x[held]), y[held])
-    return Model(lexicon, trees, knots, values)
+    return Model(whole, trees, knots, values)
 
 
 def _scores(model: Model, texts: list[str | None], marks: Marks) -> np.ndarray:
