@@ -3,7 +3,7 @@
 Every whole text is cut into white-space tokens. A token has a shape class; the field scores the tags outside, begin and
 inside from the token's shape, its neighbours' shapes and features of the whole text, and Viterbi finds the best tags.
 The field learns from tokens under the base patterns, in windows of at most `fit_docs` documents (those with the
-smallest hashes of their ids), and then also tags secrets that the patterns miss. Patterns' spans always stay.
+smallest hashes of their ids) and from a few made-up sentences, and then also tags secrets that the patterns miss. Patterns' spans always stay.
 
 Where the outside score leads by more than any change of transitions can return, the best path must pass outside
 there; such tokens cut the chain, and Viterbi runs on the stretches between. This is exact.
@@ -82,11 +82,34 @@ def shape(token: str) -> int:
     return SHAPE["symbols"]
 
 
+#: Sentences that teach the field secrets without the patterns' forms, in << >>, and like tokens that are none. Made up.
+EXAMPLES = (
+    "set bearer <<mF9dK2xQ7wLp0ZrT5vBn>> for the call",
+    "my password is <<Tr0ub4dor3xYz99qWe>> and yours",
+    "the passphrase <<xK29vLq81ZmPw73RtYb>> opens it",
+    "use api_key <<4f9Q2mZx81LpVw73Rt0a>> there",
+    "auth <<eyJhbGciOiJIUzI1NiJ9abc12>> expired",
+    "a secret - <<9fK2mQ8zR4tW6yB1cD3e>> was found",
+    "with credentials <<A1b2C3d4E5f6G7h8I9j0>> at hand",
+    "the token <<ZX12CV34BN56MQ78WE90>> works",
+    "private_key <<MIIEvQIBADANBgkqhkiG9w0B>> follows",
+    "order 4f9Q2mZx81LpVw73Rt0a was sent",
+    "see page 2f9b8c7d6e5f4a3b2c1d0e9f of it",
+    "the item ZX12CV34BN56MQ78WE90 is out",
+    "a token of thanks to the band",
+    "the secret of the old house is known",
+    "she forgot the password again and again",
+    "the key word in this text is short",
+    "model A1b2C3d4E5f6G7h8I9j0 from the list",
+    "call 0123456789 for the price now",
+)
+
+
 class Shapes(dict):
     """Shapes of tokens met before, bounded."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[token] = s = shape(token)
         return s
@@ -215,6 +238,15 @@ def fit_field(windows: list[tuple[bytes, bytes, int, int]], steps: int = 120, ri
     return Field(*(a.copy() for a in parts(theta)))
 
 
+def examples(count: int = 3) -> list[tuple[bytes, bytes, int, int]]:
+    """The example sentences as windows."""
+    out = []
+    for e in EXAMPLES:
+        shapes = np.array([EDGE, *(shape(w.strip("<>")) for w in e.split()), EDGE], np.uint8)
+        out.append((shapes.tobytes(), bytes(int(w.startswith("<<")) for w in e.split()), file_feature(shapes[1:-1]), count))
+    return out
+
+
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows around tokens that aren't plain words, and the texts' first tokens as examples of prose."""
     seen, plain = Shapes(), {SHAPE[s] for s in ("word", "Title", "CAPS", "marks")}
@@ -245,10 +277,10 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOW
     h = F.xxhash64("doc_id")
     limit = docs.select(h.alias("h")).orderBy("h").limit(fit_docs).agg(F.max("h")).first()[0]
     if limit is None:
-        return Field.blank()
+        return fit_field(examples())
     seen = map_arrow(docs.where(h <= limit).select("text"), _windows, "shapes binary, tags binary, file int, n long")
     rows = seen.groupBy("shapes", "tags", "file").agg(F.sum("n").alias("n")).orderBy(F.hex("tags").contains("1").desc(), F.col("n").desc(), "shapes", "tags", "file").limit(fit_windows).collect()
-    return fit_field([(bytes(r.shapes), bytes(r.tags), r.file, min(r.n, 50)) for r in rows])
+    return fit_field([*examples(), *((bytes(r.shapes), bytes(r.tags), r.file, min(r.n, 50)) for r in rows)])
 
 
 class Scanner:

@@ -60,6 +60,13 @@ def test_field_learns_and_adds():
     assert secrets_crf.Scanner(field)("plain words only here")[1] == []
 
 
+def test_examples_teach_other_forms():
+    scan = secrets_crf.Scanner(secrets_crf.fit_field(secrets_crf.examples()))
+    found = lambda t: [t[a:b] for a, k, b in scan(t)[1] if k == 3]
+    assert found("please use the token Qw12Er34Ty56Ui78Op90 today") == ["Qw12Er34Ty56Ui78Op90"]
+    assert found("the parcel Qw12Er34Ty56Ui78Op90 came today") == [] and found("a token of love and a secret smile") == []
+
+
 # --- Mixing
 
 
@@ -142,7 +149,7 @@ def test_trees_and_calibration():
 
 
 def test_features_see_obfuscation_and_proximity():
-    marks = toxicity.Marks(toxicity.Lexicon(frozenset({"grumbl"}), frozenset({"zork"})))
+    marks = toxicity.Marks(toxicity.Lexicon({"grumbl": 4.0}, {"zork": 4.0}))
     f = lambda t: toxicity.features(t, marks)
     assert f("") == [0.0] * toxicity.FEATURES
     assert f("you are an 1d10t !")[6] > 0 and f("an i.d.i.o.t here")[6] > 0
