@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import map_arrow
 
 #: Trees, bits of a hash string, least share of a stretch that are candidates, rows of a stretch, queries sent at once, rows of the mean's sample.
-TREES, BITS, CANDIDATES, BLOCK_ROWS, QUERY_ROWS, SAMPLE = 48, 32, 0.5, 16_384, 20_000, 2_000
+TREES, BITS, CANDIDATES, BLOCK_ROWS, QUERY_ROWS, SAMPLE = 48, 32, 0.6, 16_384, 20_000, 2_000
 
 
 def usable(v: str | Column) -> Column:
