@@ -7,7 +7,7 @@ stretch's distinct vectors share a prefix of that length with it in some tree. A
 exactly in double precision. The stretches' best are merged. The default share suits vectors without any structure, whose
 nearest neighbours are hardly nearer than others; clustered vectors need far less.
 
-Equal vectors are one entry of a forest with its least ids, as many as an answer can hold, which loses nothing.
+Equal vectors are one entry of a forest with its least distinct ids, as many as an answer can hold, which loses nothing.
 Queries are dealt into blocks of about `query_rows`, each sent to all workers in turn, so what is sent is bounded.
 
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part. With
@@ -45,6 +45,8 @@ class Forest:
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
         new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(axis=1)))
+        once = new | np.concatenate(([True], ids[1:] != ids[:-1]))  # a repeated row takes no id's place
+        ids, vectors, new = ids[once], vectors[once], new[once]
         group = np.cumsum(new) - 1
         rank = np.arange(len(ids)) - np.flatnonzero(new)[group]
         keep = rank <= k  # one more than an answer holds, as one may be the query itself
@@ -87,14 +89,18 @@ class Forest:
         """For each query the k nearest ids found and their distances."""
         for q, v, met in zip(query_ids, queries, self.candidates(queries, least), strict=True):
             d = np.sqrt(((self.vectors[met] - v) ** 2).sum(axis=1))
-            if len(met) > 4 * k:
-                edge = np.partition(d, 2 * k)[2 * k]
-                met, d = met[d <= edge], d[d <= edge]
-            ids = np.concatenate([self.ids[self.first[g] : self.first[g + 1]] for g in met])
-            d = np.repeat(d, self.first[met + 1] - self.first[met])
-            d, ids = d[ids != q], ids[ids != q]
-            best = np.lexsort((ids, d))[:k]
-            yield int(q), ids[best], d[best]
+            take = 2 * k
+            while True:  # until k ids are met or all candidates are; an id may have several vectors
+                near = d <= np.partition(d, take)[take] if 2 * take < len(met) else np.ones(len(met), bool)
+                ids = np.concatenate([self.ids[self.first[g] : self.first[g + 1]] for g in met[near]])
+                each = np.repeat(d[near], self.first[met[near] + 1] - self.first[met[near]])
+                each, ids = each[ids != q], ids[ids != q]
+                order = np.lexsort((ids, each))
+                best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id's least distance
+                if len(best) == k or near.all():
+                    break
+                take *= 4
+            yield int(q), ids[best], each[best]
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, candidates: float = CANDIDATES, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, seed: int = 7) -> DataFrame:

@@ -295,3 +295,22 @@ def test_forest_serves_equal_vectors_by_least_id():
     forest = lsh_forest.Forest(ids, x, np.zeros(4), np.random.default_rng(0).normal(size=(4, 2 * lsh_forest.BITS)), 10)
     (_, got, d) = next(forest.nearest(np.array([3]), x[:1], 1, 10))
     assert got.tolist() == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10] and (d == 0).all()
+
+
+def test_forest_gives_distinct_ids_of_repeated_rows():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 8))
+    forest = lambda ids, v: lsh_forest.Forest(np.array(ids), np.array(v), x.mean(axis=0), rng.standard_normal((8, 4 * lsh_forest.BITS)), 10)
+
+    def nearest(ids, v, q):
+        _, got, d = next(forest(ids, v).nearest(np.array([q]), x[[q]], 1_000, 10))
+        return got.tolist(), d
+
+    dist = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    want = [int(i) for i in np.argsort(dist) if i][:10]
+    got, d = nearest([*range(60)] * 2, [*x, *x], 0)
+    assert got == want and np.allclose(d, dist[want])
+    assert nearest([1] * 11 + list(range(2, 15)), [x[1]] * 24, 0)[0] == list(range(1, 11))
+    # One id with 100 vectors nearer than all others is one neighbour.
+    got, d = nearest([*range(60), *[100] * 100], [*x, *(x[0] + 1e-3 * rng.normal(size=(100, 8)))], 0)
+    assert got == [100, *want[:9]] and d[0] < 0.01
