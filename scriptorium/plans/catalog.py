@@ -439,6 +439,11 @@ def todo_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.todo(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id", "doc_id", 50)
 
 
+@register("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def todo_anti_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.todo(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
 @register("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")

@@ -46,3 +46,10 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@needs_data
+def test_todo_whole_loses_no_row(spark):
+    got = catalog.QUERIES["todo_anti_whole"](spark, SF)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    assert got.count() == docs.join(labels, "doc_id", "left_anti").count() > 50
