@@ -1,15 +1,19 @@
 """Language-model scoring by a probabilistic suffix tree over word classes.
 
-Tokens are words without ASCII white space, A-Z lowered, and one end sign a text. The tree's alphabet is fixed in size:
-the end sign, the most frequent words with a class each, the most frequent two-byte word endings, and one class for the
-rest. A word's probability is that of its class in the tree's state times its share of the class; shares come from the
-counts of all training words, each plus one half, one more for a word not met. So a text's score is its base score plus,
-for each token, how much more likely its class is in its context than by itself.
+Tokens are words without ASCII white space, A-Z lowered, and one end sign a text. The tree's alphabet grows with the cube
+root of the vocabulary, from SIZE on: the end sign, the most frequent words with a class each, the most frequent two-byte
+word endings, and one class for the rest. A word's probability is that of its class in the tree's state times its share of
+the class; shares come from the counts of all training words, each plus one half, one more for a word not met. So a text's
+score is its base score plus, for each token, how much more likely its class is in its context than by itself.
 
-Contexts of up to `DEPTH` classes with a probability of at least `p_min` are candidates, so there are at most
-DEPTH / p_min of them, and no more than the SIZE ^ DEPTH that there are, whatever the input. A context stays if its next-class distribution diverges from its parent's by
-`gain` nats in all and by the ratio `ratio` for some class. Distributions are smoothed with the parent's. The state of a
-position is its longest kept suffix, read from one table over the codes of the last classes.
+Every context of up to `DEPTH` classes that occurs `LEAST` times is a candidate, however large the input. It stays if its
+next-class distribution diverges from its parent's by `gain` nats in all and by the ratio `ratio` for some class.
+Distributions are smoothed with the parent's. The state of a position is its longest kept suffix.
+
+Contexts are counted, tested and kept as tables. Those that end in the same two classes meet in one group, of at most
+size ^ 2 counts, with their parents. Grams (a context and the next class) that make up at least `hot_grams` of all tokens are
+sent to the workers, at most 1 / hot_grams; the others meet the documents' grams in joins, and a gram not met in training
+takes its parent's probability by its context's weight. `grow` gives the same tree in one process.
 
 Counts of words meet the documents' words in a join, but for a bounded table of words that make up at least `hot` of all
 tokens, which is sent to the workers; no vocabulary is collected.
@@ -30,12 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed, crc_mod, map_arrow
+from scriptorium.llm.common import checkpointed, crc_mod, discard, map_arrow
 
-#: Classes, context length, least probability of a context, least ratio, least gain, least share of a hot word.
-SIZE, DEPTH, P_MIN, RATIO, GAIN, HOT = 256, 2, 4e-6, 1.05, 6.0, 4e-6
-#: Words that have a class of their own; the rest of the classes but two are endings.
-OWN = 64
+#: Least number of classes, context length, least occurrences of a context, least ratio, least gain, least share of a hot word, of a hot gram.
+SIZE, DEPTH, LEAST, RATIO, GAIN, HOT, HOT_GRAMS = 256, 3, 20, 1.05, 6.0, 4e-6, 5e-7
 #: Entries of a worker's counters before it passes them on.
 FLUSH = 150_000
 #: The end sign; no word has a blank in it.
@@ -53,17 +55,22 @@ class Classes:
 
     own: dict[bytes, int]
     endings: dict[bytes, int]
+    size: int = SIZE
+
+    @property
+    def bits(self) -> int:
+        return self.size.bit_length() - 1
 
     def of(self, word: bytes) -> int:
         c = self.own.get(word)
-        return self.endings.get(word[-2:], SIZE - 1) if c is None else c
+        return self.endings.get(word[-2:], self.size - 1) if c is None else c
 
 
-def codes(classes: np.ndarray) -> np.ndarray:
+def codes(classes: np.ndarray, size: int = SIZE) -> np.ndarray:
     """The code of the DEPTH classes before each position, nearest in the lowest digit; the end sign's class stands before the text."""
-    out, padded = np.zeros(len(classes), np.int32), np.concatenate((np.zeros(DEPTH, np.int32), classes))
+    out, padded = np.zeros(len(classes), np.int64), np.concatenate((np.zeros(DEPTH, np.int32), classes))
     for k in range(DEPTH):
-        out = out * SIZE + padded[k : k + len(classes)]
+        out = out * size + padded[k : k + len(classes)]
     return out
 
 
@@ -101,7 +108,7 @@ def _count_classes(classes: Classes):
             for t in b.column("text").to_pylist():
                 w = words_of(t)
                 s = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
-                seqs.append(codes(s) * SIZE + s)
+                seqs.append(codes(s, classes.size) * classes.size + s)
             if seqs:
                 g, n = np.unique(np.concatenate(seqs), return_counts=True)
                 held.append((g, n.astype(np.int32)))
@@ -164,81 +171,193 @@ def grow(classes: Classes, root: np.ndarray, levels: list[dict[int, np.ndarray]]
     return Tree(classes, np.log10(np.array(dists) / root).astype(np.float32), state, len(dists))
 
 
-def train(docs: DataFrame, p_min: float = P_MIN) -> tuple[Tree, DataFrame, int, int]:
+@dataclass
+class Model:
+    """A fitted tree as tables: `hot` has the lifts of frequent grams, `first` the probabilities after one class, `tables` the rest by kind."""
+
+    classes: Classes
+    root: np.ndarray
+    first: np.ndarray
+    hot: tuple[np.ndarray, np.ndarray]
+    tables: DataFrame
+
+
+#: Kinds of rows of a model's tables: lifts of whole grams and weights of their kept contexts, the same for contexts of two classes.
+GRAM, CONTEXT, GRAM2, CONTEXT2 = range(4)
+
+
+def _smoothed(n: np.ndarray, q: np.ndarray) -> tuple[bool, np.ndarray]:
+    """Whether a context with these next classes stays, and its distribution, the parent's if not."""
+    total, met = n.sum(), n > 0
+    if total >= LEAST:
+        r = n[met] / total / q[met]
+        if (n[met] * np.log(r)).sum() >= GAIN and (r.max() >= RATIO or r.min() <= 1 / RATIO):
+            return True, (n + met.sum() * q) / (total + met.sum())
+    return False, q
+
+
+def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
+    """The rows of a model's tables from counts sorted by the nearest two classes."""
+    size, bits = classes.size, classes.bits
+
+    def group(near: int, g: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        g, at = np.unique(g, return_inverse=True)
+        n = np.bincount(at, n)
+        s, context = g & (size - 1), g >> bits
+        two = np.bincount(s, n, size)
+        kept, q = _smoothed(two, first[near & (size - 1)])
+        met = np.flatnonzero(two)
+        yield GRAM2, near << bits | met, two[met], np.log10(q[met] / root[met])
+        if kept:
+            yield CONTEXT2, np.array([near]), np.array([two.sum()]), np.log10([len(met) / (two.sum() + len(met))])
+        starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        kinds = np.diff(np.append(starts, len(g)))
+        total, each = np.add.reduceat(n, starts), np.repeat(np.arange(len(starts)), kinds)
+        r = n / total[each] / q[s]
+        stays = (total >= LEAST) & (np.add.reduceat(n * np.log(r), starts) >= GAIN) & ((np.maximum.reduceat(r, starts) >= RATIO) | (np.minimum.reduceat(r, starts) <= 1 / RATIO))
+        p = np.where(stays[each], (n + kinds[each] * q[s]) / (total + kinds)[each], q[s])
+        yield GRAM, g, n, np.log10(p / root[s])
+        yield CONTEXT, context[starts][stays], total[stays], np.log10(kinds / (total + kinds))[stays]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flushed() -> pa.RecordBatch:
+            cols = [np.concatenate([np.full(len(x[1]), x[0]) for x in out]), *(np.concatenate([x[i] for x in out]) for i in (1, 2, 3))]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int32, np.int64, np.int64, np.float32), strict=True)], ["kind", "key", "n", "v"])
+
+        def last() -> None:
+            g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            out.extend(group(int(g[0] >> bits) & (size * size - 1), g, n))
+            held.clear()
+
+        for b in batches:
+            g, n = b.column("gram").to_numpy(), b.column("n").to_numpy()
+            near = (g >> bits) & (size * size - 1)
+            cuts = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(g)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j > i:
+                    if held and (int(held[0][0][0] >> bits) & (size * size - 1)) != near[i]:
+                        last()
+                    held.append((g[i:j], n[i:j]))
+            if sum(len(x[1]) for x in out) > 100_000:
+                yield flushed()
+        if held:
+            last()
+        if out:
+            yield flushed()
+
+    return run
+
+
+def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFrame, int, int]:
     """The tree, the words' counts (word, c) as a table, N and V."""
     words = checkpointed(map_arrow(docs.select("text"), _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.col("c").desc(), "word").limit(OWN).collect()
+    size = max(SIZE, 1 << math.ceil(math.log2(max(1, distinct)) / 3))
+    ends = words.select(F.substring("word", -2, 2).alias("e"), "c").groupBy("e").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "e").limit(size - size // 4 - 2).collect()
+    top = words.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.col("c").desc(), "word").limit(size - 2 - len(ends)).collect()
     own = {END: 0} | {bytes(r.word): i for i, r in enumerate(top, 1)}
-    ends = words.select(F.substring("word", -2, 2).alias("e"), "c").groupBy("e").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "e").limit(SIZE - OWN - 2).collect()
-    classes = Classes(own, {bytes(r.e): OWN + 1 + i for i, r in enumerate(ends)})
-    sizes = np.zeros((SIZE, 2))
-    for r in map_arrow(words, _class_sizes(classes), "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # SIZE rows
+    classes = Classes(own, {bytes(r.e): len(top) + 1 + i for i, r in enumerate(ends)}, size)
+    sizes = np.zeros((size, 2))
+    for r in map_arrow(words, _class_sizes(classes), "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # size rows
         sizes[r["class"]] = r.n, r.v
-    root = sizes[:, 0] + 0.5 * sizes[:, 1] + 0.5 / SIZE
+    root = sizes[:, 0] + 0.5 * sizes[:, 1] + 0.5 / size
     root /= root.sum()
-    grams = checkpointed(map_arrow(docs.select("text"), _count_classes(classes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c")).selectExpr(f"gram div {SIZE} as context", f"cast(gram % {SIZE} as int) as next", "c"))
-    levels: list[dict[int, np.ndarray]] = [{}]
-    for k in range(1, DEPTH + 1):
-        level = grams.groupBy(F.pmod("context", F.lit(SIZE**k)).alias("context"), "next").agg(F.sum("c").alias("c"))
-        # At most 1 / p_min contexts of a length have that probability, so this result is bounded.
-        wide = level.groupBy("context").agg(F.sum("c").alias("n"), F.collect_list("next").alias("s"), F.collect_list(F.col("c")).alias("c")).where(F.col("n") >= max(20.0, p_min * total))
-        found: dict[int, np.ndarray] = {}
-        for batch in wide.select("context", "s", "c").toArrow().to_batches(2_000):
-            for code, s, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                found[code] = n = np.zeros(SIZE, np.float32)
-                n[s] = c
-        levels.append(found)
-    return grow(classes, root, levels), words, int(total), int(distinct)
+    grams = checkpointed(map_arrow(docs.select("text"), _count_classes(classes), "gram long, n long"))
+    pairs = grams.groupBy(F.col("gram").bitwiseAND(size * size - 1).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # at most size ^ 2 rows
+    counts = np.zeros(size * size)
+    counts[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    first = np.array([_smoothed(n, root)[1] for n in counts.reshape(size, size)])
+    near = F.shiftright("gram", classes.bits).bitwiseAND(size * size - 1)
+    sent = grams.withColumn("near", near).repartition("near").sortWithinPartitions("near").select("gram", "n")
+    tables = checkpointed(map_arrow(sent, _lifts(classes, root, first), "kind int, key long, n long, v float", 65_536))
+    discard(grams)
+    hot = tables.where((F.col("kind") == GRAM) & (F.col("n") >= max(2.0, hot_grams * total))).select("key", "v").toArrow()  # at most 1 / hot_grams rows
+    key, v = hot.column("key").to_numpy(), hot.column("v").to_numpy()
+    order = np.argsort(key)
+    return Model(classes, root, first, (key[order], v[order]), tables), words, int(total), int(distinct)
+
+
+def _lift_of_cold(scored: DataFrame, model: Model, hot_count: float) -> DataFrame:
+    """(uid, lift): the lifts of the documents' grams that were not sent, summed."""
+    spark, bits, size = scored.sparkSession, model.classes.bits, model.classes.size
+    kind = lambda k, key, v: model.tables.where(F.col("kind") == k).select(F.col("key").alias(key), F.col("v").alias(v))
+    cold = scored.select("uid", F.explode("grams").alias("r")).select("uid", "r.gram", "r.k")
+    known = model.tables.where((F.col("kind") == GRAM) & (F.col("n") < hot_count)).select(F.col("key").alias("gram"), "v")
+    met = cold.join(known, "gram", "left").groupBy("uid").agg(F.sum(F.col("k") * F.col("v").cast("double")).alias("lift"), F.collect_list(F.when(F.col("v").isNull(), F.struct("gram", "k"))).alias("new"))
+    met = checkpointed(met)
+    new = met.select("uid", F.explode("new").alias("r")).select("uid", "r.gram", "r.k")
+    one = pa.table({"g1": np.arange(size * size), "v1": np.log10(model.first / model.root).ravel()})
+    keyed = new.withColumns({"c3": F.shiftright("gram", bits), "c2": F.shiftright("gram", bits).bitwiseAND(size * size - 1), "g2": F.col("gram").bitwiseAND((1 << 3 * bits) - 1), "g1": F.col("gram").bitwiseAND(size * size - 1)})
+    found = keyed.join(kind(CONTEXT, "c3", "b3"), "c3", "left").join(kind(GRAM2, "g2", "v2"), "g2", "left").join(kind(CONTEXT2, "c2", "b2"), "c2", "left").join(spark.createDataFrame(one), "g1")
+    lift = F.coalesce("b3", F.lit(0.0)) + F.coalesce("v2", F.coalesce("b2", F.lit(0.0)) + F.col("v1"))
+    more = found.groupBy("uid").agg(F.sum(F.col("k") * lift).alias("fresh"))
+    return met.join(more, "uid", "left").select("uid", (F.coalesce("lift", F.lit(0.0)) + F.coalesce("fresh", F.lit(0.0))).alias("cold_lift"))
 
 
 def _class_sizes(classes: Classes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((SIZE, 2), np.int64)
+        sums = np.zeros((classes.size, 2), np.int64)
         for b in batches:
             at = np.array([classes.of(w) for w in b.column("word").to_pylist()], int)
             if len(at):
-                sums[:, 0] += np.bincount(at, b.column("c").to_numpy(), SIZE).astype(np.int64)
-                sums[:, 1] += np.bincount(at, minlength=SIZE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["class", "n", "v"])
+                sums[:, 0] += np.bincount(at, b.column("c").to_numpy(), classes.size).astype(np.int64)
+                sums[:, 1] += np.bincount(at, minlength=classes.size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.size), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["class", "n", "v"])
 
     return run
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame, total: int, distinct: int, hot: float = HOT) -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame, total: int, distinct: int, hot: float = HOT, hot_grams: float = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    The words' counts, hot ones aside, meet the documents' words in a join on the word; nothing is dropped.
+    The counts of words and the lifts of grams, hot ones aside, meet the documents' in joins; nothing is dropped. hot_grams is that of train().
     """
     v = math.log10(total + 0.5 * (distinct + 1))
-    table = {bytes(r["word"]): (math.log10(r["c"] + 0.5) - v, tree.classes.of(bytes(r["word"]))) for r in words.where(F.col("c") >= max(2.0, hot * total)).toArrow().to_pylist()}  # at most 1 / hot words
-    shared = docs.sparkSession.sparkContext.broadcast((tree, table))
+    table = {bytes(r["word"]): (math.log10(r["c"] + 0.5) - v, model.classes.of(bytes(r["word"]))) for r in words.where(F.col("c") >= max(2.0, hot * total)).toArrow().to_pylist()}  # at most 1 / hot words
+    shared = docs.sparkSession.sparkContext.broadcast((model.classes, *model.hot, table))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, hot_words = shared.value
-        known = _Known(lambda w: (math.nan, t.classes.of(w)), hot_words)
+        classes_, hot_keys, hot_lifts, hot_words = shared.value
+        known = _Known(lambda w: (math.nan, classes_.of(w)), hot_words)
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
             words_, counts, at = [], [], [0]
+            grams, times, ends = [], [], [0]
             for text in b.column("text").to_pylist():
                 w = words_of(text)
                 logs, classes = zip(*map(known.__getitem__, w), strict=True)
                 logs = np.array(logs)
                 cold = np.isnan(logs)
                 rare = Counter([w[i] for i in np.flatnonzero(cold)])
-                for col, x in zip(out, (len(w), len(w) - int(cold.sum()), float(np.nansum(logs)), t.score(np.array(classes, np.int32))), strict=True):
+                s = np.array(classes, np.int64)
+                g = codes(s, classes_.size) * classes_.size + s
+                place = np.searchsorted(hot_keys, g)
+                sent = np.zeros(len(g), bool)
+                inside = np.flatnonzero(place < len(hot_keys))
+                sent[inside] = hot_keys[place[inside]] == g[inside]
+                rest, k = np.unique(g[~sent], return_counts=True)
+                grams.append(rest)
+                times.append(k)
+                ends.append(ends[-1] + len(rest))
+                for col, x in zip(out, (len(w), len(w) - int(cold.sum()), float(np.nansum(logs)), float(hot_lifts[place[sent]].sum(dtype=np.float64))), strict=True):
                     col.append(x)
                 words_ += rare.keys()
                 counts += rare.values()
                 at.append(len(words_))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(counts, pa.int32())], ["word", "k"]))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), lists], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare"])
+            cold_grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(grams or [np.zeros(0)]), pa.int64()), pa.array(np.concatenate(times or [np.zeros(0)]), pa.int32())], ["gram", "k"]))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), lists, cold_grams], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "text")
-    scored = checkpointed(map_arrow(rows, run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lift double, rare array<struct<word:binary,k:int>>", 256))
+    scored = checkpointed(map_arrow(rows, run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lift double, rare array<struct<word:binary,k:int>>, grams array<struct<gram:long,k:int>>", 256))
     rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k")
     cold = words.where(F.col("c") < max(2.0, hot * total))
     more = rare.join(cold, "word", "left").groupBy("uid").agg(F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(v))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return scored.join(more, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("lift")).alias("score"))
+    lifts = _lift_of_cold(scored, model, max(2.0, hot_grams * total))
+    return scored.join(more, "uid", "left").join(lifts, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("lift") + F.coalesce("cold_lift", F.lit(0.0))).alias("score"))

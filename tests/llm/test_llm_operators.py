@@ -202,6 +202,30 @@ def test_suffix_tree_scores(docs_of, odd, nothing, spark):
     assert alone.n_known == 0 and alone.train_tokens == 0 and alone.base_score == pytest.approx(0.0)
 
 
+def test_tables_hold_the_whole_tree(docs_of):
+    """Whatever is sent to the workers and whatever is joined, scores are those of the tree grown in one process, with contexts of three classes."""
+    rng = random.Random(8)
+    letters = "abcdef"
+    text = lambda: " ".join(x for _ in range(30) for x in (lambda a: (a + "1", rng.choice(letters) + "2", rng.choice(letters) + "3", a + "4"))(rng.choice(letters)))
+    rows = [(i, text()) for i in range(120)]
+    d = docs_of(rows)
+    train = d.where(crc_mod("doc_id", 5) != 1)
+    score = lambda share: {r.doc_id: r.score - r.base_score for r in pst.score(d, *pst.train(train, share), hot_grams=share).collect()}
+    model = pst.train(train)[0]
+    seqs = {i: np.array([model.classes.of(w) for w in pst.words_of(t)], np.int32) for i, t in rows}
+    levels = [{}] + [dict() for _ in range(pst.DEPTH)]
+    for i, seq in seqs.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for k in range(1, pst.DEPTH + 1):
+                for c, s in zip(pst.codes(seq) % pst.SIZE**k, seq):
+                    levels[k].setdefault(int(c), np.zeros(pst.SIZE))[s] += 1
+    tree = pst.grow(model.classes, model.root, [{c: n for c, n in x.items() if n.sum() >= 20} for x in levels])
+    want = {i: tree.score(seq) for i, seq in seqs.items()}
+    assert score(5e-7) == pytest.approx(want, abs=1e-3) and score(2.0) == pytest.approx(want, abs=1e-3) and score(2e-3) == pytest.approx(want, abs=1e-3)
+    # The fourth word repeats the first's letter: only a context of three classes can tell (0.78 digits each).
+    assert np.mean([want[i] for i in want]) > 30 * 3 * 0.78
+
+
 def test_context_helps_on_held_out_text(docs_of):
     rng = random.Random(7)
     rows = [(i, " ".join(f"{a} {b}" for a, b in (rng.choice([("new", "york"), ("los", "angeles"), ("big", "apple")]) for _ in range(60)))) for i in range(200)]
