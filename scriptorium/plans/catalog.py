@@ -426,6 +426,15 @@ def phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.phrase_tiles(phrases, "phrase", table(spark, sf_dir, "documents"), "text", "doc_id", "n_chars")
 
 
+@register(
+    """WITH p AS (SELECT DISTINCT text AS phrase FROM benchmark), h AS (SELECT phrase, doc_id, n_chars, row_number() OVER (PARTITION BY phrase ORDER BY n_chars DESC, doc_id) AS r FROM p JOIN documents ON contains(text, phrase))
+ SELECT phrase, doc_id AS key, n_chars AS views FROM h WHERE r = 1"""
+)
+def phrase_tiles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase")).distinct()
+    return discover.phrase_tiles(phrases, "phrase", table(spark, sf_dir, "documents"), "text", "doc_id", "n_chars")
+
+
 # --- Ingest
 
 
