@@ -7,7 +7,8 @@ the document's weight carries the rest, so weighted marginals meet the targets.
 text, so it is the same wherever and whenever it is made.
 
 Cells are counted by partial sums before any shuffle. Their table is raked on the driver when it has at most `max_cells`
-rows, and else by DataFrame steps, each checkpointed.
+rows, and else by DataFrame steps, each checkpointed, with the same rounds, tolerance and bisections. Where the rounds end
+before the tolerance is reached, a warning says how far off the marginals were.
 
 Null sources and languages are a value of their own; null and empty texts have no tokens, a factor like their cell's (1 if
 the cell has no tokens), and are drawn like others. Repeated rows are drawn alike. An empty table gives an empty result. Targets for values that do not occur
@@ -16,16 +17,19 @@ are left out and the rest scaled to a sum of 1; values without a target keep the
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed
+from scriptorium.llm.common import checkpointed, discard
 
 #: Power of the shares that default targets follow; share of the tokens to keep; rounds, tolerance, cells raked on the driver.
 TEMPER, BUDGET, ROUNDS, TOLERANCE, MAX_CELLS = 0.7, 0.7, 500, 1e-9, 100_000
+#: Halvings of the calibration's interval.
+BISECTIONS = 100
 DIMENSIONS = ("source", "lang", "topic")
 #: Columns that sample() adds or works with.
 ADDED = ("mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_factor", "mix_probability", "mix_weight", "mix_kept")
@@ -76,9 +80,15 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict[str, float]]
             w *= scale[at]
         if worst < tolerance:
             break
+    else:
+        _warn(rounds, worst, tolerance)
     return w
 
 
+def _warn(rounds: int, worst: float, tolerance: float) -> None:
+    warnings.warn(f"raking stopped after {rounds} rounds with marginals off by {worst:.3g}, above {tolerance:.3g}", RuntimeWarning, stacklevel=3)
+
+
 def calibrate(tokens: np.ndarray, factor: np.ndarray, budget: float) -> float:
     """c such that the expected tokens, sum of tokens x min(1, c x factor), are the budget; bisection over c."""
     if not (tokens * factor).sum() > 0:
@@ -86,13 +96,13 @@ def calibrate(tokens: np.ndarray, factor: np.ndarray, budget: float) -> float:
     lo, hi = 0.0, 1.0
     while (tokens * np.minimum(1, hi * factor)).sum() < budget and hi < 1e12:
         hi *= 2
-    for _ in range(100):
+    for _ in range(BISECTIONS):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (tokens * np.minimum(1, mid * factor)).sum() < budget else (lo, mid)
     return hi
 
 
-def factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
+def factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, bool]:
     """(source, lang, topic, factor) with the calibrated factor of each cell, and whether the table is small."""
     spark, given = cells.sparkSession, targets or {}
     head = cells.limit(max_cells + 1).collect()
@@ -106,7 +116,7 @@ def factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None
             for k, t in zip(keys, tokens, strict=True):
                 totals[k[i]] = totals.get(k[i], 0.0) + t
             goals.append(targets_of(totals, given.get(d), temper))
-        w = rake(keys, tokens, goals)
+        w = rake(keys, tokens, goals, rounds, tolerance)
         f = np.divide(w, tokens, out=np.ones_like(w), where=tokens > 0)
         f *= calibrate(tokens, f, budget * tokens.sum())
         return spark.createDataFrame([(*k, float(x)) for k, x in zip(keys, f, strict=True)], schema), True
@@ -121,21 +131,26 @@ def factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None
         else:
             own = own.withColumn("share", F.pow("share", F.lit(temper)))
         goals[d] = checkpointed(own.select(d, (F.col("share") / own.agg(F.sum("share")).first()[0] * total).alias("goal")))
-    for _ in range(60):
+    for _ in range(rounds):
         worst = 0.0
         for d in DIMENSIONS:
             scale = goals[d].join(now.groupBy(d).agg(F.sum("w").alias("now")), d).select(d, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("scale"))
             worst = max(worst, scale.agg(F.max(F.abs(F.col("scale") - 1))).first()[0] or 0.0)
-            now = checkpointed(now.join(scale, d).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("scale")).alias("w")))
-        if worst < 1e-6:
+            last, now = now, checkpointed(now.join(scale, d).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("scale")).alias("w")))
+            discard(last)
+        if worst < tolerance:
             break
+    else:
+        _warn(rounds, worst, tolerance)
     f = now.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("f"))
     expected = lambda c: f.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("f") * c))).first()[0] or 0.0
     lo, hi = 0.0, 1.0
-    while expected(hi) < budget * total and hi < 1e9:
+    while expected(hi) < budget * total and hi < 1e12:
         hi *= 2
-    for _ in range(30):
+    for _ in range(BISECTIONS):
         mid = (lo + hi) / 2
+        if mid in (lo, hi):  # no number lies between; further halvings change nothing
+            break
         lo, hi = (mid, hi) if expected(mid) < budget * total else (lo, mid)
     return f.select(*DIMENSIONS, (F.col("f") * hi).alias("factor")), False
 

@@ -70,6 +70,16 @@ def test_mixing_on_the_cluster_agrees_with_the_driver(docs_of):
     assert np.allclose(a, b[a.index], atol=1e-4)
 
 
+def test_mixing_keeps_to_the_same_rounds_on_both_paths(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 1000), ("a", "y", "t", 1), ("b", "x", "t", 1), ("b", "y", "t", 1000)], "source string, lang string, topic string, tokens long")
+    wish = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}}
+    found = []
+    for most in (100, 0):
+        with pytest.warns(RuntimeWarning, match="after 2 rounds"):
+            found.append({(r.source, r.lang): r.factor for r in mixing.factors(cells, wish, max_cells=most, rounds=2)[0].collect()})
+    assert found[0] == pytest.approx(found[1], rel=1e-9)
+
+
 def test_mixing_odd_rows(odd, nothing):
     assert mixing.sample(odd).count() == odd.count() and mixing.sample(nothing).count() == 0
     twice = mixing.sample(odd).where("doc_id = 6").select("mix_kept").collect()
