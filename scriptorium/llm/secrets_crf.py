@@ -250,8 +250,14 @@ def examples(count: int = 3) -> list[tuple[bytes, bytes, int, int]]:
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows around tokens that aren't plain words, and the texts' first tokens as examples of prose."""
     seen, plain = Shapes(), {SHAPE[s] for s in ("word", "Title", "CAPS", "marks")}
+    found: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        keys, n = list(found), list(found.values())
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32()), pa.array(n, pa.int64())], ["shapes", "tags", "file", "n"])
+
     for b in batches:
-        found: Counter = Counter()
         for text in texts(b):
             tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
             if not tokens:
@@ -265,11 +271,12 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tags[first] = 1
             file, padded = file_feature(shapes), np.concatenate(([EDGE], shapes, [EDGE])).astype(np.uint8)
             at = [0, *(t for t in range(len(tokens)) if shapes[t] not in plain)]
-            for t in at[:400]:
+            for t in at:
                 a, e = max(0, t - REACH), min(len(tokens), t + REACH + 1)
                 found[padded[a : e + 2].tobytes(), tags[a:e].tobytes(), file] += 1
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], ["shapes", "tags", "file", "n"])
+                if len(found) > 100_000:
+                    yield out()
+        yield out()
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> Field:

@@ -67,6 +67,15 @@ def test_examples_teach_other_forms():
     assert found("the parcel Qw12Er34Ty56Ui78Op90 came today") == [] and found("a token of love and a secret smile") == []
 
 
+def test_windows_of_long_texts_are_whole():
+    import pyarrow as pa
+
+    text = " ".join(["12"] * 1_000 + ["AKIA" + "A1" * 8])
+    got = list(secrets_crf._windows([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])]))
+    assert sum(sum(b.column("n").to_pylist()) for b in got) == 1_002
+    assert any(1 in t for b in got for t in b.column("tags").to_pylist())
+
+
 # --- Mixing
 
 
