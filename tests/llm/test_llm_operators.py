@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, html_blocks, iblt, langid, lsh_forest, mixing, partenum, pst, secrets_crf, toxicity
@@ -170,6 +172,68 @@ def test_fingerprints(docs_of, rows, monkeypatch):
         assert r.near_edited == pytest.approx(likeness(paragraphs(t), paragraphs(edited))) and r.near_next == pytest.approx(likeness(paragraphs(t), paragraphs(after)))
     assert got[ids[7]].fingerprint == got[ids[3]].fingerprint == got[None].fingerprint
     assert len({r.fingerprint for r in got.values()}) == len({frozenset(paragraphs(t)) for t in [*texts]})
+    assert all(r.compared <= r.retried for r in got.values())
+
+
+def cells_of(fingerprint):
+    """groups, digests and {group: cells} of a written sketch."""
+    groups, n, body = fingerprint.split("/")
+    out = {}
+    for part in filter(None, body.split(".")):
+        g, cells = part.split(":")
+        out[int(g, 16)] = [(int(cells[i : i + 2], 16), int(cells[i + 2 : i + 18], 16), int(cells[i + 18 : i + 26], 16)) for i in range(0, len(cells), 26)]
+    return int(groups), int(n), out
+
+
+def likeness_of_sketches(one, two, check):
+    """The likeness of two written sketches by subtracting and peeling them alone; None where peeling stops early."""
+    (size, n, a), (other, m, b) = cells_of(one), cells_of(two)
+    size, width, found = min(size, other), iblt.CELLS[0], 0
+    for g in range(size):
+        cells = [[0, 0, 0] for _ in range(3 * width)]
+        for sign, sketch in ((1, a), (-1, b)):
+            for at, row in sketch.items():
+                if at % size == g:
+                    for c, (x, k, h) in zip(cells, row, strict=True):
+                        c[0], c[1], c[2] = (c[0] + sign * x) % 256, c[1] ^ k, c[2] ^ h
+        while pure := next(((c, k) for c, k, h in cells if c in (1, 255) and check(k) == h), None):
+            found += 1
+            for r in range(3):
+                c = cells[r * width + (pure[1] >> iblt.ROW_BITS * r & width - 1)]
+                c[0], c[1], c[2] = (c[0] - pure[0]) % 256, c[1] ^ pure[1], c[2] ^ check(pure[1])
+        if any(map(any, cells)):
+            return None
+    return 1.0 if not n + m else (n + m - found) / (n + m + found)
+
+
+def test_likeness_follows_from_two_fingerprints(spark, docs_of):
+    rng = random.Random(14)
+    words = ["one", "two", "tree", "four", "five", "six"]
+    make = lambda n: " ".join(rng.choice(words) + rng.choice(words) + rng.choice(["", "."]) for _ in range(n))
+    rows = [(i, make(rng.choice([0, 2, 8, 30, 200]))) for i in range(60)]
+    got = iblt.fingerprints(docs_of(rows)).orderBy("doc_id").collect()
+    check = lambda k: xxhash.xxh64_intdigest(struct.pack("<i", iblt.CHECK), xxhash.xxh64_intdigest(struct.pack("<Q", k), 42)) & 0xFFFFFFFF
+    for k in (5, -9, 2**62):
+        assert check(k % 2**64) == spark.range(1).selectExpr(f"xxhash64({k}L, {iblt.CHECK}) & 4294967295L as h").first().h
+    peeled = 0
+    for r, after in zip(got, [*got[1:], got[0]], strict=True):
+        for mine, other in ((r.near_edited, r.edited_fingerprint), (r.near_next, after.fingerprint)):
+            alone = likeness_of_sketches(r.fingerprint, other, check)
+            peeled += alone is not None
+            assert alone is None or alone == pytest.approx(mine)
+    assert peeled > 20 and sum(r.retried for r in got) > 0 and all(0 <= r.compared <= r.retried for r in got)
+
+
+def test_rows_of_one_id_are_spread(docs_of):
+    rows = [(None, f"text {i}.") for i in range(300)] + [(i, f"other {i}.") for i in range(100)]
+    keyed = docs_of(rows).select(F.coalesce("doc_id", F.lit(iblt.FIRST)).alias("key"), F.xxhash64("text").alias("h"))
+    got = iblt.ranged(keyed, 20).collect()
+    sizes = Counter(r.range for r in got)
+    assert max(sizes.values()) < 60
+    in_order = sorted((r.key, r.h) for r in got)
+    assert [x[1] for x in sorted((r.range, (r.key, r.h)) for r in got)] == in_order
+    after = {r.doc_id: r.edited_sha256 for r in iblt.fingerprints(docs_of(rows)).where("doc_id is not null").collect()}
+    assert len(after) == 100 and after[7] == sha("other " + "ot")
 
 
 def test_fingerprints_odd_rows(odd, nothing, docs_of):
@@ -184,7 +248,9 @@ def test_peeling_retries_until_complete(spark):
     rows = [(a + [7], b + [7]) for a, b in rows]
     d = spark.createDataFrame(rows, "a array<long>, b array<long>")
     for r in iblt.differing(d, "a", "b", "x").collect():
-        assert set(r.x) == set(r.a) ^ set(r.b)
+        assert set(r.x) == set(r.a) ^ set(r.b) and len(r.x) == len(set(r.x))
+        assert (r.x_tries == 0) if len(r.x) < 2 else (r.x_tries > 0 if len(r.x) > 6 else True)
+        assert (r.x_tries < len(iblt.CELLS)) if len(r.x) < 100 else True
 
 
 # --- 7 suffix tree
