@@ -6,13 +6,17 @@ by its length, its density of stop words and its density of links: kept, left ou
 undecided block the label of its nearest decided neighbours. Where a page marks its content (article or main), blocks
 outside of it are left out, and short blocks inside need only that no decided neighbour speaks against them.
 
-Null and empty pages have the empty text. Pages of any length are read whole; broken markup never fails. Repeated pages
-give repeated results, an empty table an empty result, and extra columns are ignored.
+Null and empty pages have the empty text. Pages of any length are read whole, in time linear in their length; broken
+markup never fails. An element whose content is left out and that is never closed leaves nothing out, but for scripts and
+styles, whose rest is code. A block as far from a kept as from a left-out neighbour follows the kept one inside marked
+content and the left-out one elsewhere. Repeated pages give repeated results, an empty table an empty result, and extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -45,10 +49,13 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 #: Characters of a block from which it is long, and of one that is short; least stop-word densities; most link density.
 LONG, SHORT, DENSE, SPARSE, LINKS = 200, 70, 0.30, 0.10, 0.5
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
+#: Starts and ends of an element whose content is left out; those of raw text have no elements of their kind inside.
+_WITHIN = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in RAW_TAGS}
+_FLAT_TAGS = frozenset("script style title textarea iframe noembed xmp".split())
 #: Open elements that the start of another ends.
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -81,13 +88,101 @@ class Block:
         self.text, self.linked, self.links, self.content, self.label = text, linked, links, content, None
 
 
+class Scanner:
+    """Tags of a page in order, in time linear in the page, however broken its markup is."""
+
+    def __init__(self, html: str):
+        self.html = html
+        #: Opening quotes from which no end of a tag is reached; the next mark and the next > from some place on.
+        self.dead: set[int] = set()
+        self.mark, self.close = (-1, -1), (-1, -1)
+        #: Kinds of elements of which no end follows.
+        self.unclosed: set[str] = set()
+
+    def next_close(self, at: int) -> int:
+        """The first > from a place on, -1 if none; places may only grow."""
+        seen, found = self.close
+        if not (0 <= seen <= at and (found < 0 or found >= at)):
+            self.close = at, self.html.find(">", at)
+        return self.close[1]
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at a place: at the first > outside quotes, else at the first of all; -1 if none."""
+        seen, found = self.mark
+        if not (0 <= seen <= at and (found < 0 or found >= at)):
+            m = _STOP.search(self.html, at)
+            self.mark = at, m.start() if m else -1
+        stop, html, met = self.mark[1], self.html, []
+        while stop >= 0 and html[stop] != ">":
+            if stop in self.dead:
+                stop = -1
+                break
+            met.append(stop)
+            quote = html.find(html[stop], stop + 1)
+            m = _STOP.search(html, quote + 1) if quote >= 0 else None
+            stop = m.start() if m else -1
+        if stop < 0:
+            self.dead.update(met)
+            return self.next_close(at)
+        return stop
+
+    def past(self, tag: str, at: int) -> int:
+        """Where an element ends whose content is left out. One that is never closed leaves out nothing but code."""
+        if tag not in self.unclosed:
+            depth, last = 1, -1
+            for m in _WITHIN[tag].finditer(self.html, at):
+                if m[1]:
+                    depth, last = depth - 1, m.end()
+                    if not depth or tag in _FLAT_TAGS:
+                        break
+                elif tag not in _FLAT_TAGS:
+                    depth += 1
+            if last >= 0:
+                end = self.next_close(last)
+                return end + 1 if end >= 0 else len(self.html)
+            self.unclosed.add(tag)
+        return len(self.html) if tag in ("script", "style") else at
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, str]]:
+        """(text before, "/" for an end tag, name in lower case, attributes); the name is empty for comments and at the page's end."""
+        html, at, begin, n = self.html, 0, 0, len(self.html)
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                yield html[begin:at], "", "", ""
+                at = begin = end + 3 if end >= 0 else n
+                continue
+            m = _NAME.match(html, at)
+            if m is None and html[at + 1 : at + 2] not in ("!", "?", "/"):
+                at += 1
+                continue
+            end = self.tag_end(m.end()) if m else self.next_close(at)
+            if end < 0:
+                break  # no tag ends from here on
+            text, at, begin = html[begin:at], end + 1, end + 1
+            if m is None:
+                yield text, "", "", ""
+                continue
+            tag, raw = m[2].lower(), html[m.end() : end]
+            yield text, m[1], tag, raw
+            if tag in RAW_TAGS and not m[1] and not raw.endswith("/"):
+                at = begin = self.past(tag, at)
+        yield html[begin:], "", "", ""
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order, those of page structure left out."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in structure, in content
+    open_: Counter = Counter()  # of each tag in the stack
     parts: list[str] = []
     state = {"linked": 0, "links": 0, "anchor": 0}
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
@@ -103,22 +198,9 @@ def blocks_of(html: str) -> list[Block]:
             if state["anchor"]:
                 state["linked"] += len(text.strip())
 
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        close, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in RAW_TAGS:
-            if not close and not raw.endswith("/"):
-                end = _ENDS[tag].search(html, at)
-                at = end.end() if end else n
+    for text, close, tag, raw in Scanner(html):
+        add(text)
+        if not tag or tag in RAW_TAGS:
             continue
         if tag == "a":
             state["anchor"] = 0 if close else 1
@@ -130,17 +212,19 @@ def blocks_of(html: str) -> list[Block]:
             if tag in VOID_TAGS:
                 continue
             if close:
-                names = [s[0] for s in stack]
-                if tag in names:
-                    del stack[len(names) - 1 - names[::-1].index(tag) :]
+                if open_[tag]:
+                    while pop() != tag:
+                        pass
                 continue
             while stack and (stack[-1][0] == "p" or stack[-1][0] in _IMPLIED.get(tag, ())):
-                stack.pop()
+                pop()
             if tag == "body":
                 stack.clear()
+                open_.clear()
             skipped, content = stack[-1][1:] if stack else (False, False)
             skipped = skipped or is_structure(tag, raw, content)
             stack.append((tag, skipped, content or (tag in ("article", "main") and not skipped)))
+            open_[tag] += 1
     flush()
     return out
 

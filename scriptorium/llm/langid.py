@@ -7,14 +7,13 @@ so landmarks, map and weights fold into one matrix, and a batch of texts is scor
 
 The model is fitted on at most `fit_rows` labelled rows, those with the smallest hashes of their ids.
 
-Null texts and texts without a letter are `und` with score 0. Texts of any length are read whole. Ties go to the first
+Null texts and texts without a letter (a character of a Unicode letter category; ½ or Ⅷ are none) are `und` with score 0. Texts of any length are read whole. Ties go to the first
 language in order. With nothing to learn from, every text is `und`. Repeated rows score alike; an empty table gives an
 empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ from scriptorium.llm.common import map_arrow
 FIT_ROWS, LANDMARKS, GRAMS, RIDGE, SHARPNESS = 6_000, 256, 8_191, 1e-3, 4.0
 #: n-grams are hashed to this many bits.
 BITS, LONGEST = 20, 4
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def hashed(text: str) -> list[np.ndarray]:
@@ -90,7 +88,7 @@ class Model:
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        ok = [bool(LETTER.search(t)) for t in texts]
+        ok = [any(map(str.isalpha, t)) for t in texts]  # a character of a letter category
         return [self.langs[i] if k else "und" for i, k in zip(best, ok, strict=True)], [float(p[r, i]) if k else 0.0 for r, (i, k) in enumerate(zip(best, ok, strict=True))]
 
 

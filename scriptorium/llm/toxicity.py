@@ -6,7 +6,8 @@ All is learnt from at most `fit_rows` labelled rows, those with the smallest has
 half, which give the other half's features, the trees and the calibration from two parts of those, and the final lexicon from all.
 
 Null and empty texts have all features 0 and get a score like any other. Texts of any length are read whole. With no labelled rows of both labels,
-trees are left out and lexicon hits alone decide. Repeated rows score alike; an empty table gives an empty result. Extra
+trees are left out and lexicon hits alone decide; with fewer than LEAST_GROWN or LEAST_HELD toxic rows in the trees' or the
+calibration's part, both take all sampled rows. Tied splits go to the first feature and its lowest bin. Repeated rows score alike; an empty table gives an empty result. Extra
 columns are ignored or pass through.
 """
 
@@ -25,6 +26,8 @@ from scriptorium.llm.common import checkpointed, discard, map_arrow
 
 #: Labelled rows; the score from which a text counts as toxic.
 FIT_ROWS, THRESHOLD = 9_000, 0.3
+#: Toxic rows that the trees' part and the calibration's part need; with fewer, both take all sampled rows.
+LEAST_GROWN, LEAST_HELD = 20, 10
 #: Trees, their depth, the learning rate, bins of a feature.
 TREES, LEAVES_DEPTH, RATE, BINS = 80, 3, 0.15, 32
 #: Common insults. Fixed list.
@@ -99,12 +102,12 @@ def features(text: str, marks: Marks) -> list[float]:
         near = int((gap <= 5).sum())
     closest = float(1 / (1 + np.diff(hits).min())) if len(hits) > 1 else 0.0
     marks_ = sum(text.count(c) for c in "!?")
-    singles = sum(len(t) == 1 for t in tokens) / n if n < 200 else 0.0
+    singles = sum(len(t) == 1 for t in tokens) / n
     w = (m >> WEIGHT_BITS).astype(float) / 8
     heavy = w[w > 0]
     rank = np.sort(heavy)[::-1]
-    weights = [float(w.sum()) / n, min(float(w.sum()), 300.0), float(rank[0]) if len(rank) else 0.0, float(rank[:3].sum()), len(heavy) / n]
-    return [*(c / n for c in count), float(min(count[0], 50)), float(min(count[1], 50)), float(min(count[2], 50)), float(min(count[6], 50)), len(hits) / n, float(min(len(hits), 50)), near / max(1, len(hits)), float(min(near, 50)), closest, marks_ / n, float(np.log1p(n)), singles, *weights]
+    weights = [float(w.sum()) / n, float(w.sum()), float(rank[0]) if len(rank) else 0.0, float(rank[:3].sum()), len(heavy) / n]
+    return [*(c / n for c in count), float(count[0]), float(count[1]), float(count[2]), float(count[6]), len(hits) / n, float(len(hits)), near / max(1, len(hits)), float(near), closest, marks_ / n, float(np.log1p(n)), singles, *weights]
 
 
 def _words_of_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,7 @@ def _words_of_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for t, toxic, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
             words = {w for x in (t or "").lower().split() if (w := x.strip(EDGES)) and w.isalpha()}
-            keys = {"w" + w for w in words if len(w) <= 40} | {"b" + w[:n] for w in words for n in LENGTHS if len(w) >= n}
+            keys = {"w" + w for w in words} | {"b" + w[:n] for w in words for n in LENGTHS if len(w) >= n}
             found.update((k, int(toxic == 1), half) for k in keys)
     keys = list(found)
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keys], pa.string()), pa.array([y for _, y, _ in keys], pa.int32()), pa.array([h for _, _, h in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["key", "toxic", "half", "n"])
@@ -243,7 +246,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     got = map_arrow(sample.select("h", "part", "half", "toxic", "text"), run, "h long, part long, toxic int, x array<double>").orderBy("h", "toxic", "x").limit(fit_rows).collect()
     x, y, part = np.array([r.x for r in got]), np.array([float(r.toxic == 1) for r in got]), np.array([r.part for r in got])
     grown, held = part < 7, part >= 7
-    if len(got) and (y[grown].sum() < 20 or y[held].sum() < 10):
+    if len(got) and (y[grown].sum() < LEAST_GROWN or y[held].sum() < LEAST_HELD):
         grown = held = np.ones(len(y), bool)
     if not len(got) or not 0 < y[grown].sum() < grown.sum():
         return Model(whole, None, np.zeros(0), np.zeros(0))

@@ -1,6 +1,7 @@
 """Parts of the operators without Spark, against plain forms."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -126,6 +127,28 @@ def test_broken_pages_do_not_fail(page):
 # --- Language
 
 
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<a " * 300_000, "<a \"x' " * 150_000 + ">", "<svg>" * 200_000, "<" * 1_000_000, "<!--" * 250_000])
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_blocks.main_text(page)
+    assert time.perf_counter() - start < 5  # about 1 s a MB; quadratic scans took minutes
+
+
+def test_media_elements_leave_the_rest_alone():
+    words = "the cat of the house and the dog in it were here for that and so the rest of it was with them by the wall "
+    assert html_blocks.main_text(f"<p>{words}<svg><svg>inner</svg>outer</svg>end</p>") == f"{words}end"
+    for tag in ("video", "audio", "canvas", "object", "svg", "textarea", "noscript"):
+        assert html_blocks.main_text(f"<p>{words}</p><{tag}><p>{words}</p>") == f"{words.strip()}\n\n{words.strip()}"
+    assert html_blocks.main_text(f"<p>{words}</p><script>let the = of; and the is in to that it") == words.strip()
+
+
+def test_only_letters_have_a_language():
+    model = langid.solve(np.eye(4, dtype=np.uint8), ["a", "b", "a", "b"], np.zeros(1 << langid.BITS, np.int16))
+    langs, scores = model.score(["½", "² ①", "Ⅷ", "12 _", "x", "ª", "ℵ"])
+    assert langs[:4] == ["und"] * 4 and scores[:4] == [0.0] * 4 and all(x in "ab" for x in langs[4:])
+
+
+
 def test_kernel_model_is_the_folded_kernel():
     rng = random.Random(0)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
