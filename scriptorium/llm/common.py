@@ -38,10 +38,16 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir if set; a local one only where it is unset, as in tests."""
+    """The shared folder for cut lineage: spark.checkpoint.dir if set; one of its own only in local mode, as in tests.
+
+    On a cluster no folder of one machine would do, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(found or f"/tmp/checkpoints/{os.getpid()}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
