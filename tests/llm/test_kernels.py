@@ -34,9 +34,31 @@ def test_cut_chains_decode_like_whole_ones():
     rng = np.random.default_rng(1)
     for _ in range(200):
         n = len(secrets_crf.SHAPES)
-        field = secrets_crf.Field(rng.normal(0, 2, (3, n, 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 2, (3, 3)))
-        shapes = rng.integers(0, n, rng.integers(1, 40))
-        assert field.tags(shapes, 1) == full_viterbi(field, shapes, 1)
+        field = secrets_crf.Field(rng.normal(0, 2, (3, n, 3)), rng.normal(0, 1, (4, 5, 3)), rng.normal(0, 1, (secrets_crf.FILES, 3)), rng.normal(0, 2, (3, 3)))
+        codes = rng.integers(0, n, size := rng.integers(1, 40)) + 32 * rng.integers(0, 5, size)
+        assert field.tags(codes, 1) == full_viterbi(field, codes, 1)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    windows = []
+    for n in (1, 2, 5, 9):
+        codes = secrets_crf.padded(rng.integers(0, len(secrets_crf.SHAPES), n) + 32 * rng.integers(0, 4, n))
+        windows.append((codes.tobytes(), bytes(rng.integers(0, 3, n).tolist()), int(rng.integers(0, secrets_crf.FILES)), int(rng.integers(1, 5))))
+    likelihood = secrets_crf.Likelihood(windows, 4)
+    v = rng.normal(0, 1, len(likelihood.start()))
+    value, g = likelihood(v)
+    for i in rng.choice(len(v), 60, replace=False):
+        step = np.zeros_like(v)
+        step[i] = 1e-5
+        assert g[i] == pytest.approx((likelihood(v + step)[0] - likelihood(v - step)[0]) / 2e-5, abs=1e-4)
+    # The likelihood itself, by the sum over all tag sequences of the window of two tokens.
+    codes, tags, file, count = windows[1]
+    two = secrets_crf.Likelihood([windows[1]], 4, ridge=0.0)
+    field = secrets_crf.Field(*two.parts(v))
+    e = field.scores(np.frombuffer(codes, np.uint16)[3:-1], file)
+    every = np.array([[e[0, a] + field.moves[a, b] + e[1, b] for b in range(3)] for a in range(3)])
+    assert two(v)[0] == pytest.approx(count * (every[tags[0], tags[1]] - np.log(np.exp(every).sum())))
 
 
 def test_base_spans():
@@ -52,17 +74,49 @@ def test_base_spans():
 def test_field_learns_and_adds():
     shape = secrets_crf.SHAPE
     key, sep, hexa, word, edge = (shape[x] for x in ("keyword", "separator", "long hex", "word", "edge"))
-    secret = (bytes([word, word, key, sep, hexa, word, word]), bytes([0, 1, 2, 2, 0]), 1, 50)
-    prose = (bytes([edge, word, word, word, word, word, edge]), bytes(5), 0, 50)
-    lone = (bytes([word, word, word, hexa, word, word, word]), bytes([0, 0, 1, 0, 0]), 1, 20)
-    field = secrets_crf.fit_field([secret, prose, lone])
+    codes = lambda *x: np.array(x, np.uint16).tobytes()
+    secret = (codes(word, word, word, word, key, sep, hexa, word, word), bytes([0, 1, 2, 2, 0]), 5, 50)
+    prose = (codes(edge, edge, edge, word, word, word, word, word, edge), bytes(5), 0, 50)
+    lone = (codes(word, word, word, word, word, hexa, word, word, word), bytes([0, 0, 1, 0, 0]), 1, 20)
+    field = secrets_crf.fit_field([secret, prose, lone], {})
     base, every = secrets_crf.Scanner(field)("some words then token ~ 0123456789ABCDEF01 and more")
     assert base == [] and [x for x in every if x[1] == 3]
     assert secrets_crf.Scanner(field)("plain words only here")[1] == []
 
 
-def test_examples_teach_other_forms():
-    scan = secrets_crf.Scanner(secrets_crf.fit_field(secrets_crf.examples()))
+#: Forms and harmless places that the field is not taught, with a value at {}.
+UNSEEN = ("her passphrase stays {} since may", "sent it with bearer {} again", "credentials root {} open it", "type the password {} here", "a fresh api_key {} for you", "this auth token {} expires", "his private_key {} leaked out", "passwd of admin {} changed", "the secret , {} , is old", "pwd was {} then")
+UNSEEN_HARMLESS = ("parcel {} came today", "flight {} is late", "the plate {} passed", "lot {} sold", "box {} and box", "a word like {} here", "they met at {} again", "stock {} rose", "the password was forgotten", "a secret smile and a token of love", "the key to it all is trust", "pages {} and more")
+
+
+def secrets_and_others(seed):
+    import random
+
+    rng = random.Random(seed)
+    fill = lambda: " ".join(rng.choices(["house", "river", "the", "of", "walk", "green", "and", "slow"], k=rng.randrange(2, 30)))
+    out = []
+    for i in range(400):
+        value = secrets_crf.made_up_value(rng)
+        form = rng.choice(UNSEEN_HARMLESS if i % 2 else UNSEEN)
+        out.append((f"{fill()} {form.format(value)} {fill()}", None if i % 2 else value))
+    return out
+
+
+def quality(scan, rows):
+    """Recall and precision of the field's spans."""
+    hit = wrong = 0
+    for text, value in rows:
+        found = [text[a:b] for a, k, b in scan(text)[1] if k == 3]
+        hit += value in found
+        wrong += sum(x != value for x in found)
+    return hit / sum(v is not None for _, v in rows), hit / max(1, hit + wrong)
+
+
+def test_field_finds_planted_secrets_in_unseen_forms():
+    words = {w: i for i, w in enumerate(secrets_crf.form_words(), 1)}
+    scan = secrets_crf.Scanner(secrets_crf.fit_field(secrets_crf.examples(words), words))
+    recall, precision = quality(scan, secrets_and_others(5))
+    assert recall > 0.9 and precision > 0.95, (recall, precision)
     found = lambda t: [t[a:b] for a, k, b in scan(t)[1] if k == 3]
     assert found("please use the token Qw12Er34Ty56Ui78Op90 today") == ["Qw12Er34Ty56Ui78Op90"]
     assert found("the parcel Qw12Er34Ty56Ui78Op90 came today") == [] and found("a token of love and a secret smile") == []
@@ -72,11 +126,18 @@ def test_windows_of_long_texts_are_whole():
     import pyarrow as pa
 
     text = " ".join(["12"] * 1_000 + ["AKIA" + "A1" * 8])
-    got = list(secrets_crf._windows([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])]))
+    got = list(secrets_crf._windows({})([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])]))
     assert sum(sum(b.column("n").to_pylist()) for b in got) == 1_002
     assert any(1 in t for b in got for t in b.column("tags").to_pylist())
 
 
+def test_windows_that_may_hold_missed_secrets_count_for_nothing():
+    import pyarrow as pa
+
+    tags = lambda t: {x for b in secrets_crf._windows({})([pa.RecordBatch.from_arrays([pa.array([t])], ["text"])]) for x in b.column("tags").to_pylist()}
+    assert tags("the password is Qw12Er34Ty56Ui78Op90 here 12") == set() and tags("the parcel is Qw12Er34Ty56Ui78Op90 here 12")
+
+
 # --- Mixing
 
 

@@ -17,7 +17,7 @@ from scriptorium.llm import bpe, html_blocks, iblt, langid, lsh_forest, mixing,
 from scriptorium.llm.common import crc_mod
 from scriptorium.llm.components import components
 
-from test_kernels import planted
+from test_kernels import planted, secrets_and_others
 
 
 def sha(s):
@@ -45,6 +45,19 @@ def test_secrets_odd_rows_and_redaction(odd, nothing, docs_of):
     assert got == {1: ("a [SECRET] b", 12, 4), 2: (None, None, 4), 3: ("clean", 5, 4)}
 
 
+def test_query_finds_planted_secrets(spark, docs_of, tmp_path):
+    from scriptorium.llm.queries import op1_secrets_crf
+
+    planted_ = secrets_and_others(9)
+    docs_of([*((i, t) for i, (t, _) in enumerate(planted_)), (900, 'a token = "abcdef123456" b'), (901, None)], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1_secrets_crf(spark, str(tmp_path)).collect()}
+    found = {i: [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].spans.split(",") if x) if k == "crf"] for i, (t, _) in enumerate(planted_)}
+    hits = sum(v in found[i] for i, (_, v) in enumerate(planted_) if v)
+    every = sum(map(len, found.values()))
+    assert len(got) == 402 and hits > 0.9 * 200 and hits > 0.95 * every and sum(r.n_crf for r in got.values()) == every
+    assert got[900].base_sha256 == sha("assign:2:23") and got[900].spans == "assign:2:23"
+
+
 # --- 2 mixing
 
 
