@@ -1,18 +1,24 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Rows are indexed where they lie: each stretch of at most `block_rows` rows is a forest of `trees` sorted arrays of long
-hash strings, a bit for the side of a random hyperplane through the sample's mean. A query descends in each tree to its
-longest-prefix matches, then ascends in all trees at once, one bit at a time, until at least the share `candidates` of the
-stretch's distinct vectors share a prefix of that length with it in some tree. All of them, none cut off, are measured
-exactly in double precision. The stretches' best are merged. The default share suits vectors without any structure, whose
-nearest neighbours are hardly nearer than others; clustered vectors need far less.
+Each of `trees` trees is one sorted array of long hash strings over all distinct vectors, a bit for the side of a random
+hyperplane through the sample's mean. A tree lies in buckets: rows of one prefix of its strings, and where such a prefix
+holds many rows, several buckets by a hash of the row. A query has two strings in a tree, its own and the one with the bit
+flipped that its vector is nearest to, among the first `PROBE`; both descend in their buckets. There the rows that share
+prefixes of each length are counted, and the counts are added up over all trees. From the longest prefix the query then
+ascends in all trees at once, one bit at a time, until its matches add up to `matches` times the number of distinct vectors.
+All rows that share a prefix of that length with it in some tree, none cut off, are candidates and measured exactly in
+double precision, next to the vectors, which are dealt into blocks by a hash. Queries that find too few within their
+buckets' prefixes go through trees with buckets by hash alone, and those whose matches are fewer rows than an answer has are measured
+against all rows.
 
-Equal vectors are one entry of a forest with its least distinct ids, as many as an answer can hold, which loses nothing.
-Queries are dealt into blocks of about `query_rows`, each sent to all workers in turn, so what is sent is bounded.
+Index rows, queries and candidates only meet in shuffles; nothing that grows is sent to or kept by the driver or all
+workers. The default suits vectors without any structure, whose nearest neighbours are hardly nearer than others; clustered
+vectors need far less (see the README for shares and recall).
 
+Equal vectors are one row of the forest with its least distinct ids, as many as an answer can hold, which loses nothing.
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part. With
-fewer candidates all are found. Repeated ids count once, with their least distance; a repeated query is one query. An
-empty table gives an empty result, and extra columns are ignored.
+fewer candidates all are found. Repeated ids count once, with their least distance; a repeated query is one query, by its
+least vector. Ties go to the smaller id. An empty table gives an empty result, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import map_arrow
+from scriptorium.llm.common import checkpointed, map_arrow
 
-#: Trees, bits of a hash string, least share of a stretch that are candidates, rows of a stretch, queries sent at once, rows of the mean's sample.
-TREES, BITS, CANDIDATES, BLOCK_ROWS, QUERY_ROWS, SAMPLE = 48, 32, 0.6, 16_384, 20_000, 2_000
+#: Trees, bits of a hash string, bits of which one is flipped, least matches of a query as a multiple of the distinct
+#: vectors, rows of a bucket, rows of a block of vectors, rows of the mean's sample.
+TREES, BITS, PROBE, MATCHES, BUCKET_ROWS, BLOCK_ROWS, SAMPLE = 64, 30, 8, 0.6, 16_384, 8_192, 2_000
 
 
 def usable(v: str | Column) -> Column:
@@ -38,118 +45,212 @@ def usable(v: str | Column) -> Column:
     return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-class Forest:
-    """The forest of a stretch of rows."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, mean: np.ndarray, planes: np.ndarray, k: int):
-        order = np.lexsort((ids, *vectors.T[::-1]))
-        ids, vectors = ids[order], vectors[order]
-        new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(axis=1)))
-        once = new | np.concatenate(([True], ids[1:] != ids[:-1]))  # a repeated row takes no id's place
-        ids, vectors, new = ids[once], vectors[once], new[once]
-        group = np.cumsum(new) - 1
-        rank = np.arange(len(ids)) - np.flatnonzero(new)[group]
-        keep = rank <= k  # one more than an answer holds, as one may be the query itself
-        self.ids, self.group = ids[keep], group[keep]
-        self.first = np.searchsorted(self.group, np.arange(group[-1] + 2))
-        self.vectors = vectors[new].astype(np.float64)
-        self.mean, self.planes = mean, planes
-        self.trees = []
-        for codes in self.codes(self.vectors):
-            at = np.argsort(codes, kind="stable")
-            self.trees.append((codes[at], at))
-
-    def codes(self, vectors: np.ndarray) -> np.ndarray:
-        """A hash string for each tree and vector, as a number."""
-        side = ((vectors - self.mean) @ self.planes > 0).reshape(len(vectors), len(self.planes[0]) // BITS, BITS)
-        return (side.astype(np.uint64) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(axis=2).T
-
-    def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """For each query the positions that the synchronous ascent meets."""
-        codes = self.codes(queries)
-        n = len(queries)
-        lo, hi = np.zeros((BITS + 1, len(self.trees), n), np.int64), np.zeros((BITS + 1, len(self.trees), n), np.int64)
-        for level in range(BITS + 1):  # bits of the prefix left open
-            mask = np.uint64((1 << level) - 1)
-            for t, (sorted_codes, _) in enumerate(self.trees):
-                lo[level, t] = np.searchsorted(sorted_codes, codes[t] & ~mask, "left")
-                hi[level, t] = np.searchsorted(sorted_codes, codes[t] | mask, "right")
-        enough = (hi - lo).sum(axis=1) >= least
-        enough[BITS] = True
-        level = enough.argmax(axis=0)
-        for q in range(n):
-            while True:
-                met = np.unique(np.concatenate([at[lo[level[q], t, q] : hi[level[q], t, q]] for t, (_, at) in enumerate(self.trees)]))
-                if len(met) >= min(least, len(self.vectors)) or level[q] >= BITS:
-                    break
-                level[q] += 1
-            yield met
-
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, least: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query the k nearest ids found and their distances."""
-        for q, v, met in zip(query_ids, queries, self.candidates(queries, least), strict=True):
-            d = np.sqrt(((self.vectors[met] - v) ** 2).sum(axis=1))
-            take = 2 * k
-            while True:  # until k ids are met or all candidates are; an id may have several vectors
-                near = d <= np.partition(d, take)[take] if 2 * take < len(met) else np.ones(len(met), bool)
-                ids = np.concatenate([self.ids[self.first[g] : self.first[g + 1]] for g in met[near]])
-                each = np.repeat(d[near], self.first[met[near] + 1] - self.first[met[near]])
-                each, ids = each[ids != q], ids[ids != q]
-                order = np.lexsort((ids, each))
-                best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id's least distance
-                if len(best) == k or near.all():
-                    break
-                take *= 4
-            yield int(q), ids[best], each[best]
-
-
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, candidates: float = CANDIDATES, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, seed: int = 7) -> DataFrame:
+class Hashes:
+    """The hash strings of vectors in all trees."""
+
+    def __init__(self, mean: np.ndarray, trees: int, seed: int):
+        self.mean, self.trees = mean, trees
+        self.planes = np.random.default_rng(seed).standard_normal((len(mean), trees * BITS))
+
+    def __call__(self, vectors: np.ndarray, probes: bool = False) -> list[np.ndarray]:
+        """Arrays of vectors by trees: the strings as numbers and, if asked for, those with the nearest bit flipped."""
+        side = ((vectors - self.mean) @ self.planes).reshape(len(vectors), self.trees, BITS)
+        own = ((side > 0) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(axis=2)
+        if not probes:
+            return [own]
+        nearest = np.abs(side[:, :, :PROBE]).argmin(axis=2)
+        return [own, own ^ (np.int64(1) << (BITS - 1 - nearest))]
+
+
+def _coded(hashes: Hashes, probes: bool):
+    """(tree, code, eid) of every row (eid, v), of queries for both strings."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            eid, v = b.column("eid").to_numpy(), b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+            for codes in hashes(v, probes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(hashes.trees, dtype=np.int32), len(v))), pa.array(codes.ravel().astype(np.int32)), pa.array(np.repeat(eid, hashes.trees))], ["tree", "code", "eid"])
+
+    return run
+
+
+def _of_bucket(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """A bucket's sorted codes with their rows, and its queries."""
+    query = group.column("query").to_numpy()
+    code, eid = group.column("code").to_numpy().astype(np.int64), group.column("eid").to_numpy()
+    rows = np.flatnonzero(~query)
+    order = rows[np.lexsort((eid[rows], code[rows]))]
+    return code[order], eid[order], group.filter(pa.array(query))
+
+
+def _bounds(codes: np.ndarray, of: np.ndarray, open_: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted codes those lie that differ in the last `open_` bits at most."""
+    mask = (np.int64(1) << np.asarray(open_, np.int64)) - 1
+    return np.searchsorted(codes, of & ~mask, "left"), np.searchsorted(codes, of | mask, "right")
+
+
+def _counted(prefix: int):
+    """For each query of a bucket how many rows share a prefix with it, by the number of bits left open."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        codes, _, queries = _of_bucket(group)
+        of = queries.column("code").to_numpy().astype(np.int64)
+        counts = []
+        for open_ in range(BITS - prefix + 1):
+            lo, hi = _bounds(codes, of, open_)
+            counts.append(hi - lo)
+        return pa.table([queries.column("eid"), *(pa.array(c.astype(np.int64)) for c in counts)], ["q", *(f"n{i}" for i in range(len(counts)))])
+
+    return run
+
+
+def _met(blocks: int):
+    """The rows that a bucket's queries meet at their levels, as lists by block of vectors."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        codes, eid, queries = _of_bucket(group)
+        lo, hi = _bounds(codes, queries.column("code").to_numpy().astype(np.int64), queries.column("open").to_numpy())
+        q, block, lists, ends = [], [], [], [0]
+        home = eid % blocks
+        for x, a, z in zip(queries.column("eid").to_numpy().tolist(), lo.tolist(), hi.tolist(), strict=True):
+            if z > a:
+                at = a + np.argsort(home[a:z], kind="stable")
+                where = home[at]
+                cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+                q += [x] * len(cuts)
+                block += where[cuts].tolist()
+                lists.append(eid[at])
+                ends += (ends[-1] + np.append(cuts[1:], len(at))).tolist()
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else [], pa.int64()))
+        return pa.table([pa.array(block, pa.int64()), pa.array(q, pa.int64()), found], ["block", "q", "met"])
+
+    return run
+
+
+def _measured(k: int):
+    """For each block and query the k nearest ids with their distances; rows come sorted:
+    a block's vectors (kind 0), then each query's vector (1) and lists (2)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {"block": None, "q": None, "eid": [], "v": [], "ids": [], "vector": None, "met": []}
+        out: list[list] = [[], [], []]
+
+        def answer() -> None:
+            if state["met"]:
+                if isinstance(state["eid"], list):
+                    order = np.argsort(state["eid"])
+                    state["v"], state["ids"], state["eid"] = np.array(state["v"])[order], [state["ids"][i] for i in order], np.array(state["eid"])[order]
+                at = np.searchsorted(state["eid"], np.unique(np.concatenate(state["met"])))
+                d = np.sqrt(((state["v"][at] - state["vector"]) ** 2).sum(axis=1))
+                take = 2 * k
+                while True:  # until k ids are met or all candidates are; an id may have several vectors
+                    near = np.flatnonzero(d <= np.partition(d, take)[take]) if 2 * take < len(d) else np.arange(len(d))
+                    held = [state["ids"][at[i]] for i in near]
+                    ids, each = np.concatenate(held), np.repeat(d[near], list(map(len, held)))
+                    order = np.lexsort((ids, each))
+                    best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # each id's least distance
+                    if len(best) == k or len(near) == len(d):
+                        break
+                    take *= 4
+                for col, x in zip(out, ([state["q"]] * len(best), ids[best].tolist(), each[best].tolist()), strict=True):
+                    col += x
+            state["met"] = []
+
+        def flushed() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["q", "vec_id", "score"])
+            for col in out:
+                col.clear()
+            return b
+
+        for b in batches:
+            block, kind, q = (b.column(c).to_pylist() for c in ("block", "kind", "q"))
+            v, ids = b.column("v"), b.column("list")
+            for i in range(b.num_rows):
+                if block[i] != state["block"] or (kind[i] and q[i] != state["q"]):
+                    answer()
+                    state["q"] = q[i]
+                if block[i] != state["block"]:
+                    state.update(block=block[i], eid=[], v=[], ids=[], q=None if not kind[i] else q[i])
+                if kind[i] == 0:
+                    state["eid"].append(q[i])
+                    state["v"].append(v[i].values.to_numpy())
+                    state["ids"].append(ids[i].values.to_numpy())
+                elif kind[i] == 1:
+                    state["vector"] = v[i].values.to_numpy()
+                else:
+                    state["met"].append(ids[i].values.to_numpy())
+            if len(out[0]) > 50_000:
+                yield flushed()
+        answer()
+        yield flushed()
+
+    return run
+
+
+def _dealt(rows: DataFrame, queries: DataFrame, prefix: int, salts: int) -> DataFrame:
+    """Index rows and queries by bucket: tree, prefix of the code, and a hash of the row; a query goes to all of the latter."""
+    rows = rows.select("tree", "code", "eid", F.lit(False).alias("query"), F.lit(0).alias("open"), F.pmod(F.xxhash64("eid"), F.lit(salts)).cast("int").alias("salt"))
+    queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("tree", "code", "eid", F.lit(True).alias("query"), "open", "salt")
+    return rows.union(queries).withColumn("prefix", F.shiftright("code", BITS - prefix)).groupBy("tree", "prefix", "salt")
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, matches: float = MATCHES, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows found for each row that is a query."""
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    fit = rows.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    sizes = fit.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("q")).orderBy(F.col("n").desc(), "d").first()
-    schema = "query_id long, vec_id long, score double"
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fit = rows.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where("id is not null")
+    sizes = fit.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
     if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, blocks = sizes.d, max(1, math.ceil(sizes.q / query_rows))
-    fit = fit.where((F.size("v") == d) & F.col("id").isNotNull())
-    sample = np.array([r.v for r in fit.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()])
-    mean = sample.mean(axis=0)
-    planes = np.random.default_rng(seed).standard_normal((d, trees * BITS))
-    found = None
-    for block in range(blocks):
-        mine = fit.where("q").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).groupBy("id").agg(F.min("v").alias("v")).collect()  # about query_rows rows
-        if not mine:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in mine]), np.array([r.v for r in mine]), mean, planes))
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, queries, mean_, planes_ = sent.value
-
-            def answer(ids: list[np.ndarray], vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-                forest = Forest(np.concatenate(ids), np.concatenate(vectors), mean_, planes_, k)
-                least = max(1_000, math.ceil(candidates * len(forest.vectors)))
-                for a in range(0, len(query_ids), 256):
-                    got = list(forest.nearest(query_ids[a : a + 256], queries[a : a + 256], least, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in got], [len(x) for _, x, _ in got]), pa.int64()), pa.array(np.concatenate([x for _, x, _ in got]), pa.int64()), pa.array(np.concatenate([s for _, _, s in got]), pa.float64())], ["query_id", "vec_id", "score"])
-
-            ids, vectors, held = [], [], 0
-            for b in batches:
-                if b.num_rows:
-                    ids.append(b.column("id").to_numpy())
-                    vectors.append(b.column("v").flatten().to_numpy().reshape(b.num_rows, -1))
-                    held += b.num_rows
-                if held >= block_rows:
-                    yield from answer(ids, vectors)
-                    ids, vectors, held = [], [], 0
-            if held:
-                yield from answer(ids, vectors)
-
-        part = fit.select("id", "v").mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return none
+    fit = fit.where(F.size("v") == sizes.d)
+    mean = np.mean([r.v for r in fit.orderBy(F.xxhash64("id"), "v").limit(SAMPLE).select("v").collect()], axis=0)
+    hashes = Hashes(mean, trees, seed)
+
+    # The cut to k + 1 least ids of equal vectors is made before the shuffle too, so no vector is a hot key.
+    ranked = fit.select("id", "v").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    entries = checkpointed(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("eid", F.monotonically_increasing_id()))
+    asked = checkpointed(fit.where("asked").groupBy("id").agg(F.min("v").alias("v")).join(entries.select("v", "eid"), "v").select("id", "eid"))
+    total = entries.count()
+    asking = entries.join(asked.select("eid").distinct(), "eid", "left_semi").select("eid", "v")
+    index = checkpointed(map_arrow(entries.select("eid", "v"), _coded(hashes, False), "tree int, code int, eid long", 512))
+    # Buckets' prefixes are two bits shorter than even trees need; queries that need still shorter ones go a second time.
+    prefix = max(0, min(math.floor(math.log2(2 * trees / matches)) - 2, math.ceil(math.log2(max(1, total / bucket_rows)))))
+    buckets = {depth: max(1, math.ceil(total / 2**depth / bucket_rows)) for depth in (prefix, 0)}
+    found = checkpointed(_nearest(entries, index, asking, hashes, buckets, matches * total, max(1, math.ceil(total / block_rows)), k))
+    # Matches may be few rows in many trees; queries with less than an answer are measured against all rows.
+    ids = fit.select("id").distinct().limit(k + 1).count()
+    short = asking.join(found.groupBy("q").count().where(F.col("count") >= ids), asking.eid == F.col("q"), "left_anti")
+    if short.limit(1).count():
+        every = _nearest(entries, index, short, hashes, {0: buckets[0]}, math.inf, max(1, math.ceil(total / block_rows)), k)
+        found = found.join(short, found.q == short.eid, "left_anti").union(every)
+    # A query's own id is left out only here; so one more id was kept until now.
+    each = asked.join(found, asked.eid == found.q).where("id <> vec_id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
+
+
+def _nearest(entries: DataFrame, index: DataFrame, asking: DataFrame, hashes: Hashes, buckets: dict[int, int], least: float, blocks: int, k: int) -> DataFrame:
+    """(q, vec_id, score): the k + 1 nearest ids that each row of asking meets, its own perhaps among them. buckets: for
+    prefixes of these lengths, in turn, the number of buckets of one prefix; at last none is left out."""
+    left, lists = checkpointed(map_arrow(asking, _coded(hashes, True), "tree int, code int, eid long", 512)), []
+    for depth, salts in buckets.items():
+        opens = range(BITS - depth + 1)
+        counts = _dealt(index, left.withColumn("open", F.lit(0)), depth, salts).applyInArrow(_counted(depth), "q long, " + ", ".join(f"n{i} long" for i in opens))
+        level = F.coalesce(*(F.when(F.col(f"n{i}") >= least, F.lit(i)) for i in opens), F.lit(None if depth else BITS).cast("int"))
+        levels = checkpointed(counts.groupBy("q").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in opens)).select(F.col("q").alias("eid"), level.alias("open")))
+        ready = left.join(levels.where("open is not null"), "eid")
+        lists.append(checkpointed(_dealt(index, ready, depth, salts).applyInArrow(_met(blocks), "block long, q long, met array<long>")))
+        if not levels.where("open is null").limit(1).count():
+            break
+        left = left.join(levels.where("open is null").select("eid"), "eid", "left_semi")
+    met = lists[0] if len(lists) == 1 else lists[0].union(lists[1])
+    home = F.col("eid") % blocks
+    vectors = entries.select(home.alias("block"), F.lit(0).alias("kind"), F.col("eid").alias("q"), "v", F.col("ids").alias("list"))
+    wanted = met.select("block", "q").distinct().join(asking.select(F.col("eid").alias("q"), "v"), "q").select("block", F.lit(1).alias("kind"), "q", "v", F.lit(None).cast("array<long>").alias("list"))
+    found = met.select("block", F.lit(2).alias("kind"), "q", F.lit(None).cast("array<double>").alias("v"), F.col("met").alias("list"))
+    beside = vectors.union(wanted).union(found).repartition("block").sortWithinPartitions("block", F.col("kind") > 0, "q", "kind")
+    best = map_arrow(beside, _measured(k + 1), "q long, vec_id long, score double", 512)
+    once = best.groupBy("q", "vec_id").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id")))
+    return once.where(F.col("r") <= k + 1).drop("r")

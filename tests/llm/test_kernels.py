@@ -371,39 +371,21 @@ def test_spanning_forest_keeps_components():
 # --- Neighbours
 
 
-def test_forest_is_exact_when_all_are_candidates():
+def test_strings_and_their_probes():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 8))
-    x[50:80] = x[50]
-    ids = rng.permutation(300)
-    forest = lsh_forest.Forest(ids, x, x.mean(axis=0), rng.normal(size=(8, 4 * lsh_forest.BITS)), 10)
-    for q, got, d in forest.nearest(ids[:40], x[:40], 300, 10):
-        dist = np.sqrt(((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(axis=1))
-        order = [i for i in np.lexsort((ids, dist)) if ids[i] != q][:10]
-        assert got.tolist() == ids[order].tolist() and np.allclose(d, dist[order])
-
-
-def test_forest_serves_equal_vectors_by_least_id():
-    x, ids = np.ones((500, 4)), np.arange(500)[::-1]
-    forest = lsh_forest.Forest(ids, x, np.zeros(4), np.random.default_rng(0).normal(size=(4, 2 * lsh_forest.BITS)), 10)
-    (_, got, d) = next(forest.nearest(np.array([3]), x[:1], 1, 10))
-    assert got.tolist() == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10] and (d == 0).all()
-
-
-def test_forest_gives_distinct_ids_of_repeated_rows():
-    rng = np.random.default_rng(11)
-    x = rng.normal(size=(60, 8))
-    forest = lambda ids, v: lsh_forest.Forest(np.array(ids), np.array(v), x.mean(axis=0), rng.standard_normal((8, 4 * lsh_forest.BITS)), 10)
-
-    def nearest(ids, v, q):
-        _, got, d = next(forest(ids, v).nearest(np.array([q]), x[[q]], 1_000, 10))
-        return got.tolist(), d
-
-    dist = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
-    want = [int(i) for i in np.argsort(dist) if i][:10]
-    got, d = nearest([*range(60)] * 2, [*x, *x], 0)
-    assert got == want and np.allclose(d, dist[want])
-    assert nearest([1] * 11 + list(range(2, 15)), [x[1]] * 24, 0)[0] == list(range(1, 11))
-    # One id with 100 vectors nearer than all others is one neighbour.
-    got, d = nearest([*range(60), *[100] * 100], [*x, *(x[0] + 1e-3 * rng.normal(size=(100, 8)))], 0)
-    assert got == [100, *want[:9]] and d[0] < 0.01
+    x = rng.normal(size=(50, 8))
+    hashes = lsh_forest.Hashes(x.mean(axis=0), 4, 7)
+    own, probe = hashes(x, True)
+    flipped = own ^ probe
+    assert (own == hashes(x)[0]).all() and own.max() < 2**lsh_forest.BITS
+    assert all(bin(f).count("1") == 1 and f >= 2 ** (lsh_forest.BITS - lsh_forest.PROBE) for f in flipped.ravel().tolist())
+    side = np.abs((x - x.mean(axis=0)) @ hashes.planes).reshape(50, 4, lsh_forest.BITS)[:, :, : lsh_forest.PROBE]
+    assert (np.log2(flipped).astype(int) == lsh_forest.BITS - 1 - side.argmin(axis=2)).all()
+
+
+def test_bounds_are_those_of_shared_prefixes():
+    rng = np.random.default_rng(1)
+    codes, of = np.sort(rng.integers(0, 2**lsh_forest.BITS, 300)), rng.integers(0, 2**lsh_forest.BITS, 20)
+    for open_ in (0, 3, 25, 28, lsh_forest.BITS):
+        lo, hi = lsh_forest._bounds(codes, of, open_)
+        assert [(codes >> open_ == q >> open_).sum() for q in of] == (hi - lo).tolist()

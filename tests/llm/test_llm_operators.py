@@ -397,7 +397,7 @@ def test_neighbours(spark):
     x[100:160] = x[100]
     rows = [(i, [float(v) for v in x[i]], 1) for i in range(2000)] + [(5000, None, 1), (5100, [0.0] * 16, 1), (5200, [float("nan")] * 16, 1), (5300, [None] + [1.0] * 15, 1), (5400, [1.0], 1), (200, [float(v) for v in x[200]], 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
-    got = lsh_forest.search(d, F.col("vec_id") % 100 == 0, query_rows=7).toPandas()
+    got = lsh_forest.search(d, F.col("vec_id") % 100 == 0, bucket_rows=100, block_rows=300).toPandas()
     assert len(got) == 200 and set(got.query_id) == set(range(0, 2000, 100)) and (got.groupby("query_id")["rank"].max() == 10).all()
     hit, x64 = 0, x.astype(float)
     for q, g in got.groupby("query_id"):
@@ -412,3 +412,47 @@ def test_neighbours(spark):
     few = lsh_forest.search(d.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id) for r in sorted(few, key=lambda r: r.rank)] and len(few) == 2
     assert lsh_forest.search(d.limit(0), F.col("vec_id") == 0).count() == 0 and lsh_forest.search(d.where("vec_id = 1"), F.col("vec_id") == 0).count() == 0
+
+
+def nearest_by_force(rows, q, k=10):
+    """(vec_id, distance) of the k nearest other ids of a query, each id by its least distance."""
+    v = min(list(map(float, x)) for i, x in rows if i == q)
+    least = {}
+    for i, x in rows:
+        if i != q:
+            d = float(np.sqrt(((np.array(x, float) - v) ** 2).sum()))
+            least[i] = min(d, least.get(i, d))
+    return [(i, round(d, 9)) for d, i in sorted((d, i) for i, d in least.items())[:k]]
+
+
+@pytest.mark.parametrize("case", ["equal vectors", "repeated rows", "an id with many vectors", "one hot vector"])
+def test_neighbours_are_exact_when_all_are_candidates(spark, case):
+    rng = np.random.default_rng(10)
+    x = np.round(rng.normal(size=(120, 6)), 3)
+    if case == "equal vectors":
+        x[50:80] = x[50]
+    rows = [(i, x[i].tolist()) for i in range(120)]
+    if case == "repeated rows":
+        rows = rows * 2 + [(5, x[6].tolist())] * 3
+    if case == "an id with many vectors":
+        rows += [(100, (x[0] + 1e-3 * rng.normal(size=6)).tolist()) for _ in range(100)]
+    if case == "one hot vector":
+        rows += [(1_000 + i, x[0].tolist()) for i in range(300)]
+    asked = {0, 3, 60, 100, 1_007} & {i for i, _ in rows}
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in lsh_forest.search(d, F.col("vec_id").isin(*asked), trees=3, matches=99.0, bucket_rows=40, block_rows=30).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert got == {q: nearest_by_force(rows, q) for q in asked}
+
+
+def test_lonely_queries_ascend_beyond_their_buckets(spark):
+    """A vector far from all others finds its neighbours all the same, and few trees with few matches give less than all."""
+    rng = np.random.default_rng(12)
+    x = np.vstack((rng.normal(size=(3000, 12)) * 0.05 + np.eye(12)[rng.integers(0, 6, 3000)], -np.ones((1, 12))))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = lsh_forest.search(d, (F.col("vec_id") % 300 == 0) | (F.col("vec_id") == 3000), trees=48, matches=0.05, bucket_rows=100).toPandas()
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys([*range(0, 3001, 300)], 10)
+    hits = sum(len(set(g.vec_id) & {i for i, _ in nearest_by_force(rows, q)}) for q, g in got.groupby("query_id"))
+    assert hits >= 0.9 * len(got)
