@@ -35,7 +35,7 @@ from scriptorium.llm.common import checkpointed, map_arrow
 
 #: Trees, bits of a hash string, bits of which one is flipped, least matches of a query as a multiple of the distinct
 #: vectors, rows of a bucket, rows of a block of vectors, rows of the mean's sample.
-TREES, BITS, PROBE, MATCHES, BUCKET_ROWS, BLOCK_ROWS, SAMPLE = 64, 30, 8, 0.6, 16_384, 8_192, 2_000
+TREES, BITS, PROBE, MATCHES, BUCKET_ROWS, BLOCK_ROWS, SAMPLE = 80, 30, 8, 0.7, 16_384, 8_192, 2_000
 
 
 def usable(v: str | Column) -> Column:
