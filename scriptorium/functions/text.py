@@ -22,9 +22,14 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+#: Characters that composition never changes: Latin letters with marks, Cyrillic and Armenian letters, common punctuation and currency signs.
+_COMPOSED = r"[^\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{58F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}]"
+
+
 def nfc(c: str | Column) -> Column:
-    """Canonical composition. The only text function without a built-in form; values without combining marks skip the worker's part but not the transfer."""
-    return _nfc(_col(c))
+    """Canonical composition. The only text function without a built-in form; only values with a character that it may change cross to a worker."""
+    v = _col(c)
+    return F.coalesce(_nfc(F.when(v.rlike(_COMPOSED), v)), v)
 
 
 def strip(c: str | Column) -> Column:

@@ -86,11 +86,12 @@ def catchphrases(rows: DataFrame, phrase: str, order: str, top: int = 4) -> Data
     return rows.where(F.col(phrase) != "").orderBy(order).limit(top).select(order, phrase)
 
 
-def phrase_tiles(phrases: DataFrame, phrase: str, docs: DataFrame, text: str, key: str, views: str, word: int = 4) -> DataFrame:
+def phrase_tiles(phrases: DataFrame, phrase: str, docs: DataFrame, text: str, key: str, views: str, word: int = 4, most_short: int = 1_000) -> DataFrame:
     """For each phrase the most viewed document that contains it (the least key of equals); phrases without one are left out.
 
     Containment needs the phrase's longest inner word in the document, so candidates come from an equi-join on distinct words
-    and only those are searched. Phrases without such a word are searched for everywhere.
+    and only those are searched. Phrases without such a word, of which there may be `most_short`, are all searched for in
+    one pass over the texts; more of them are an error and not a cut.
     """
     size = F.size(F.split(F.col(phrase), " "))
     # The first and last pieces may be parts of longer words.
@@ -102,6 +103,11 @@ def phrase_tiles(phrases: DataFrame, phrase: str, docs: DataFrame, text: str, ke
     # Words travel with keys only; texts come in for the pairs that share a word.
     tokens = d.select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     hits = tokens.join(keyed, "w").select("key", "phrase").distinct().join(d, "key").where(F.contains("text", F.col("phrase"))).select("phrase", "key", "views")
-    rest = p.where("w is null").select("phrase").join(d, F.contains(F.col("text"), F.col("phrase"))).select("phrase", "key", "views")
-    best = hits.unionByName(rest).groupBy("phrase").agg(F.min(F.struct((-F.col("views")).alias("v"), F.col("key").alias("key"))).alias("b"))
+    short = [r.phrase for r in p.where("w is null and phrase is not null").select("phrase").distinct().limit(most_short + 1).collect()]
+    if len(short) > most_short:
+        raise ValueError(f"more than {most_short} phrases without a word of {word} letters inside")
+    if short:
+        held = F.filter(F.array(*map(F.lit, short)), lambda x: F.contains(F.col("text"), x))
+        hits = hits.unionByName(d.select(F.explode(held).alias("phrase"), "key", "views"))
+    best = hits.groupBy("phrase").agg(F.min(F.struct((-F.col("views")).alias("v"), F.col("key").alias("key"))).alias("b"))
     return best.select("phrase", F.col("b.key").alias("key"), (-F.col("b.v")).alias("views"))

@@ -31,6 +31,23 @@ def todo(seen: DataFrame, done: DataFrame, key: str, order: str | None = None, l
     return rest.limit(limit) if limit is not None else rest
 
 
+def picks(rows: DataFrame, wanted: Sequence[str], key: str, sequence: str) -> DataFrame:
+    """Rows whose key or sequence number, as text, is among the wanted; all rows if nothing is wanted."""
+    if not wanted:
+        return rows
+    return rows.where(F.col(key).cast("string").isin(list(wanted)) | F.col(sequence).cast("string").isin(list(wanted)))
+
+
+def captioned(seen: DataFrame, files: DataFrame, key: str, file: str = "file") -> DataFrame:
+    """Rows with `captions`: `kept` where a caption file has the row's id before its language, `none` where only the marker of an
+    earlier look without captions has it, `todo` where nothing has."""
+    name = F.regexp_extract(file, r"([^/]*)$", 1)
+    marker = F.endswith(name, F.lit(".no_captions"))
+    at = F.when(marker, F.regexp_extract(name, r"_([A-Za-z0-9_-]{11})\.no_captions$", 1)).otherwise(F.regexp_extract(name, r"_([A-Za-z0-9_-]{11})\.[^.]*\.[^.]*$", 1))
+    known = files.select(at.alias(key), marker.alias("_marker")).where(F.col(key) != "").groupBy(key).agg(F.min("_marker").alias("_marker"))
+    return seen.join(known, key, "left").withColumn("captions", F.when(F.col("_marker").isNull(), "todo").when(F.col("_marker"), "none").otherwise("kept")).drop("_marker")
+
+
 def succeeded(rows: DataFrame, error: str) -> DataFrame:
     """Rows without an error; blank and null are none."""
     return rows.where(F.coalesce(F.col(error), F.lit("")) == "")

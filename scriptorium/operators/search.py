@@ -73,12 +73,17 @@ def word_index(indexed: DataFrame, key: str, least: int = 2) -> DataFrame:
 def fuzzy(indexed: DataFrame, query: str, key: str, most: float = FUZZY_MOST) -> DataFrame:
     """(key, near): the least score of a row's words that are near the query.
 
-    Distinct words are scored once; the index then meets the few that are near. Words too short to be near are left out
-    before any distance is taken.
+    Distinct words are scored once; the index then meets the few that are near. Words that cannot be near are left out
+    before any distance is taken: those that are too short, and those without any part of the query, cut in one more part
+    than edits are allowed, as an edit spoils one part at most.
     """
     words = word_index(indexed, key)
     slack = int(most * len(query))
-    vocabulary = words.select("word").where(F.length("word") >= len(query) - slack).distinct()
+    cuts = [round(i * len(query) / (slack + 1)) for i in range(slack + 2)]
+    part = F.lit(False)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = part | F.contains("word", F.lit(query[a:b]))
+    vocabulary = words.select("word").where((F.length("word") >= len(query) - slack) & part).distinct()
     near = vocabulary.withColumn("near", T.near_score("word", query)).where(F.col("near") <= most)
     return words.join(near, "word").groupBy(key).agg(F.min("near").alias("near"))
 

@@ -12,25 +12,10 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import canon, discover, relational, search, stats, transcripts, usage
+from scriptorium.plans.registry import QUERIES, SQL, register
 from scriptorium.plans.session import table
 from scriptorium.sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    """Adds a query under its function's name, and its SQL if there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -417,20 +402,11 @@ def catchphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.catchphrases(first, "text", "conv_id")
 
 
-@register(
-    """WITH p AS (SELECT DISTINCT left(text, 40) AS phrase FROM benchmark WHERE length(text) >= 40), h AS (SELECT phrase, doc_id, n_chars, row_number() OVER (PARTITION BY phrase ORDER BY n_chars DESC, doc_id) AS r FROM p JOIN documents ON contains(text, phrase))
- SELECT phrase, doc_id AS key, n_chars AS views FROM h WHERE r = 1"""
-)
-def phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = table(spark, sf_dir, "benchmark").where(F.length("text") >= 40).select(F.substring("text", 1, 40).alias("phrase")).distinct()
-    return discover.phrase_tiles(phrases, "phrase", table(spark, sf_dir, "documents"), "text", "doc_id", "n_chars")
-
-
 @register(
     """WITH p AS (SELECT DISTINCT text AS phrase FROM benchmark), h AS (SELECT phrase, doc_id, n_chars, row_number() OVER (PARTITION BY phrase ORDER BY n_chars DESC, doc_id) AS r FROM p JOIN documents ON contains(text, phrase))
  SELECT phrase, doc_id AS key, n_chars AS views FROM h WHERE r = 1"""
 )
-def phrase_tiles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase")).distinct()
     return discover.phrase_tiles(phrases, "phrase", table(spark, sf_dir, "documents"), "text", "doc_id", "n_chars")
 
@@ -443,13 +419,8 @@ def enrich_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.enrich(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"]).fillna(-1)
 
 
-@register("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 50")
-def todo_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.todo(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id", "doc_id", 50)
-
-
 @register("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def todo_anti_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def todo_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.todo(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
 
 
@@ -572,3 +543,6 @@ def coerced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text coerced to numbers, anything else as 0."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("x", readers.number("k"))
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+
+
+from scriptorium.plans import catalog_more  # noqa: E402, F401  registers its queries, whose stand-ins are those above

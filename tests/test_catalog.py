@@ -50,15 +50,15 @@ def test_entry(spark):
 
 @needs_data
 def test_todo_whole_loses_no_row(spark):
-    got = catalog.QUERIES["todo_anti_whole"](spark, SF)
+    got = catalog.QUERIES["todo_anti"](spark, SF)
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     assert got.count() == docs.join(labels, "doc_id", "left_anti").count() > 50
 
 
-def test_phrase_tiles_whole_wants_the_whole_text(spark, tmp_path):
+def test_phrase_tiles_wants_the_whole_text(spark, tmp_path):
     opening = "the opening that both of the passages share, "
     spark.createDataFrame([(opening + "then one",), (opening + "then two",), ("a short passage",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = [(1, opening, 99), (2, f"so {opening}then one more", 9), (3, "it has a short passage too", 5)]
     spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.phrase: r.key for r in catalog.QUERIES["phrase_tiles_whole"](spark, str(tmp_path)).collect()}
+    got = {r.phrase: r.key for r in catalog.QUERIES["phrase_tiles"](spark, str(tmp_path)).collect()}
     assert got == {opening + "then one": 2, "a short passage": 3}

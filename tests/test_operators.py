@@ -268,3 +268,44 @@ def test_csv_round_and_writers(spark, tmp_path):
     writers.upsert_table(None, rows, str(tmp_path / "u1"), "source_lang", "id", "t")
     writers.upsert_table(str(tmp_path / "u1"), rows.where("id = 1").withColumn("id", F.lit(5)), str(tmp_path / "u2"), "source_lang", "id", "t")
     assert {r.id for r in spark.read.parquet(str(tmp_path / "u2")).collect()} == {5, 2}
+
+
+def test_missed_captions_and_picks(spark):
+    files = spark.createDataFrame([("/x/001_A_b_abcdefghijk.hy-orig.json3",), ("/x/002_A_AAAAAAAAAAA.no_captions",), ("/x/001_A_b_abcdefghijk.no_captions",)], "file string")
+    seen = spark.createDataFrame([("abcdefghijk", 1), ("AAAAAAAAAAA", 2), ("BBBBBBBBBBB", 3)], "video_id string, seq int")
+    got = {r.video_id: r.captions for r in relational.captioned(seen, files, "video_id").collect()}
+    assert got == {"abcdefghijk": "kept", "AAAAAAAAAAA": "none", "BBBBBBBBBBB": "todo"}
+    assert {r.seq for r in relational.picks(seen, ["abcdefghijk", "3"], "video_id", "seq").collect()} == {1, 3}
+    assert relational.picks(seen, [], "video_id", "seq").count() == 3
+
+
+def test_words_without_a_part_of_the_query_are_never_near(spark):
+    import random
+
+    from scriptorium.functions import text as T
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "k int, combined string")
+    for query in ("abc", "abcab", "cabbaacb"):
+        slow = rows.where("length(combined) >= 2").withColumn("near", T.near_score("combined", query)).where(f"near <= {search.FUZZY_MOST}")
+        assert sorted(search.fuzzy(rows, query, "k").select("k", "near").collect()) == sorted(slow.select("k", "near").collect())
+
+
+def test_composition_where_it_matters(spark):
+    import unicodedata
+
+    from scriptorium.functions import text as T
+
+    texts = ["plain", "é", "Å", "한", "բարև", "тормуз й", "й", ";", "Ω", None, "ẋ̣", "豈"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.nfc("t").alias("x")).collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_short_phrases_are_searched_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, "x a b", 9), (3, "none", 1)], "k int, t string, v int")
+    phrases = spark.createDataFrame([("a b",), ("zz",), ("no",)], "p string")
+    got = {r.phrase: r.key for r in discover.phrase_tiles(phrases, "p", docs, "t", "k", "v").collect()}
+    assert got == {"a b": 2, "no": 3}
+    with pytest.raises(ValueError):
+        discover.phrase_tiles(phrases, "p", docs, "t", "k", "v", most_short=2)
