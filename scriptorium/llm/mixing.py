@@ -10,7 +10,7 @@ Cells are counted by partial sums before any shuffle. Their table is raked on th
 rows, and else by DataFrame steps, each checkpointed, with the same rounds, tolerance and bisections. Where the rounds end
 before the tolerance is reached, a warning says how far off the marginals were.
 
-Null sources and languages are a value of their own; null and empty texts have no tokens, a factor like their cell's (1 if
+Null sources and languages are a value of their own, None among targets; null and empty texts have no tokens, a factor like their cell's (1 if
 the cell has no tokens), and are drawn like others. Repeated rows are drawn alike. An empty table gives an empty result. Targets for values that do not occur
 are left out and the rest scaled to a sum of 1; values without a target keep their share. Extra columns pass through.
 """
@@ -158,10 +158,12 @@ def factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, topic_of: Column | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
     """The rows, columns of these names aside, with mix_topic, mix_tokens, mix_probability, mix_weight and mix_kept."""
     docs = docs.drop(*ADDED)
-    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    # A mark before values keeps nulls apart from every value.
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    marked = {d: {f"={v}" if d != "topic" and v is not None else v or "": x for v, x in wish.items()} for d, wish in (targets or {}).items()}
     cell = {"source": value("source"), "lang": value("lang"), "topic": F.coalesce(topic_of if topic_of is not None else topic(), F.lit("prose"))}
     counted = docs.select(*(e.alias(c) for c, e in cell.items()), n_tokens().alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    by_cell, small = factors(counted, targets, temper, budget, max_cells)
+    by_cell, small = factors(counted, marked, temper, budget, max_cells)
     by_cell = by_cell.select(*(F.col(c).alias(f"mix_{c}") for c in DIMENSIONS), F.col("factor").alias("mix_factor"))
     keyed = docs.withColumns({f"mix_{c}": e for c, e in cell.items()})
     p = F.least(F.lit(1.0), F.col("mix_factor"))

@@ -223,6 +223,36 @@ def test_kernel_model_is_the_folded_kernel():
     assert got == ["one", "two", "und", "und"] and scores[2] == 0.0 and 0.5 < scores[0] <= 1
 
 
+def test_scores_are_those_of_the_kernel_itself():
+    """The kernel of every pair, the Nystrom map, the ridge and the soft maximum, each by its plain formula."""
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(rng.randrange(5, 25)))
+    kinds = ["aa", "bb", "cc"]
+    langs = [kinds[i % 3] for i in range(45)]
+    texts = [make({"aa": "abcde", "bb": "cdefg", "cc": "efgha"}[v]) for v in langs]
+    place = np.zeros(1 << langid.BITS, np.int16)
+    known = np.unique(np.concatenate([h for t in texts for h in langid.hashed(t)]))[::2][:3000]
+    place[known] = np.arange(1, len(known) + 1)
+    grams = lambda t: {int(g) for h in langid.hashed(t) for g in h} & set(known.tolist())
+    kernel = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(max(1, len(grams(a))) * max(1, len(grams(b))))
+    marks, ridge = [texts[i] for turn in range(4) for i in range(3 * turn, 3 * turn + 3)], 1e-2
+    k_mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(k_mm)
+    keep = value > 1e-6 * value.max()
+    inverse_root = vector[:, keep] / np.sqrt(value[keep])
+    phi = lambda t: np.array([kernel(t, z) for z in marks]) @ inverse_root
+    x, y = np.array([phi(t) for t in texts]), np.array([[1.0 if v == k else -1.0 for k in kinds] for v in langs])
+    a = np.linalg.solve(x.T @ x + ridge * len(texts) * np.eye(x.shape[1]), x.T @ y)
+    flags = langid.presence(texts, place, len(known))
+    model = langid.solve(flags, langs, place, landmarks=12, ridge=ridge)
+    fresh = [make("abcde"), make("cdefg"), make("efgha"), make("acg")]
+    got, scores = model.score(fresh)
+    for t, lang, score in zip(fresh, got, scores, strict=True):
+        p = np.exp(langid.SHARPNESS * (phi(t) @ a))
+        p /= p.sum()
+        assert lang == kinds[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-3)
+
+
 def test_presence_reads_whole_texts():
     assert len(set(map(int, np.concatenate(langid.hashed("ab" * 10 + "zq"))))) > len(set(map(int, np.concatenate(langid.hashed("ab" * 10)))))
 
@@ -241,6 +271,64 @@ def test_trees_and_calibration():
     assert (np.diff(knots) >= 0).all() and (np.diff(values) >= -1e-12).all() and 0 < values[0] < values[-1] < 1
 
 
+def test_trees_and_calibration_equal_plain_versions():
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.normal(size=(300, toxicity.FEATURES)), 2), (rng.random(300) < 0.4).astype(float)
+    trees = toxicity.boost(x, y)
+
+    def walk(row, f, t, v):
+        at = 0
+        while at < len(f):
+            at = 2 * at + 1 + int(row[f[at]] > t[at])
+        return v[at - len(f)]
+
+    plain = [trees.start + sum(walk(row, f, t, v) for f, t, v in zip(trees.feature, trees.threshold, trees.value)) for row in x[:50]]
+    assert np.allclose(trees.raw(x)[:50], plain)
+    raw = np.round(rng.normal(size=80), 1)
+    knots, values = toxicity.isotonic(raw, y[:80])
+    # The greatest convex minorant of the sums over distinct scores, by its definition.
+    levels = np.unique(raw)
+    n, s = np.array([(raw == r).sum() for r in levels]), np.array([y[:80][raw == r].sum() for r in levels])
+    fit = [max(min(s[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(levels))) for a in range(i + 1)) for i in range(len(levels))]
+    pools = {}
+    for i, v in enumerate(fit):
+        pools.setdefault(round(v, 12), []).append(i)
+    prior = y[:80].mean()
+    want = np.maximum.accumulate([(s[p].sum() + prior) / (n[p].sum() + 1) for p in pools.values()])
+    assert np.allclose(values[::2], want) and np.allclose(knots, [levels[i] for p in pools.values() for i in (p[0], p[-1])])
+
+
+def plain_features(text, lexicon):
+    """Densities and counts by a loop over tokens, in the order of the features where those are plain."""
+    tokens = text.split()
+    core = [t.strip(toxicity.EDGES) for t in tokens]
+    low = [c.lower() for c in core]
+    insult = [w in toxicity.INSULTS for w in low]
+    learnt = [lexicon.weight(w)[0] >= toxicity.WORD for w in low]
+    begin = [lexicon.weight(w)[1] >= toxicity.BEGIN for w in low]
+    you = [w in toxicity.SECOND for w in low]
+    caps = [len(c) > 1 and c.isupper() for c in core]
+    odd = [bool(c) and not c.isalpha() and any(x.isalpha() for x in c) for c in core]
+    letters = lambda w: "".join(x for x in w if x.isalpha())
+    hidden = [o and (letters(w.translate(toxicity.LEET)) in toxicity.INSULTS or letters(w.translate(toxicity.LEET)) in lexicon.words or letters(w) in toxicity.INSULTS) for o, w in zip(odd, low)]
+    loud = [t[-1] in "!?" for t in tokens]
+    hits = [i for i in range(len(tokens)) if insult[i] or learnt[i] or begin[i] or hidden[i]]
+    near = sum(any(you[j] and abs(i - j) <= 5 for j in range(len(tokens))) for i in hits)
+    n = len(tokens)
+    counts = [sum(m) for m in (insult, learnt, begin, you, caps, odd, hidden, loud)]
+    return [*(c / n for c in counts), *(float(counts[i]) for i in (0, 1, 2, 6)), len(hits) / n, float(len(hits)), near / max(1, len(hits)), float(near)]
+
+
+def test_features_equal_a_plain_version():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({"grumbl": 4.0, "meh": 1.5}, {"zork": 4.0, "abcd": 1.3})
+    words = ["you", "YOU,", "idiot", "1d10t", "i.d.i.o.t", "Grumbl!", "zorkish", "meh", "abcdef", "plain", "LOUD", "x7", "!!", "...", "dich", "a", "m0r0n?"]
+    for n in (1, 3, 20, 199, 200, 400):
+        text = " ".join(rng.choices(words, k=n))
+        assert toxicity.features(text, toxicity.Marks(lexicon))[:16] == pytest.approx(plain_features(text, lexicon))
+        assert toxicity.features(text, toxicity.Marks(lexicon))[19] == pytest.approx(sum(len(t) == 1 for t in text.split()) / n)
+
+
 def test_features_see_obfuscation_and_proximity():
     marks = toxicity.Marks(toxicity.Lexicon({"grumbl": 4.0}, {"zork": 4.0}))
     f = lambda t: toxicity.features(t, marks)

@@ -95,6 +95,45 @@ def test_mixing_keeps_to_the_same_rounds_on_both_paths(spark):
     assert found[0] == pytest.approx(found[1], rel=1e-9)
 
 
+def plain_mixing(rows, targets, temper, budget):
+    """Probability and weight of each row by raking in dictionaries and calibration by bisection; rows of (source, lang, topic, tokens)."""
+    cells = Counter()
+    for *cell, n in rows:
+        cells[tuple(cell)] += n
+    total, w = sum(cells.values()), dict(cells)
+    wish = []
+    for d in range(3):
+        own = Counter()
+        for c, n in cells.items():
+            own[c[d]] += n / total
+        given = targets.get(d)
+        share = {v: x**temper for v, x in own.items()} if given is None else {v: given.get(v, x) for v, x in own.items()}
+        wish.append({v: x / sum(share.values()) * total for v, x in share.items()})
+    for _ in range(2_000):
+        for d in range(3):
+            now = Counter()
+            for c, x in w.items():
+                now[c[d]] += x
+            w = {c: x * wish[d][c[d]] / now[c[d]] for c, x in w.items()}
+    factor = {c: w[c] / cells[c] for c in cells}
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(n * min(1, mid * factor[c]) for c, n in cells.items()) < budget * total else (lo, mid)
+    return [(min(1, hi * factor[tuple(c)]), max(1, hi * factor[tuple(c)])) for *c, _ in rows]
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"big": 0.3, "small": 0.3, None: 0.2, "(none)": 0.2}, "lang": {"en": 0.25, "de": 0.5}}])
+def test_mixing_equals_a_plain_version(docs_of, targets):
+    rows = [(i, t, lang, "(none)" if i % 11 == 0 else source) for i, t, lang, source in mix_rows()]
+    topic = F.when(F.contains("text", F.lit(" | ")), "table").otherwise("prose")
+    got = mixing.sample(docs_of(rows), targets, budget=0.4, topic_of=topic).orderBy("doc_id").collect()
+    flat = [(source, lang, "table" if " | " in t else "prose", len(t.split())) for _, t, lang, source in rows]
+    want = plain_mixing(flat, {i: (targets or {}).get(d) for i, d in enumerate(mixing.DIMENSIONS)}, mixing.TEMPER, 0.4)
+    assert [(r.mix_topic, r.mix_tokens) for r in got] == [(t, n) for _, _, t, n in flat]
+    assert np.allclose([(r.mix_probability, r.mix_weight) for r in got], want, rtol=1e-6)
+
+
 def test_mixing_odd_rows(odd, nothing):
     assert mixing.sample(odd).count() == odd.count() and mixing.sample(nothing).count() == 0
     twice = mixing.sample(odd).where("doc_id = 6").select("mix_kept").collect()
