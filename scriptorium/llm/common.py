@@ -61,27 +61,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return kept
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table of a DataFrame that checkpointed() returned and that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the tables of DataFrames that checkpointed() returned and that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _hash(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FILTER_BITS))
 
 
-def _bitmap(ids: DataFrame, id_col: str) -> DataFrame:
-    """The bits of the ids' hashes, FILTER_BITS in all, as a table of at most FILTER_BITS / 32768 + 1 rows."""
-    h = ids.where(F.col(id_col).isNotNull()).select(_hash(id_col).alias("h"))
+def _bitmap(ids: DataFrame, id_col: str, place: Column | None = None) -> DataFrame:
+    """The bits of the ids' hashes (or places), FILTER_BITS in all, as a table of at most FILTER_BITS / 32768 + 1 rows."""
+    h = ids.where(F.col(id_col).isNotNull()).select((_hash(id_col) if place is None else place).alias("h"))
     return h.groupBy(F.expr("bitmap_bucket_number(h)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_bits"))
 
 
-def bits_of(ids: DataFrame, id_col: str = "doc_id") -> np.ndarray:
-    """A filter of fixed size on ids: whether some id has a hash. Ids that share a hash pass too, so a join must follow."""
+def bits_of(ids: DataFrame, id_col: str = "doc_id", place: Column | None = None) -> np.ndarray:
+    """A filter of fixed size on ids: whether some id has a hash, or a place from 0 to FILTER_BITS - 1. Ids that share one
+    pass too, so a join must follow."""
     out = np.zeros(FILTER_BITS + 32_768 + 1, bool)
-    for r in _bitmap(ids, id_col).collect():
+    for r in _bitmap(ids, id_col, place).collect():
         part = np.unpackbits(np.frombuffer(bytes(r._bits), np.uint8), bitorder="little").astype(bool)
         at = (r._bucket - 1) * len(part) + 1 if r._bucket else 0
         out[at : at + len(part)] |= part[: len(out) - at]

@@ -24,12 +24,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (u, v); the component is its least node.
+    """(node, component) for every node of the edges (u, v); the component is its least node. It reads a table, for discard().
+
+    Repeated edges count once, an edge with a null or of a node to itself is none, and no edges give no rows. Nodes of high
+    degree are one key in two joins of a round; partial aggregates cut their rows first, and adaptive execution splits the rest.
 
     Each round is a table in the shared folder, which replaces the one before. The number of rounds grows with the logarithm of the longest path;
     if `rounds` is not enough, an error says so, as a partial answer would lose links.
     """
-    now = checkpointed(edges.select("u", "v").where("u <> v").distinct())
+    now = checkpointed(edges.select("u", "v").where("u <> v").distinct())  # nulls fail the comparison
     before = None
     for _ in range(rounds):
         last, now = now, checkpointed(_small_star(_large_star(now)))
@@ -40,4 +43,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError("components: more rounds needed")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    found.kept_at = now.kept_at
+    return found

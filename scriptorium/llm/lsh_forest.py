@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed, map_arrow
+from scriptorium.llm.common import checkpointed, discard, map_arrow
 
 #: Trees, bits of a hash string, bits of which one is flipped, least matches of a query as a multiple of the distinct
 #: vectors, rows of a bucket, rows of a block of vectors, rows of the mean's sample.
@@ -218,29 +218,38 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     # Buckets' prefixes are two bits shorter than even trees need; queries that need still shorter ones go a second time.
     prefix = max(0, min(math.floor(math.log2(2 * trees / matches)) - 2, math.ceil(math.log2(max(1, total / bucket_rows)))))
     buckets = {depth: max(1, math.ceil(total / 2**depth / bucket_rows)) for depth in (prefix, 0)}
-    found = checkpointed(_nearest(entries, index, asking, hashes, buckets, matches * total, max(1, math.ceil(total / block_rows)), k))
+    tables = [entries, asked, index]
+    found = _nearest(entries, index, asking, hashes, buckets, matches * total, max(1, math.ceil(total / block_rows)), k, tables)
+    tables.append(found)
     # Matches may be few rows in many trees; queries with less than an answer are measured against all rows.
     ids = fit.select("id").distinct().limit(k + 1).count()
     short = asking.join(found.groupBy("q").count().where(F.col("count") >= ids), asking.eid == F.col("q"), "left_anti")
     if short.limit(1).count():
-        every = _nearest(entries, index, short, hashes, {0: buckets[0]}, math.inf, max(1, math.ceil(total / block_rows)), k)
+        every = _nearest(entries, index, short, hashes, {0: buckets[0]}, math.inf, max(1, math.ceil(total / block_rows)), k, tables)
+        tables.append(every)
         found = found.join(short, found.q == short.eid, "left_anti").union(every)
     # A query's own id is left out only here; so one more id was kept until now.
     each = asked.join(found, asked.eid == found.q).where("id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
-
-
-def _nearest(entries: DataFrame, index: DataFrame, asking: DataFrame, hashes: Hashes, buckets: dict[int, int], least: float, blocks: int, k: int) -> DataFrame:
-    """(q, vec_id, score): the k + 1 nearest ids that each row of asking meets, its own perhaps among them. buckets: for
-    prefixes of these lengths, in turn, the number of buckets of one prefix; at last none is left out."""
-    left, lists = checkpointed(map_arrow(asking, _coded(hashes, True), "tree int, code int, eid long", 512)), []
+    kept = checkpointed(each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", "vec_id", "score"))
+    discard(*tables)
+    return kept
+
+
+def _nearest(entries: DataFrame, index: DataFrame, asking: DataFrame, hashes: Hashes, buckets: dict[int, int], least: float, blocks: int, k: int, tables: list[DataFrame]) -> DataFrame:
+    """(q, vec_id, score), a table: the k + 1 nearest ids that each row of asking meets, its own perhaps among them. buckets:
+    for prefixes of these lengths, in turn, the number of buckets of one prefix; at last none is left out. Tables that the
+    work leaves behind are added to `tables`."""
+    strings, lists = checkpointed(map_arrow(asking, _coded(hashes, True), "tree int, code int, eid long", 512)), []
+    left = strings
+    tables.append(strings)
     for depth, salts in buckets.items():
         opens = range(BITS - depth + 1)
         counts = _dealt(index, left.withColumn("open", F.lit(0)), depth, salts).applyInArrow(_counted(depth), "q long, " + ", ".join(f"n{i} long" for i in opens))
         level = F.coalesce(*(F.when(F.col(f"n{i}") >= least, F.lit(i)) for i in opens), F.lit(None if depth else BITS).cast("int"))
         levels = checkpointed(counts.groupBy("q").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in opens)).select(F.col("q").alias("eid"), level.alias("open")))
         ready = left.join(levels.where("open is not null"), "eid")
+        tables.append(levels)
         lists.append(checkpointed(_dealt(index, ready, depth, salts).applyInArrow(_met(blocks), "block long, q long, met array<long>")))
         if not levels.where("open is null").limit(1).count():
             break
@@ -253,4 +262,6 @@ def _nearest(entries: DataFrame, index: DataFrame, asking: DataFrame, hashes: Ha
     beside = vectors.union(wanted).union(found).repartition("block").sortWithinPartitions("block", F.col("kind") > 0, "q", "kind")
     best = map_arrow(beside, _measured(k + 1), "q long, vec_id long, score double", 512)
     once = best.groupBy("q", "vec_id").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id")))
-    return once.where(F.col("r") <= k + 1).drop("r")
+    found = checkpointed(once.where(F.col("r") <= k + 1).drop("r"))
+    discard(*lists)
+    return found

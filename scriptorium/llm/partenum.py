@@ -440,8 +440,9 @@ def join(docs: DataFrame, rule: Rule, block_features: int = BLOCK_FEATURES, bloc
     sketches = rows.where("sketches is not null").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.bits")
     held = pairs.join(sketches, ["node", "band"]).select("list", "i", "j", "block", "node", "n", "bits").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
     ties = map_arrow(held, _filtered(rule), "u long, v long", 4_096).distinct()
-    groups = checkpointed(components(ties).withColumnRenamed("component", "group"))
-    discard(lists)
+    grouped = components(ties)
+    groups = checkpointed(grouped.withColumnRenamed("component", "group"))
+    discard(lists, grouped)
 
     known = groups.join(least, "node")
     blocks = known.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block_features)), F.ceil(F.count("*") / F.lit(block_sets))).cast("int").alias("blocks"))
@@ -458,4 +459,7 @@ def join(docs: DataFrame, rule: Rule, block_features: int = BLOCK_FEATURES, bloc
     ids = joined.join(least.select("node", "doc_id"), "node")
     lowest = ids.groupBy("component").agg(F.min("doc_id").alias("lowest"))
     final = least.join(ids.select("node", "component").join(lowest, "component").select("node", "lowest"), "node", "left").select("node", F.coalesce("lowest", "doc_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "node").join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = rows.select("doc_id", "n_shingles", "node").join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    kept = checkpointed(found)
+    discard(rows, groups, place, joined)
+    return kept

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, html_blocks, iblt, langid, lsh_forest, mixing, partenum, pst, secrets_crf, toxicity
-from scriptorium.llm.common import crc_mod, table
+from scriptorium.llm.common import crc_mod, discard, table
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -56,7 +56,10 @@ def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pst.score(docs, *pst.train(docs.where(crc_mod("doc_id", 5) != 1)))
+    model, words, *sizes = pst.train(docs.where(crc_mod("doc_id", 5) != 1))
+    scored = pst.score(docs, model, words, *sizes)
+    discard(model.tables, words)
+    return scored
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
