@@ -99,10 +99,21 @@ def test_queries_run_on_the_smallest_tables(spark):
         assert n == (counts["pages"] if name.startswith("op3") else counts["documents"]) or name.startswith("op10")
 
 
-def test_the_rest_stands_alone(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py", ".pytest_cache"))
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_the_rest_stands_alone(tmp_path, also):
+    """Without the two folders, with or without the pipeline: the entry imports, and the rest's quick tests pass."""
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache", *also))
+    env = {**os.environ, "PYTHONPATH": str(tmp_path / "r")}
     code = "import __spark_entry__ as e; q = e.queries(); assert 'search_exact' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_text.py", "-x", "-q", "-p", "no:cacheprovider"], cwd=tmp_path / "r", check=True, env=env)
+
+
+def test_a_broken_import_inside_is_an_error(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    os.remove(tmp_path / "r" / "scriptorium" / "llm" / "bpe.py")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path / "r", env={**os.environ, "PYTHONPATH": str(tmp_path / "r")}, capture_output=True)
+    assert done.returncode and b"bpe" in done.stderr
 
 
 def test_nothing_else_imports_this_subpackage():
