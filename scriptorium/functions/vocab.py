@@ -39,3 +39,6 @@ TOKEN_PRICES = {"lite": (0.50, 1.5), "pro": (2.0, 12.0)}
 ARCHIVE_HOURS = 33.6
 #: Kinds of usage events.
 EVENT_TYPES = ("search", "open", "filter", "findname", "copy")
+#: The lead pair, and names that mentions are suggested of.
+LEADS = ("Հայկո", "Մկո")
+CANDIDATES = ("Անի", "Արմեն", "Վարդան", "Գագ", "Սաքո", "Գագո", "Համո", "Գևորգ", "Սուրեն")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ranges import placed
+
 
 def enrich(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Left join that takes some columns; several matches fan out. The optimizer broadcasts the right side if its size allows."""
@@ -56,12 +58,7 @@ def succeeded(rows: DataFrame, error: str) -> DataFrame:
 def available(rows: DataFrame, column: str, order: str) -> DataFrame:
     """Public rows (null is public), with their place from 1 in order."""
     kept = rows.where(F.coalesce(F.col(column), F.lit("public")) == "public")
-    low, high, n = kept.agg(F.min(order), F.max(order), F.count("*")).first()
-    low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // max(1, min(2_000, (n or 0) // 5_000 + 1))))
-    ranged = kept.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / width))
-    before = ranged.groupBy("_range").agg(F.count("*").alias("m")).withColumn("_before", F.coalesce(F.sum("m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 2 000 rows
-    placed = ranged.join(F.broadcast(before.select("_range", "_before")), "_range")
-    return placed.withColumn("file_seq", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order))).drop("_range", "_before")
+    return placed(kept, order).withColumn("file_seq", F.col("_place") + 1).drop("_place")
 
 
 def lookup(rows: DataFrame, names: DataFrame, key: str, value: str, default: str = "") -> DataFrame:

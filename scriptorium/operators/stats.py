@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions import vocab
+from scriptorium.operators.ranges import placed
 
 
 def zero(c: str) -> Column:
@@ -58,19 +59,14 @@ def histogram(rows: DataFrame, value: str, edges: Sequence[float], labels: Seque
 def by_sequence(rows: DataFrame, seq: str, views: str, chunks: int = 8) -> DataFrame:
     """Mean views by stretches of rows in order of their number; stretches have max(1, n // chunks) rows, so there may be one more of them.
 
-    Numbers are ranked in two steps: rows of a number first, then numbers by range, so no task sorts all rows.
+    Positions come from ranges with about equal numbers of rows, so no task sorts all rows.
     """
     used = rows.where(F.col(seq).isNotNull() & (F.col(seq) != 0)).select(F.col(seq).alias("seq"), zero(views).alias("views"))
     n = used.count()
     size = max(1, n // chunks)
-    # Positions by ranges: a row's place is the rows of all ranges before plus its place in its own.
-    low, high = used.agg(F.min("seq"), F.max("seq")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, min(2_000, n // 5_000 + 1))))
-    ranged = used.withColumn("range", F.floor((F.col("seq") - F.lit(low or 0)) / width))
-    before = ranged.groupBy("range").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 2 000 rows
-    placed = ranged.join(F.broadcast(before.select("range", "before")), "range").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("seq", "views")) - 1)
-    chunk = F.floor(F.col("place") / size)
-    return placed.groupBy(chunk.alias("chunk")).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), mean_of("views").alias("avg_views")).select("chunk", F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("label"), "avg_views")
+    placed_ = placed(used, "seq", "views")
+    chunk = F.floor(F.col("_place") / size)
+    return placed_.groupBy(chunk.alias("chunk")).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), mean_of("views").alias("avg_views")).select("chunk", F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("label"), "avg_views")
 
 
 def top_viewed(rows: DataFrame, views: str, key: str, top: int = 5) -> DataFrame:

@@ -75,9 +75,9 @@ class Archive:
         own = discover.rows_of_actor(self.rows, "actors", name)
         return {"totals": discover.actor_profile(self.rows, self.bridge, name, "id", "actor", "viewCount"), "coStars": self.co_stars(name), "catchphrases": discover.catchphrases(own.withColumn("ord", F.coalesce("seq", F.lit(2**31 - 1))), "textCommon", "ord"), "rows": self.rows_of_actor(name)}
 
-    def stats(self, leads: Sequence[str] = ("Հայկո", "Մկո"), candidates: Sequence[str] = ("Անի", "Արմեն", "Վարդան", "Գագ", "Սաքո", "Գագո", "Համո", "Գևորգ", "Սուրեն")) -> dict[str, DataFrame]:
-        """All sections; the rows are kept in memory or on disk between them."""
-        return stats.build_stats(self.rows.persist(), leads, candidates, self.pattern, self.other)
+    def stats(self, leads: Sequence[str] = vocab.LEADS, candidates: Sequence[str] = vocab.CANDIDATES) -> dict[str, DataFrame]:
+        """All sections. A caller that reads many of them may persist `rows` before and release them after, as export() does."""
+        return stats.build_stats(self.rows, leads, candidates, self.pattern, self.other)
 
     def phrase_tiles(self, phrases: DataFrame) -> DataFrame:
         """The most viewed row for each phrase of topPhrases."""
@@ -86,5 +86,9 @@ class Archive:
 
     def export(self, rows_path: str, stats_path: str) -> None:
         """Rows as JSON lines, statistics as one JSON document."""
-        writers.json_lines(self.rows, rows_path)
-        writers.json_document(self.stats(), stats_path)
+        self.rows.persist()
+        try:
+            writers.json_lines(self.rows, rows_path)
+            writers.json_document(self.stats(), stats_path)
+        finally:
+            self.rows.unpersist()

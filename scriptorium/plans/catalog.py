@@ -514,18 +514,22 @@ def usage_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS d, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts by a stream over the events, run to its end; each event counts once."""
-    import uuid
+    """Daily counts by a stream over the events, run to its end into a table; each event counts once.
 
+    A day's count is written when its window closes; what is still open at the end of the input comes from the batch report.
+    """
+    from scriptorium.plans.session import scratch
     from scriptorium.streaming.usage import windowed
 
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    name = f"usage_{uuid.uuid4().hex}"
-    counts = windowed(stream, "ts", "event_id", "event_type", late="3650 days").select(F.to_date("w.start").cast("string").alias("d"), "event_type", "n")
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    events, home = table(spark, sf_dir, "events"), scratch(spark)
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    day, late = F.to_date("w.start").cast("string").alias("d"), "2 days"
+    counts = windowed(stream, "ts", "event_id", "event_type", late=late).select(day, "event_type", "n")
+    query = counts.writeStream.format("parquet").option("path", f"{home}/daily").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    closed = spark.read.schema("d string, event_type string, n long").parquet(f"{home}/daily")
+    own = events.dropDuplicates(["event_id"]).groupBy(F.to_date("ts").cast("string").alias("d"), "event_type").agg(F.count("*").alias("n"))
+    return closed.unionByName(own.join(closed.select("d").distinct(), "d", "left_anti"))
 
 
 @register(

@@ -22,3 +22,13 @@ def session(name: str = "scriptorium", master: str | None = None, **settings: st
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder that spark.checkpoint.dir names; in local mode one of its own where it is unset."""
+    import uuid
+
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{home or '/tmp/checkpoints'}/scratch-{uuid.uuid4().hex}"

@@ -17,14 +17,21 @@ def json_lines(rows: DataFrame, path: str) -> None:
 
 def json_document(sections: dict[str, DataFrame], path: str, most: int = 10_000) -> None:
     """Small sections as one JSON document; a section beyond the bound is an error, not a cut."""
+    if not sections:
+        raise ValueError("no sections")
     out = {}
     for name, df in sections.items():
         rows = df.limit(most + 1).collect()
         if len(rows) > most:
             raise ValueError(f"{name}: more than {most} rows; write it as a table")
         out[name] = [r.asDict(recursive=True) for r in rows]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f, ensure_ascii=False, default=str)
+    spark = next(iter(sections.values())).sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)  # any file system that Spark can write to
+    try:
+        stream.write(json.dumps(out, ensure_ascii=False, default=str).encode("utf-8"))
+    finally:
+        stream.close()
 
 
 def by_partition(rows: DataFrame, path: str, *columns: str) -> None:

@@ -309,3 +309,26 @@ def test_short_phrases_are_searched_in_one_pass(spark):
     assert got == {"a b": 2, "no": 3}
     with pytest.raises(ValueError):
         discover.phrase_tiles(phrases, "p", docs, "t", "k", "v", most_short=2)
+
+
+@pytest.mark.parametrize("most", [1, 7, 50_000])
+def test_places_of_skewed_numbers(spark, most):
+    from scriptorium.operators.ranges import placed
+
+    numbers = [1] * 300 + list(range(2, 50)) + [10**12, None, None, -5]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(numbers)], "n long, t int").repartition(4)
+    got = {r.t: r._place for r in placed(rows, "n", "t", size=20, most=most).collect()}
+    order = sorted(range(len(numbers)), key=lambda i: (numbers[i] is not None, numbers[i] or 0, i))
+    assert got == {t: i for i, t in enumerate(order)}
+
+
+def test_cost_run_of_the_command_line(spark, tmp_path, capsys):
+    import json
+
+    from scriptorium.__main__ import main
+
+    for name, model, tokens in (("a", "lite", 1_000_000), ("b", "pro", 2_000_000)):
+        (tmp_path / f"x_summary__{name}.json").write_text(json.dumps({"model": model, "audio_sec": 3600.0, "gen_sec": 60.0, "tokens_in": tokens, "tokens_out": 0}))
+    main(["costs", "--input", str(tmp_path), "--model", "pro"])
+    out = capsys.readouterr().out
+    assert "pro" in out and "lite" not in out and "4.0" in out
