@@ -7,13 +7,15 @@ the class; shares come from the counts of all training words, each plus one half
 score is its base score plus, for each token, how much more likely its class is in its context than by itself.
 
 Every context of up to `DEPTH` classes that occurs `LEAST` times is a candidate, however large the input. It stays if its
-next-class distribution diverges from its parent's by `gain` nats in all and by the ratio `ratio` for some class.
-Distributions are smoothed with the parent's. The state of a position is its longest kept suffix.
+smoothed next-class distribution diverges from its parent's by the ratio `ratio` for some class, and by `gain` nats in all
+where each occurrence is foretold by the others alone; so a context stays for what it tells of other texts, not for chance.
+Distributions are smoothed with the parent's, which weighs as much as there are next classes. The state of a position is its longest kept suffix.
 
 Contexts are counted, tested and kept as tables. Those that end in the same two classes meet in one group, of at most
-size ^ 2 counts, with their parents. Grams (a context and the next class) that make up at least `hot_grams` of all tokens are
-sent to the workers, at most 1 / hot_grams; the others meet the documents' grams in joins, and a gram not met in training
-takes its parent's probability by its context's weight. `grow` gives the same tree in one process.
+size ^ 2 counts, with their parents. Grams (a kept context and the next class) that make up at least `hot_grams` of all tokens
+are sent to the workers, at most 1 / hot_grams of either length, with the contexts of one and two classes and a filter of
+fixed size on those of three; the others meet the documents' grams in joins, and a gram not met in training takes its
+parent's probability by its context's weight. `grow` gives the same tree in one process.
 
 Counts of words meet the documents' words in a join, but for a bounded table of words that make up at least `hot` of all
 tokens, which is sent to the workers; no vocabulary is collected.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import checkpointed, crc_mod, discard, map_arrow
+from scriptorium.llm.common import FILTER_BITS, bits_of, checkpointed, crc_mod, discard, map_arrow
 
 #: Least number of classes, context length, least occurrences of a context, least ratio, least gain, least share of a hot word, of a hot gram.
 SIZE, DEPTH, LEAST, RATIO, GAIN, HOT, HOT_GRAMS = 256, 3, 20, 1.05, 6.0, 4e-6, 5e-7
@@ -157,12 +159,10 @@ def grow(classes: Classes, root: np.ndarray, levels: list[dict[int, np.ndarray]]
         kept.append({})
         for code, n in sorted(levels[k].items()):
             above = next(kept[j][code % SIZE**j] for j in range(k - 1, -1, -1) if code % SIZE**j in kept[j])
-            q, total, kinds = dists[above], n.sum(), np.count_nonzero(n)
-            met = n > 0
-            r = n[met] / total / q[met]
-            if (n[met] * np.log(r)).sum() >= gain and (r.max() >= ratio or r.min() <= 1 / ratio):
+            stays, p = _smoothed(n, dists[above], ratio, gain)
+            if stays:
                 kept[k][code] = len(dists)
-                dists.append((n + kinds * q) / (total + kinds))  # the parent's weight: the number of next classes met
+                dists.append(p)
     state = np.zeros(1, np.int32)
     for k in range(1, DEPTH + 1):
         state = np.tile(state, SIZE)
@@ -173,26 +173,35 @@ def grow(classes: Classes, root: np.ndarray, levels: list[dict[int, np.ndarray]]
 
 @dataclass
 class Model:
-    """A fitted tree as tables: `hot` has the lifts of frequent grams, `first` the probabilities after one class, `tables` the rest by kind."""
+    """A fitted tree as tables: `hot` and `hot2` have the keys and lifts of frequent grams, `first` the probabilities after one
+    class, `weight2` the weight of each kept context of two classes (nan where none is kept), `kept` a filter on contexts of
+    three, and `tables` all of it by kind."""
 
     classes: Classes
     root: np.ndarray
     first: np.ndarray
     hot: tuple[np.ndarray, np.ndarray]
+    hot2: tuple[np.ndarray, np.ndarray]
+    weight2: np.ndarray
+    kept: np.ndarray
     tables: DataFrame
 
 
-#: Kinds of rows of a model's tables: lifts of whole grams and weights of their kept contexts, the same for contexts of two classes.
+#: Kinds of rows of a model's tables: lifts of grams of kept contexts and these contexts' weights, the same for contexts of two classes.
 GRAM, CONTEXT, GRAM2, CONTEXT2 = range(4)
+#: Added to the keys of grams of contexts of two classes, where both lengths are in one column; above all other keys.
+SHORT = 1 << 62
 
 
-def _smoothed(n: np.ndarray, q: np.ndarray) -> tuple[bool, np.ndarray]:
+def _smoothed(n: np.ndarray, q: np.ndarray, ratio: float = RATIO, gain: float = GAIN) -> tuple[bool, np.ndarray]:
     """Whether a context with these next classes stays, and its distribution, the parent's if not."""
-    total, met = n.sum(), n > 0
+    total, met, kinds = n.sum(), n > 0, np.count_nonzero(n)
     if total >= LEAST:
-        r = n[met] / total / q[met]
-        if (n[met] * np.log(r)).sum() >= GAIN and (r.max() >= RATIO or r.min() <= 1 / RATIO):
-            return True, (n + met.sum() * q) / (total + met.sum())
+        p = (n + kinds * q) / (total + kinds)  # the parent's weight: the number of next classes met
+        r = p[met] / q[met]
+        alone = (n[met] - 1 + kinds * q[met]) / (total - 1 + kinds) / q[met]
+        if (n[met] * np.log(alone)).sum() >= gain and (r.max() >= ratio or r.min() <= 1 / ratio):
+            return True, p
     return False, q
 
 
@@ -207,16 +216,17 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
         two = np.bincount(s, n, size)
         kept, q = _smoothed(two, first[near & (size - 1)])
         met = np.flatnonzero(two)
-        yield GRAM2, near << bits | met, two[met], np.log10(q[met] / root[met])
         if kept:
+            yield GRAM2, near << bits | met, two[met], np.log10(q[met] / root[met])
             yield CONTEXT2, np.array([near]), np.array([two.sum()]), np.log10([len(met) / (two.sum() + len(met))])
         starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         kinds = np.diff(np.append(starts, len(g)))
         total, each = np.add.reduceat(n, starts), np.repeat(np.arange(len(starts)), kinds)
-        r = n / total[each] / q[s]
-        stays = (total >= LEAST) & (np.add.reduceat(n * np.log(r), starts) >= GAIN) & ((np.maximum.reduceat(r, starts) >= RATIO) | (np.minimum.reduceat(r, starts) <= 1 / RATIO))
-        p = np.where(stays[each], (n + kinds[each] * q[s]) / (total + kinds)[each], q[s])
-        yield GRAM, g, n, np.log10(p / root[s])
+        p = (n + kinds[each] * q[s]) / (total + kinds)[each]
+        r = p / q[s]
+        alone = (n - 1 + kinds[each] * q[s]) / (total - 1 + kinds)[each] / q[s]
+        stays = (total >= LEAST) & (np.add.reduceat(n * np.log(alone), starts) >= GAIN) & ((np.maximum.reduceat(r, starts) >= RATIO) | (np.minimum.reduceat(r, starts) <= 1 / RATIO))
+        yield GRAM, g[stays[each]], n[stays[each]], np.log10(p / root[s])[stays[each]]
         yield CONTEXT, context[starts][stays], total[stays], np.log10(kinds / (total + kinds))[stays]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,20 +285,31 @@ def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFra
     sent = grams.withColumn("near", near).repartition("near").sortWithinPartitions("near").select("gram", "n")
     tables = checkpointed(map_arrow(sent, _lifts(classes, root, first), "kind int, key long, n long, v float", 65_536))
     discard(grams)
-    hot = tables.where((F.col("kind") == GRAM) & (F.col("n") >= max(2.0, hot_grams * total))).select("key", "v").toArrow()  # at most 1 / hot_grams rows
-    key, v = hot.column("key").to_numpy(), hot.column("v").to_numpy()
-    order = np.argsort(key)
-    return Model(classes, root, first, (key[order], v[order]), tables), words, int(total), int(distinct)
 
+    def hot_of(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = tables.where((F.col("kind") == kind) & (F.col("n") >= max(2.0, hot_grams * total))).select("key", "v").toArrow()  # at most 1 / hot_grams rows
+        key, v = rows.column("key").to_numpy(), rows.column("v").to_numpy()
+        order = np.argsort(key)
+        return key[order], v[order]
 
-def _lift_of_cold(scored: DataFrame, model: Model, hot_count: float) -> DataFrame:
-    """(uid, lift): the lifts of the documents' grams that were not sent, summed."""
+    weight2 = np.full(size * size, np.nan, np.float32)
+    two = tables.where(F.col("kind") == CONTEXT2).select("key", "v").toArrow()  # at most size ^ 2 rows
+    weight2[two.column("key").to_numpy()] = two.column("v").to_numpy()
+    kept = bits_of(tables.where(F.col("kind") == CONTEXT), "key", F.pmod("key", F.lit(FILTER_BITS)))
+    return Model(classes, root, first, hot_of(GRAM), hot_of(GRAM2), weight2, np.packbits(kept, bitorder="little"), tables), words, int(total), int(distinct)
+
+
+def _lift_of_cold(scored: DataFrame, model: Model, hot_count: float, tables: list[DataFrame]) -> DataFrame:
+    """(uid, lift): the lifts of the documents' grams that were not sent, summed; its table is added to `tables`."""
     spark, bits, size = scored.sparkSession, model.classes.bits, model.classes.size
     kind = lambda k, key, v: model.tables.where(F.col("kind") == k).select(F.col("key").alias(key), F.col("v").alias(v))
-    cold = scored.select("uid", F.explode("grams").alias("r")).select("uid", "r.gram", "r.k")
-    known = model.tables.where((F.col("kind") == GRAM) & (F.col("n") < hot_count)).select(F.col("key").alias("gram"), "v")
-    met = cold.join(known, "gram", "left").groupBy("uid").agg(F.sum(F.col("k") * F.col("v").cast("double")).alias("lift"), F.collect_list(F.when(F.col("v").isNull(), F.struct("gram", "k"))).alias("new"))
+    cold = scored.select("uid", F.explode("grams").alias("r")).select("uid", "r.gram", "r.k", "r.other")
+    known = model.tables.where(F.col("kind").isin(GRAM, GRAM2) & (F.col("n") < hot_count)).select((F.col("key") + F.when(F.col("kind") == GRAM2, F.lit(SHORT)).otherwise(0)).alias("gram"), "v")
+    # A short gram that is not in the table takes what its row says; a long one looks further.
+    lift = F.coalesce(F.col("v").cast("double"), F.when(F.col("gram") >= SHORT, F.col("other")))
+    met = cold.join(known, "gram", "left").groupBy("uid").agg(F.sum(F.col("k") * lift).alias("lift"), F.collect_list(F.when(F.col("v").isNull() & (F.col("gram") < SHORT), F.struct("gram", "k"))).alias("new"))
     met = checkpointed(met)
+    tables.append(met)
     new = met.select("uid", F.explode("new").alias("r")).select("uid", "r.gram", "r.k")
     one = pa.table({"g1": np.arange(size * size), "v1": np.log10(model.first / model.root).ravel()})
     keyed = new.withColumns({"c3": F.shiftright("gram", bits), "c2": F.shiftright("gram", bits).bitwiseAND(size * size - 1), "g2": F.col("gram").bitwiseAND((1 << 3 * bits) - 1), "g1": F.col("gram").bitwiseAND(size * size - 1)})
@@ -298,6 +319,44 @@ def _lift_of_cold(scored: DataFrame, model: Model, hot_count: float) -> DataFram
     return met.join(more, "uid", "left").select("uid", (F.coalesce("lift", F.lit(0.0)) + F.coalesce("fresh", F.lit(0.0))).alias("cold_lift"))
 
 
+class Lifts:
+    """What the workers hold of a tree: lifts of the hot grams, of grams of one class, and which grams need a join."""
+
+    def __init__(self, model: Model):
+        self.size, self.bits = model.classes.size, model.classes.bits
+        self.hot, self.hot2, self.kept, self.weight2 = model.hot, model.hot2, model.kept, model.weight2
+        self.one = np.log10(model.first / model.root).ravel().astype(np.float32)
+
+    @staticmethod
+    def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are in a sorted table, and the lifts of those."""
+        place = np.searchsorted(table[0], keys)
+        inside = place < len(table[0])
+        inside[inside] = table[0][place[inside]] == keys[inside]
+        return inside, table[1][place[inside]]
+
+    def __call__(self, classes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The sum of the lifts that are at hand; keys, numbers and lifts without a table row of the grams that need a join."""
+        g = codes(classes, self.size) * self.size + classes
+        sent, lifts = self._found(self.hot, g)
+        total = float(lifts.sum(dtype=np.float64))
+        g = g[~sent]
+        h = (g >> self.bits) % FILTER_BITS
+        long = (self.kept[h >> 3] >> (h & 7) & 1).astype(bool)
+        g3, k3 = np.unique(g[long], return_counts=True)
+        g2 = g[~long] & ((1 << 3 * self.bits) - 1)
+        weight = self.weight2[g2 >> self.bits]
+        one = self.one[g2 & (self.size * self.size - 1)]
+        below = np.isnan(weight)
+        total += float(one[below].sum(dtype=np.float64))
+        g2, other = g2[~below], (weight + one)[~below]
+        sent, lifts = self._found(self.hot2, g2)
+        total += float(lifts.sum(dtype=np.float64))
+        g2, first, k2 = np.unique(g2[~sent], return_index=True, return_counts=True)
+        other = other[~sent][first]
+        return total, np.concatenate((g3, g2 + SHORT)), np.concatenate((k3, k2)), np.concatenate((np.zeros(len(g3)), other))
+
+
 def _class_sizes(classes: Classes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((classes.size, 2), np.int64)
@@ -318,46 +377,45 @@ def score(docs: DataFrame, model: Model, words: DataFrame, total: int, distinct:
     """
     v = math.log10(total + 0.5 * (distinct + 1))
     table = {bytes(r["word"]): (math.log10(r["c"] + 0.5) - v, model.classes.of(bytes(r["word"]))) for r in words.where(F.col("c") >= max(2.0, hot * total)).toArrow().to_pylist()}  # at most 1 / hot words
-    shared = docs.sparkSession.sparkContext.broadcast((model.classes, *model.hot, table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.classes, Lifts(model), table))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes_, hot_keys, hot_lifts, hot_words = shared.value
+        classes_, lifts, hot_words = shared.value
         known = _Known(lambda w: (math.nan, classes_.of(w)), hot_words)
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
             words_, counts, at = [], [], [0]
-            grams, times, ends = [], [], [0]
+            grams, times, others, ends = [], [], [], [0]
             for text in b.column("text").to_pylist():
                 w = words_of(text)
                 logs, classes = zip(*map(known.__getitem__, w), strict=True)
                 logs = np.array(logs)
                 cold = np.isnan(logs)
                 rare = Counter([w[i] for i in np.flatnonzero(cold)])
-                s = np.array(classes, np.int64)
-                g = codes(s, classes_.size) * classes_.size + s
-                place = np.searchsorted(hot_keys, g)
-                sent = np.zeros(len(g), bool)
-                inside = np.flatnonzero(place < len(hot_keys))
-                sent[inside] = hot_keys[place[inside]] == g[inside]
-                rest, k = np.unique(g[~sent], return_counts=True)
+                near, rest, k, other = lifts(np.array(classes, np.int64))
                 grams.append(rest)
                 times.append(k)
+                others.append(other)
                 ends.append(ends[-1] + len(rest))
-                for col, x in zip(out, (len(w), len(w) - int(cold.sum()), float(np.nansum(logs)), float(hot_lifts[place[sent]].sum(dtype=np.float64))), strict=True):
+                for col, x in zip(out, (len(w), len(w) - int(cold.sum()), float(np.nansum(logs)), near), strict=True):
                     col.append(x)
                 words_ += rare.keys()
                 counts += rare.values()
                 at.append(len(words_))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(counts, pa.int32())], ["word", "k"]))
-            cold_grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(grams or [np.zeros(0)]), pa.int64()), pa.array(np.concatenate(times or [np.zeros(0)]), pa.int32())], ["gram", "k"]))
+            cold_grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(grams or [np.zeros(0)]), pa.int64()), pa.array(np.concatenate(times or [np.zeros(0)]), pa.int32()), pa.array(np.concatenate(others or [np.zeros(0)]), pa.float32())], ["gram", "k", "other"]))
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), lists, cold_grams], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "text")
-    scored = checkpointed(map_arrow(rows, run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lift double, rare array<struct<word:binary,k:int>>, grams array<struct<gram:long,k:int>>", 256))
+    scored = checkpointed(map_arrow(rows, run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lift double, rare array<struct<word:binary,k:int>>, grams array<struct<gram:long,k:int,other:float>>", 256))
     rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k")
     cold = words.where(F.col("c") < max(2.0, hot * total))
     more = rare.join(cold, "word", "left").groupBy("uid").agg(F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(v))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    lifts = _lift_of_cold(scored, model, max(2.0, hot_grams * total))
-    return scored.join(more, "uid", "left").join(lifts, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("lift") + F.coalesce("cold_lift", F.lit(0.0))).alias("score"))
+    tables = [scored]
+    lifts = _lift_of_cold(scored, model, max(2.0, hot_grams * total), tables)
+    found = scored.join(more, "uid", "left").join(lifts, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("lift") + F.coalesce("cold_lift", F.lit(0.0))).alias("score"))
+    kept = checkpointed(found)
+    discard(*tables)
+    return kept
