@@ -8,7 +8,9 @@ transition function is a table over pairs of arcs. A path through it is exactly
 Encoding steps over the symbols of a pre-split word: at each position one arc alone leads there from the state of an
 earlier position, so the run is deterministic; the arcs are read back from the word's end. Decoding emits arc labels.
 
-Nulls and empty texts give no ids and the empty text. Repeated rows give repeated results. Extra columns are ignored.
+Nulls and empty texts give no ids and the empty text. Texts of any length are encoded whole, one after the other; a worker's
+caches have a fixed size. There are no ties: one path spells a word, and of two equal merges the left one is made first.
+Repeated rows give repeated results, an empty table an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

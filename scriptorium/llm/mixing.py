@@ -10,7 +10,7 @@ Cells are counted by partial sums before any shuffle. Their table is raked on th
 rows, and else by DataFrame steps, each checkpointed, with the same rounds, tolerance and bisections. Where the rounds end
 before the tolerance is reached, a warning says how far off the marginals were.
 
-Null sources and languages are a value of their own, None among targets; null and empty texts have no tokens, a factor like their cell's (1 if
+Texts of any length are counted whole, in one pass over their words. Null sources and languages are a value of their own, None among targets; null and empty texts have no tokens, a factor like their cell's (1 if
 the cell has no tokens), and are drawn like others. Repeated rows are drawn alike. An empty table gives an empty result. Targets for values that do not occur
 are left out and the rest scaled to a sum of 1; values without a target keep their share. Extra columns pass through.
 """
