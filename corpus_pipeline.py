@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, near duplicates, secrets, mixing and BPE over whole documents.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the
-last return the columns of documents. `run` writes each stage's rows to the shared folder and reads them back, so that a
+last return the columns of documents. Null and empty texts pass every stage but the draw like others, whole texts of any
+length are worked on, repeated rows become one in the second stage, an empty table gives an empty result, and columns beside
+those of documents, whatever their names, pass through all stages but the last. `run` writes each stage's rows to the shared folder and reads them back, so that a
 lost executor costs no more than the stage at hand.
 """
 
