@@ -20,6 +20,10 @@ parent's probability by its context's weight. `grow` gives the same tree in one
 Counts of words meet the documents' words in a join, but for a bounded table of words that make up at least `hot` of all
 tokens, which is sent to the workers; no vocabulary is collected.
 
+Words and endings of equal counts are taken in the order of their bytes. In each state the words met and, in each class, a
+word not met of weight 0.5 / size have a sum of 1; as any one word not met is given 0.5, a state's words may exceed it by less
+than half the share of one occurrence of the class.
+
 Null and empty texts are one end sign. Texts of any length are scored whole. Repeated rows score alike; ids may repeat.
 An empty table gives an empty result; with no training text counts are zero and distributions even. Extra columns are ignored.
 """
@@ -30,6 +34,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -335,26 +340,34 @@ class Lifts:
         inside[inside] = table[0][place[inside]] == keys[inside]
         return inside, table[1][place[inside]]
 
-    def __call__(self, classes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """The sum of the lifts that are at hand; keys, numbers and lifts without a table row of the grams that need a join."""
-        g = codes(classes, self.size) * self.size + classes
+    def __call__(self, doc: np.ndarray, classes: np.ndarray, docs: int) -> tuple[np.ndarray, ...]:
+        """For the tokens of `docs` texts, one after the other, and the text of each token: by text the sum of the lifts that
+        are at hand; by text and gram that needs a join the text, the key, the number, and the lift without a table row."""
+        size, at = self.size, np.arange(len(classes)) + DEPTH * (doc + 1)
+        padded, g = np.zeros(len(classes) + DEPTH * (docs + 1), np.int64), np.zeros(len(classes), np.int64)
+        padded[at] = classes
+        for k in range(DEPTH, -1, -1):  # the end sign's class stands before each text
+            g = g * size + padded[at - k]
         sent, lifts = self._found(self.hot, g)
-        total = float(lifts.sum(dtype=np.float64))
-        g = g[~sent]
+        total = np.bincount(doc[sent], lifts, docs).astype(np.float64)  # whole numbers where nothing is sent
+        g, doc = g[~sent], doc[~sent]
         h = (g >> self.bits) % FILTER_BITS
         long = (self.kept[h >> 3] >> (h & 7) & 1).astype(bool)
-        g3, k3 = np.unique(g[long], return_counts=True)
-        g2 = g[~long] & ((1 << 3 * self.bits) - 1)
-        weight = self.weight2[g2 >> self.bits]
-        one = self.one[g2 & (self.size * self.size - 1)]
+        short = np.flatnonzero(~long)
+        g2 = g[short] & ((1 << 3 * self.bits) - 1)
+        weight, one = self.weight2[g2 >> self.bits], self.one[g2 & (size * size - 1)]
         below = np.isnan(weight)
-        total += float(one[below].sum(dtype=np.float64))
-        g2, other = g2[~below], (weight + one)[~below]
+        total += np.bincount(doc[short[below]], one[below], docs)
+        short, g2, other = short[~below], g2[~below], (weight + one)[~below]
         sent, lifts = self._found(self.hot2, g2)
-        total += float(lifts.sum(dtype=np.float64))
-        g2, first, k2 = np.unique(g2[~sent], return_index=True, return_counts=True)
-        other = other[~sent][first]
-        return total, np.concatenate((g3, g2 + SHORT)), np.concatenate((k3, k2)), np.concatenate((np.zeros(len(g3)), other))
+        total += np.bincount(doc[short[sent]], lifts, docs)
+        short = short[~sent]
+        key = np.concatenate((g[long], g2[~sent] + SHORT))
+        owner, other = np.concatenate((doc[long], doc[short])), np.concatenate((np.zeros(int(long.sum()), np.float32), other[~sent]))
+        order = np.lexsort((key, owner))
+        key, owner, other = key[order], owner[order], other[order]
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))) if len(key) else np.zeros(0, int)
+        return total, owner[first], key[first], np.diff(np.append(first, len(key))), other[first]
 
 
 def _class_sizes(classes: Classes):
@@ -376,39 +389,33 @@ def score(docs: DataFrame, model: Model, words: DataFrame, total: int, distinct:
     The counts of words and the lifts of grams, hot ones aside, meet the documents' in joins; nothing is dropped. hot_grams is that of train().
     """
     v = math.log10(total + 0.5 * (distinct + 1))
-    table = {bytes(r["word"]): (math.log10(r["c"] + 0.5) - v, model.classes.of(bytes(r["word"]))) for r in words.where(F.col("c") >= max(2.0, hot * total)).toArrow().to_pylist()}  # at most 1 / hot words
-    shared = docs.sparkSession.sparkContext.broadcast((model.classes, Lifts(model), table))
+    sent = words.where(F.col("c") >= max(2.0, hot * total)).toArrow().to_pylist()  # at most 1 / hot words
+    logs = np.array([math.log10(r["c"] + 0.5) - v for r in sent] + [0.0])
+    classes = np.array([model.classes.of(bytes(r["word"])) for r in sent] + [0], np.int64)
+    place = {bytes(r["word"]): i for i, r in enumerate(sent)}
+    shared = docs.sparkSession.sparkContext.broadcast((model.classes, Lifts(model), place, logs, classes))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes_, lifts, hot_words = shared.value
-        known = _Known(lambda w: (math.nan, classes_.of(w)), hot_words)
+        classes_, lifts, place, logs, of_hot = shared.value
+        known = _Known(lambda w: ~classes_.of(w), place)  # hot words by their place, others by the complement of their class
         for b in batches:
-            out: list[list] = [[] for _ in range(4)]
-            words_, counts, at = [], [], [0]
-            grams, times, others, ends = [], [], [], [0]
-            for text in b.column("text").to_pylist():
-                w = words_of(text)
-                logs, classes = zip(*map(known.__getitem__, w), strict=True)
-                logs = np.array(logs)
-                cold = np.isnan(logs)
-                rare = Counter([w[i] for i in np.flatnonzero(cold)])
-                near, rest, k, other = lifts(np.array(classes, np.int64))
-                grams.append(rest)
-                times.append(k)
-                others.append(other)
-                ends.append(ends[-1] + len(rest))
-                for col, x in zip(out, (len(w), len(w) - int(cold.sum()), float(np.nansum(logs)), near), strict=True):
-                    col.append(x)
-                words_ += rare.keys()
-                counts += rare.values()
-                at.append(len(words_))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(counts, pa.int32())], ["word", "k"]))
-            cold_grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(grams or [np.zeros(0)]), pa.int64()), pa.array(np.concatenate(times or [np.zeros(0)]), pa.int32()), pa.array(np.concatenate(others or [np.zeros(0)]), pa.float32())], ["gram", "k", "other"]))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), lists, cold_grams], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare", "grams"])
+            texts_ = list(map(words_of, b.column("text").to_pylist()))
+            n, words_ = np.fromiter(map(len, texts_), np.int64, len(texts_)), list(chain.from_iterable(texts_))
+            at = np.fromiter(map(known.__getitem__, words_), np.int64, len(words_))
+            doc, cold = np.repeat(np.arange(len(n)), n), at < 0
+            base = np.bincount(doc, np.where(cold, 0.0, logs[np.where(cold, -1, at)]), len(n)).astype(np.float64)
+            cold_at = np.flatnonzero(cold).tolist()
+            rare = Counter(zip(doc[cold].tolist(), [words_[i] for i in cold_at], strict=True))  # in order of the texts
+            lift, owner, grams, times, other = lifts(doc, np.where(cold, ~at, of_hot[np.where(cold, -1, at)]), len(n))
+            ends = lambda x: pa.array(np.append(0, np.cumsum(np.bincount(x, minlength=len(n)))), pa.int32())  # noqa: E731, B023
+            lists = pa.ListArray.from_arrays(ends(np.array([d for d, _ in rare], np.int64)), pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int32())], ["word", "k"]))
+            cold_grams = pa.ListArray.from_arrays(ends(owner), pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(times, pa.int32()), pa.array(other, pa.float32())], ["gram", "k", "other"]))
+            n_known = n - np.bincount(doc[cold], minlength=len(n))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(n), pa.array(n_known), pa.array(base), pa.array(lift), lists, cold_grams], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "text")
-    scored = checkpointed(map_arrow(rows, run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lift double, rare array<struct<word:binary,k:int>>, grams array<struct<gram:long,k:int,other:float>>", 256))
+    scored = checkpointed(map_arrow(rows, run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lift double, rare array<struct<word:binary,k:int>>, grams array<struct<gram:long,k:int,other:float>>", 64))
     rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k")
     cold = words.where(F.col("c") < max(2.0, hot * total))
     more = rare.join(cold, "word", "left").groupBy("uid").agg(F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(v))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also"))
