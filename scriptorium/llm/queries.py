@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, html_blocks, iblt, langid, lsh_forest, mixing, partenum, pst, secrets_crf, toxicity
+from scriptorium.llm import bpe, hilbert_zones, html_blocks, iblt, langid, lsh_forest, merkle, mixing, partenum, pst, relative_lz, secrets_crf, toxicity
+from scriptorium.llm import queries_sql as sql
 from scriptorium.llm.common import crc_mod, discard, table
 
 
@@ -74,8 +75,24 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_hilbert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_zones.cluster(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_merkle_octopus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.dedup(table(spark, sf_dir, "documents"), width=13)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets_crf, op2_ipf_mixing, op3_html_blocks, op4_string_kernel_langid, op5_toxicity_trees, op6_iblt_fingerprints, op7_suffix_tree_lm, op8_bpe_automaton, op9_partenum_join, op10_lsh_forest)}
+    every = (
+        op1_secrets_crf, op2_ipf_mixing, op3_html_blocks, op4_string_kernel_langid, op5_toxicity_trees, op6_iblt_fingerprints, op7_suffix_tree_lm,
+        op8_bpe_automaton, op9_partenum_join, op10_lsh_forest, op11_hilbert_zones, op12_merkle_octopus, op13_relative_lz,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP9_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -90,4 +107,4 @@ _OP9_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_a
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what the operator does; the others are tested against brute force in tests/llm."""
-    return {"op9_partenum_join": _OP9_SQL}
+    return {"op9_partenum_join": _OP9_SQL, "op11_hilbert_zones": sql.clusters(), "op12_merkle_octopus": sql.merkle(), "op13_relative_lz": sql.substrings()}
