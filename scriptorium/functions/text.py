@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from scriptorium.functions import vocab
+from scriptorium.functions.distance import substring_distance
 
 
 def _col(c: str | Column) -> Column:
@@ -198,14 +199,8 @@ def snippet(lines: str | Column, text: str | Column, catchphrase: str | Column,
 
 
 def near_score(word: str | Column, query: str) -> Column:
-    """Least edit distance of a window of the word as long as the query (or one more or less), by the query's length; a whole shorter word counts as one window."""
-    w, n = _col(word), len(query)
-
-    def of_size(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1)))
-        return F.array_min(F.transform(starts, lambda i: F.levenshtein(F.substring(w, i, F.lit(size)), F.lit(query))))
-
-    return F.least(F.levenshtein(w, F.lit(query)), *[of_size(size) for size in (n - 1, n, n + 1) if size > 0]) / F.lit(float(n))
+    """The fewest edits between the query and any part of the word, by the query's length."""
+    return substring_distance(word, query) / F.lit(float(len(query)))
 
 
 def highlight(text: str | Column, query: str, context: int = 50) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions import vocab
+from scriptorium.operators.gram_index import GramIndex
 
 #: Fuzzy search runs when exact search finds fewer rows than this, for queries of at least so many characters.
 FUZZY_BELOW, FUZZY_LENGTH, FUZZY_MOST = 12, 3, 0.35
@@ -95,9 +96,9 @@ def normal_query(query: str) -> str:
     return " ".join(unicodedata.normalize("NFC", query.lower()).split())
 
 
-def with_fuzzy(found: DataFrame, indexed: DataFrame, query: str, key: str, keep: Column | None = None) -> DataFrame:
-    """Exact rows, and rows that only fuzzy search finds with a score below any exact one."""
-    near = fuzzy(indexed, query, key).where("near < 1")
+def with_fuzzy(found: DataFrame, indexed: DataFrame, query: str, key: str, keep: Column | None = None, words: GramIndex | None = None) -> DataFrame:
+    """Exact rows, and rows that only fuzzy search finds with a score below any exact one; near words come from a kept index if there is one."""
+    near = (words.rows(query, FUZZY_MOST) if words else fuzzy(indexed, query, key)).where("near < 1")
     rows = indexed if keep is None else indexed.where(keep)
     more = rows.join(near, key).join(found.select(key), key, "left_anti").withColumn("score", (1 - F.col("near")) * 0.5).drop("near")
     return found.unionByName(more)
@@ -111,13 +112,13 @@ def ordered(found: DataFrame, query: str, sort: str, views: str, day: str, tie:
     return found.orderBy(*([F.col("score").desc()] if query else []), by, F.col(tie))
 
 
-def search(indexed: DataFrame, query: str, keep: Column | None = None, sort: str = "views", key: str = "id", views: str = "viewCount", day: str = "uploadDate", below: int = FUZZY_BELOW, seed: int | None = None) -> DataFrame:
-    """Exact search, and fuzzy search where it finds few rows. The gate is one small action: it stops at `below` rows."""
+def search(indexed: DataFrame, query: str, keep: Column | None = None, sort: str = "views", key: str = "id", views: str = "viewCount", day: str = "uploadDate", below: int = FUZZY_BELOW, seed: int | None = None, words: GramIndex | None = None) -> DataFrame:
+    """Exact search, and fuzzy search where it finds few rows. The gate is one small action: it stops at `below` rows. The index's own columns are not sorted along."""
     q = normal_query(query)
     found = exact(indexed, q, keep)
     if len(q) >= FUZZY_LENGTH and found.limit(below).count() < below:
-        found = with_fuzzy(found, indexed, q, key, keep)
-    return ordered(found, q, sort, views, day, key, seed)
+        found = with_fuzzy(found, indexed, q, key, keep, words)
+    return ordered(found.drop("fields", "combined"), q, sort, views, day, key, seed)
 
 
 def page(found: DataFrame, number: int = 1, size: int = 48) -> DataFrame:

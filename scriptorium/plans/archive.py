@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 from scriptorium.functions import vocab
 from scriptorium.operators import canon, discover, relational, search, stats
+from scriptorium.operators.gram_index import GramIndex
 from scriptorium.sources import readers, writers
 
 
 class Archive:
-    """Catalogue rows with their search index. Rows are catalogue rows; save() keeps them with the index, which open() reads again."""
+    """Catalogue rows with their search index. Rows are catalogue rows; save() keeps them with the index and its words' grams, which open() reads again."""
 
-    def __init__(self, rows: DataFrame, pattern: str = vocab.ARCHIVE_WORD, suffixes: Sequence[str] = vocab.NAME_SUFFIXES, other: str = vocab.OTHER_PLACE):
+    def __init__(self, rows: DataFrame, pattern: str = vocab.ARCHIVE_WORD, suffixes: Sequence[str] = vocab.NAME_SUFFIXES, other: str = vocab.OTHER_PLACE, words: GramIndex | None = None):
+        self.words = words
         self.indexed = rows if "combined" in rows.columns else search.index(rows)
         self.pattern, self.suffixes, self.other = pattern, suffixes, other
 
@@ -29,10 +31,11 @@ class Archive:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Archive:
-        return cls(spark.read.parquet(path))
+        return cls(spark.read.parquet(f"{path}/rows"), words=GramIndex(spark, f"{path}/words"))
 
     def save(self, path: str) -> Archive:
-        self.indexed.write.mode("errorifexists").parquet(path)
+        self.indexed.write.mode("errorifexists").parquet(f"{path}/rows")
+        GramIndex.build(search.word_index(self.indexed.sparkSession.read.parquet(f"{path}/rows"), "id"), f"{path}/words", "id")
         return Archive.open(self.indexed.sparkSession, path)
 
     @property
@@ -45,7 +48,7 @@ class Archive:
 
     def search(self, query: str, sort: str = "views", page: int | None = None, seed: int | None = None, **facets) -> DataFrame:
         """Ranked rows; facets as in search.filters()."""
-        found = search.search(self.indexed, query, search.filters(**facets), sort, seed=seed).drop("fields", "combined")
+        found = search.search(self.indexed, query, search.filters(**facets), sort, seed=seed, words=self.words)
         return found if page is None else search.page(found, page)
 
     def by_id(self, key: str) -> DataFrame:

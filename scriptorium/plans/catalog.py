@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import canon, discover, relational, search, stats, transcripts, usage
+from scriptorium.operators.gram_index import GramIndex
 from scriptorium.plans.registry import QUERIES, SQL, register
-from scriptorium.plans.session import table
+from scriptorium.plans.session import kept, table
 from scriptorium.sources import readers
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,8 +62,16 @@ _SCORE = "CAST(greatest(4 * CAST(contains(f_src, '{q}') AS INT) + 3 * CAST(conta
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without transliteration tables, as these tables' alphabets have none; text is composed by the function itself."""
-    return search.index(as_catalogue(spark, sf_dir), tables=())
+    """The search index over documents, written once and read by every search. Without transliteration tables, as these
+    tables' alphabets have none; text is composed by the function itself."""
+    made = lambda home: search.index(as_catalogue(spark, sf_dir), tables=()).write.parquet(f"{home}/rows")
+    return spark.read.parquet(f"{kept(spark, 'documents index', f'{sf_dir}/documents.parquet', made)}/rows")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """The grams of the index's words, written once."""
+    made = lambda home: GramIndex.build(search.word_index(_index(spark, sf_dir), "doc_id"), f"{home}/words", "doc_id")
+    return GramIndex(spark, f"{kept(spark, 'documents words', f'{sf_dir}/documents.parquet', made)}/words", "doc_id")
 
 
 @register(f"WITH {_INDEXED} SELECT doc_id, lang, n_chars AS views, {_SCORE.format(q='tion the')} AS score FROM ix WHERE contains(combined, 'tion the')")
@@ -110,10 +119,35 @@ def search_with_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.with_fuzzy(found, docs, "thang", "doc_id").select("doc_id", "score")
 
 
-@register()
+def sellers_sql(word: str, query: str) -> str:
+    """The least edit distance between the query and any part of a word, by rows of distances; the last number is the least so far."""
+    n, codes = len(query), "[" + ", ".join(str(ord(c)) for c in query) + "]"
+    base = f"list_transform(range(0, {n + 1}), lambda j: CASE WHEN j = 0 THEN 0 ELSE least(r[j] + CAST({codes}[j] <> c[1] AS INT), r[j + 1] + 1) - j END)"
+    row = f"list_transform([{base}], lambda b: list_transform(range(0, {n + 1}), lambda j: j + list_min(b[1:j + 1])))[1]"
+    step = f"list_transform([{row}], lambda x: list_concat(x, [least(r[{n + 2}], x[{n + 1}])]))[1]"
+    start = f"list_concat(range(0, {n + 1}), [{n}])"
+    return f"list_reduce(list_concat([{start}], list_transform(list_filter(string_split({word}, ''), lambda x: x <> ''), lambda x: [CAST(unicode(x) AS BIGINT)])), lambda r, c: {step})[{n + 2}]"
+
+
+_TYPO = "thbleonst"
+_VOCABULARY = "xw AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split(combined, ' ')) AS word FROM ix) WHERE length(word) >= 2), xv AS (SELECT DISTINCT word FROM xw)"
+
+
+@register(f"WITH {_INDEXED}, {_VOCABULARY} SELECT word, {sellers_sql('word', _TYPO)} / CAST({len(_TYPO)} AS DOUBLE) AS near FROM xv WHERE {sellers_sql('word', _TYPO)} <= 3")
+def near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents with a part within three edits of a query, from the kept lists of its grams."""
+    return _words(spark, sf_dir).near(_TYPO, search.FUZZY_MOST)
+
+
+@register(
+    f"""WITH {_INDEXED}, {_VOCABULARY}, xn AS (SELECT word, {sellers_sql('word', _TYPO)} / CAST({len(_TYPO)} AS DOUBLE) AS near FROM xv),
+ xe AS (SELECT doc_id, {_SCORE.format(q=_TYPO)} AS score FROM ix WHERE contains(combined, '{_TYPO}'))
+ SELECT * FROM xe UNION ALL SELECT doc_id, (1 - min(near)) * CAST(0.5 AS DOUBLE) AS score FROM xw JOIN xn USING (word)
+ WHERE near <= 0.35 AND near < 1 AND (SELECT count(*) FROM xe) < {search.FUZZY_BELOW} AND doc_id NOT IN (SELECT doc_id FROM xe) GROUP BY doc_id"""
+)
 def search_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search with its gate, which is a small action and not SQL."""
-    return search.search(_index(spark, sf_dir), "thbleonst", key="doc_id").select("doc_id", "score")
+    """The whole search with its gate, which is one small action, over the kept index and the kept lists of grams."""
+    return search.search(_index(spark, sf_dir), _TYPO, key="doc_id", words=_words(spark, sf_dir)).select("doc_id", "score")
 
 
 @register("SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(nfc_normalize(concat_ws(' ', source, text, lang, source))), '\\s+', ' ', 'g')), ' ')) AS word FROM documents) WHERE length(word) >= 2")

@@ -32,3 +32,28 @@ def scratch(spark: SparkSession) -> str:
     if not home and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{home or '/tmp/checkpoints'}/scratch-{uuid.uuid4().hex}"
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files, from listings alone."""
+    import hashlib
+
+    found = []
+    for name in spark.read.parquet(path).inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        s = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        found.append(f"{name} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+_KEPT: dict[tuple[str, ...], str] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, build) -> str:
+    """The folder of what build(folder) made of a table; it is made once for each application and state of the table's files."""
+    key = (spark.sparkContext.applicationId, name, fingerprint(spark, source))
+    if key not in _KEPT:
+        home = scratch(spark)
+        build(home)
+        _KEPT[key] = home
+    return _KEPT[key]
