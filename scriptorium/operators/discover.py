@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions import vocab
+from scriptorium.operators.phrases import tiles
 
 
 def related(rows: DataFrame, bridge: DataFrame, target, key: str, value: str, place: str, views: str, other: str | None = vocab.OTHER_PLACE, limit: int = 6) -> DataFrame:
@@ -27,26 +28,6 @@ def related(rows: DataFrame, bridge: DataFrame, target, key: str, value: str, pl
     return scored.orderBy((F.col("score") > 0).desc(), F.col("score").desc(), F.coalesce(F.col(views), F.lit(0)).desc(), key).limit(limit)
 
 
-def related_all(bridge: DataFrame, rows: DataFrame, key: str, value: str, views: str, most: int, limit: int = 6) -> DataFrame:
-    """(key, other, score): the best related rows of every row by shared values.
-
-    A value shared by more than `most` rows adds less than 1 / most to any score; such values are scored only for pairs
-    that a rarer value has already found, by a join on the pair, so a hub value never makes all pairs of its rows.
-    Rows without a rarer value have no partners here; related() serves them one by one.
-    """
-    b = bridge.select(key, value).distinct()
-    freq = b.groupBy(value).agg(F.count("*").alias("f"))
-    rare = b.join(freq.where(F.col("f") <= most), value)
-    pairs = rare.alias("x").join(rare.alias("y"), value).where(f"x.{key} <> y.{key}").groupBy(F.col(f"x.{key}").alias(key), F.col(f"y.{key}").alias("other")).agg(F.sum(1 / F.col("x.f")).alias("score"))
-    hubs = b.join(freq.where(F.col("f") > most), value)
-    held = hubs.groupBy(key).agg(F.collect_list(F.struct(value, "f")).alias("h"))  # one row's own values
-    both = pairs.join(held, key, "left").join(held.select(F.col(key).alias("other"), F.col("h").alias("g")), "other", "left")
-    extra = F.aggregate(F.array_intersect("h", "g"), F.lit(0.0), lambda s, x: s + 1 / x["f"])
-    scored = both.select(key, "other", F.round(F.col("score") + F.coalesce(extra, F.lit(0.0)), 6).alias("score")).join(rows.select(F.col(key).alias("other"), F.coalesce(F.col(views), F.lit(0)).alias("v")), "other")
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("v").desc(), "other")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(key, "other", "score", "rank")
-
-
 def find_by_name(rows: DataFrame, name: str, views: str, key: str, actors: Column, roles: Column, spoken: Column, lines: str, text: str, catchphrase: str, suffixes: Sequence[str] = vocab.NAME_SUFFIXES, pattern: str = vocab.ANY_WORD) -> DataFrame:
     """Rows with a name: `actor` if the cast has it, else `mention` with a snippet; nothing for a blank name."""
     n = " ".join(name.lower().split())
@@ -86,28 +67,9 @@ def catchphrases(rows: DataFrame, phrase: str, order: str, top: int = 4) -> Data
     return rows.where(F.col(phrase) != "").orderBy(order).limit(top).select(order, phrase)
 
 
-def phrase_tiles(phrases: DataFrame, phrase: str, docs: DataFrame, text: str, key: str, views: str, word: int = 4, most_short: int = 1_000) -> DataFrame:
+def phrase_tiles(phrases: DataFrame, phrase: str, docs: DataFrame, text: str, key: str, views: str) -> DataFrame:
     """For each phrase the most viewed document that contains it (the least key of equals); phrases without one are left out.
 
-    Containment needs the phrase's longest inner word in the document, so candidates come from an equi-join on distinct words
-    and only those are searched. Phrases without such a word, of which there may be `most_short`, are all searched for in
-    one pass over the texts; more of them are an error and not a cut.
+    All phrases, of any length, are looked for in one reading of the texts.
     """
-    size = F.size(F.split(F.col(phrase), " "))
-    # The first and last pieces may be parts of longer words.
-    whole = F.filter(F.slice(F.split(F.col(phrase), " "), F.lit(2), F.greatest(size - 2, F.lit(0))), lambda w: F.length(w) >= word)
-    longest = F.array_max(F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    p = phrases.select(F.col(phrase).alias("phrase"), longest.alias("w"))
-    d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(views), F.lit(0)).alias("views"), F.col(text).alias("text"))
-    keyed = p.where("w is not null")
-    # Words travel with keys only; texts come in for the pairs that share a word.
-    tokens = d.select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    hits = tokens.join(keyed, "w").select("key", "phrase").distinct().join(d, "key").where(F.contains("text", F.col("phrase"))).select("phrase", "key", "views")
-    short = [r.phrase for r in p.where("w is null and phrase is not null").select("phrase").distinct().limit(most_short + 1).collect()]
-    if len(short) > most_short:
-        raise ValueError(f"more than {most_short} phrases without a word of {word} letters inside")
-    if short:
-        held = F.filter(F.array(*map(F.lit, short)), lambda x: F.contains(F.col("text"), x))
-        hits = hits.unionByName(d.select(F.explode(held).alias("phrase"), "key", "views"))
-    best = hits.groupBy("phrase").agg(F.min(F.struct((-F.col("views")).alias("v"), F.col("key").alias("key"))).alias("b"))
-    return best.select("phrase", F.col("b.key").alias("key"), (-F.col("b.v")).alias("views"))
+    return tiles(docs, text, key, views, phrases, phrase)

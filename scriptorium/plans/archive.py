@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions import vocab
-from scriptorium.operators import canon, discover, relational, search, stats
+from scriptorium.operators import canon, discover, kin, relational, search, stats
 from scriptorium.operators.gram_index import GramIndex
 from scriptorium.sources import readers, writers
 
@@ -65,6 +65,10 @@ class Archive:
     def related(self, key: str, limit: int = 6) -> DataFrame:
         return discover.related(self.rows, self.bridge, key, "id", "actor", "location", "viewCount", self.other, limit)
 
+    def related_every(self, limit: int = 6) -> DataFrame:
+        """The related rows of all rows, with their rank."""
+        return kin.related_every(self.rows, self.bridge, "id", "actor", "location", "viewCount", self.other, limit)
+
     def actor_names(self) -> DataFrame:
         return discover.actor_names(self.bridge, "actor")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import canon, discover, relational, search, stats, transcripts, usage
+from scriptorium.operators import canon, discover, kin, phrases, relational, search, stats, transcripts, usage
 from scriptorium.operators.gram_index import GramIndex
 from scriptorium.plans.registry import QUERIES, SQL, register
 from scriptorium.plans.session import kept, table
@@ -420,6 +420,22 @@ def related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.related(rows, cast_bridge(spark, sf_dir), 1, "o_orderkey", "actor", "o_orderpriority", "views", other="5-LOW").select("o_orderkey", "score", "views")
 
 
+#: Customers by the parts that they bought and, as a value that many share, their nation; the segment is the place.
+_KIN = """kb AS (SELECT DISTINCT o_custkey AS k, 'p' || l_partkey AS a FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT c_custkey, 'n' || c_nationkey FROM customer),
+ kf AS (SELECT a, count(*) AS f FROM kb GROUP BY a), kw AS (SELECT x.k AS k, y.k AS s, sum(1.0::DOUBLE / f) AS w FROM kb x JOIN kb y ON x.a = y.a AND x.k <> y.k JOIN kf ON kf.a = x.a GROUP BY 1, 2),
+ ks AS (SELECT c.c_custkey AS k, d.c_custkey AS s, round(coalesce(w, 0) + CASE WHEN c.c_mktsegment = d.c_mktsegment AND c.c_mktsegment <> 'MACHINERY' THEN 0.05 ELSE 0 END, 6)::DOUBLE AS score, floor(d.c_acctbal) AS v
+ FROM customer c JOIN customer d ON c.c_custkey <> d.c_custkey LEFT JOIN kw ON kw.k = c.c_custkey AND kw.s = d.c_custkey)"""
+
+
+@register(f"WITH {_KIN} SELECT k AS c_custkey, CAST(r AS INTEGER) AS rank, s AS other, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, v DESC, s) AS r FROM ks) WHERE r <= 6")
+def related_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six most related customers of every customer, filled with those of the highest balance."""
+    c = table(spark, sf_dir, "customer").withColumn("v", F.floor("c_acctbal"))
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"))
+    bridge = bought.unionByName(c.select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("a")))
+    return kin.related_every(c, bridge, "c_custkey", "a", "c_mktsegment", "v", other="MACHINERY", hub=50)
+
+
 @register(f"WITH {BRIDGE} SELECT 'Brand#11' AS name, count(*) AS n, CAST(sum({VIEWS}) AS BIGINT) AS views, CAST(floor(avg({VIEWS}) + 0.5) AS BIGINT) AS avg_views FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM bridge WHERE actor = 'Brand#11')")
 def actor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.actor_profile(orders(spark, sf_dir), cast_bridge(spark, sf_dir), "Brand#11", "o_orderkey", "actor", "views")
@@ -441,8 +457,54 @@ def catchphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT phrase, doc_id AS key, n_chars AS views FROM h WHERE r = 1"""
 )
 def phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase")).distinct()
-    return discover.phrase_tiles(phrases, "phrase", table(spark, sf_dir, "documents"), "text", "doc_id", "n_chars")
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase")).distinct()
+    return discover.phrase_tiles(wanted, "phrase", table(spark, sf_dir, "documents"), "text", "doc_id", "n_chars")
+
+
+#: Distinct words, pairs of words and characters of the benchmark's texts.
+_PHRASES = """pw AS (SELECT list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM benchmark),
+ ph AS (SELECT DISTINCT p AS phrase FROM (SELECT unnest(w) AS p FROM pw UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) FROM pw UNION ALL SELECT unnest(string_split(array_to_string(w, ' '), '')) FROM pw) WHERE p <> '')"""
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "benchmark").select(F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+    pairs = F.transform(F.expr("sequence(0, size(w) - 2)"), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
+    parts = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.expr("cast(array() as array<string>)")), F.regexp_extract_all(F.array_join("w", " "), F.lit("(?s)."), F.lit(0)))
+    return w.select(F.explode(parts).alias("phrase")).distinct()
+
+
+@register(f"WITH {_PHRASES} SELECT phrase, count(*) AS n FROM ph JOIN documents ON contains(text, phrase) GROUP BY phrase")
+def phrases_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each of many phrases is, single characters too."""
+    return phrases.held(table(spark, sf_dir, "documents"), "text", "doc_id", _phrases(spark, sf_dir), "phrase").groupBy("phrase").agg(F.count("*").alias("n"))
+
+
+@register(
+    f"""WITH t AS (SELECT list_filter({_W}, lambda x: length(x) > 1) AS w FROM documents),
+ p AS (SELECT unnest(list_zip(w[1:len(w)-1], w[2:len(w)])) AS z FROM t WHERE len(w) >= 2),
+ b AS (SELECT z[1] || ' ' || z[2] AS phrase, count(*) AS n FROM p WHERE length(z[1]) >= 3 AND length(z[2]) >= 3 AND z[1] NOT IN {STOP} AND z[2] NOT IN {STOP} GROUP BY 1 ORDER BY n DESC, phrase LIMIT 12),
+ h AS (SELECT b.phrase, b.n, doc_id, n_chars, row_number() OVER (PARTITION BY b.phrase ORDER BY n_chars DESC, doc_id) AS r FROM b JOIN documents ON contains({_FOLD.format('text')}, b.phrase))
+ SELECT phrase, n, doc_id AS key, n_chars AS views FROM h WHERE r = 1"""
+)
+def phrase_tiles_of_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent word pairs with the most viewed document that has them side by side."""
+    docs = table(spark, sf_dir, "documents")
+    top = stats.bigram_counts(docs, F.col("text"), stop=STOP)
+    found = discover.phrase_tiles(top, "phrase", docs.withColumn("said", T.fold("text")), "said", "doc_id", "n_chars")
+    return found.join(top, "phrase").select("phrase", "n", "key", "views")
+
+
+_NAMES = "SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 4"
+
+
+@register(
+    f"""WITH nm AS ({_NAMES}), f AS (SELECT name, name || unnest({list(ENDS)}) AS form FROM nm), w AS (SELECT DISTINCT doc_id, unnest({_W}) AS form FROM documents)
+ SELECT name, count(DISTINCT doc_id) AS n FROM nm LEFT JOIN f USING (name) LEFT JOIN w USING (form) GROUP BY name"""
+)
+def mentions_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each of many names is, with or without an ending."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(T.words("text", "[a-z]+")).alias("name")).where(F.length("name") >= 4).distinct()
+    return phrases.mentions(table(spark, sf_dir, "documents"), T.words("text"), names, "name", ENDS)
 
 
 # --- Ingest

@@ -142,14 +142,6 @@ def test_related_puts_rare_first_and_fills(spark):
     assert [r.id for r in got] == ["rare", "here", "lead", "none"] and got[0].score == 0.5 and got[1].score == pytest.approx(0.383333)
 
 
-def test_related_all_agrees_with_related(spark):
-    _, bridge = related_fixture(spark)
-    rows = related_fixture(spark)[0]
-    full = {(r.id, r.other): r.score for r in discover.related_all(bridge, rows, "id", "actor", "v", most=100).collect()}
-    assert full["t", "rare"] == 0.5 and full["t", "lead"] == pytest.approx(0.333333)
-    assert {k for k in {(r.id, r.other) for r in discover.related_all(bridge, rows, "id", "actor", "v", most=2).collect()}} == {("t", "rare"), ("rare", "t")}
-
-
 def test_find_by_name(spark):
     rows = sketches(spark, sketch("1", actors=["Անի"], viewCount=1), sketch("2", text="եկավ Անին", lines=["բարև", "եկավ Անին"], viewCount=9), sketch("3", text="բանի"))
     find = lambda n: discover.find_by_name(rows, n, "viewCount", "id", F.array_join("actors", " "), F.col("rolesNames"), F.concat_ws(" ", "text", "textCommon"), "lines", "text", "textCommon")
@@ -307,8 +299,9 @@ def test_short_phrases_are_searched_in_one_pass(spark):
     phrases = spark.createDataFrame([("a b",), ("zz",), ("no",)], "p string")
     got = {r.phrase: r.key for r in discover.phrase_tiles(phrases, "p", docs, "t", "k", "v").collect()}
     assert got == {"a b": 2, "no": 3}
-    with pytest.raises(ValueError):
-        discover.phrase_tiles(phrases, "p", docs, "t", "k", "v", most_short=2)
+    many = spark.createDataFrame([(f"{a}{b}",) for a in map(chr, range(97, 123)) for b in ["", *map(chr, range(97, 123))]], "p string")
+    got = {r.phrase: r.key for r in discover.phrase_tiles(many, "p", docs, "t", "k", "v").collect()}
+    assert got == {"a": 2, "b": 2, "c": 1, "x": 2, "n": 3, "o": 3, "e": 3, "no": 3, "on": 3, "ne": 3}
 
 
 @pytest.mark.parametrize("most", [1, 7, 50_000])
