@@ -355,3 +355,70 @@ def derived_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key made of other columns, checked in the same pass."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return relational.checked_key(d, F.concat_ws("-", "lang", F.col("doc_id").cast("string")), "made").select("doc_id", "made")
+
+
+# --- Streams over the usage log
+
+_KINDS = """CASE event_id % 10 WHEN 0 THEN {one} WHEN 1 THEN concat('[', {one}, ', {{"query": "only"}}]') WHEN 2 THEN 'no json' WHEN 3 THEN '[1, "x", {{"type": null}}]' WHEN 4 THEN '5'
+ WHEN 5 THEN concat({one}, ' trailing') WHEN 6 THEN '[]' WHEN 7 THEN '[{{"type": "open"}}, null]' WHEN 8 THEN '{{"resultCount": "many"}}' END"""
+_REQUEST = _KINDS.format(one=_ONE)
+
+
+@register(
+    """SELECT 'log' AS place, type AS kind, count(*) AS n, count(DISTINCT event_id) AS requests FROM (
+ SELECT event_id, event_type AS type FROM events WHERE event_id % 10 IN (0, 1) UNION ALL SELECT event_id, 'unknown' FROM events WHERE event_id % 10 IN (1, 4) UNION ALL SELECT event_id, unnest(['unknown', 'unknown', 'unknown']) FROM events WHERE event_id % 10 = 3) GROUP BY type
+ UNION ALL SELECT 'quarantine', CASE WHEN event_id % 10 IN (7, 8) THEN 'failed' ELSE 'broken' END, count(*), count(*) FROM events WHERE event_id % 10 IN (2, 5, 7, 8, 9) GROUP BY 2"""
+)
+def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of events as a stream into the log and the quarantine; each request is in one of the two, unless it has no events at all."""
+    from scriptorium.plans.session import scratch
+    from scriptorium.streaming import ledger as L
+
+    home, schema = scratch(spark), table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    requests = stream.select(F.col("event_id").cast("string").alias("request"), F.expr(_REQUEST.replace("as T", "as string")).alias("body"), F.lit("agent").alias("ua"))
+    books = L.Ledger(spark, home)
+    L.ingest(requests, books).awaitTermination()
+    log, bad = books.table("log"), books.table("quarantine")
+    return log.groupBy(F.lit("log").alias("place"), F.col("type").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("request").alias("requests")).unionByName(
+        bad.groupBy(F.lit("quarantine").alias("place"), F.col("status").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("request").alias("requests"))
+    )
+
+
+@register("SELECT event_id FROM (SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) >= 3600000000")
+def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after which their user was quiet for an hour, by a stream with state and timers; what is undecided at the end of the input comes from the batch report."""
+    from scriptorium.plans.session import scratch
+    from scriptorium.streaming import debounce
+
+    events, home = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark)
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    before = debounce.with_timers(spark)
+    try:
+        out = debounce.debounced(stream, "user_id", "ts", "event_id", 3600, "10 minutes")
+        out.writeStream.format("parquet").option("path", f"{home}/quiet").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        debounce.restore(spark, before)
+    decided = spark.read.schema("session string, ts timestamp, id long").parquet(f"{home}/quiet").select(F.col("id").alias("event_id"))
+    end = events.agg(F.max("ts")).first()[0]
+    open_ = usage.settled(events.select("event_id", "user_id", "ts"), "user_id", "ts", 3600, ties=("event_id",)).where(F.lit(end).isNotNull() & (F.col("ts") + F.expr("interval 1 hour 10 minutes") > F.lit(end)))
+    return decided.unionByName(open_.select("event_id").join(decided, "event_id", "left_anti"))
+
+
+_VISITS = """e AS (SELECT user_id, ts, event_type, json_extract_string(props, '$.k') AS k, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 1800000000, true) AS fresh FROM events),
+ n AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM e)"""
+
+
+@register(f"WITH {_VISITS} SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS stop_us, count(*) AS n_events, count(DISTINCT k) FILTER (WHERE event_type = 'view') AS n_opens FROM n GROUP BY user_id, visit")
+def visits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users by gaps of half an hour, with the items opened in each counted once, as a stream; sessions still open at the end of the input come from the batch report."""
+    from scriptorium.plans.session import scratch
+
+    home, item = scratch(spark), F.when(F.col("event_type") == "view", F.get_json_object("props", "$.k"))
+    timed = lambda d: d.withColumn("ts", F.col("ts").cast("timestamp"))
+    events = timed(table(spark, sf_dir, "events"))
+    stream = timed(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")).withWatermark("ts", "10 minutes")
+    usage.visits(stream, "user_id", "ts", item).writeStream.format("parquet").option("path", f"{home}/visits").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema("user_id long, start timestamp, stop timestamp, n_events long, items array<string>").parquet(f"{home}/visits")
+    open_ = usage.visits(events, "user_id", "ts", item).join(closed.select("user_id", "start"), ["user_id", "start"], "left_anti")
+    return closed.unionByName(open_).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n_events", F.size("items").cast("long").alias("n_opens"))
