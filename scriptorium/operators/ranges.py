@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a range, and most ranges; with more rows ranges grow.
-ROWS, MOST = 5_000, 50_000
+#: Bits of a row's number within its task in monotonically_increasing_id().
+_ROW = 33
 
 
-def placed(rows: DataFrame, order: str, *ties: str, size: int = ROWS, most: int = MOST) -> DataFrame:
+def placed(rows: DataFrame, order: str, *ties: str) -> DataFrame:
     """Rows with `_place`, their position from 0 in order of a number and then the ties; null numbers come first.
 
-    Ranges have about equal numbers of rows, however the numbers are spread: they are cut at approximate percentiles, at
-    most `most` of them. A row's place is the rows of all ranges before plus its place in its own. Rows of one number share a
-    range.
+    Rows are dealt by ranges, sorted within them and written once to the shared folder, each with its task and its place there; a row's position
+    is then the rows of all tasks before and its own place. Rows that are alike in number and ties may lie in several ranges.
     """
-    key = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
-    keyed = rows.withColumn("_key", key)
-    n = keyed.count()
-    ranges = max(1, min(most, math.ceil(n / size)))
-    cuts = sorted(set(keyed.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0])) if ranges > 1 else []
-    if cuts:
-        width = math.isqrt(len(cuts)) + 1
-        fine = [[(v, i) for i, v in enumerate(cuts[a : a + width], a + 1)] for a in range(0, len(cuts), width)]
-        table = rows.sparkSession.createDataFrame([(1, [c[0][0] for c in fine], fine)], "_one int, _heads array<double>, _fine array<array<struct<v:double,i:int>>>")
-        keyed = keyed.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one")  # one row of at most `most` cuts
-        part = "element_at(_fine, greatest(1, size(filter(_heads, x -> x <= _key))))"
-        keyed = keyed.withColumn("_range", F.expr(f"coalesce(try_element_at({part}, nullif(size(filter({part}, x -> x.v <= _key)), 0)).i, 0)")).drop("_one", "_heads", "_fine")
-    else:
-        keyed = keyed.withColumn("_range", F.lit(0))
-    counts = keyed.groupBy("_range").agg(F.count("*").alias("_m"))
-    before = counts.select("_range", F.coalesce(F.sum("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # at most `most` rows
-    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key", *ties)) - 1
-    return keyed.join(F.broadcast(before), "_range").withColumn("_place", F.col("_before") + own).drop("_range", "_before", "_key")
+    from pyspark.sql.types import StructType
+
+    from scriptorium.plans.session import scratch
+
+    spread = rows.withColumn("_tie", F.monotonically_increasing_id())
+    laid = spread.repartitionByRange(F.col(order).asc_nulls_first(), *ties, "_tie").sortWithinPartitions(F.col(order).asc_nulls_first(), *ties, "_tie")
+    at = F.monotonically_increasing_id()
+    numbered = laid.withColumn("_part", F.shiftright(at, _ROW).cast("int")).withColumn("_i", at.bitwiseAND(F.lit((1 << _ROW) - 1))).drop("_tie")
+    home = scratch(rows.sparkSession)
+    numbered.write.parquet(home)
+    kept = rows.sparkSession.read.schema(StructType(numbered.schema.fields)).parquet(home)
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each task
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return kept.join(F.broadcast(before), "_part").withColumn("_place", F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 from scriptorium.functions import vocab
 from scriptorium.operators import canon, discover, relational, search, transcripts, usage
+from scriptorium.operators.ranges import placed
+from scriptorium.operators.shuffled import PRIME, Permutation, random_page
 from scriptorium.plans.registry import register
 from scriptorium.plans.session import table
+from scriptorium.sources import readers, writers
+from scriptorium.sources.versions import Versions, refresh
 
 # --- Parsers
 
@@ -422,3 +426,82 @@ def visits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = spark.read.schema("user_id long, start timestamp, stop timestamp, n_events long, items array<string>").parquet(f"{home}/visits")
     open_ = usage.visits(events, "user_id", "ts", item).join(closed.select("user_id", "start"), ["user_id", "start"], "left_anti")
     return closed.unionByName(open_).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n_events", F.size("items").cast("long").alias("n_opens"))
+
+
+# --- Kept tables: versions, the clustered log, pages of a random order
+
+
+@register("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's latest event by two upserts into a versioned table, read as its current version."""
+    from scriptorium.plans.session import scratch
+
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    users = Versions(spark, scratch(spark), "user_id")
+    for part in ("event_type = 'view'", "event_type <> 'view'", "event_type is null"):
+        users.upsert(e.where(part), "ts", "event_id")
+    return users.read().select("user_id", "event_id", "event_type", "value")
+
+
+@register(
+    """SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(CASE WHEN l.doc_id IS NOT NULL THEN d.source ELSE d.lang END || ' ' || text)), '\\s+', ' ', 'g')) AS folded, CASE WHEN l.doc_id IS NOT NULL THEN 2 ELSE 1 END AS made
+ FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l USING (doc_id)"""
+)
+def refreshed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived search text after an upsert of the documents that are labelled toxic: only their rows are made anew."""
+    from scriptorium.plans.session import scratch
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("head"), "text", F.lit(1).alias("stamp"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    changes = table(spark, sf_dir, "documents").join(toxic, "doc_id", "left_semi").select("doc_id", F.col("source").alias("head"), "text", F.lit(2).alias("stamp"))
+    home = scratch(spark)
+    base, derived = Versions(spark, f"{home}/rows", "doc_id", 16), Versions(spark, f"{home}/folded", "doc_id", 16)
+    fold = lambda rows: rows.select("doc_id", T.normalize(F.concat_ws(" ", "head", "text")).alias("folded"), "_digest")
+    for part in (docs, changes):
+        base.upsert(part, "stamp", "head")
+        refresh(derived, base, ["head", "text"], fold)
+    return derived.read().select("doc_id", "folded", F.col("_made").alias("made"))
+
+
+_LOGGED = "SELECT event_id, event_type AS type, 's' || user_id AS session_id, CAST(floor(value) AS BIGINT) AS whole FROM events"
+
+
+@register(f"{_LOGGED} WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20' UNION ALL {_LOGGED} WHERE user_id = 42")
+def served_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log clustered by type and time, asked for one type in some days, and for one session."""
+    from scriptorium.plans.session import kept
+
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.get_json_object("props", "$.k").alias("sketch_id"), "value")
+    made = lambda home: writers.clustered_log(events, f"{home}/log")
+    path = f"{kept(spark, 'clustered log', f'{sf_dir}/events.parquet', made)}/log"
+    found = readers.served_log(spark, path, ["purchase"], "2024-01-03", "2024-01-20").unionByName(readers.served_log(spark, path, session="s42"))
+    return found.select("event_id", "type", "session_id", F.floor("value").cast("long").alias("whole"))
+
+
+def _positions(n: str, place: str, seed: int) -> str:
+    """A place's position in the random order: the rounds backwards, each undoing itself."""
+    rounds = ", ".join(f"[{u}, {a}, {b}]" for u, a, b in reversed(Permutation(1, seed).rounds))
+    mirror = f"((r[1] * {n} // {1 << 30} - x[1]) % {n} + {n}) % {n}"
+    return f"list_reduce(list_concat([[{place}, 0, 0]], [{rounds}]), lambda x, r: CASE WHEN ((greatest(x[1], {mirror}) % {PRIME} * r[2] + r[3]) % {PRIME} // 4096) % 2 = 1 THEN [{mirror}, 0, 0] ELSE x END)[1]"
+
+
+@register(
+    f"""WITH f AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS place, CAST(count(*) OVER () AS BIGINT) AS n FROM documents WHERE contains(text, 'th')),
+ p AS (SELECT doc_id, CAST({_positions('n', 'place', 11)} AS BIGINT) AS spot FROM f) SELECT CAST(spot // 48 AS INTEGER) AS page, CAST(spot % 48 AS INTEGER) AS slot, doc_id FROM p WHERE spot < 240"""
+)
+def random_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five pages of a random order of an answer, page by page; places are given once, and then no row is drawn or sorted."""
+    found = placed(table(spark, sf_dir, "documents").where(F.contains("text", F.lit("th"))).select("doc_id"), "doc_id")
+    n = found.count()
+    pages = [random_page(found, "_place", n, seed=11, page=k).select(F.lit(k).alias("page"), "slot", "doc_id") for k in range(5)]
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(f"WITH f AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS place, CAST(count(*) OVER () AS BIGINT) AS n FROM documents) SELECT doc_id, CAST({_positions('n', 'place', 5)} AS BIGINT) AS spot FROM f")
+def random_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's position in a random order."""
+    rows = placed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return rows.select("doc_id", Permutation(max(1, rows.count()), 5).position("_place").alias("spot"))

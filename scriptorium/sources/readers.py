@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +83,16 @@ def error_rows(failed: DataFrame, key: str, error: str, original_url: str = "")
 def caption_languages(files: DataFrame, file: str = "file") -> DataFrame:
     """Distinct languages of caption files, in order."""
     return files.select(T.caption_file(file)["lang"].alias("lang")).where("lang <> ''").distinct().orderBy("lang")
+
+
+def served_log(spark: SparkSession, path: str, kinds: Sequence[str] = (), since: str | None = None, until: str | None = None, session: str | None = None, sketch: str | None = None) -> DataFrame:
+    """Events of a clustered log by type, time (from `since` up to before `until`), session and sketch; all of these reach the scan."""
+    rows = spark.read.parquet(path)
+    if kinds:
+        rows = rows.where(F.col("type").isin(list(kinds)))
+    for c, value in (("session_id", session), ("sketch_id", sketch)):
+        if value is not None:
+            rows = rows.where(F.col(c) == value)
+    if since:
+        rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+    return rows.where(F.col("ts") < F.lit(until).cast("timestamp")) if until else rows
