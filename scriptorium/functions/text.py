@@ -8,10 +8,11 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from scriptorium.functions import vocab
 from scriptorium.functions.distance import substring_distance
+from scriptorium.functions.scorers import NAMES as SCORERS, similarity  # noqa: F401
 
 
 def _col(c: str | Column) -> Column:
@@ -134,9 +135,19 @@ def iso_seconds(duration: str | Column) -> Column:
     return F.when(c.rlike(pattern), n(1) * 3600 + n(2) * 60 + n(3))
 
 
+def _clock(hour: str) -> str:
+    """Hours, minutes and seconds with fractions, each but the first optional, with colons or without."""
+    return rf"{hour}(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
+
+
+#: A day of either form; then, if at all, any sign, a time of the day and an offset.
+_ISO_STAMP = rf"(?s)^(\d{{4}}-\d\d-\d\d|\d{{8}})(?:.{_clock('(?:[01][0-9]|2[0-3])')}(?:Z|[+-]{_clock('(?:[01][0-9]|2[0-3])')})?)?$"
+
+
 def iso_day(stamp: str | Column) -> Column:
-    """`YYYYMMDD` of an ISO time stamp as it is written, null if it is not one."""
-    return F.date_format(F.try_to_timestamp(F.substring(F.nullif(_col(stamp), F.lit("")), 1, 10), F.lit("yyyy-MM-dd")), "yyyyMMdd")
+    """`YYYYMMDD` of an ISO time stamp as it is written; null if the whole is not one, or its day is not in the calendar."""
+    day = F.regexp_replace(F.regexp_extract(_col(stamp), _ISO_STAMP, 1), "-", "")
+    return F.date_format(F.try_to_timestamp(F.nullif(day, F.lit("")), F.lit("yyyyMMdd")), "yyyyMMdd")
 
 
 def format_views(views: str | Column) -> Column:
@@ -205,20 +216,25 @@ def near_score(word: str | Column, query: str) -> Column:
 
 def highlight(text: str | Column, query: str, context: int = 50) -> Column:
     """Every match in any case with context, the left bound being the last match's end; bold, with dots where cut, one a line."""
-    import re
-
-    find = re.compile(re.escape(query), re.IGNORECASE)
-
-    def one(t: str) -> str:
-        out, last = [], 0
-        for m in find.finditer(t):
-            a, b = max(m.start() - context, last), min(m.end() + context, len(t))
-            s = t[a:b].replace(m[0], f"**{m[0]}**")
-            out.append(f"...{s}..." if a > 0 or b < len(t) else s)
-            last = m.end()
-        return "\n".join(out)
-
-    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), StringType())(_col(text)) if query else _col(text)
+    t = _col(text)
+    if not query:
+        return t
+    find = F.lit(r"(?iu)" + "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in query))
+    # Texts between matches have no match, so matches and their places follow from both lists.
+    found, between = F.regexp_extract_all(t, find, F.lit(0)), F.split(t, find, -1)
+    size = F.length(t)
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["end"] + F.length(x["b"])
+        stop = start + F.length(x["m"])
+        left, right = F.greatest(start - context, s["end"]), F.least(stop + context, size)
+        piece = F.replace(F.substring(t, left + 1, right - left), x["m"], F.concat(F.lit("**"), x["m"], F.lit("**")))
+        line = F.when((left > 0) | (right < size), F.concat(F.lit("..."), piece, F.lit("..."))).otherwise(piece)
+        return F.struct(stop.alias("end"), F.array_append(s["lines"], line).alias("lines"))
+
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("lines"))
+    return F.aggregate(pairs, none, step, lambda s: F.array_join(s["lines"], "\n"))
 
 
 def near_window(text: str | Column, query: str) -> Column:
@@ -226,42 +242,3 @@ def near_window(text: str | Column, query: str) -> Column:
     t, n = _col(text), len(query)
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.struct(F.levenshtein(F.lower(F.substring(t, i, F.lit(n))), F.lit(query.lower())).alias("d"), i.alias("at"), F.substring(t, i, F.lit(n)).alias("window")))
     return F.array_min(windows)["window"]
-
-
-def _ratio(a: str, b: str) -> float:
-    from difflib import SequenceMatcher
-
-    return 100 * SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
-def _partial(a: str, b: str) -> float:
-    from difflib import SequenceMatcher
-
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 100.0 if not long else 0.0
-    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()}
-    return max(_ratio(short, long[s : s + len(short)]) for s in starts)
-
-
-def _tokens(s: str) -> list[str]:
-    return sorted(s.split())
-
-
-def _token_set(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not left or not right):
-        return 100.0
-    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    return max(_ratio(both, one), _ratio(both, two), _ratio(one, two)) if both else _ratio(one, two)
-
-
-#: Similarities of two texts from 0 to 100.
-SCORERS = {"ratio": _ratio, "token_sort_ratio": lambda a, b: _ratio(" ".join(_tokens(a)), " ".join(_tokens(b))), "token_set_ratio": _token_set, "partial_ratio": _partial}
-
-
-def similarity(text: str | Column, query: str, scorer: str = "partial_ratio") -> Column:
-    """A scorer of the lower-case text and query, in Arrow batches; for small inputs, as its time grows with the product of lengths."""
-    score, q = SCORERS[scorer], query.lower()
-    return F.pandas_udf(lambda s: s.fillna("").map(lambda t: float(score(q, t.lower()))), DoubleType())(_col(text))

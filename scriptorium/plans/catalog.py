@@ -188,12 +188,6 @@ def sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.sample_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), 9, seed=7)
 
 
-@register()
-def highlight_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches in bold with their context."""
-    return table(spark, sf_dir, "benchmark").select("item_id", T.highlight("text", "the").alias("highlighted"))
-
-
 # --- Text
 
 _W = "regexp_extract_all(lower(text), '[\\p{L}]+')"

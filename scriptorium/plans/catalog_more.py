@@ -315,6 +315,12 @@ def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.picks(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["7", "11", "40"], "o_custkey", "o_orderkey").where("o_custkey in (7, 11, 40) or o_orderkey in (7, 11)")
 
 
+@register("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (7, 11, 40) OR o_custkey IN (7, 11, 40)")
+def picked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by id or sequence number, just as they are picked."""
+    return relational.picks(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["7", "11", "40"], "o_custkey", "o_orderkey")
+
+
 @register("SELECT lpad(CAST(doc_id AS VARCHAR), 11, 'v') AS video_id, CASE doc_id % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'none' WHEN 2 THEN 'kept' ELSE 'todo' END AS captions FROM documents")
 def caption_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of each document's captions: a file, the marker of none, both, or nothing."""
@@ -505,3 +511,67 @@ def random_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's position in a random order."""
     rows = placed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     return rows.select("doc_id", Permutation(max(1, rows.count()), 5).position("_place").alias("spot"))
+
+
+# --- The older searches
+
+
+def _codes(text: str) -> str:
+    return f"list_transform(list_filter(string_split({text}, ''), lambda y: y <> ''), lambda y: [CAST(unicode(y) AS BIGINT)])"
+
+
+def _common_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence, by rows of lengths."""
+    base = "list_transform(range(0, len(r)), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(r[j + 1], r[j] + CAST(p[j] = c AS BIGINT)) END)"
+    row = f"list_transform([{base}], lambda z: list_transform(range(0, len(z)), lambda j: list_max(z[1:j + 1])))[1]"
+    start = "list_transform(range(0, len(p) + 1), lambda j: CAST(0 AS BIGINT))"
+    return f"list_transform([{_codes(b)}], lambda p: list_last(list_reduce(list_concat([{start}], {_codes(a)}), lambda r, x: list_transform([x], lambda c: {row})[1])))[1]"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100 ELSE CAST(200 AS DOUBLE) * {_common_sql(a, b)} / (length({a}) + length({b})) END"
+
+
+def _scores_sql(query: str) -> str:
+    """(k, f, t) texts `src` to their four scores, step by step so that no expression is spelled twice."""
+    q, tokens = f"'{query}'", "[" + ", ".join(f"'{w}'" for w in sorted(set(query.split()))) + "]"
+    n = len(query)
+    windows = f"list_max(list_transform(range(1, length(t) - {n} + 2), lambda i: {_common_sql(f'substr(t, i, {n})', q)}))"
+    inside = f"list_max(list_transform(range(1, {n} - length(t) + 2), lambda i: {_common_sql('t', f'substr({q}, i, length(t))')}))"
+    return f"""own AS (SELECT *, list_sort(list_distinct(list_filter(string_split(t, ' '), lambda w: w <> ''))) AS own, array_to_string(list_sort(list_filter(string_split(t, ' '), lambda w: w <> '')), ' ') AS sorted FROM src),
+ parts AS (SELECT *, array_to_string(list_filter(own, lambda w: list_contains({tokens}, w)), ' ') AS shared, array_to_string(list_filter(own, lambda w: NOT list_contains({tokens}, w)), ' ') AS a, array_to_string(list_filter({tokens}, lambda w: NOT list_contains(own, w)), ' ') AS b FROM own),
+ sides AS (SELECT *, trim(shared || ' ' || a) AS one, trim(shared || ' ' || b) AS two FROM parts),
+ scores AS (SELECT k, f, {_ratio_sql('t', q)} AS ratio, {_ratio_sql('sorted', "'" + ' '.join(sorted(query.split())) + "'")} AS token_sort_ratio,
+  CASE WHEN shared = '' THEN {_ratio_sql('one', 'two')} ELSE greatest({_ratio_sql('shared', 'one')}, {_ratio_sql('shared', 'two')}, {_ratio_sql('one', 'two')}) END AS token_set_ratio,
+  CASE WHEN length(t) = 0 THEN 0 WHEN length(t) >= {n} THEN CAST(100 AS DOUBLE) * {windows} / {n} ELSE CAST(100 AS DOUBLE) * {inside} / length(t) END AS partial_ratio FROM sides)"""
+
+
+@register(f"WITH src AS (SELECT p_partkey AS k, 'n' AS f, lower(p_name) AS t FROM part), {_scores_sql('small ring')} SELECT k AS p_partkey, round(ratio, 6) AS ratio, round(token_sort_ratio, 6) AS token_sort_ratio, round(token_set_ratio, 6) AS token_set_ratio, round(partial_ratio, 6) AS partial_ratio FROM scores")
+def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four scorers of every part's name."""
+    return table(spark, sf_dir, "part").select("p_partkey", *(F.round(T.similarity("p_name", "small ring", s), 6).alias(s) for s in T.SCORERS))
+
+
+@register(
+    f"""WITH src AS (SELECT p_partkey AS k, unnest(['p_name', 'p_type']) AS f, unnest([lower(p_name), lower(p_type)]) AS t FROM part), {_scores_sql('promo rnig')},
+ each AS (SELECT k, f, unnest(['ratio', 'token_sort_ratio', 'token_set_ratio', 'partial_ratio']) AS s, unnest([ratio, token_sort_ratio, token_set_ratio, partial_ratio]) AS score, unnest([0, 1, 2, 3]) AS i FROM scores),
+ best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, f, i) AS r FROM each)
+ SELECT k AS p_partkey, round(score, 6) AS score, f AS best_field, s AS best_scorer FROM best WHERE r = 1 AND score >= 60"""
+)
+def page_search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older page's search with typos: the best scorer of any field."""
+    found = search.page_search(table(spark, sf_dir, "part"), "promo rnig", ("p_name", "p_type"), mode="fuzzy", least=60, key="p_partkey")
+    return found.select("p_partkey", F.round("score", 6).alias("score"), "best_field", "best_scorer")
+
+
+_HIGHLIGHTED = """b AS (SELECT item_id, text, regexp_extract_all(text, '(?i)the') AS m, regexp_split_to_array(text, '(?i)the') AS x FROM benchmark),
+ s AS (SELECT item_id, text, unnest(range(1, len(m) + 1)) AS i, m, x FROM b),
+ p AS (SELECT item_id, text, i, m[i] AS m, CAST(list_sum(list_transform(x[1:i], lambda y: length(y))) AS BIGINT) + 3 * (i - 1) AS a FROM s),
+ c AS (SELECT *, greatest(a - 50, CASE WHEN i = 1 THEN 0 ELSE lag(a) OVER (PARTITION BY item_id ORDER BY i) + 3 END) AS l, least(a + 53, length(text)) AS r FROM p),
+ d AS (SELECT item_id, i, CASE WHEN l > 0 OR r < length(text) THEN '...' || replace(substr(text, l + 1, r - l), m, '**' || m || '**') || '...' ELSE replace(substr(text, l + 1, r - l), m, '**' || m || '**') END AS line FROM c)"""
+
+
+@register(f"WITH {_HIGHLIGHTED} SELECT item_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS highlighted FROM benchmark LEFT JOIN d USING (item_id) GROUP BY item_id")
+def highlight_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in bold with their context."""
+    return table(spark, sf_dir, "benchmark").select("item_id", T.highlight("text", "the").alias("highlighted"))

@@ -51,6 +51,19 @@ def test_iso_day(spark):
     assert one(spark, T.iso_day("d"), d="bad") is None
 
 
+@pytest.mark.parametrize(
+    "raw", ["2013-04-10", "2013-04-10Tgarbage", "20130410", "2013-04-10T23", "2013-04-10 23:59", "2013-04-10T23:59:59.123456+04:00", "20130410T235959Z", "2013-04-10T24:01", "2013-04-10T23:60", "2013-02-30", "2013-0410", "2013-04-10T", "2013-04-10T23:59:59+25:00", "", "2016-02-29x10:00", "2013-04-10T23:59:5"]
+)
+def test_iso_day_takes_the_whole_stamp(spark, raw):
+    from datetime import datetime
+
+    try:
+        want = datetime.fromisoformat(raw.replace("Z", "+00:00")).strftime("%Y%m%d")
+    except ValueError:
+        want = None
+    assert one(spark, T.iso_day("d"), d=raw) == want
+
+
 @pytest.mark.parametrize("n, want", [(1358199, "1.4M"), (813444, "813K"), (999500, "1000K"), (12, "12"), (0, "0")])
 def test_format_views(spark, n, want):
     assert one(spark, T.format_views("n"), n=n) == want
@@ -106,11 +119,80 @@ def test_preview_age_and_thousands(spark):
     assert one(spark, T.age(F.lit("2024-01-01").cast("date"), F.lit("2024-01-11").cast("date"))) == "10 days ago"
 
 
-def test_scorers():
-    assert T.SCORERS["partial_ratio"]("abc", "xxabcxx") == 100
-    assert T.SCORERS["token_sort_ratio"]("b a", "a b") == 100
-    assert T.SCORERS["token_set_ratio"]("a b", "a b c") == 100
-    assert 0 <= T.SCORERS["ratio"]("abc", "xyz") < 1
+def test_scorers(spark):
+    score = lambda scorer, query, text: one(spark, T.similarity("t", query, scorer), t=text)
+    assert score("partial_ratio", "abc", "xxabcxx") == 100
+    assert score("token_sort_ratio", "b a", "a b") == 100
+    assert score("token_set_ratio", "a b", "a b c") == 100
+    assert 0 <= score("ratio", "abc", "xyz") < 1
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def plain_score(scorer, q, t):
+    ratio = lambda a, b: 100.0 if not a and not b else 200 * plain_common(a, b) / (len(a) + len(b))
+    if scorer == "ratio":
+        return ratio(q, t)
+    if scorer == "token_sort_ratio":
+        return ratio(" ".join(sorted(q.split())), " ".join(sorted(t.split())))
+    if scorer == "token_set_ratio":
+        x, y = set(q.split()), set(t.split())
+        both, a, b = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        one, two = f"{both} {a}".strip(), f"{both} {b}".strip()
+        return max(ratio(both, one), ratio(both, two), ratio(one, two)) if both else ratio(one, two)
+    short, long = sorted((q, t), key=len)
+    return (100.0 if not long else 0.0) if not short else max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+
+
+@pytest.mark.parametrize("scorer", T.SCORERS)
+@pytest.mark.parametrize("query", ["small ring", "a", "b a c a", "ցուրտ կատու é😀", "a bc def ghij klmno pqrstu vwxyz ab cd ef gh ij kl mn op qr st"])
+def test_scorers_equal_plain_versions(spark, scorer, query):
+    import random
+
+    rnd = random.Random(len(query))
+    texts = ["", query, query[:3], query[::-1], query + " " + query, "Small RING".lower(), "x"] + [" ".join(rnd.choice([*query.split(), "ring", "ab", "é😀", "zz"]) for _ in range(rnd.randrange(7))) for _ in range(25)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.similarity("t", query, scorer)).collect()]
+    assert got == pytest.approx([plain_score(scorer, query, t) for t in texts])
+
+
+def test_long_queries(spark):
+    q = "word " * 20
+    assert one(spark, T.similarity("t", q, "ratio"), t="word " * 19) == pytest.approx(plain_score("ratio", q, "word " * 19))
+    assert one(spark, T.similarity("t", "ab " * 30 + "cd", "token_set_ratio"), t="cd ef") == pytest.approx(plain_score("token_set_ratio", "ab cd", "cd ef"))
+    with pytest.raises(ValueError, match="characters at most"):
+        T.similarity("t", q, "partial_ratio")
+
+
+def plain_highlight(text, query, context=50):
+    import re
+
+    out, last = [], 0
+    for m in re.compile(re.escape(query), re.IGNORECASE).finditer(text):
+        a, b = max(m.start() - context, last), min(m.end() + context, len(text))
+        s = text[a:b].replace(m[0], f"**{m[0]}**")
+        out.append(f"...{s}..." if a > 0 or b < len(text) else s)
+        last = m.end()
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("query", ["ab", "a.b", "Կ", "(x)", "aa", "-^"])
+def test_highlights_equal_a_plain_version(spark, query):
+    import random
+
+    rnd = random.Random(3)
+    parts = [query, query.upper(), query.lower(), "x", "ab ", "\n", "$1", "կԿ", "a.b", "(x)"]
+    texts = ["", query, query * 3] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(30)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.highlight("t", query, 7)).collect()]
+    assert got == [plain_highlight(t, query, 7) for t in texts]
+    assert one(spark, T.highlight("t", query), t=None) is None
 
 
 def test_links(spark):
