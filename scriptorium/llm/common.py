@@ -73,10 +73,18 @@ def _hash(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FILTER_BITS))
 
 
-def _bitmap(ids: DataFrame, id_col: str, place: Column | None = None) -> DataFrame:
-    """The bits of the ids' hashes (or places), FILTER_BITS in all, as a table of at most FILTER_BITS / 32768 + 1 rows."""
+def _bitmap(ids: DataFrame, id_col: str, place: Column | None = None, mark: str = "") -> DataFrame:
+    """The bits of the ids' hashes (or places), FILTER_BITS in all, as a table of at most FILTER_BITS / 32768 + 1 rows; `mark` goes before its columns' names."""
     h = ids.where(F.col(id_col).isNotNull()).select((_hash(id_col) if place is None else place).alias("h"))
-    return h.groupBy(F.expr("bitmap_bucket_number(h)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_bits"))
+    return h.groupBy(F.expr("bitmap_bucket_number(h)").alias(f"{mark}_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias(f"{mark}_bits"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that a table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
 
 
 def bits_of(ids: DataFrame, id_col: str = "doc_id", place: Column | None = None) -> np.ndarray:
@@ -92,12 +100,13 @@ def bits_of(ids: DataFrame, id_col: str = "doc_id", place: Column | None = None)
 
 def split_by(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """df in two: rows whose id is surely not among ids (null ids too), and rows whose id may be. No row of df is shuffled."""
-    bitmap = F.broadcast(_bitmap(ids, id_col))  # of fixed size
-    keyed = df.withColumn("_h", _hash(id_col)).withColumn("_bucket", F.expr("bitmap_bucket_number(_h)")).withColumn("_place", F.expr("bitmap_bit_position(_h)"))
-    met = keyed.join(bitmap, "_bucket", "left")
-    byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
-    marked = met.withColumn("_may", F.expr(f"coalesce((shiftright({byte}, cast(_place % 8 as int)) & 1) = 1, false)"))
-    return marked.where("not _may").select(*df.columns), marked.where("_may").select(*df.columns)
+    m = fresh(df, "_met")
+    bitmap = F.broadcast(_bitmap(ids, id_col, mark=m))  # of fixed size
+    keyed = df.withColumn(f"{m}_h", _hash(id_col)).withColumn(f"{m}_bucket", F.expr(f"bitmap_bucket_number({m}_h)")).withColumn(f"{m}_place", F.expr(f"bitmap_bit_position({m}_h)"))
+    met = keyed.join(bitmap, f"{m}_bucket", "left")
+    byte = f"cast(conv(hex(substring({m}_bits, cast({m}_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = met.withColumn(f"{m}_may", F.expr(f"coalesce((shiftright({byte}, cast({m}_place % 8 as int)) & 1) = 1, false)"))
+    return marked.where(f"not {m}_may").select(*df.columns), marked.where(f"{m}_may").select(*df.columns)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scriptorium.llm.common import FILTER_BITS, bits_of, checkpointed, discard, map_arrow
 from scriptorium.llm.components import components
@@ -425,8 +426,20 @@ def _features(rule: Rule, wanted: np.ndarray):
     return run
 
 
-def join(docs: DataFrame, rule: Rule, block_features: int = BLOCK_FEATURES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links) of every document."""
+def with_class(docs: DataFrame, rule: Rule, name: str) -> DataFrame:
+    """The rows with the class of their set in a column of this name; null for those without words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [node_of(features(t, rule.words)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, name])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def join(docs: DataFrame, rule: Rule, block_features: int = BLOCK_FEATURES, block_sets: int = BLOCK_SETS, classes: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable by links) of every document; with `classes` also node, the class of
+    its set, and component, the least class reachable, which tell rows apart whatever their ids are."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Texts are read twice rather than signatures kept: those are many times larger than all else.
     rows = checkpointed(map_arrow(docs, _describe(rule), "doc_id long, n_shingles long, node long, sketches array<struct<band:int,bits:binary>>"))
@@ -459,7 +472,12 @@ def join(docs: DataFrame, rule: Rule, block_features: int = BLOCK_FEATURES, bloc
     ids = joined.join(least.select("node", "doc_id"), "node")
     lowest = ids.groupBy("component").agg(F.min("doc_id").alias("lowest"))
     final = least.join(ids.select("node", "component").join(lowest, "component").select("node", "lowest"), "node", "left").select("node", F.coalesce("lowest", "doc_id").alias("component_id"))
-    found = rows.select("doc_id", "n_shingles", "node").join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = rows.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+    more = []
+    if classes:
+        found = found.join(joined.select("node", "component"), "node", "left")
+        more = ["node", F.coalesce("component", "node").alias("component")]
+    found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
     kept = checkpointed(found)
     discard(rows, groups, place, joined)
     return kept

@@ -81,6 +81,35 @@ def test_stages_handle_odd_rows(spark, odd, nothing, tmp_path):
     assert kept.where("doc_id = 6").count() == 1 and kept.where("doc_id is null").count() == 1 and kept.count() == 9
 
 
+def test_own_columns_of_any_name_keep_their_values(spark, tmp_path):
+    names = ["_h", "_may", "_bucket", "_place", "_bits", "_met", "_node", "mix_source", "mix_topic", "mix_kept", "node", "component", "row", "stays", "h"]
+    rows = [(i, f"some words of text number {i} that nobody else has {i * 7}", "en", "s", 60) for i in range(30)] + [(7, "another text under seven", "en", "s", 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *(f"{n}{k}" for n in names)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    every = {tuple(r[n] for n in names) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = [tuple(r[n] for n in names) for r in out.collect()]
+        assert out.columns == docs.columns and set(got) <= every and len(got) == len(set(got)) and len(got) > 15
+
+
+def test_rows_are_judged_and_not_ids(docs_of):
+    a, b = "one two three four five six seven eight nine ten", "other words that have nothing in common with the first ones at all"
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, a), (None, "only here " * 9), (None, "only here " * 9), (4, ""), (4, ""), (None, ""), (5, b)]
+    kept = corpus_pipeline.drop_near_duplicates(None, docs_of(rows), "")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (0, "only here " * 9), (4, ""), (0, "")])
+
+
+def test_run_deletes_what_it_wrote(spark, docs_of, tmp_path):
+    from scriptorium.llm.common import checkpoint_dir
+
+    docs_of([(i, f"text of number {i} and {i * 3} more words") for i in range(12)], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = corpus_pipeline.run(spark, str(tmp_path)).count()
+    home = checkpoint_dir(spark).removeprefix("file:")
+    assert before > 0 and not [d for d in os.listdir(home) if d.startswith("pipeline-")]
+
+
 @needs_data
 def test_sql_gives_the_same_rows(spark):
     duckdb = pytest.importorskip("duckdb")
