@@ -267,6 +267,18 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
     return run
 
 
+def summed(grams: DataFrame, bits: int, size: int) -> DataFrame:
+    """(gram, n, near): counts by gram, with the nearest two classes of its context, of which at most 2 size ^ 2 rows have the same.
+
+    Every task counts for itself, so a pair of classes may have many rows of one gram. Where it has more rows than two for each gram
+    that there can be, they are added up first; others are few and meet as they are.
+    """
+    keyed = grams.withColumn("near", F.shiftright("gram", bits).bitwiseAND(size * size - 1))
+    hot = F.broadcast(keyed.groupBy("near").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * size * size).select("near"))  # at most size ^ 2 rows
+    added = keyed.join(hot, "near", "left_semi").groupBy("gram").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
+    return keyed.join(hot, "near", "left_anti").select("gram", "n", "near").unionByName(added)
+
+
 def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFrame, int, int]:
     """The tree, the words' counts (word, c) as a table, N and V."""
     words = checkpointed(map_arrow(docs.select("text"), _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
@@ -286,8 +298,7 @@ def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFra
     counts = np.zeros(size * size)
     counts[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     first = np.array([_smoothed(n, root)[1] for n in counts.reshape(size, size)])
-    near = F.shiftright("gram", classes.bits).bitwiseAND(size * size - 1)
-    sent = grams.withColumn("near", near).repartition("near").sortWithinPartitions("near").select("gram", "n")
+    sent = summed(grams, classes.bits, size).repartition("near").sortWithinPartitions("near").select("gram", "n")
     tables = checkpointed(map_arrow(sent, _lifts(classes, root, first), "kind int, key long, n long, v float", 65_536))
     discard(grams)
 

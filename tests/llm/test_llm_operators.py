@@ -354,6 +354,23 @@ def test_tables_hold_the_whole_tree(docs_of):
     assert np.mean([want[i] for i in want]) > 30 * 3 * 0.78
 
 
+def test_a_hot_pair_of_classes_meets_as_sums(spark):
+    bits, size = 2, 4
+    hot, cold = 5, 9  # the nearest two classes
+    rows = [(c << 3 * bits | hot << bits | s, 1 + k % 3) for k in range(40) for c in range(4) for s in range(4)] + [(c << 3 * bits | cold << bits | 1, 2) for c in range(3)]
+    grams = spark.createDataFrame(rows, "gram long, n long").repartition(8)
+    got = [tuple(r) for r in pst.summed(grams, bits, size).collect()]
+    sums = Counter()
+    for g, n in rows:
+        sums[g] += n
+    found = Counter()
+    for g, n, near in got:
+        found[g] += n
+        assert near == (g >> bits) & (size * size - 1)
+    of_pair = Counter(near for *_, near in got)
+    assert found == sums and of_pair == {hot: size * size, cold: 3}  # 640 rows before
+
+
 def test_context_helps_on_held_out_text(docs_of):
     rng = random.Random(7)
     rows = [(i, " ".join(f"{a} {b}" for a, b in (rng.choice([("new", "york"), ("los", "angeles"), ("big", "apple")]) for _ in range(60)))) for i in range(200)]
