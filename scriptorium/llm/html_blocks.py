@@ -1,7 +1,10 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Blocks inside navigation, headers, footers, sidebars, notices, adverts,
-forms and reader comments, by tag, role, class or id, are structure and take no part. Pass one labels every other block
+forms and reader comments, by tag, role, class or id, are structure and take no part. Forms and common words of classes
+are evidence of structure only: a page without a content mark outside of them is read with the marked content inside, and one
+that would lose most of its running text to them is read without them. A long paragraph of running text is never structure by its own class.
+Buttons and labels are no text. Pass one labels every other block
 by its length, its density of stop words and its density of links: kept, left out or undecided. Pass two gives an
 undecided block the label of its nearest decided neighbours. Where a page marks its content (article or main), blocks
 outside of it are left out, and short blocks inside need only that no decided neighbour speaks against them.
@@ -45,6 +48,11 @@ STRUCTURE_WORDS = frozenset(
     "share sharing social related recommended recommendations recirculation trending popular comment comments commentlist disqus reply replies respond "
     "widget widgets popup modal overlay pagination pager skip hidden".split()
 )
+#: Words that also stand in classes of content; with forms, they are evidence only.
+EVIDENCE_WORDS = frozenset("rail foot share sharing social related recommended recommendations recirculation trending popular widget widgets overlay modal popup hidden skip banner banners promo promos promotion notice notices login reply respond signup subscription pager".split())
+EVIDENCE_TAGS = frozenset("form fieldset search".split())
+#: Elements within a line whose text is no text of the page, and tags of running text.
+MUTE_TAGS, TEXT_TAGS = frozenset("button label".split()), frozenset("p blockquote pre li dd".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Characters of a block from which it is long, and of one that is short; least stop-word densities; most link density.
 LONG, SHORT, DENSE, SPARSE, LINKS = 200, 70, 0.30, 0.10, 0.5
@@ -64,28 +72,33 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def is_structure(tag: str, raw: str, in_content: bool) -> bool:
-    """Whether an element is page structure rather than content."""
+def is_structure(tag: str, raw: str, in_content: bool) -> int:
+    """Whether an element is page structure rather than content: 0 for no, 1 for evidence of it, 2 for yes."""
+    if tag in EVIDENCE_TAGS:
+        return 1
     if tag in STRUCTURE_TAGS or (tag == "header" and not in_content):
-        return True
+        return 2
     if "=" not in raw and "hidden" not in raw:
-        return False
+        return 0
     a = attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or a.get("role", "").lower() in STRUCTURE_ROLES:
-        return True
+        return 2
     names = {w.lower() for w in _NAME_PARTS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     if tag in ("html", "body", "main", "article"):
-        return tag == "article" and bool(names & COMMENT_WORDS)
+        return 2 * (tag == "article" and bool(names & COMMENT_WORDS))
     if not in_content and "header" in names:
-        return True
-    return bool(names & STRUCTURE_WORDS)
+        return 2
+    found = names & STRUCTURE_WORDS
+    return 2 if found - EVIDENCE_WORDS else int(bool(found))
 
 
 class Block:
-    __slots__ = ("content", "label", "linked", "links", "text")
+    __slots__ = ("content", "doubt", "inner", "label", "linked", "links", "own", "text")
 
-    def __init__(self, text: str, linked: int, links: int, content: bool):
+    def __init__(self, text: str, linked: int, links: int, content: bool, doubt: bool, inner: bool, own: bool):
         self.text, self.linked, self.links, self.content, self.label = text, linked, links, content, None
+        #: Inside of what may be structure; of that, inside a content mark within it; and whether only its own class says so.
+        self.doubt, self.inner, self.own = doubt, inner, own
 
 
 class Scanner:
@@ -171,12 +184,13 @@ class Scanner:
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The page's blocks in order, those of page structure left out."""
+    """The page's blocks in order, those of page structure left out, those of what may be structure marked."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in structure, in content
+    # Of each open element its tag, whether it is in structure (2) or what may be (1), in content, in content within what may be, and whether it alone says so.
+    stack: list[tuple[str, int, bool, bool, bool]] = []
     open_: Counter = Counter()  # of each tag in the stack
     parts: list[str] = []
-    state = {"linked": 0, "links": 0, "anchor": 0}
+    state = {"linked": 0, "links": 0, "anchor": 0, "mute": 0}
 
     def pop() -> str:
         tag = stack.pop()[0]
@@ -187,12 +201,13 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
-            if text and not (stack and stack[-1][1]):
-                out.append(Block(text, state["linked"], state["links"], bool(stack and stack[-1][2])))
-        state["linked"] = state["links"] = 0
+            if text and not (stack and stack[-1][1] == 2):
+                _, doubt, content, inner, own = stack[-1] if stack else ("", 0, False, False, False)
+                out.append(Block(text, state["linked"], state["links"], content, doubt == 1, inner, own))
+        state["linked"] = state["links"] = state["mute"] = 0
 
     def add(raw: str) -> None:
-        if raw and not (stack and stack[-1][1]):
+        if raw and not state["mute"] and not (stack and stack[-1][1] == 2):
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
             if state["anchor"]:
@@ -207,6 +222,9 @@ def blocks_of(html: str) -> list[Block]:
             state["links"] += not close
         elif tag == "br":
             parts.append(" ")
+        elif tag in MUTE_TAGS:
+            state["mute"] = int(not close)
+            parts.append(" ")
         elif tag in BLOCK_TAGS:
             flush()
             if tag in VOID_TAGS:
@@ -221,9 +239,12 @@ def blocks_of(html: str) -> list[Block]:
             if tag == "body":
                 stack.clear()
                 open_.clear()
-            skipped, content = stack[-1][1:] if stack else (False, False)
-            skipped = skipped or is_structure(tag, raw, content)
-            stack.append((tag, skipped, content or (tag in ("article", "main") and not skipped)))
+            _, skipped, content, inner, _ = stack[-1] if stack else ("", 0, False, False, False)
+            here = is_structure(tag, raw, content or inner) if skipped < 2 else 2
+            mark = tag in ("article", "main")
+            own = here == 1 and not skipped and tag in TEXT_TAGS
+            within = max(skipped, here)
+            stack.append((tag, within, content or (mark and not within), within < 2 and ((inner and not here) or (mark and within == 1)), own))
             open_[tag] += 1
     flush()
     return out
@@ -237,8 +258,7 @@ def first_pass(block: Block, marked: bool) -> bool | None:
         return False
     if density > LINKS and (block.links > 2 or not block.content):
         return False
-    words = [w.strip(".,;:!?()[]\"'«»*#%&$") for w in block.text.lower().split()]
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = _stops(block.text)
     if block.content:
         return True if (size >= SHORT and (stops >= SPARSE or size >= LONG)) and density <= LINKS else None
     if size < SHORT:
@@ -248,9 +268,36 @@ def first_pass(block: Block, marked: bool) -> bool | None:
     return None if stops >= SPARSE else False
 
 
+def _stops(text: str) -> float:
+    """The share of stop words among a text's words."""
+    words = [w.strip(".,;:!?()[]\"'«»*#%&$") for w in text.lower().split()]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _running(block: Block) -> bool:
+    """Whether a block is long running text without links."""
+    return len(block.text) >= LONG and not block.links and _stops(block.text) >= SPARSE
+
+
+def candidates_of(blocks: list[Block]) -> list[Block]:
+    """The blocks that the two passes see, by what the rest of the page says of those that may be structure."""
+    for b in blocks:
+        if b.doubt and b.own and _running(b):
+            b.doubt = False  # a long paragraph whose class alone tells against it
+    sure = [b for b in blocks if not b.doubt]
+    if any(b.content for b in sure):
+        return sure
+    if any(b.inner for b in blocks):
+        for b in blocks:
+            b.content = b.content or b.inner
+        return [b for b in blocks if b.inner or not b.doubt]
+    told = lambda some: sum(len(b.text) for b in some if _running(b))
+    return blocks if told(blocks) > 2 * told(sure) else sure
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page."""
-    blocks = blocks_of(html or "")
+    blocks = candidates_of(blocks_of(html or ""))
     marked = any(b.content for b in blocks)
     for b in blocks:
         b.label = first_pass(b, marked)

@@ -477,3 +477,80 @@ def test_bounds_are_those_of_shared_prefixes():
     for open_ in (0, 3, 25, 28, lsh_forest.BITS):
         lo, hi = lsh_forest._bounds(codes, of, open_)
         assert [(codes >> open_ == q >> open_).sum() for q in of] == (hi - lo).tolist()
+
+
+PROSE = "This is the text of the article and it has many of the words that are in it, of which there are more to come. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form><nav>menu words</nav><article><p>{0}</p></article></form>",
+        "<div class='social-science'><article><p>{0}</p></article></div>",
+        "<body><div id='hidden-gems'><main><p>{0}</p></main></div><aside><article><p>Teaser of another one, that is to be left out of it</p></article></aside></body>",
+        "<form action='/x'><p>{0}</p><input><button>Send</button></form>",
+        "<div class='popular-science'><p>{0}</p></div><div class='cookie-notice'><p>We use cookies and you have to agree to all of them if you are to read on here.</p></div>",
+        "<article><p class='related'>{0}</p></article>",
+        "<article><p>{0}</p><p class='related'>Related: <a href=x>one</a> <a href=y>two</a> <a href=z>three</a></p><div class='share'>Share this</div></article>",
+        "<article><p>{0}<button>Click</button></p><label>Name</label><form><p>Sign up for it</p></form></article>",
+    ],
+)
+def test_articles_in_odd_surroundings_are_whole(page):
+    text = (PROSE * 3).strip()
+    assert html_blocks.main_text(page.format(text)) == text
+
+
+def test_teasers_in_sidebars_stay_out():
+    assert html_blocks.main_text(f"<aside><article><p>{PROSE * 3}</p></article></aside>") == ""
+    page = f"<article><p>{PROSE}</p></article><div class='related'><article><p>{PROSE * 3}</p></article></div>"
+    assert html_blocks.main_text(page) == PROSE.strip()
+
+
+def plain_passes(blocks):
+    """Both passes over (text, characters in links, links, in content), each block against all others."""
+    marked = any(b[3] for b in blocks)
+    first = []
+    for text, linked, links, content in blocks:
+        words = [w.strip(".,;:!?()[]\"'«»*#%&$") for w in text.lower().split()]
+        stops, size, density = sum(w in html_blocks.STOP_WORDS for w in words) / len(words), len(text), linked / len(text)
+        if marked and not content:
+            label = False
+        elif density > 0.5 and (links > 2 or not content):
+            label = False
+        elif content:
+            label = True if size >= 70 and (stops >= 0.1 or size >= 200) and density <= 0.5 else None
+        elif size < 70:
+            label = False if linked else None
+        elif stops >= 0.3:
+            label = True if size > 200 or density < 0.2 else None
+        else:
+            label = None if stops >= 0.1 else False
+        first.append(label)
+    out = []
+    for i, label in enumerate(first):
+        if label is None:
+            content = blocks[i][3]
+            sides = [next((j for j in side if first[j] is not None), None) for side in (range(i - 1, -1, -1), range(i + 1, len(blocks)))]
+            near = [(abs(i - j), first[j]) for j in sides if j is not None and blocks[j][3] == content]
+            closest = {lab for d, lab in near if d == min(near)[0]}
+            label = (content if len(closest) > 1 else closest.pop()) if near else content
+        out.append(label)
+    return "\n\n".join(b[0] for b, keep in zip(blocks, out) if keep)
+
+
+def test_passes_equal_a_plain_version():
+    rnd = random.Random(11)
+    for _ in range(400):
+        blocks, html, content = [], "", rnd.random() < 0.5
+        for part in range(3):
+            inside = content and part == 1
+            html += "<article>" if inside else ""
+            for _ in range(rnd.randrange(9)):
+                words = [rnd.choice(["the", "of", "and", "it", "house", "river", "42", "green", "table"] if rnd.random() < 0.6 else ["house", "river", "42", "green"]) for _ in range(rnd.choice([2, 5, 14, 30, 60]))]
+                n = rnd.choice([0, 0, 0, 1, 2, 4])
+                links = [i < len(words) for i in range(n)] and sorted(rnd.sample(range(len(words)), min(n, len(words))))
+                text = " ".join(words)
+                blocks.append((text, sum(len(words[i]) for i in links), len(links), inside))
+                html += "<p>" + " ".join(f"<a href=x>{w}</a>" if i in links else w for i, w in enumerate(words)) + "</p>"
+            html += "</article>" if inside else ""
+        assert html_blocks.main_text(html) == plain_passes(blocks)
