@@ -14,6 +14,7 @@ from scriptorium.functions import vocab
 from scriptorium.operators import canon, discover, relational, search, transcripts, usage
 from scriptorium.operators.ranges import placed
 from scriptorium.operators.shuffled import PRIME, Permutation, random_page
+from scriptorium.plans.catalog import sellers_sql
 from scriptorium.plans.registry import register
 from scriptorium.plans.session import table
 from scriptorium.sources import readers, writers
@@ -575,3 +576,34 @@ _HIGHLIGHTED = """b AS (SELECT item_id, text, regexp_extract_all(text, '(?i)the'
 def highlight_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches in bold with their context."""
     return table(spark, sf_dir, "benchmark").select("item_id", T.highlight("text", "the").alias("highlighted"))
+
+
+# --- Costs in dollars, and rows that only typos find beside exact ones
+
+_CARRIED = """SELECT CASE l_returnflag WHEN 'R' THEN 'pro' ELSE 'lite' END AS model, CAST(sum(l_linenumber) AS DOUBLE) AS audio, CAST(sum(l_quantity) AS DOUBLE) AS gen, CAST(sum(l_suppkey) AS DOUBLE) AS tin, CAST(sum(l_partkey) AS DOUBLE) AS tout FROM lineitem GROUP BY 1"""
+
+
+@register(
+    f"""SELECT model, round(tin * 120960 / audio / 1e6, 4) AS m_tokens_in, round(tout * 120960 / audio / 1e6, 4) AS m_tokens_out, round(gen * 120960 / audio / 60, 4) AS wall_min,
+ round(120960 / audio / 1e6 * CASE model WHEN 'pro' THEN tin * 2 + tout * 12 ELSE tin * 0.5 + tout * 1.5 END, 4) AS full_cost_usd FROM ({_CARRIED})"""
+)
+def cost_in_dollars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs and minutes carried on to the archive's hours, of runs whose generation takes a time of its own, to four places."""
+    model = F.when(F.col("l_returnflag") == "R", "pro").otherwise("lite")
+    runs = table(spark, sf_dir, "lineitem").select(model.alias("model"), F.col("l_linenumber").cast("long").alias("audio_sec"), F.col("l_quantity").cast("long").alias("gen_sec"), F.col("l_suppkey").alias("tokens_in"), F.col("l_partkey").alias("tokens_out"))
+    carried = transcripts.extrapolate(transcripts.run_totals(runs, transcripts.price_table(spark)))
+    return carried.select("model", *(F.round(c, 4).alias(c) for c in ("m_tokens_in", "m_tokens_out", "wall_min", "full_cost_usd")))
+
+
+_ROUND = "aw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), av AS (SELECT DISTINCT word FROM aw WHERE length(word) >= 2)"
+
+
+@register(
+    f"""WITH {_ROUND}, an AS (SELECT word, {sellers_sql('word', 'ringing')} / CAST(7 AS DOUBLE) AS near FROM av),
+ ax AS (SELECT doc_id, CAST(1 AS DOUBLE) AS score FROM documents WHERE contains(array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' '), 'ringing'))
+ SELECT * FROM ax UNION ALL SELECT doc_id, (1 - min(near)) * CAST(0.5 AS DOUBLE) FROM aw JOIN an USING (word) WHERE near <= 0.35 AND near < 1 AND doc_id NOT IN (SELECT doc_id FROM ax) GROUP BY doc_id"""
+)
+def search_beside_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact rows and rows that only fuzzy search finds, of one query, none twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.words("text", "[a-z]+"), " ").alias("combined")).withColumn("fields", F.expr("cast(array() as array<struct<value:string,weight:int>>)"))
+    return search.with_fuzzy(search.exact(docs, "ringing"), docs, "ringing", "doc_id").select("doc_id", "score")
