@@ -210,6 +210,10 @@ def _smoothed(n: np.ndarray, q: np.ndarray, ratio: float = RATIO, gain: float =
     return False, q
 
 
+#: Rows of a pair of classes, for each gram that it can have, from which they are added up before they meet.
+COPIES = 64
+
+
 def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
     """The rows of a model's tables from counts sorted by the nearest two classes."""
     size, bits = classes.size, classes.bits
@@ -236,6 +240,7 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = most = 0
         out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flushed() -> pa.RecordBatch:
@@ -256,7 +261,13 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
                 if j > i:
                     if held and (int(held[0][0][0] >> bits) & (size * size - 1)) != near[i]:
                         last()
+                        rows = most = 0
                     held.append((g[i:j], n[i:j]))
+                    rows += j - i
+                    if rows > 2 * most + 4 * size * size:  # so that copies of a gram never pile up
+                        x, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+                        held[:] = [(x, np.bincount(at, np.concatenate([y for _, y in held])).astype(np.int64))]
+                        rows = most = len(x)
             if sum(len(x[1]) for x in out) > 100_000:
                 yield flushed()
         if held:
@@ -267,16 +278,19 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
     return run
 
 
-def summed(grams: DataFrame, bits: int, size: int) -> DataFrame:
-    """(gram, n, near): counts by gram, with the nearest two classes of its context, of which at most 2 size ^ 2 rows have the same.
+def summed(grams: DataFrame, bits: int, size: int, copies: int = COPIES, share: float = 1 / 64) -> DataFrame:
+    """(gram, n, near): counts by gram, with the nearest two classes of its context.
 
-    Every task counts for itself, so a pair of classes may have many rows of one gram. Where it has more rows than two for each gram
-    that there can be, they are added up first; others are few and meet as they are.
+    Every task counts for itself, so a pair of classes may have many rows of one gram. Where it has more than `copies` for each
+    gram that there can be, by a share of the rows, they are added up first; others are few and meet as they are.
     """
     keyed = grams.withColumn("near", F.shiftright("gram", bits).bitwiseAND(size * size - 1))
-    hot = F.broadcast(keyed.groupBy("near").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * size * size).select("near"))  # at most size ^ 2 rows
-    added = keyed.join(hot, "near", "left_semi").groupBy("gram").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
-    return keyed.join(hot, "near", "left_anti").select("gram", "n", "near").unionByName(added)
+    seen = keyed.sample(share, 7).groupBy("near").agg(F.count("*").alias("rows"))
+    hot = [r.near for r in seen.where(F.col("rows") > copies * size * size * share).collect()]  # at most size ^ 2
+    if not hot:
+        return keyed
+    added = keyed.where(F.col("near").isin(hot)).groupBy("gram").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
+    return keyed.where(~F.col("near").isin(hot)).select("gram", "n", "near").unionByName(added)
 
 
 def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFrame, int, int]:
