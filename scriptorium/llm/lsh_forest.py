@@ -6,14 +6,16 @@ holds many rows, several buckets by a hash of the row. A query has two strings i
 flipped that its vector is nearest to, among the first `PROBE`; both descend in their buckets. There the rows that share
 prefixes of each length are counted, and the counts are added up over all trees. From the longest prefix the query then
 ascends in all trees at once, one bit at a time, until its matches add up to `matches` times the number of distinct vectors.
+How many that must be depends on the data: unless it is given, a sample of queries is measured against all vectors, and the
+least number of `GRID` is taken that finds a share `AIM` of their nearest.
 All rows that share a prefix of that length with it in some tree, none cut off, are candidates and measured exactly in
 double precision, next to the vectors, which are dealt into blocks by a hash. Queries that find too few within their
 buckets' prefixes go through trees with buckets by hash alone, and those whose matches are fewer rows than an answer has are measured
 against all rows.
 
 Index rows, queries and candidates only meet in shuffles; nothing that grows is sent to or kept by the driver or all
-workers. The default suits vectors without any structure, whose nearest neighbours are hardly nearer than others; clustered
-vectors need far less (see the README for shares and recall).
+workers. Vectors without any structure, whose nearest neighbours are hardly nearer than others, need most of the vectors as
+candidates; clustered vectors need far less (see the README for shares and recall).
 
 Equal vectors are one row of the forest with its least distinct ids, as many as an answer can hold, which loses nothing.
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part. With
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import checkpointed, discard, map_arrow
 
-#: Trees, bits of a hash string, bits of which one is flipped, least matches of a query as a multiple of the distinct
-#: vectors, rows of a bucket, rows of a block of vectors, rows of the mean's sample.
-TREES, BITS, PROBE, MATCHES, BUCKET_ROWS, BLOCK_ROWS, SAMPLE = 80, 30, 8, 0.7, 16_384, 8_192, 2_000
+#: Trees, bits of a hash string, bits of which one is flipped, rows of a bucket, rows of a block of vectors, rows of the
+#: sample that the mean and the numbers of matches come from.
+TREES, BITS, PROBE, BUCKET_ROWS, BLOCK_ROWS, SAMPLE = 80, 30, 8, 16_384, 8_192, 4_000
+#: Queries of the sample, the share of their nearest that is to be found, and the least matches of a query that are tried, as multiples of the distinct vectors.
+QUERIES, AIM, GRID = 300, 0.95, (0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0, 4.0)
 
 
 def usable(v: str | Column) -> Column:
@@ -189,6 +193,63 @@ def _measured(k: int):
     return run
 
 
+def _exact(ids: np.ndarray, asked: np.ndarray, k: int):
+    """A task's k nearest rows (q, eid, d) of each of some queries, their own aside."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_d, best = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            eid, v = b.column("eid").to_numpy(), b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+            d = np.maximum((asked**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * asked @ v.T, 0)
+            d[ids[:, None] == eid[None]] = np.inf
+            d, e = np.concatenate((best_d, d), axis=1), np.concatenate((best, np.broadcast_to(eid, (len(ids), len(eid)))), axis=1)
+            at = np.argpartition(d, k - 1, axis=1)[:, :k]
+            best_d, best = np.take_along_axis(d, at, 1), np.take_along_axis(e, at, 1)
+        q, met = np.repeat(ids, k), np.isfinite(best_d.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(q[met]), pa.array(best.ravel()[met]), pa.array(best_d.ravel()[met])], ["q", "eid", "d"])
+
+    return run
+
+
+def opened(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The fewest bits that must be left open for codes to agree, over all trees and both strings; arrays end in trees."""
+    x = np.bitwise_xor(own, other)
+    return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1))).astype(int) + 1, 0).min(axis=-1)
+
+
+def fitted_matches(entries: DataFrame, asking: DataFrame, hashes: Hashes, k: int, total: int, aim: float = AIM) -> float:
+    """The least matches of GRID that find a share of the exact nearest vectors of a sample of queries; all vectors if none does."""
+    asked = asking.orderBy(F.xxhash64("eid")).limit(QUERIES).collect()
+    if not asked:
+        return GRID[0]
+    ids, vectors = np.array([r.eid for r in asked]), np.array([r.v for r in asked])
+    nearest = map_arrow(entries.select("eid", "v"), _exact(ids, vectors, k), "q long, eid long, d double").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "eid"))).where(F.col("r") <= k)
+    pairs = nearest.select("q", "eid").join(entries.select("eid", "v"), "eid").collect()  # k for each query of the sample
+    if not pairs:
+        return GRID[0]
+    drawn = entries.orderBy(F.xxhash64("eid")).limit(SAMPLE).select("eid", "v").collect()
+    sample = np.sort(hashes(np.array([r.v for r in drawn]))[0], axis=0)
+    place = {e: i for i, e in enumerate(ids.tolist())}
+    strings = hashes(vectors, probes=True)
+    of, there = np.array([place[r.q] for r in pairs]), hashes(np.array([r.v for r in pairs]))[0]
+    need = np.minimum(*(opened(codes[of], there) for codes in strings))
+    # Matches by bits left open, of the sampled vectors; a query's own vector, which matches in every tree, is added apart.
+    met = np.zeros((len(ids), BITS + 1)) - hashes.trees * np.isin(ids, [r.eid for r in drawn])[:, None]
+    for codes in strings:
+        for tree in range(hashes.trees):
+            for open_ in range(BITS + 1):
+                lo, hi = _bounds(sample[:, tree], codes[:, tree], open_)
+                met[:, open_] += hi - lo
+    met = np.maximum(met, 0) * total / len(sample) + hashes.trees
+    for share in GRID:
+        level = np.where((enough := met >= share * total).any(axis=1), enough.argmax(axis=1), BITS)
+        if (need <= level[of]).mean() >= aim:
+            return share
+    return math.inf
+
+
 def _dealt(rows: DataFrame, queries: DataFrame, prefix: int, salts: int) -> DataFrame:
     """Index rows and queries by bucket: tree, prefix of the code, and a hash of the row; a query goes to all of the latter."""
     rows = rows.select("tree", "code", "eid", F.lit(False).alias("query"), F.lit(0).alias("open"), F.pmod(F.xxhash64("eid"), F.lit(salts)).cast("int").alias("salt"))
@@ -196,8 +257,8 @@ def _dealt(rows: DataFrame, queries: DataFrame, prefix: int, salts: int) -> Data
     return rows.union(queries).withColumn("prefix", F.shiftright("code", BITS - prefix)).groupBy("tree", "prefix", "salt")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, matches: float = MATCHES, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest rows found for each row that is a query."""
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, matches: float | None = None, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+    """query_id, rank, vec_id and score: the k nearest rows found for each row that is a query; `matches` as fitted to the data by default."""
     spark = rows.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fit = rows.where(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where("id is not null")
@@ -214,9 +275,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     asked = checkpointed(fit.where("asked").groupBy("id").agg(F.min("v").alias("v")).join(entries.select("v", "eid"), "v").select("id", "eid"))
     total = entries.count()
     asking = entries.join(asked.select("eid").distinct(), "eid", "left_semi").select("eid", "v")
+    matches = matches or fitted_matches(entries, asking, hashes, k, total)
     index = checkpointed(map_arrow(entries.select("eid", "v"), _coded(hashes, False), "tree int, code int, eid long", 512))
     # Buckets' prefixes are two bits shorter than even trees need; queries that need still shorter ones go a second time.
-    prefix = max(0, min(math.floor(math.log2(2 * trees / matches)) - 2, math.ceil(math.log2(max(1, total / bucket_rows)))))
+    prefix = max(0, min(math.floor(math.log2(2 * trees / min(matches, 2 * trees))) - 2, math.ceil(math.log2(max(1, total / bucket_rows)))))
     buckets = {depth: max(1, math.ceil(total / 2**depth / bucket_rows)) for depth in (prefix, 0)}
     tables = [entries, asked, index]
     found = _nearest(entries, index, asking, hashes, buckets, matches * total, max(1, math.ceil(total / block_rows)), k, tables)

@@ -359,7 +359,7 @@ def test_a_hot_pair_of_classes_meets_as_sums(spark):
     hot, cold = 5, 9  # the nearest two classes
     rows = [(c << 3 * bits | hot << bits | s, 1 + k % 3) for k in range(40) for c in range(4) for s in range(4)] + [(c << 3 * bits | cold << bits | 1, 2) for c in range(3)]
     grams = spark.createDataFrame(rows, "gram long, n long").repartition(8)
-    got = [tuple(r) for r in pst.summed(grams, bits, size).collect()]
+    got = [tuple(r) for r in pst.summed(grams, bits, size, copies=2, share=1.0).collect()]
     sums = Counter()
     for g, n in rows:
         sums[g] += n
@@ -369,6 +369,22 @@ def test_a_hot_pair_of_classes_meets_as_sums(spark):
         assert near == (g >> bits) & (size * size - 1)
     of_pair = Counter(near for *_, near in got)
     assert found == sums and of_pair == {hot: size * size, cold: 3}  # 640 rows before
+    assert pst.summed(grams, bits, size).count() == len(rows)
+
+
+def test_copies_of_grams_do_not_pile_up():
+    """A group's counts are the same however many copies of its grams come, in batches of any size."""
+    import pyarrow as pa
+
+    size, bits, rng = 4, 2, np.random.default_rng(2)
+    classes = pst.Classes({}, {}, size)
+    root = np.full(size, 0.25)
+    g = np.sort(rng.integers(0, 4**4, 3_000))
+    g = g[np.argsort((g >> bits) & 15, kind="stable")]
+    n = rng.integers(1, 9, len(g))
+    told = lambda parts: sorted((k, i, m, round(float(v), 5)) for b in pst._lifts(classes, root, np.tile(root, (size, 1)))([pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["gram", "n"]) for x, y in parts]) for k, i, m, v in zip(*(c.to_pylist() for c in b.columns)))
+    whole = told([(g, n)])
+    assert whole and whole == told([(g[i : i + 37], n[i : i + 37]) for i in range(0, len(g), 37)])
 
 
 def test_context_helps_on_held_out_text(docs_of):
@@ -470,6 +486,26 @@ def test_neighbours(spark):
     assert lsh_forest.search(d.limit(0), F.col("vec_id") == 0).count() == 0 and lsh_forest.search(d.where("vec_id = 1"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.05, 0.05), (0.1, 0.2), (None, 4.0)])
+def test_matches_follow_the_data(spark, monkeypatch, spread, most):
+    """Clustered vectors get few candidates, vectors without structure as many as a recall of 0.9 takes."""
+    rng = np.random.default_rng(4)
+    n, d = 3_000, 32
+    heart = rng.normal(size=(60, d))
+    x = rng.normal(size=(n, d)) if spread is None else heart[rng.integers(0, 60, n)] + rng.normal(0, spread, (n, d))
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    fitted, found = lsh_forest.fitted_matches, []
+    monkeypatch.setattr(lsh_forest, "fitted_matches", lambda *a, **k: found.append(fitted(*a, **k)) or found[-1])
+    got = lsh_forest.search(rows, F.col("vec_id") % 50 == 0, bucket_rows=500, block_rows=500).toPandas()
+    hits, x64 = 0, x.astype(float)
+    for q, g in got.groupby("query_id"):
+        dist = ((x64 - x64[q]) ** 2).sum(axis=1)
+        dist[q] = np.inf
+        hits += len(set(g.vec_id) & set(np.argsort(dist, kind="stable")[:10]))
+    assert hits / 600 >= 0.9 and found[0] <= most and len(got) == 600
+
+
 def nearest_by_force(rows, q, k=10):
     """(vec_id, distance) of the k nearest other ids of a query, each id by its least distance."""
     v = min(list(map(float, x)) for i, x in rows if i == q)
