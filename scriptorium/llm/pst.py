@@ -278,14 +278,19 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
     return run
 
 
-def summed(grams: DataFrame, bits: int, size: int, copies: int = COPIES, share: float = 1 / 64) -> DataFrame:
+def summed(grams: DataFrame, bits: int, size: int, copies: int = COPIES, every: int = 16) -> DataFrame:
     """(gram, n, near): counts by gram, with the nearest two classes of its context.
 
     Every task counts for itself, so a pair of classes may have many rows of one gram. Where it has more than `copies` for each
-    gram that there can be, by a share of the rows, they are added up first; others are few and meet as they are.
+    gram that there can be, by the rows of one in `every` files of the table, they are added up first; others are few and meet as they are.
     """
-    keyed = grams.withColumn("near", F.shiftright("gram", bits).bitwiseAND(size * size - 1))
-    seen = keyed.sample(share, 7).groupBy("near").agg(F.count("*").alias("rows"))
+    near = F.shiftright("gram", bits).bitwiseAND(size * size - 1).alias("near")
+    keyed = grams.select("gram", "n", near)
+    files = sorted(grams.inputFiles())
+    some = files[::every]
+    share = len(some) / len(files) if files else 1.0
+    part = grams.sparkSession.read.schema(grams.schema).parquet(*some) if files else grams
+    seen = part.select(near).groupBy("near").agg(F.count("*").alias("rows"))
     hot = [r.near for r in seen.where(F.col("rows") > copies * size * size * share).collect()]  # at most size ^ 2
     if not hot:
         return keyed

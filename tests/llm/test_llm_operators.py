@@ -359,7 +359,7 @@ def test_a_hot_pair_of_classes_meets_as_sums(spark):
     hot, cold = 5, 9  # the nearest two classes
     rows = [(c << 3 * bits | hot << bits | s, 1 + k % 3) for k in range(40) for c in range(4) for s in range(4)] + [(c << 3 * bits | cold << bits | 1, 2) for c in range(3)]
     grams = spark.createDataFrame(rows, "gram long, n long").repartition(8)
-    got = [tuple(r) for r in pst.summed(grams, bits, size, copies=2, share=1.0).collect()]
+    got = [tuple(r) for r in pst.summed(grams, bits, size, copies=2).collect()]
     sums = Counter()
     for g, n in rows:
         sums[g] += n
