@@ -114,7 +114,8 @@ def test_run_deletes_what_it_wrote(spark, docs_of, tmp_path):
 def test_sql_gives_the_same_rows(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     for name, sql in oracle_sql().items():
         got, want = queries()[name](spark, SF).toPandas(), con.sql(sql).df()
         assert sorted(map(tuple, got[want.columns].itertuples(index=False))) == sorted(map(tuple, want.itertuples(index=False)))
@@ -122,10 +123,11 @@ def test_sql_gives_the_same_rows(spark):
 
 @needs_data
 def test_queries_run_on_the_smallest_tables(spark):
-    counts = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
+    counts = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages", "embeddings")}
+    of = {"op3": "pages", "op11": "embeddings"}
     for name, q in queries().items():
         n = q(spark, SF).count()
-        assert n == (counts["pages"] if name.startswith("op3") else counts["documents"]) or name.startswith("op10")
+        assert n == counts[of.get(name.split("_")[0], "documents")] or name.startswith("op10")
 
 
 @pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
