@@ -151,9 +151,9 @@ def iso_day(stamp: str | Column) -> Column:
 
 
 def format_views(views: str | Column) -> Column:
-    """`0`, `813K` or `1.4M`."""
+    """`0`, `813K` or `1.4M`; the double itself is rounded, not its shortest decimal form, and halves go to the even digit."""
     v = F.coalesce(_col(views), F.lit(0))
-    return F.when(v >= 1_000_000, F.concat(F.format_string("%.1f", v / 1e6), F.lit("M"))).when(v >= 1_000, F.concat(F.floor(v / 1e3 + 0.5).cast("string"), F.lit("K"))).otherwise(v.cast("string"))
+    return F.when(v >= 1_000_000, F.concat(F.call_function("format_number", (v / 1e6).cast("double"), F.lit("0.0")), F.lit("M"))).when(v >= 1_000, F.concat(F.floor(v / 1e3 + 0.5).cast("string"), F.lit("K"))).otherwise(v.cast("string"))
 
 
 def format_duration(seconds: str | Column) -> Column:

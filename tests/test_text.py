@@ -203,3 +203,8 @@ def test_links(spark):
 def test_source_language(spark):
     got = spark.sql("select map('en', 1, 'hy-orig', 2) m").select(T.source_language("m")).first()[0]
     assert got == "hy"
+
+
+@pytest.mark.parametrize("n, want", [(1_250_000, "1.2M"), (1_150_000, "1.1M"), (1_750_000, "1.8M"), (1_350_000, "1.4M"), (10_050_000, "10.1M"), (12_250_000.0, "12.2M")])
+def test_format_views_rounds_the_double_itself(spark, n, want):
+    assert one(spark, T.format_views("n"), n=n) == want == f"{n / 1e6:.1f}M"
