@@ -214,6 +214,14 @@ def near_score(word: str | Column, query: str) -> Column:
     return substring_distance(word, query) / F.lit(float(len(query)))
 
 
+def window_score(word: str | Column, query: str) -> Column:
+    """The fewest edits between the query and the word or a window of it, one character shorter than the query to one longer, by the query's length."""
+    w, n = _col(word), len(query)
+    sizes = F.array(*map(F.lit, range(max(n - 1, 1), n + 2)))
+    parts = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - k + 1, F.lit(1))), lambda i: F.substring(w, i, k))))
+    return F.array_min(F.transform(F.array_append(parts, w), lambda x: F.levenshtein(x, F.lit(query)))) / F.lit(float(n))
+
+
 def highlight(text: str | Column, query: str, context: int = 50) -> Column:
     """Every match in any case with context, the left bound being the last match's end; bold, with dots where cut, one a line."""
     t = _col(text)

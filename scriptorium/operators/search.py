@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +71,12 @@ def word_index(indexed: DataFrame, key: str, least: int = 2) -> DataFrame:
     return indexed.select(F.explode(F.array_distinct(F.split("combined", " "))).alias("word"), key).where(F.length("word") >= least)
 
 
-def fuzzy(indexed: DataFrame, query: str, key: str, most: float = FUZZY_MOST) -> DataFrame:
+def fuzzy(indexed: DataFrame, query: str, key: str, most: float = FUZZY_MOST, score: Callable[[str, str], Column] = T.near_score) -> DataFrame:
     """(key, near): the least score of a row's words that are near the query.
 
     Distinct words are scored once; the index then meets the few that are near. Words that cannot be near are left out
     before any distance is taken: those that are too short, and those without any part of the query, cut in one more part
-    than edits are allowed, as an edit spoils one part at most.
+    than edits are allowed, as an edit spoils one part at most. `score` may be any that is not below the distance to the nearest part.
     """
     words = word_index(indexed, key)
     slack = int(most * len(query))
@@ -85,7 +85,7 @@ def fuzzy(indexed: DataFrame, query: str, key: str, most: float = FUZZY_MOST) ->
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = part | F.contains("word", F.lit(query[a:b]))
     vocabulary = words.select("word").where((F.length("word") >= len(query) - slack) & part).distinct()
-    near = vocabulary.withColumn("near", T.near_score("word", query)).where(F.col("near") <= most)
+    near = vocabulary.withColumn("near", score("word", query)).where(F.col("near") <= most)
     return words.join(near, "word").groupBy(key).agg(F.min("near").alias("near"))
 
 
@@ -96,9 +96,9 @@ def normal_query(query: str) -> str:
     return " ".join(unicodedata.normalize("NFC", query.lower()).split())
 
 
-def with_fuzzy(found: DataFrame, indexed: DataFrame, query: str, key: str, keep: Column | None = None, words: GramIndex | None = None) -> DataFrame:
+def with_fuzzy(found: DataFrame, indexed: DataFrame, query: str, key: str, keep: Column | None = None, words: GramIndex | None = None, score: Callable[[str, str], Column] = T.near_score) -> DataFrame:
     """Exact rows, and rows that only fuzzy search finds with a score below any exact one; near words come from a kept index if there is one."""
-    near = (words.rows(query, FUZZY_MOST) if words else fuzzy(indexed, query, key)).where("near < 1")
+    near = (words.rows(query, FUZZY_MOST) if words else fuzzy(indexed, query, key, score=score)).where("near < 1")
     rows = indexed if keep is None else indexed.where(keep)
     more = rows.join(near, key).join(found.select(key), key, "left_anti").withColumn("score", (1 - F.col("near")) * 0.5).drop("near")
     return found.unionByName(more)
@@ -112,12 +112,12 @@ def ordered(found: DataFrame, query: str, sort: str, views: str, day: str, tie:
     return found.orderBy(*([F.col("score").desc()] if query else []), by, F.col(tie))
 
 
-def search(indexed: DataFrame, query: str, keep: Column | None = None, sort: str = "views", key: str = "id", views: str = "viewCount", day: str = "uploadDate", below: int = FUZZY_BELOW, seed: int | None = None, words: GramIndex | None = None) -> DataFrame:
+def search(indexed: DataFrame, query: str, keep: Column | None = None, sort: str = "views", key: str = "id", views: str = "viewCount", day: str = "uploadDate", below: int = FUZZY_BELOW, seed: int | None = None, words: GramIndex | None = None, score: Callable[[str, str], Column] = T.near_score) -> DataFrame:
     """Exact search, and fuzzy search where it finds few rows. The gate is one small action: it stops at `below` rows. The index's own columns are not sorted along."""
     q = normal_query(query)
     found = exact(indexed, q, keep)
     if len(q) >= FUZZY_LENGTH and found.limit(below).count() < below:
-        found = with_fuzzy(found, indexed, q, key, keep, words)
+        found = with_fuzzy(found, indexed, q, key, keep, words, score)
     return ordered(found.drop("fields", "combined"), q, sort, views, day, key, seed)
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.functions.distance import WORD, substring_distance
 from scriptorium.operators import search
 from scriptorium.operators.gram_index import GramIndex
@@ -92,3 +93,33 @@ def test_search_takes_near_rows_from_the_index(spark, tmp_path):
 def test_no_gram_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="leave no gram"):
         GramIndex(spark, str(tmp_path)).candidates("abc", 3)
+
+
+def test_window_score_takes_the_word_and_windows_of_nearly_the_query_length(spark):
+    q = "supplier#000000003"
+    words = [q, "supplier#000000310", "supplier#000003000", "sup", "xx" + q + "yy", ""]
+    got = spark.createDataFrame([(w,) for w in words], "t string").select(T.window_score("t", q), T.near_score("t", q)).collect()
+    lev = lambda a, b: plain_whole(a, b) / len(q)
+    for w, (windows, near) in zip(words, got):
+        parts = [w] + [w[i : i + n] for n in (len(q) - 1, len(q), len(q) + 1) for i in range(max(len(w) - n + 1, 1))]
+        assert windows == min(lev(p, q) for p in parts) >= near
+    assert [round(x * len(q)) for x in got[1]] == [3, 2]
+
+
+def plain_whole(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b):
+            new.append(min(row[j] + (d != c), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_gate_scores_by_windows(spark, tmp_path):
+    from scriptorium.plans import catalog
+
+    spark.createDataFrame([(3, "Supplier#000000003", 1.0), (310, "Supplier#000000310", 2.0)], "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("search_gate_open", "search_union"):
+        got = {r.s_suppkey: r.score for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got.keys() == {3, 310} and got[3] == 4.0 and abs(got[310] - (1 - 3 / 18) * 0.5) < 1e-12
