@@ -131,6 +131,31 @@ def sample_rows(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     return rows.orderBy(F.rand(seed)).limit(n)
 
 
+def _said(field: str) -> Column:
+    return F.lower(F.coalesce(F.col(field), F.lit("")))
+
+
+def _texts(rows: DataFrame, fields: Sequence[str], **made: Column) -> DataFrame:
+    """(said, ...): the different lower-case texts of some fields, the empty one for null, with columns made of them.
+
+    They are written once to the shared folder, so that no filter on what is made moves to before the texts are told apart.
+    """
+    from scriptorium.plans.session import scratch
+
+    spark, home = rows.sparkSession, scratch(rows.sparkSession)
+    said = rows.select(F.explode(F.array(*map(_said, fields))).alias("said")).distinct()
+    said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(f"{home}/texts")
+    made_once = spark.read.schema(said.schema).parquet(f"{home}/texts").withColumns(made)
+    made_once.write.parquet(f"{home}/made")
+    return spark.read.schema(made_once.schema).parquet(f"{home}/made")
+
+
+def similarities(rows: DataFrame, field: str, query: str, scorers: Sequence[str] = tuple(T.SCORERS)) -> DataFrame:
+    """Rows with a column for each scorer of a field; each different text is scored once."""
+    scored = _texts(rows, [field], **{s: T.similarity("said", query, s) for s in scorers})
+    return rows.join(scored, _said(field) == F.col("said"), "left").drop("said")
+
+
 def page_search(rows: DataFrame, query: str, fields: Sequence[str], mode: str = "exact", least: int = 70, scorers: Sequence[str] = tuple(T.SCORERS), location: str | None = None, language: str | None = None, n_actors: tuple[float, float] | None = None, key: str = "id") -> DataFrame:
     """The older page's search: exact is 100 for a substring; fuzzy the best scorer of any field. best_field and best_scorer are the row's own."""
     if location:
@@ -140,12 +165,17 @@ def page_search(rows: DataFrame, query: str, fields: Sequence[str], mode: str =
     if n_actors:
         rows = rows.where(F.expr("coalesce(try_cast(main_actors_count as double), 0)").between(*n_actors))
     if mode == "exact":
-        tries = [(f, "exact", F.when(F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(query.lower())), 100.0).otherwise(0.0)) for f in fields]
+        tries = [F.struct(F.when(F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(query.lower())), 100.0).otherwise(0.0).alias("score"), F.lit(-i).alias("i"), F.lit(f).alias("field"), F.lit("exact").alias("scorer")) for i, f in enumerate(fields)]
         least = 100
     else:
-        tries = [(f, s, T.similarity(f, query, s)) for f in fields for s in scorers]
-    scored = rows.withColumn("_best", F.array_max(F.array(*[F.struct(x.alias("score"), F.lit(-i).alias("i"), F.lit(f).alias("field"), F.lit(s).alias("scorer")) for i, (f, s, x) in enumerate(tries)])))
-    scored = scored.withColumns({"score": F.col("_best.score"), "best_field": F.col("_best.field"), "best_scorer": F.col("_best.scorer")}).drop("_best")
+        # Each different text is scored once for all fields; only those that reach the least score meet the rows.
+        best = F.array_max(F.array(*[F.struct(T.similarity("said", query, s).alias("score"), F.lit(-j).alias("j"), F.lit(s).alias("scorer")) for j, s in enumerate(scorers)]))
+        near = _texts(rows, fields, _b=best).where(F.col("_b.score") >= least)
+        for i, f in enumerate(fields):
+            rows = rows.join(near.select(F.col("said").alias(f"_k{i}"), F.col("_b").alias(f"_b{i}")), F.col(f"_k{i}") == _said(f), "left")
+        tries = [F.when(F.col(f"_b{i}").isNotNull(), F.struct(F.col(f"_b{i}.score").alias("score"), F.lit(-i).alias("i"), F.lit(f).alias("field"), F.col(f"_b{i}.scorer").alias("scorer"))) for i, f in enumerate(fields)]
+    scored = rows.withColumn("_best", F.array_max(F.array(*tries)))
+    scored = scored.withColumns({"score": F.col("_best.score"), "best_field": F.col("_best.field"), "best_scorer": F.col("_best.scorer")}).drop("_best", *(f"_{x}{i}" for x in "kb" for i in range(len(fields))))
     return scored.where(F.col("score") >= least).orderBy(F.col("score").desc(), key)
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.functions import vocab
 from scriptorium.operators import canon, discover, relational, search, stats, transcripts, usage
 from scriptorium.sources import readers, writers
@@ -326,3 +327,17 @@ def test_cost_run_of_the_command_line(spark, tmp_path, capsys):
     main(["costs", "--input", str(tmp_path), "--model", "pro"])
     out = capsys.readouterr().out
     assert "pro" in out and "lite" not in out and "4.0" in out
+
+
+def test_each_different_text_is_scored_once(spark):
+    rows = [(1, "Small Ring", "x", "en"), (2, "small ring", None, "en"), (3, None, "samll rnig", "en"), (4, "", "", "de"), (5, "rings", "smal ring", "en")]
+    r = spark.createDataFrame(rows, "id int, a string, b string, languages string")
+    assert search._texts(r, ("a", "b")).count() == 6
+    tries = [(f, s) for f in "ab" for s in T.SCORERS]
+    one = r.select("id", *(T.similarity(f, "small ring", s).alias(f"{f}_{s}") for f, s in tries)).collect()
+    want = {x.id: max((x[f"{f}_{s}"], -i, f, s) for i, (f, s) in enumerate(tries)) for x in one}
+    got = search.page_search(r, "Small ring", ("a", "b"), mode="fuzzy", least=60)
+    assert got.columns == [*r.columns, "score", "best_field", "best_scorer"]
+    assert {x.id: (x.score, x.best_field, x.best_scorer) for x in got.collect()} == {k: (w[0], *w[2:]) for k, w in want.items() if w[0] >= 60}
+    all_ = search.similarities(r, "a", "small ring").collect()
+    assert {(x.id, *(x[s] for s in T.SCORERS)) for x in all_} == {(x.id, *(x[f"a_{s}"] for s in T.SCORERS)) for x in one}
