@@ -24,14 +24,18 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-#: Characters that composition never changes: Latin letters with marks, Cyrillic and Armenian letters, common punctuation and currency signs.
-_COMPOSED = r"[^\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{58F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}]"
+#: Texts of characters that composition never changes: Latin letters with marks, Cyrillic and Armenian letters, common punctuation and
+#: currency signs. One match of the whole text, without a way back, takes a tenth of the time of looking for any other character.
+_COMPOSED = r"^[\x{0}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{58F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}]*+\z"
+
+#: Runs of white space that are not one blank already.
+_SPACES = r"(?U)[\s&&[^ ]]\s*| \s+"
 
 
 def nfc(c: str | Column) -> Column:
     """Canonical composition. The only text function without a built-in form; only values with a character that it may change cross to a worker."""
     v = _col(c)
-    return F.coalesce(_nfc(F.when(v.rlike(_COMPOSED), v)), v)
+    return F.coalesce(_nfc(F.when(~v.rlike(_COMPOSED), v)), v)
 
 
 def strip(c: str | Column) -> Column:
@@ -46,12 +50,12 @@ def clean(c: str | Column) -> Column:
 
 def fold(c: str | Column) -> Column:
     """Lower case, runs of white space as one blank, stripped; for text that is in composed form already."""
-    return strip(F.regexp_replace(F.lower(_col(c)), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(_col(c)), _SPACES, " "))
 
 
 def normalize(c: str | Column) -> Column:
     """fold() of the composed lower-case text."""
-    return strip(F.regexp_replace(nfc(F.lower(_col(c))), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(nfc(F.lower(_col(c))), _SPACES, " "))
 
 
 def words(c: str | Column, pattern: str = vocab.ANY_WORD) -> Column:
