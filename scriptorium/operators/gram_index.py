@@ -18,12 +18,10 @@ def _bucket(c: str, buckets: int) -> Column:
 
 
 def grams(words: DataFrame, size: int) -> DataFrame:
-    """(word, n, gram, at): each word's distinct grams with their places from 0."""
-    c = words.select("word", F.length("word").alias("n"), characters(F.col("word")).alias("c"))
-    ends = F.sequence(F.lit(0), F.col("n") - size)
-    cut = F.transform(ends, lambda i: F.struct(F.concat(*[F.get("c", i + k) for k in range(size)]).alias("gram"), i.alias("at")))
-    each = c.where(F.col("n") >= size).select("word", "n", F.explode(cut).alias("g"))
-    return each.groupBy("word", "n", "g.gram").agg(F.collect_list("g.at").alias("at"))  # one word's own places
+    """(word, n, gram, at): each word's grams, one row for each place from 0."""
+    # A match looks ahead at a gram and takes one character, so a word is read once.
+    cut = F.regexp_extract_all(F.col("word"), F.lit(f"(?s)(?=({'.' * size}))."), F.lit(1))
+    return words.select("word", F.length("word").alias("n"), F.posexplode_outer(cut).alias("at", "gram")).where("gram is not null")
 
 
 class GramIndex:
@@ -44,7 +42,10 @@ class GramIndex:
         rows = words.select("word", key, _bucket("word", buckets))
         # Files of a bucket by size, so that a frequent word's or gram's list may have many.
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{home}/words")
-        vocabulary = index.spark.read.parquet(f"{home}/words").select("word").distinct()
+        # The vocabulary is small beside its grams, so its rows are dealt to all tasks before they are cut.
+        parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+        index.spark.read.parquet(f"{home}/words").select("word").distinct().repartition(parts, "word").write.parquet(f"{home}/vocabulary")
+        vocabulary = index.spark.read.schema("word string").parquet(f"{home}/vocabulary")
         every = None
         for size in SIZES:
             part = grams(vocabulary, size).select(F.lit(size).alias("size"), _bucket("gram", buckets), "gram", "word", "n", "at")
@@ -69,14 +70,15 @@ class GramIndex:
         for i in range(n - size + 1):
             places.setdefault(query[i : i + size], []).append(i)
         own = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for g, at in places.items() for x in (g, at)])
-        met = F.flatten(F.transform(F.element_at(own, F.col("gram")), lambda i: F.transform("at", lambda j: F.struct((j - i).alias("shift"), i.alias("place")))))
+        met = F.transform(F.element_at(own, F.col("gram")), lambda i: F.struct((F.col("at") - i).alias("shift"), i.alias("place")))
         pairs = self.lists(query, size).where(F.col("n") >= n - edits).select("word", met.alias("met")).groupBy("word").agg(F.flatten(F.collect_list("met")).alias("met"))  # bounded by the word's length
 
         def together(p: Column) -> Column:
             near = F.filter("met", lambda x: (x["shift"] >= p["shift"]) & (x["shift"] <= p["shift"] + edits))
             return F.size(F.array_distinct(F.transform(near, lambda x: x["place"]))) >= need
 
-        return pairs.where((F.size("met") >= need) & F.exists("met", together)).select("word")
+        # The word hangs on the list, so that no test of it moves to before the grams of a word have met.
+        return pairs.where((F.size("met") >= need) & F.exists("met", together)).select(F.when(F.size("met") >= need, F.col("word")).alias("word"))
 
     def near(self, query: str, most: float) -> DataFrame:
         """(word, near): words with a part whose distance to the query is at most a share of its length."""
