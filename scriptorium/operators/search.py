@@ -33,7 +33,7 @@ def index(rows: DataFrame, weights: Mapping[str, int] = vocab.FIELD_WEIGHTS, tab
             x = T.transliterate(v, t)
             parts.append(F.when(~F.array_contains(F.array(*before), x), T.fold(x)))
             before.append(x)
-    made = once.withColumns({"fields": F.filter(F.array(*fields), lambda x: x["value"].isNotNull()), "combined": T.strip(F.concat_ws(" ", *parts))})
+    made = once.withColumns({"fields": F.filter(F.array(*fields), lambda x: x["value"].isNotNull()), "combined": F.trim(F.concat_ws(" ", *parts))})
     return made.drop(*[f"_{f}" for f in weights])
 
 
@@ -68,24 +68,29 @@ def exact(indexed: DataFrame, query: str, keep: Column | None = None) -> DataFra
 
 def word_index(indexed: DataFrame, key: str, least: int = 2) -> DataFrame:
     """Distinct (word, key) of the combined text; words are parted by single blanks."""
-    return indexed.select(F.explode(F.array_distinct(F.split("combined", " "))).alias("word"), key).where(F.length("word") >= least)
+    # The outer form keeps the optimizer from cutting the text twice, once to see whether there are words; its null falls with the short words.
+    return indexed.select(F.explode_outer(F.array_distinct(F.split("combined", " "))).alias("word"), key).where(F.length("word") >= least)
 
 
 def fuzzy(indexed: DataFrame, query: str, key: str, most: float = FUZZY_MOST, score: Callable[[str, str], Column] = T.near_score) -> DataFrame:
     """(key, near): the least score of a row's words that are near the query.
 
-    Distinct words are scored once; the index then meets the few that are near. Words that cannot be near are left out
+    Distinct words are scored once; the rows then meet the few that are near. Words that cannot be near are left out
     before any distance is taken: those that are too short, and those without any part of the query, cut in one more part
     than edits are allowed, as an edit spoils one part at most. `score` may be any that is not below the distance to the nearest part.
+    The words that are left are written once to the shared folder, so that texts are read and cut once.
     """
-    words = word_index(indexed, key)
+    from scriptorium.plans.session import written
+
     slack = int(most * len(query))
     cuts = [round(i * len(query) / (slack + 1)) for i in range(slack + 2)]
     part = F.lit(False)
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = part | F.contains("word", F.lit(query[a:b]))
-    vocabulary = words.select("word").where((F.length("word") >= len(query) - slack) & part).distinct()
-    near = vocabulary.withColumn("near", score("word", query)).where(F.col("near") <= most)
+    words = written(word_index(indexed, key).where((F.length("word") >= len(query) - slack) & part))
+    # The score hangs on the count, so that it does not move to before equal words are one.
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("n"))
+    near = vocabulary.select("word", F.when(F.col("n") > 0, score("word", query)).alias("near")).where(F.col("near") <= most)
     return words.join(near, "word").groupBy(key).agg(F.min("near").alias("near"))
 
 

@@ -34,6 +34,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{home or '/tmp/checkpoints'}/scratch-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there."""
+    from pyspark.sql.types import StructType
+
+    spark, home = rows.sparkSession, scratch(rows.sparkSession)
+    rows.write.parquet(home)
+    return spark.read.schema(StructType(rows.schema.fields)).parquet(home)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A digest of the names, sizes and times of a table's files, from listings alone."""
     import hashlib

@@ -123,3 +123,39 @@ def test_gate_scores_by_windows(spark, tmp_path):
     for name in ("search_gate_open", "search_union"):
         got = {r.s_suppkey: r.score for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got.keys() == {3, 310} and got[3] == 4.0 and abs(got[310] - (1 - 3 / 18) * 0.5) < 1e-12
+
+
+def planned(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_distance_is_taken_once_a_word_and_texts_are_cut_once(spark, tmp_path):
+    """The test of the distance stays above the aggregate of a word's grams or rows, and no filter cuts a text beside the explode."""
+    rows = spark.createDataFrame([(1, "tormuz tormus"), (2, "tormuz"), (3, ""), (4, None)], "k int, combined string")
+    words = search.word_index(rows, "k")
+    assert planned(words).count("split(") == 1 and sorted(map(tuple, words.collect())) == [("tormus", 1), ("tormuz", 1), ("tormuz", 2)]
+    index = GramIndex.build(words, str(tmp_path / "w"), "k", buckets=4)
+    plan = planned(index.near("torzuz", 0.35))
+    assert "aggregate(" in plan[: plan.index("Aggregate [")] and "aggregate(" not in plan[plan.index("Aggregate [") :]
+    near = planned(search.fuzzy(rows, "torzuz", "k"))
+    assert "split(" not in near and "aggregate(" not in near[near.rindex("Aggregate [word") :]
+    assert sorted(map(tuple, search.fuzzy(rows, "torzuz", "k").collect())) == [(1, pytest.approx(1 / 6)), (2, pytest.approx(1 / 6))]
+
+
+def test_grams_of_any_characters(spark):
+    """Each place of a word has its gram, whole code points each, as the plain version says."""
+    from scriptorium.operators.gram_index import grams
+
+    words = ["a", "ab", "aa\n", "a😀b😀", "եւ😀", "x" * 70, ""]
+    for size in (1, 2):
+        got = sorted(map(tuple, grams(spark.createDataFrame([(w,) for w in words], "word string"), size).select("word", "n", "gram", "at").collect()))
+        assert got == sorted((w, len(w), w[i : i + size], i) for w in words for i in range(len(w) - size + 1))
+
+
+def test_white_space_and_composition_as_before(spark):
+    """Every white space becomes one blank; texts of other characters cross to be composed, wherever in the text they stand."""
+    import unicodedata
+
+    texts = [" a  b\t\n c ", " x　 y\u0085", "é a", "a\n" * 3, "", "  ", "ա́", "Å", "ab\nç\n", "kᅡ", None]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.normalize("t").alias("x")).orderBy("i").collect()]
+    assert got == [None if t is None else " ".join(unicodedata.normalize("NFC", t.lower()).split()) for t in texts]
