@@ -29,6 +29,8 @@ class Automaton:
         starts = [np.frombuffer(p[:BEGINNING].encode("utf-32-le", "surrogatepass"), np.uint32) for p in phrases]
         letters = np.unique(np.concatenate(starts))
         self.letters, width = letters, len(letters) + 1  # class 0 is any other character
+        self.classes = np.zeros(int(letters[-1]) + 2, np.int32)  # the last one is that of all characters beyond
+        self.classes[letters] = np.arange(1, width)
         goes: list[dict[int, int]] = [{}]
         depth, parent, by = [0], [0], [0]
         ends: dict[int, list[int]] = {}
@@ -67,17 +69,38 @@ class Automaton:
         self.rest = np.zeros(n, np.int32)  # the next ending state after one of these
         for s in ends:
             self.rest[s] = self.out[fall[s]]
-        self.whole = np.zeros(n, bool)  # states that end a phrase known to its end
         self.longer: dict[int, list[int]] = {}
         for s, own_phrases in ends.items():
-            self.whole[s] = any(len(phrases[k]) <= BEGINNING for k in own_phrases)
             if more := [k for k in own_phrases if len(phrases[k]) > BEGINNING]:
                 self.longer[s] = more
         self.partly = np.zeros(n, bool)
         self.partly[list(self.longer)] = True
+        #: The phrase that a state is to its end, as different phrases have different states; -1 for none.
+        self.own = np.full(n, -1, np.int64)
+        for s, own_phrases in ends.items():
+            for k in own_phrases:
+                if len(phrases[k]) <= BEGINNING:
+                    self.own[s] = k
+        #: Whether a state or one that it falls back to begins a longer phrase.
+        self.begins = np.zeros(n, bool)
+        for s in np.argsort(depth, kind="stable").tolist():
+            self.begins[s] = self.partly[s] or (s > 0 and self.begins[fall[s]])
+        self.goto = (self.step * width).ravel()  # states as the starts of their rows
+        self.width = width
         self.phrases = phrases
         self.least = min(map(len, phrases))
 
+    def _chains(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """All (text, ending state) numbers of these (text, state) numbers, each once: the state and those that it falls back to."""
+        first = self.out[keys % n]
+        live = keys - keys % n + first
+        live, found = _unique(live[first > 0]), []
+        while len(live):
+            found.append(live)
+            rest = self.rest[live % n]
+            live = _unique((live - live % n + rest)[rest > 0])
+        return _unique(np.concatenate(found)) if found else keys[:0]
+
     def pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, phrase) numbers of the phrases that each text holds, each once."""
         coded = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
@@ -86,39 +109,49 @@ class Automaton:
         if not spans:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         wide = min(STRETCH, max(len(coded[i]) for i, _ in spans)) + lead
-        # A column for each stretch, begun as many characters early as a beginning may reach back.
-        block = np.zeros((wide, len(spans)), np.uint16 if len(self.letters) < 65_000 else np.uint32)
+        # A row for each stretch, begun as many characters early as a beginning may reach back.
+        block = np.zeros((len(spans), wide), np.int32)
         for k, (i, a) in enumerate(spans):
             c = coded[i][max(0, a - lead) : a + STRETCH]
-            at = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
-            block[: len(c), k] = np.where(self.letters[at] == c, at + 1, 0)
+            block[k, : len(c)] = self.classes[np.minimum(c, len(self.classes) - 1)]
+        block = np.ascontiguousarray(block.T)
         of = np.array([i for i, _ in spans])
         first = np.array([max(0, a - lead) for _, a in spans])
-        state, n = np.zeros(len(spans), np.int32), len(self.out)
-        found: list[np.ndarray] = []
-        late: list[tuple[int, int, int]] = []
+        n = len(self.out)
+        # Each step's states take the place of its characters; what they end is asked once for each text and state.
+        row = np.zeros(len(spans), np.int32)
         for t in range(wide):
-            state = self.step[state, block[t]]
-            out = self.out[state]
-            hit = np.flatnonzero(out)
-            while len(hit):
-                s = out[hit]
-                sure = self.whole[s]
-                found.append(of[hit[sure]] * n + s[sure])
-                for k, at in zip(hit[self.partly[s]].tolist(), s[self.partly[s]].tolist(), strict=True):
-                    late.append((int(of[k]), int(first[k]) + t + 1 - BEGINNING, at))
-                out = np.zeros_like(out)
-                out[hit] = self.rest[s]
-                hit = hit[out[hit] > 0]
-            if t % 128 == 127:
-                found = [np.unique(np.concatenate(found))] if found else []
-        held = {(int(x) // n, p) for x in (np.unique(np.concatenate(found)) if found else ()) for p in self.ends[int(x) % n] if len(self.phrases[p]) <= BEGINNING}
-        for i, at, s in set(late):
-            held |= {(i, p) for p in self.longer[s] if texts[i].startswith(self.phrases[p], at)}
-        both = np.array(sorted(held), np.int64).reshape(-1, 2)
+            row = self.goto[row + block[t]]
+            block[t] = row
+        late: set[tuple[int, int, int]] = set()
+        found = []
+        for a in range(0, wide, 256):
+            states = block[a : a + 256] // self.width
+            found.append(_unique((states + of * n).ravel()))
+            if self.longer:
+                at, which = np.nonzero(self.begins[states])
+                for t, k, s in zip((a + at).tolist(), which.tolist(), states[at, which].tolist(), strict=True):
+                    s = s if self.out[s] == s else int(self.out[s])
+                    while s:
+                        if self.partly[s]:
+                            late.add((int(of[k]), int(first[k]) + t + 1 - BEGINNING, s))
+                        s = int(self.rest[s])
+        ended = self._chains(_unique(np.concatenate(found)), n)
+        which = self.own[ended % n]
+        both = np.column_stack((ended // n, which))[which >= 0]
+        if late:
+            more = {(i, p) for i, at, s in late for p in self.longer[s] if texts[i].startswith(self.phrases[p], at)}
+            both = np.concatenate((both, np.array(sorted(more), np.int64).reshape(-1, 2)))
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
         return both[:, 0], both[:, 1]
 
 
+def _unique(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers in order."""
+    x = np.sort(numbers)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def blocks(phrases: Sequence[str]) -> list[list[str]]:
     """Phrases in blocks whose automaton stays within CELLS, a single phrase's aside."""
     out: list[list[str]] = []
@@ -147,7 +180,10 @@ def automata(phrases: Sequence[str]) -> list[Automaton]:
 
 def rounds(phrases: DataFrame, phrase: str, size: int = ROUND) -> Iterator[list[str]]:
     """Distinct non-empty phrases in lists of about `size` characters at most, dealt by a hash; only their number grows."""
-    p = phrases.select(F.col(phrase).alias("p")).where("p <> ''").distinct()
+    from scriptorium.plans.session import written
+
+    # Written once, as they may come from a long way and are asked for more than once.
+    p = written(phrases.select(F.col(phrase).alias("p")).where("p <> ''").distinct())
     total = p.agg(F.sum(F.length("p"))).first()[0] or 0
     n = math.ceil(total / size)
     for k in range(n):
@@ -176,7 +212,7 @@ def _batches(phrases: Sequence[str], reduce: Callable[[np.ndarray, np.ndarray, p
                 of, held = reduce(*a.pairs(texts), b)
                 if len(of):
                     rows = pa.array(of)
-                    yield pa.RecordBatch.from_arrays([pa.array([a.phrases[i] for i in held.tolist()], pa.string()), *(b.column(c).take(rows) for c in names)], ["phrase", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(a.phrases, pa.string()).take(pa.array(held)), *(b.column(c).take(rows) for c in names)], ["phrase", *names])
 
     return run
 

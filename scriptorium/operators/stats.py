@@ -106,8 +106,10 @@ def word_counts(rows: DataFrame, text: Column, pattern: str = vocab.ANY_WORD, le
 
 def bigram_counts(rows: DataFrame, text: Column, pattern: str = vocab.ANY_WORD, least: int = 3, stop: Sequence[str] = tuple(vocab.STOP_WORDS), top: int | None = 12) -> DataFrame:
     """The most frequent pairs of neighbours after one-letter words are dropped; both of at least so many characters and no stop word."""
-    w = rows.select(F.filter(T.words(text, pattern), lambda x: F.length(x) > 1).alias("w")).where(F.size("w") >= 2)
-    p = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p")).select("p.*")
+    w = rows.select(F.filter(T.words(text, pattern), lambda x: F.length(x) > 1).alias("w"))
+    # Neither a test of the number of words nor the inner explode, which has one, stands here: either would cut each text again.
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    p = w.select(F.explode_outer(F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"))).alias("p")).select("p.*")
     p = p.where((F.length("a") >= least) & (F.length("b") >= least))
     if stop:
         p = p.where(~F.col("a").isin(list(stop)) & ~F.col("b").isin(list(stop)))

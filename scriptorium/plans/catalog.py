@@ -14,7 +14,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import canon, discover, kin, phrases, relational, search, stats, transcripts, usage
 from scriptorium.operators.gram_index import GramIndex
 from scriptorium.plans.registry import QUERIES, SQL, register
-from scriptorium.plans.session import kept, table
+from scriptorium.plans.session import kept, table, written
 from scriptorium.sources import readers
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -483,7 +483,7 @@ def phrases_held(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_tiles_of_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent word pairs with the most viewed document that has them side by side."""
     docs = table(spark, sf_dir, "documents")
-    top = stats.bigram_counts(docs, F.col("text"), stop=STOP)
+    top = written(stats.bigram_counts(docs, F.col("text"), stop=STOP))
     found = discover.phrase_tiles(top, "phrase", docs.withColumn("said", T.fold("text")), "said", "doc_id", "n_chars")
     return found.join(top, "phrase").select("phrase", "n", "key", "views")
 

@@ -128,3 +128,25 @@ def test_only_pairs_that_may_be_among_the_best_are_scored(size):
         want = {s for s, x in least.items() if x + hub[k] >= bound - 2e-6}
         assert {s for j, s in got if j == k} == want and all(abs(got[k, s] - shared[k, s]) < 1e-9 for s in want)
     assert len(got) < len(shared)
+
+
+def test_states_are_asked_once_a_text(monkeypatch):
+    """A text that repeats itself costs its steps, not its hits: what ends at a state is looked up once for each text and state."""
+    asked = []
+    a = phrases.Automaton(["a", "aa", "b", "ab", "x" * 70])
+    chains = a._chains
+    monkeypatch.setattr(a, "_chains", lambda keys, n: asked.append(len(keys)) or chains(keys, n))
+    of, held = a.pairs(["ab" * 20_000, "x" * 5_000, "zz"])
+    assert list(zip(of.tolist(), held.tolist())) == [(0, 0), (0, 2), (0, 3), (1, 4)]
+    assert sum(asked) < 200
+
+
+def test_phrases_and_pairs_are_made_once(spark):
+    """Phrases that come from a long way are written once; a text is cut into pairs of words once."""
+    made = stats.bigram_counts(spark.createDataFrame([("one two three",), ("one",), ("",), (None,), ("a two one two",)], "t string"), F.col("t"), pattern="[a-z]+", stop=(), top=None)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted(map(tuple, made.collect())) == [("one two", 2), ("two one", 1), ("two three", 1)]
+    calls = spark.sparkContext.accumulator(0)
+    slow = F.udf(lambda x: (calls.add(1), x)[1], "string").asNondeterministic()
+    assert [p for some in phrases.rounds(spark.createDataFrame([("p",)], "p string").select(slow("p").alias("p")), "p") for p in some] == ["p"]
+    assert calls.value == 1
