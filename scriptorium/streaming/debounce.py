@@ -2,73 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: The state store that timers need.
+#: The state store that keeps runs of events outside of the executors' memory.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Quiet(StatefulProcessor):
-    """A session's events from the watermark less the gap on, in order of time and id.
-
-    An event is decided once the watermark has passed it by the gap, as then every event that might follow within the gap has
-    come: it goes out if none did. A timer at the first undecided event's end wakes a session that nothing comes for.
-    """
-
-    def __init__(self, gap: int):
-        self.gap = gap  # microseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "ts long, id long")
-
-    def _decide(self, events: list[tuple[int, int]], watermark: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Events that are sure to be followed by quiet, and those still undecided."""
-        events = sorted(set(events))
-        n = sum(ts + self.gap <= watermark for ts, _ in events)
-        after = [*(e[0] for e in events[1:]), None]
-        quiet = [e for e, follower in zip(events[:n], after, strict=False) if follower is None or follower - e[0] >= self.gap]
-        return quiet, events[n:]
-
-    def _step(self, key, new: list[tuple[int, int]], watermark: int) -> Iterator[pd.DataFrame]:
-        held = [(int(r[0]), int(r[1])) for r in self.held.get()] if self.held.exists() else []
-        quiet, rest = self._decide(held + new, watermark)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if rest:
-            self.held.put(rest)
-            self.handle.registerTimer(-(-(rest[0][0] + self.gap) // 1_000))
-        else:
-            self.held.clear()
-        yield pd.DataFrame({"session": pd.Series([key[0]] * len(quiet), dtype=object), "ts": [e[0] for e in quiet], "id": [e[1] for e in quiet]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), int(i)) for part in rows for t, i in zip(part["micros"], part["id"], strict=True)]
-        yield from self._step(key, new, timerValues.getCurrentWatermarkInMs() * 1_000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs() * 1_000)
-
-    def close(self) -> None:
-        pass
-
-
 def debounced(events: DataFrame, session: str, stamp: str, key: str, seconds: float = 1.0, late: str = "10 minutes") -> DataFrame:
     """(session, ts, id) of the events of a stream after which their session was quiet, each once, as the batch report settled() finds
-    them in order of time and id. Rows later than the watermark are left out; repeated rows of one time and id are one."""
-    rows = events.select(F.col(session).cast("string").alias("session"), F.col(stamp).cast("timestamp").alias("at"), F.unix_micros(F.col(stamp).cast("timestamp")).alias("micros"), F.col(key).cast("long").alias("id"))
-    timed = rows.withWatermark("at", late).groupBy("session")
-    out = timed.transformWithStateInPandas(Quiet(int(seconds * 1_000_000)), "session string, ts long, id long", "Append", "EventTime")
-    return out.select("session", F.timestamp_micros("ts").alias("ts"), "id")
+    them in order of time and id.
+
+    Events nearer to each other than the gap make a run, of which the last one is followed by quiet; a run's state is one row, whatever
+    its events. It goes out once the watermark has passed its last event by the gap, as then every event that might go on with it has come.
+    Rows that the watermark has passed by the gap when they come are left out; repeated rows of one time and id are one.
+    """
+    rows = events.select(F.col(session).cast("string").alias("session"), F.col(stamp).cast("timestamp").alias("at"), F.col(key).cast("long").alias("id"))
+    # Windows that touch are one, and an event a whole gap later is not of the run: so they end a microsecond before that.
+    run = F.session_window("at", f"{int(seconds * 1_000_000) - 1} microseconds")
+    out = rows.withWatermark("at", late).groupBy("session", run).agg(F.max(F.struct("at", "id")).alias("last"))
+    return out.select("session", F.col("last.at").alias("ts"), "last.id")
 
 
 def with_timers(spark: SparkSession) -> dict[str, str | None]:
-    """Turns the state store with timers on, and gives the settings before for restoring."""
+    """Turns the state store outside of memory on, and gives the settings before for restoring."""
     before = {"spark.sql.streaming.stateStore.providerClass": spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     return before

@@ -147,3 +147,14 @@ def test_visits_as_a_stream_equal_the_batch(spark, tmp_path):
     end = START + timedelta(seconds=max(t for *_, t in rows) + 40_000) - timedelta(hours=12)
     got, wanted = (sorted((r.s, r.start, r.stop, r.n_events, r["items"]) for r in d.collect()) for d in (spark.read.parquet(str(tmp_path / "out")), batch.where(F.col("stop") <= F.lit(end))))
     assert got == wanted and got
+
+
+def test_debounce_at_the_gap_itself(spark, tmp_path):
+    """An event a whole gap later leaves quiet, one a microsecond sooner does not; of one time the largest id is last. State is a row for each run, by built-in functions."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = [(1, "a", 0), (2, "a", 60), (3, "b", 0), (4, "b", 59.999999), (5, "c", 7), (6, "c", 7), (7, None, 5), (8, None, 6), (9, "z", 1_000)]
+    write(spark, rows, source)
+    run(spark, source, out, state)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 4, 6, 8]
+    stream = spark.readStream.schema("id long, s string, ts timestamp").parquet(source)
+    assert "session_window" in debounce.debounced(stream, "s", "ts", "id", 60, "100 seconds")._jdf.queryExecution().analyzed().toString()
