@@ -18,6 +18,9 @@ from scriptorium.operators.relational import upsert
 
 BUCKETS = 64
 
+#: Most changed rows whose keys and digests a refresh broadcasts (some 40 bytes each); how many times the files of its base a derived table may have.
+BROADCAST, FILES = 500_000, 4
+
 
 class Conflict(RuntimeError):
     """Another writer's version came first."""
@@ -61,10 +64,11 @@ class Versions:
     def bucket(self) -> Column:
         return F.pmod(F.crc32(F.col(self.key).cast("string").cast("binary")), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame) -> dict[str, str]:
-        """Rows into a folder of their own; the folders by bucket."""
+    def _write(self, rows: DataFrame, deal: bool = True) -> dict[str, str]:
+        """Rows into a folder of their own; the folders by bucket. Rows that come from buckets' files need not be dealt, that is shuffled, to lie in few files."""
         attempt = uuid.uuid4().hex
-        rows.where(F.col(self.key).isNotNull()).withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.home}/data/{attempt}")
+        own = rows.where(F.col(self.key).isNotNull()).withColumn("_bucket", self.bucket())
+        (own.hint("rebalance", "_bucket") if deal else own).write.partitionBy("_bucket").parquet(f"{self.home}/data/{attempt}")
         return {n.removeprefix("_bucket="): f"{attempt}/{n}" for n in self._names(f"data/{attempt}") if n.startswith("_bucket=")}
 
     def _publish(self, number: int, folders: dict[str, str], schema: str, source: dict[str, str] | None = None) -> int:
@@ -124,17 +128,28 @@ def refresh(derived: Versions, base: Versions, columns: list[str], derive: Calla
     """A new version of a table that is derived from another's current one, row by row; gives its number.
 
     Derived rows keep a digest of the columns that they came from and the number of the version that made them (`_digest`, `_made`). Only
-    buckets whose folder changed are looked at, and of these only rows with a new digest are derived; the others are taken over.
+    buckets whose folder changed are looked at, and of these only rows with a new digest are derived; the others are taken over. Keys and
+    digests alone are compared; rows stay where their bucket's files are, unless there are more changes than are broadcast, or so many files that they are dealt anew.
     """
+    from scriptorium.plans.session import written
+
     source, last = base.version(), derived.version()
     folders, held, own = source["folders"], last["folders"], last["number"]
     touched = {b for b, f in folders.items() if last["source"].get(b) != f} | {b for b in held if b not in folders}
     rows = base.read(source["number"], touched).withColumn("_digest", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
     on = [base.key, "_digest"]
-    new = rows
+    new, taken, deal = rows, None, derived.buckets != base.buckets
     if own:
         before = derived.read(own, touched)
-        new = rows.join(before.select(*on), on, "left_anti")
+        # One row for each that only one side has: bounded by the changes, not by the table.
+        sides = rows.select(*on, F.lit(1).alias("_new")).join(before.select(*on, F.lit(1).alias("_old")), on, "full")
+        changes = written(sides.where("_new is null or _old is null").withColumn("_digest", F.unhex("_digest")))
+        small = changes.count() <= BROADCAST
+        only = lambda side: (F.broadcast if small else lambda x: x)(changes.where(f"{side} is not null").select(F.col(base.key).alias("_key"), F.hex("_digest").alias("_was")))
+        same = lambda d: (d[base.key] == F.col("_key")) & (d["_digest"] == F.lower("_was"))
+        new = rows.join(only("_new"), same(rows), "left_semi")
+        taken = before.join(only("_old"), same(before), "left_anti")
+        deal = deal or not small or len(before.inputFiles()) > FILES * (len(rows.inputFiles()) + derived.buckets)
     made = derive(new).withColumn("_made", F.lit(own + 1))
-    every = before.join(rows.select(*on), on, "left_semi").select(*made.columns).unionByName(made) if own else made
-    return derived._publish(own + 1, {b: f for b, f in held.items() if b not in touched} | derived._write(every), derived._ddl(made), folders)
+    every = made if taken is None else taken.select(*made.columns).unionByName(made)
+    return derived._publish(own + 1, {b: f for b, f in held.items() if b not in touched} | derived._write(every, deal), derived._ddl(made), folders)

@@ -119,3 +119,26 @@ def test_pages_are_disjoint_and_hold_all_rows(spark):
     assert sorted(order) == [3 * i for i in range(130)]
     assert order == [r.k for r in in_random_order(found, "_place", 130, 9).collect()]
     assert order != [r.k for r in in_random_order(found, "_place", 130, 10).collect()]
+
+
+def test_a_refresh_moves_keys_and_digests_only(spark, tmp_path, monkeypatch):
+    """Rows are neither shuffled to be compared nor to be written; with more changes than are broadcast, and with repeated keys, the result is the same."""
+    from scriptorium.sources import versions
+
+    dealt, write_ = [], Versions._write
+    monkeypatch.setattr(Versions, "_write", lambda self, rows, deal=True: dealt.append((self.home[-1], deal, rows._jdf.queryExecution().optimizedPlan().toString())) or write_(self, rows, deal))
+    for most in (500_000, 0):
+        monkeypatch.setattr(versions, "BROADCAST", most)
+        home = tmp_path / str(most)
+        base, derived = Versions(spark, str(home / "b"), "k", 4), Versions(spark, str(home / "d"), "k", 4)
+        base.replace(rows(spark, *((f"k{i}", "a", 1) for i in range(30)), ("twice", "x", 1), ("twice", "y", 1)))
+        made = lambda r: r.select("k", F.upper("v").alias("v"), "_digest")
+        refresh(derived, base, ["v"], made)
+        base.replace(rows(spark, *((f"k{i}", "b" if i == 3 else "a", 2) for i in range(1, 30)), ("twice", "x", 1), ("twice", "z", 1), ("new", None, 2)))
+        refresh(derived, base, ["v"], made)
+        told = sorted(((r.k, r.v or "", r._made) for r in derived.read().collect()))
+        assert told == sorted([*((f"k{i}", "A", 1) for i in range(1, 30) if i != 3), ("k3", "B", 2), ("new", "", 2), ("twice", "X", 1), ("twice", "Z", 2)])
+        last = dealt[-1]
+        assert last[:2] == ("d", most == 0) and ("strategy=broadcast" in last[2]) == (most > 0)
+    first = [x for x in dealt if x[0] == "d"][0]
+    assert not first[1]
