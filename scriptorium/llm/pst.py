@@ -34,7 +34,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +96,15 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+#: Stands for the nearest classes in the rows with counts of pairs.
+PAIRS = -1
+
+
 def _count_classes(classes: Classes):
+    """(near, gram, n): lists of grams and their counts by the nearest two classes of the context, and under PAIRS the counts of a
+    class and the next by themselves. A flush of a task's counter makes one row for each."""
+    size, bits = classes.size, classes.bits
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -107,7 +115,14 @@ def _count_classes(classes: Classes):
         def out() -> pa.RecordBatch:
             g, n = merged()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+            pairs = np.bincount(g & (size * size - 1), n, size * size).astype(np.int64)
+            met, near = np.flatnonzero(pairs), g >> bits & (size * size - 1)
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            starts = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
+            ends = pa.array(np.concatenate((starts, [len(g), len(g) + len(met)])), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in ((g[order], met), (n[order], pairs[met]))]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(near[starts], PAIRS), pa.int32()), *lists], ["near", "gram", "n"])
 
         known = _Known(classes.of)
         for b in batches:
@@ -115,7 +130,7 @@ def _count_classes(classes: Classes):
             for t in b.column("text").to_pylist():
                 w = words_of(t)
                 s = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
-                seqs.append(codes(s, classes.size) * classes.size + s)
+                seqs.append(codes(s, size) * size + s)
             if seqs:
                 g, n = np.unique(np.concatenate(seqs), return_counts=True)
                 held.append((g, n.astype(np.int32)))
@@ -254,7 +269,7 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
             held.clear()
 
         for b in batches:
-            g, n = b.column("gram").to_numpy(), b.column("n").to_numpy()
+            g, n = (c.flatten().to_numpy() if pa.types.is_list(c.type) else c.to_numpy() for c in (b.column("gram"), b.column("n")))
             near = (g >> bits) & (size * size - 1)
             cuts = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(g)]
             for i, j in zip(cuts, cuts[1:], strict=False):
@@ -279,22 +294,30 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
 
 
 def summed(grams: DataFrame, bits: int, size: int, copies: int = COPIES, every: int = 16) -> DataFrame:
-    """(gram, n, near): counts by gram, with the nearest two classes of its context.
+    """(gram, n, near): counts by gram, or lists of them, with the nearest two classes of its context.
 
     Every task counts for itself, so a pair of classes may have many rows of one gram. Where it has more than `copies` for each
     gram that there can be, by the rows of one in `every` files of the table, they are added up first; others are few and meet as they are.
     """
-    near = F.shiftright("gram", bits).bitwiseAND(size * size - 1).alias("near")
+    listed = "near" in grams.columns
+    near = F.col("near") if listed else F.shiftright("gram", bits).bitwiseAND(size * size - 1).alias("near")
     keyed = grams.select("gram", "n", near)
+    if listed:
+        keyed = keyed.where(F.col("near") != PAIRS)
     files = sorted(grams.inputFiles())
     some = files[::every]
     share = len(some) / len(files) if files else 1.0
     part = grams.sparkSession.read.schema(grams.schema).parquet(*some) if files else grams
-    seen = part.select(near).groupBy("near").agg(F.count("*").alias("rows"))
+    seen = part.select(near, (F.size("gram") if listed else F.lit(1)).alias("rows")).groupBy("near").agg(F.sum("rows").alias("rows")).where(F.col("near") != PAIRS)
     hot = [r.near for r in seen.where(F.col("rows") > copies * size * size * share).collect()]  # at most size ^ 2
     if not hot:
         return keyed
-    added = keyed.where(F.col("near").isin(hot)).groupBy("gram").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
+    copied = keyed.where(F.col("near").isin(hot))
+    if listed:
+        copied = copied.select("near", F.explode(F.arrays_zip("gram", "n")).alias("r")).select("r.gram", "r.n", "near")
+    added = copied.groupBy("gram").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
+    if listed:
+        added = added.select(F.array("gram").alias("gram"), F.array("n").alias("n"), "near")
     return keyed.where(~F.col("near").isin(hot)).select("gram", "n", "near").unionByName(added)
 
 
@@ -312,8 +335,8 @@ def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFra
         sizes[r["class"]] = r.n, r.v
     root = sizes[:, 0] + 0.5 * sizes[:, 1] + 0.5 / size
     root /= root.sum()
-    grams = checkpointed(map_arrow(docs.select("text"), _count_classes(classes), "gram long, n long"))
-    pairs = grams.groupBy(F.col("gram").bitwiseAND(size * size - 1).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # at most size ^ 2 rows
+    grams = checkpointed(map_arrow(docs.select("text"), _count_classes(classes), "near int, gram array<long>, n array<long>"))
+    pairs = grams.where(F.col("near") == PAIRS).select(F.explode(F.arrays_zip("gram", "n")).alias("r")).groupBy(F.col("r.gram").alias("pair")).agg(F.sum("r.n").alias("n")).toArrow()  # at most size ^ 2 rows
     counts = np.zeros(size * size)
     counts[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     first = np.array([_smoothed(n, root)[1] for n in counts.reshape(size, size)])
@@ -336,22 +359,53 @@ def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFra
 
 def _lift_of_cold(scored: DataFrame, model: Model, hot_count: float, tables: list[DataFrame]) -> DataFrame:
     """(uid, lift): the lifts of the documents' grams that were not sent, summed; its table is added to `tables`."""
-    spark, bits, size = scored.sparkSession, model.classes.bits, model.classes.size
+    bits = model.classes.bits
     kind = lambda k, key, v: model.tables.where(F.col("kind") == k).select(F.col("key").alias(key), F.col("v").alias(v))
     cold = scored.select("uid", F.explode("grams").alias("r")).select("uid", "r.gram", "r.k", "r.other")
     known = model.tables.where(F.col("kind").isin(GRAM, GRAM2) & (F.col("n") < hot_count)).select((F.col("key") + F.when(F.col("kind") == GRAM2, F.lit(SHORT)).otherwise(0)).alias("gram"), "v")
     # A short gram that is not in the table takes what its row says; a long one looks further.
     lift = F.coalesce(F.col("v").cast("double"), F.when(F.col("gram") >= SHORT, F.col("other")))
-    met = cold.join(known, "gram", "left").groupBy("uid").agg(F.sum(F.col("k") * lift).alias("lift"), F.collect_list(F.when(F.col("v").isNull() & (F.col("gram") < SHORT), F.struct("gram", "k"))).alias("new"))
-    met = checkpointed(met)
+    new = F.when(F.col("v").isNull() & (F.col("gram") < SHORT), F.col("gram"))
+    # One row a text for all that is settled, and one for each of its grams that is not.
+    met = checkpointed(cold.join(known, "gram", "left").groupBy("uid", new.alias("gram")).agg(F.sum(F.col("k") * lift).alias("lift"), F.sum("k").alias("k"), F.max("other").alias("other")))
     tables.append(met)
-    new = met.select("uid", F.explode("new").alias("r")).select("uid", "r.gram", "r.k")
-    one = pa.table({"g1": np.arange(size * size), "v1": np.log10(model.first / model.root).ravel()})
-    keyed = new.withColumns({"c3": F.shiftright("gram", bits), "c2": F.shiftright("gram", bits).bitwiseAND(size * size - 1), "g2": F.col("gram").bitwiseAND((1 << 3 * bits) - 1), "g1": F.col("gram").bitwiseAND(size * size - 1)})
-    found = keyed.join(kind(CONTEXT, "c3", "b3"), "c3", "left").join(kind(GRAM2, "g2", "v2"), "g2", "left").join(kind(CONTEXT2, "c2", "b2"), "c2", "left").join(spark.createDataFrame(one), "g1")
-    lift = F.coalesce("b3", F.lit(0.0)) + F.coalesce("v2", F.coalesce("b2", F.lit(0.0)) + F.col("v1"))
-    more = found.groupBy("uid").agg(F.sum(F.col("k") * lift).alias("fresh"))
-    return met.join(more, "uid", "left").select("uid", (F.coalesce("lift", F.lit(0.0)) + F.coalesce("fresh", F.lit(0.0))).alias("cold_lift"))
+    keyed = met.where("gram is not null").withColumns({"c3": F.shiftright("gram", bits), "g2": F.col("gram").bitwiseAND((1 << 3 * bits) - 1)})
+    found = keyed.join(kind(CONTEXT, "c3", "b3"), "c3", "left").join(kind(GRAM2, "g2", "v2"), "g2", "left")
+    more = found.groupBy("uid").agg(F.sum(F.col("k") * (F.coalesce("b3", F.lit(0.0)) + F.coalesce("v2", "other"))).alias("lift"))
+    return met.where("gram is null").select("uid", "lift").unionByName(more).groupBy("uid").agg(F.sum("lift").alias("cold_lift"))
+
+
+class Lookup:
+    """Values by key, found by a hash whose few keys lie side by side."""
+
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        place = self._place(keys)
+        order = np.argsort(place, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.starts = np.searchsorted(place[order], np.arange((1 << bits) + 1)).astype(np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.SPREAD) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and the values of those."""
+        place = self._place(keys)
+        at, end = self.starts[place], self.starts[place + 1]
+        found = np.full(len(keys), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        at, end, k = at[left], end[left], keys[left]
+        while len(left):
+            same = self.keys[at] == k
+            found[left[same]] = at[same]
+            at = at + 1
+            on = ~same & (at < end)
+            left, at, end, k = left[on], at[on], end[on], k[on]
+        inside = found >= 0
+        return inside, self.values[found[inside]]
 
 
 class Lifts:
@@ -359,41 +413,33 @@ class Lifts:
 
     def __init__(self, model: Model):
         self.size, self.bits = model.classes.size, model.classes.bits
-        self.hot, self.hot2, self.kept, self.weight2 = model.hot, model.hot2, model.kept, model.weight2
+        self.hot, self.hot2, self.kept, self.weight2 = Lookup(*model.hot), Lookup(*model.hot2), model.kept, model.weight2
         self.one = np.log10(model.first / model.root).ravel().astype(np.float32)
 
-    @staticmethod
-    def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are in a sorted table, and the lifts of those."""
-        place = np.searchsorted(table[0], keys)
-        inside = place < len(table[0])
-        inside[inside] = table[0][place[inside]] == keys[inside]
-        return inside, table[1][place[inside]]
-
     def __call__(self, doc: np.ndarray, classes: np.ndarray, docs: int) -> tuple[np.ndarray, ...]:
         """For the tokens of `docs` texts, one after the other, and the text of each token: by text the sum of the lifts that
-        are at hand; by text and gram that needs a join the text, the key, the number, and the lift without a table row."""
+        are at hand; by text and gram that needs a join the text, the key, the number, and the lift where its two nearer classes have no table row."""
         size, at = self.size, np.arange(len(classes)) + DEPTH * (doc + 1)
         padded, g = np.zeros(len(classes) + DEPTH * (docs + 1), np.int64), np.zeros(len(classes), np.int64)
         padded[at] = classes
         for k in range(DEPTH, -1, -1):  # the end sign's class stands before each text
             g = g * size + padded[at - k]
-        sent, lifts = self._found(self.hot, g)
+        sent, lifts = self.hot(g)
         total = np.bincount(doc[sent], lifts, docs).astype(np.float64)  # whole numbers where nothing is sent
         g, doc = g[~sent], doc[~sent]
         h = (g >> self.bits) % FILTER_BITS
         long = (self.kept[h >> 3] >> (h & 7) & 1).astype(bool)
-        short = np.flatnonzero(~long)
-        g2 = g[short] & ((1 << 3 * self.bits) - 1)
-        weight, one = self.weight2[g2 >> self.bits], self.one[g2 & (size * size - 1)]
+        weight, one = self.weight2[g >> self.bits & (size * size - 1)], self.one[g & (size * size - 1)]
         below = np.isnan(weight)
-        total += np.bincount(doc[short[below]], one[below], docs)
-        short, g2, other = short[~below], g2[~below], (weight + one)[~below]
-        sent, lifts = self._found(self.hot2, g2)
+        other = np.where(below, 0.0, weight) + one
+        alone = ~long & below
+        total += np.bincount(doc[alone], one[alone], docs)
+        short = np.flatnonzero(~long & ~below)
+        g2 = g[short] & ((1 << 3 * self.bits) - 1)
+        sent, lifts = self.hot2(g2)
         total += np.bincount(doc[short[sent]], lifts, docs)
         short = short[~sent]
-        key = np.concatenate((g[long], g2[~sent] + SHORT))
-        owner, other = np.concatenate((doc[long], doc[short])), np.concatenate((np.zeros(int(long.sum()), np.float32), other[~sent]))
+        key, owner, other = (np.concatenate(x) for x in ((g[long], g2[~sent] + SHORT), (doc[long], doc[short]), (other[long], other[short])))
         order = np.lexsort((key, owner))
         key, owner, other = key[order], owner[order], other[order]
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))) if len(key) else np.zeros(0, int)
@@ -434,14 +480,13 @@ def score(docs: DataFrame, model: Model, words: DataFrame, total: int, distinct:
             at = np.fromiter(map(known.__getitem__, words_), np.int64, len(words_))
             doc, cold = np.repeat(np.arange(len(n)), n), at < 0
             base = np.bincount(doc, np.where(cold, 0.0, logs[np.where(cold, -1, at)]), len(n)).astype(np.float64)
-            cold_at = np.flatnonzero(cold).tolist()
-            rare = Counter(zip(doc[cold].tolist(), [words_[i] for i in cold_at], strict=True))  # in order of the texts
+            rare, n_cold = compress(words_, cold.tolist()), np.bincount(doc[cold], minlength=len(n))
+            rare = [Counter(islice(rare, k)) for k in n_cold.tolist()]
             lift, owner, grams, times, other = lifts(doc, np.where(cold, ~at, of_hot[np.where(cold, -1, at)]), len(n))
             ends = lambda x: pa.array(np.append(0, np.cumsum(np.bincount(x, minlength=len(n)))), pa.int32())  # noqa: E731, B023
-            lists = pa.ListArray.from_arrays(ends(np.array([d for d, _ in rare], np.int64)), pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int32())], ["word", "k"]))
+            lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rare))], pa.int32()), pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(rare)), pa.binary()), pa.array(list(chain.from_iterable(r.values() for r in rare)), pa.int32())], ["word", "k"]))
             cold_grams = pa.ListArray.from_arrays(ends(owner), pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(times, pa.int32()), pa.array(other, pa.float32())], ["gram", "k", "other"]))
-            n_known = n - np.bincount(doc[cold], minlength=len(n))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(n), pa.array(n_known), pa.array(base), pa.array(lift), lists, cold_grams], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), pa.array(n), pa.array(n - n_cold), pa.array(base), pa.array(lift), lists, cold_grams], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lift", "rare", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "text")

@@ -372,6 +372,49 @@ def test_a_hot_pair_of_classes_meets_as_sums(spark):
     assert pst.summed(grams, bits, size).count() == len(rows)
 
 
+def test_a_flush_makes_one_row_for_each_pair_of_classes(spark):
+    """Grams leave the counter as lists, so what is written, shuffled and sorted are pairs of classes and not grams; hot pairs meet as sums here too."""
+    import pyarrow as pa
+
+    size, bits = 256, 8
+    classes = pst.Classes({b"a": 1, b"b": 2, pst.END: 0}, {b"1": 3, b"2": 4}, size)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "b", "1", "2", "xyz"]) for _ in range(60)) for _ in range(40)]
+    count, pairs = Counter(), Counter()
+    for t in texts:
+        c = np.array([classes.of(w) for w in pst.words_of(t)], np.int64)
+        g = pst.codes(c, size) * size + c
+        count.update(g.tolist())
+        pairs.update((g & (size * size - 1)).tolist())
+    parts = [b for half in (texts[:20], texts[20:]) for b in pst._count_classes(classes)([pa.RecordBatch.from_arrays([pa.array(half)], ["text"])])]
+    rows = [r for b in parts for r in b.to_pylist()]
+    nears = {(g >> bits) & (size * size - 1) for g in count}
+    assert len(parts) == 2 and len(rows) <= 2 * (len(nears) + 1) < len(count)  # two rows of numbers for each gram before
+    found = {True: Counter(), False: Counter()}
+    for r in rows:
+        for g, n in zip(r["gram"], r["n"], strict=True):
+            found[r["near"] == pst.PAIRS][g] += n
+            assert r["near"] == pst.PAIRS or r["near"] == (g >> bits) & (size * size - 1)
+    assert found[False] == count and found[True] == pairs
+    lists = spark.createDataFrame([(r["near"], r["gram"], r["n"]) for r in rows], "near int, gram array<long>, n array<long>")
+    for copies in (0, pst.COPIES):
+        got = Counter()
+        for r in pst.summed(lists, bits, size, copies).collect():
+            for g, n in zip(r.gram, r.n, strict=True):
+                got[g] += n
+        assert got == count
+
+
+def test_lookup_finds_what_it_holds():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 5_000):
+        keys = np.unique(rng.integers(0, 20_000, n) << 30)
+        held = pst.Lookup(keys, np.arange(len(keys)).astype(np.float32))
+        asked = rng.integers(0, 20_000, 9_000) << 30
+        inside, values = held(asked)
+        assert (inside == np.isin(asked, keys)).all() and (keys[values.astype(int)] == asked[inside]).all()
+
+
 def test_copies_of_grams_do_not_pile_up():
     """A group's counts are the same however many copies of its grams come, in batches of any size."""
     import pyarrow as pa
