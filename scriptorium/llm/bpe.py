@@ -5,7 +5,7 @@ Each merge adds a gadget: after an arc that ends in the merge's left part, no ar
 both parts are still open at that rank. A gadget is kept as the exposure chains of the new item, so the automaton's
 transition function is a table over pairs of arcs. A path through it is exactly the tokenization that merging by rank gives.
 
-Encoding steps over the symbols of a pre-split word: at each position one arc alone leads there from the state of an
+Encoding reads each symbol of a pre-split word once: at each position one arc alone leads there from the state of an
 earlier position, so the run is deterministic; the arcs are read back from the word's end. Decoding emits arc labels.
 
 Nulls and empty texts give no ids and the empty text. Texts of any length are encoded whole, one after the other; a worker's
@@ -28,6 +28,8 @@ from scriptorium.llm.common import map_arrow, texts
 
 #: Marks the last symbol of a word. Fixed value of the vocabulary file.
 WORD_END = "</w>"
+#: Stands for it as one symbol behind the last one; no byte has this symbol.
+CLOSE = "\n"
 #: Entries of a worker's caches: words, and stretches in each of two generations.
 CACHE = 200_000
 #: Entries of the transition table, and how many may stay between tasks.
@@ -46,16 +48,17 @@ class MergeAutomaton:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.labels = {i: s for s, i in vocab.items()}
-        #: Arcs inside a word and at its end, by what they spell, and the longest arc that ends in two given symbols.
-        self.inner: dict[str, int] = {}
-        self.final: dict[str, int] = {}
-        self.inner_reach: dict[str, int] = {}
-        self.final_reach: dict[str, int] = {}
-        for s, i in vocab.items():
-            end = s.endswith(WORD_END)
-            body, arcs, reach = (s.removesuffix(WORD_END), self.final, self.final_reach) if end else (s, self.inner, self.inner_reach)
-            arcs[body] = i
-            reach[body[-2:]] = max(len(body), reach.get(body[-2:], 1))
+        #: Arcs by what they spell; one at a word's end spells CLOSE behind its last symbol.
+        self.spelled = {s.removesuffix(WORD_END) + CLOSE if s.endswith(WORD_END) else s: i for s, i in vocab.items()}
+        #: What an arc's spelling begins with, each beginning by its number in `begins`, and by number the arcs that end there: (symbols, arc), long ones first.
+        self.beginnings = {"": 0}
+        for s in self.spelled:
+            for n in range(1, len(s) + 1):
+                self.beginnings.setdefault(s[:n], len(self.beginnings))
+        self.begins = list(self.beginnings)
+        self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.begins)
+        #: By a symbol and the beginning before it: the longest beginning that ends at the symbol. Filled when first asked.
+        self.steps: dict[str, dict[int, int]] = {}
         never = len(merges)
         #: For each arc: its leading and trailing parts, each with the rank of the merge that closes it.
         self.leading: dict[int, tuple[tuple[int, int], ...]] = {}
@@ -92,17 +95,19 @@ class MergeAutomaton:
 
     def encode(self, word: str) -> list[int]:
         """The arcs of the one path that spells the word; its last symbol carries the word end."""
-        n, table = len(word), self.table
+        n, table, steps, ending = len(word), self.table, self.steps, self.ending
         state, came = [-1] * (n + 1), [0] * (n + 1)
-        arcs, reach = self.inner, self.inner_reach
-        for end in range(1, n + 1):
-            if end == n:
-                arcs, reach = self.final, self.final_reach
-            far = reach.get(word[end - 2 : end] if end > 1 else word[:1], 1)
-            for start in range(end - far if end > far else 0, end):
-                arc = arcs.get(word[start:end])
-                if arc is None:
-                    continue
+        at = 0
+        for end, symbol in enumerate(word + CLOSE if n else "", 1):
+            try:
+                at = steps[symbol][at]
+            except KeyError:
+                at = self.step(at, symbol)
+            if end == n:  # only an arc with the word's end leads there
+                continue
+            last = end > n
+            for size, arc in ending[at] or self.endings(at):
+                start = end - size
                 if start:
                     before = state[start]
                     if before < 0:
@@ -110,6 +115,8 @@ class MergeAutomaton:
                     may = table.get(before << 16 | arc)
                     if not (self.follows(before, arc) if may is None else may):
                         continue
+                if last:
+                    end = n
                 state[end], came[end] = arc, start
                 break
         path, end = [], n
@@ -118,6 +125,19 @@ class MergeAutomaton:
             end = came[end]
         return path[::-1]
 
+    def step(self, at: int, symbol: str) -> int:
+        """The longest beginning that ends in the beginning `at` and a symbol."""
+        s = self.begins[at] + symbol
+        found = next((i for k in range(len(s)) if (i := self.beginnings.get(s[k:])) is not None), 0)
+        self.steps.setdefault(symbol, {})[at] = found
+        return found
+
+    def endings(self, at: int) -> tuple[tuple[int, int], ...]:
+        """The arcs that end where a beginning does."""
+        s = self.begins[at]
+        found = self.ending[at] = tuple((len(s) - k, i) for k in range(len(s)) if (i := self.spelled.get(s[k:])) is not None)
+        return found
+
 
 class Codec:
     """A vocabulary file: normalization, pre-splitting, the automaton and labels."""

@@ -381,6 +381,21 @@ def test_automaton_equals_the_library(tokenizer):
         assert mine.decode(want) == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_a_word_is_read_once(tokenizer):
+    """Arcs come from what the symbols read so far end in, not from looking up every stretch of the word."""
+    cut = []
+
+    class Word(str):
+        def __getitem__(self, at):
+            cut.append(at)
+            return super().__getitem__(at)
+
+    automaton = tokenizer[0].automaton
+    for w in ("internationalization", "qzxwvkjqzxwvkj", "aaaaaaaaaaaaaaaaaaaaa", "e", ""):
+        assert automaton.encode(Word(w)) == automaton.encode(w) and len(cut) <= len(w)  # more than that before
+        cut.clear()
+
+
 # --- Joins of sets
 
 
