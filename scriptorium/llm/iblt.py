@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 PARAGRAPHS, RANGE, MOST_RANGES, GROUP, CELLS = r"(?<=[.!?])\\s+|\\n", 500, 200_000, 4, (2, 8, 32, 128)
 #: Bits of a digest between two rows' cells, and from which its group is read.
 ROW_BITS, GROUP_BITS = 7, 24
+#: Cells of a row above which most are empty for a group, so that only the others are made.
+WIDE = 8
 #: Seed of the check of a digest; rounds of peeling.
 CHECK, ROUNDS = 77, 12
 FIRST = -(2**63)
@@ -53,6 +55,12 @@ def group_of(k: str, groups: str) -> str:
     return f"cast(shiftright({k}, {GROUP_BITS}) & ({groups} - 1) as int)"
 
 
+def marked(keys: str, width: int, c: int = 1) -> str:
+    """An array of digests with their number, their checks and the three cells that each falls into."""
+    at = ", ".join(f"{r * width} + cast(shiftright(k, {ROW_BITS * r}) & {width - 1} as int)" for r in range(3))
+    return f"transform({keys}, k -> named_struct('c', {c}, 'k', k, 'h', xxhash64(k, {CHECK}), 'at', array({at})))"
+
+
 def sketch(keys: str, cells: int) -> str:
     """The cells of an array of digests: three rows, one after the other."""
     mine = f"(shiftright(k, cast({ROW_BITS} * (i div {cells}) as int)) & {cells - 1}) = i % {cells}"
@@ -60,7 +68,14 @@ def sketch(keys: str, cells: int) -> str:
 
 
 def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+    """The cells of two sketches' difference, with their places."""
+    return f"transform(zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h)), (x, i) -> named_struct('i', i, 'c', x.c, 'k', x.k, 'h', x.h))"
+
+
+def difference(a: str, b: str, width: int) -> str:
+    """What subtract() gives of the sketches of two arrays of digests, without the cells that none of them falls into: these are empty in both."""
+    cell = "aggregate(filter(m, p -> array_contains(p.at, i)), named_struct('i', i, 'c', 0, 'k', 0L, 'h', 0L), (s, p) -> named_struct('i', s.i, 'c', s.c + p.c, 'k', s.k ^ p.k, 'h', s.h ^ p.h))"
+    return f"transform(array(concat({marked(a, width)}, {marked(b, width, -1)})), m -> transform(array_distinct(flatten(transform(m, p -> p.at))), i -> {cell}))[0]"
 
 
 def peel(cells: str, width: int) -> str:
@@ -68,9 +83,9 @@ def peel(cells: str, width: int) -> str:
 
     Steps take turns: one finds the pure cells, the next takes their digests out of all cells.
     """
+    hit = f"(shiftright(p.k, cast({ROW_BITS} * (x.i div {width}) as int)) & {width - 1}) = x.i % {width}"
     pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 and x.h = xxhash64(x.k, {CHECK})), x -> named_struct('c', x.c, 'k', x.k)))"
-    hit = f"(shiftright(p.k, cast({ROW_BITS} * (i div {width}) as int)) & {width - 1}) = i % {width}"
-    taken = f"transform(s.cells, (x, i) -> aggregate(filter(s.pure, p -> {hit}), x, (y, p) -> named_struct('c', y.c - p.c, 'k', y.k ^ p.k, 'h', y.h ^ xxhash64(p.k, {CHECK}))))"
+    taken = f"transform(s.cells, x -> aggregate(filter(s.pure, p -> {hit}), x, (y, p) -> named_struct('i', y.i, 'c', y.c - p.c, 'k', y.k ^ p.k, 'h', y.h ^ xxhash64(p.k, {CHECK}))))"
     none = "array()"
     kind = "array<struct<c:int,k:bigint>>"
     state = lambda live, cells, pure, found: f"named_struct('live', {live}, 'cells', {cells}, 'pure', cast({pure} as {kind}), 'found', cast({found} as {kind}))"
@@ -82,12 +97,14 @@ def complete(state: str) -> str:
     return f"forall({state}.cells, x -> x.c = 0 and x.k = 0 and x.h = 0)"
 
 
-def differing(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+def differing(df: DataFrame, a: str, b: str, out: str, first: tuple[str, str] | None = None) -> DataFrame:
     """The differing digests of two columns of digests, by sketches that grow until peeling is complete, and the number of
-    tries beyond the first in the column `{out}_tries`; one more than the ladder has if the digests had to be compared."""
+    tries beyond the first in the column `{out}_tries`; one more than the ladder has if the digests had to be compared.
+    `first`: the columns with the smallest sketches of both, if these are there; of two empty lists they may be others."""
     state, tries = f"{out}_state", f"{out}_tries"
     for n, width in enumerate(CELLS):
-        tried = peel(subtract(sketch(a, width), sketch(b, width)), width)
+        # Two empty lists leave nothing to peel.
+        tried = peel(f"case when size({a}) + size({b}) = 0 then array() else {subtract(*first) if first and not n else difference(a, b, width) if width > WIDE else subtract(sketch(a, width), sketch(b, width))} end", width)
         if n:
             df = df.withColumn(tries, F.expr(f"case when {complete(state)} then {tries} else {n} end")).withColumn(state, F.expr(f"case when {tries} < {n} then {state} else {tried} end"))
         else:
@@ -162,13 +179,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("range", "place", *meta, *sizes, F.expr(f"posexplode_outer(concat({entry('a')}, {entry('e')}, {entry('n')}))").alias("at", "entry"))
     rows = rows.selectExpr("range", "place", *sizes, "entry.k as k", "entry.of as of", "entry.size as size", f"{group_of('entry.k', 'entry.size')} as g", *(f"case when coalesce(at, 0) = 0 then {c} end as {c}" for c in meta))
     groups = rows.groupBy("range", "place", *sizes, "size", "g").agg(*(F.expr(f"collect_list(case when of = '{c}' then k end)").alias(c) for c in "aen"), *(F.max(c).alias(c) for c in meta))
+    groups = groups.withColumns({f"{c}_first": F.expr(sketch(c, CELLS[0])) for c in "aen"})
     for c in "ae":
-        groups = groups.withColumn(f"{c}_cells", F.expr(f"case when size = g_{c} and size({c}) > 0 then {sketch(c, CELLS[0])} end"))
+        groups = groups.withColumn(f"{c}_cells", F.expr(f"case when size = g_{c} and size({c}) > 0 then {c}_first end"))
         groups = groups.withColumn(f"{c}_text", F.expr(f"case when {c}_cells is not null then concat(lower(hex(g)), ':', {written(f'{c}_cells')}) end"))
     for other, out in (("e", "edited"), ("n", "next")):
         # Empty lists differ in nothing, so groups of another size cost next to nothing.
         one, two = (f"case when size = g_{out} then {c} else cast(array() as array<bigint>) end" for c in ("a", other))
-        groups = differing(groups.withColumn("one", F.expr(one)).withColumn("two", F.expr(two)), "one", "two", out)
+        groups = differing(groups.withColumn("one", F.expr(one)).withColumn("two", F.expr(two)), "one", "two", out, ("a_first", f"{other}_first"))
     per = [F.expr(f"array_join(transform(array_sort(collect_list(case when {c}_text is not null then named_struct('g', g, 't', {c}_text) end)), x -> x.t), '.')").alias(f"{c}_text") for c in "ae"]
     per += [F.sum(F.size(c)).alias(c) for c in ("edited", "next")]
     per += [F.sum(F.expr(f"cast(edited_tries {test} as long) + cast(next_tries {test} as long)")).alias(c) for c, test in (("retried", "> 0"), ("compared", f"= {len(CELLS)}"))]

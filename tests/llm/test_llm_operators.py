@@ -305,6 +305,19 @@ def test_peeling_retries_until_complete(spark):
         assert (r.x_tries < len(iblt.CELLS)) if len(r.x) < 100 else True
 
 
+def test_wide_sketches_have_only_cells_with_digests(spark):
+    """The difference of two wide sketches, without the cells that are empty in both; all 384 were made before."""
+    rng = random.Random(9)
+    some = lambda: rng.getrandbits(63)
+    common = [some() for _ in range(3)]
+    rows = [(common + [some() for _ in range(i)], [some() for _ in range(j)] + common) for i in range(4) for j in range(4)] + [([], []), ([], common)]
+    width = iblt.CELLS[-1]
+    whole, part = iblt.subtract(iblt.sketch("a", width), iblt.sketch("b", width)), iblt.difference("a", "b", width)
+    for r in spark.createDataFrame(rows, "a array<long>, b array<long>").selectExpr("a", "b", f"{whole} as whole", f"{part} as part").collect():
+        full = lambda cells: {tuple(x) for x in cells if x.c or x.k or x.h}
+        assert full(r.whole) == full(r.part) and len(r.part) <= 3 * len({*r.a, *r.b})
+
+
 # --- 7 suffix tree
 
 
