@@ -8,7 +8,8 @@ number and its cells. Group g of a sketch and group g + groups / 2 add up to gro
 
 Two versions' sketches of one size subtract cell by cell, which cancels what both have. A cell left with one digest, as
 its check shows, gives that digest; taking it out of its other cells lays open more, until all cells are empty and the
-differing digests are known. Where two sizes differ, the text of the smaller sketch is sketched again at the larger size. A
+differing digests are known. The check has 64 bits in there and says so without the number of digests. Sketches of up to `WIDE` cells a row
+are aggregates of the digests' rows, of which narrower ones are folds; only cells that are not empty are peeled. Where two sizes differ, the text of the smaller sketch is sketched again at the larger size. A
 group whose peeling stops early is sketched again for both versions with more cells, by the ladder `CELLS`; `retried` and
 `compared` count such groups, and those that no sketch of the ladder could tell apart, whose digests are compared. Likeness
 is the share of common digests in all: 1 for equal sets (two empty ones too), 0 for disjoint.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 PARAGRAPHS, RANGE, MOST_RANGES, GROUP, CELLS = r"(?<=[.!?])\\s+|\\n", 500, 200_000, 4, (2, 8, 32, 128)
 #: Bits of a digest between two rows' cells, and from which its group is read.
 ROW_BITS, GROUP_BITS = 7, 24
-#: Cells of a row above which most are empty for a group, so that only the others are made.
+#: Cells of a row up to which sketches are aggregates; above, most are empty for a group, so that only the others are made.
 WIDE = 8
 #: Seed of the check of a digest; rounds of peeling.
 CHECK, ROUNDS = 77, 12
@@ -78,39 +79,49 @@ def difference(a: str, b: str, width: int) -> str:
     return f"transform(array(concat({marked(a, width)}, {marked(b, width, -1)})), m -> transform(array_distinct(flatten(transform(m, p -> p.at))), i -> {cell}))[0]"
 
 
-def peel(cells: str, width: int) -> str:
-    """A state with what is left of the cells and the digests found, each with 1 or -1 for the version that has it.
+def placed(cells: str, width: int) -> str:
+    """The cells that peel() takes, of what subtract() or difference() gives: those that are not empty, each with the shift and the value of the digests that fall into it."""
+    return f"transform(filter({cells}, x -> x.k <> 0 or x.h <> 0), x -> named_struct('s', {ROW_BITS} * cast(x.i div {width} as int), 'v', cast(x.i % {width} as bigint), 'k', x.k, 'h', x.h))"
 
-    Steps take turns: one finds the pure cells, the next takes their digests out of all cells.
-    """
-    hit = f"(shiftright(p.k, cast({ROW_BITS} * (x.i div {width}) as int)) & {width - 1}) = x.i % {width}"
-    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 and x.h = xxhash64(x.k, {CHECK})), x -> named_struct('c', x.c, 'k', x.k)))"
-    taken = f"transform(s.cells, x -> aggregate(filter(s.pure, p -> {hit}), x, (y, p) -> named_struct('i', y.i, 'c', y.c - p.c, 'k', y.k ^ p.k, 'h', y.h ^ xxhash64(p.k, {CHECK}))))"
-    none = "array()"
-    kind = "array<struct<c:int,k:bigint>>"
-    state = lambda live, cells, pure, found: f"named_struct('live', {live}, 'cells', {cells}, 'pure', cast({pure} as {kind}), 'found', cast({found} as {kind}))"
-    step = f"case when not s.live then s when r % 2 = 1 then {state('true', 's.cells', pure, 's.found')} when size(s.pure) = 0 then {state('false', 's.cells', none, 's.found')} else {state('true', taken, none, 'concat(s.found, s.pure)')} end"
-    return f"aggregate(sequence(1, {2 * ROUNDS}), {state('true', cells, none, none)}, (s, r) -> {step})"
 
+def peel(cells: str, width: int, steps: str = str(2 * ROUNDS)) -> str:
+    """How many cells are left of those that placed() gives, and the digests found.
 
-def complete(state: str) -> str:
-    return f"forall({state}.cells, x -> x.c = 0 and x.k = 0 and x.h = 0)"
+    Steps take turns: one finds the pure cells, the next takes their digests out of the other cells and drops the empty ones.
+    """
+    pure = f"array_distinct(transform(filter(s.cells, x -> x.h = xxhash64(x.k, {CHECK})), x -> x.k))"
+    hit = f"(shiftright(p, x.s) & {width - 1}L) = x.v"
+    taken = f"filter(transform(filter(s.cells, x -> x.h <> xxhash64(x.k, {CHECK})), x -> aggregate(filter(s.pure, p -> {hit}), x, (y, p) -> named_struct('s', y.s, 'v', y.v, 'k', y.k ^ p, 'h', y.h ^ xxhash64(p, {CHECK})))), x -> x.k <> 0 or x.h <> 0)"
+    none = "cast(array() as array<bigint>)"
+    state = lambda live, cells, pure, found: f"named_struct('live', {live}, 'cells', {cells}, 'pure', {pure}, 'found', {found})"
+    step = f"case when not s.live then s when r % 2 = 1 then {state('true', 's.cells', pure, 's.found')} when size(s.pure) = 0 then {state('false', 's.cells', none, 's.found')} else {state('true', taken, none, 'concat(s.found, s.pure)')} end"
+    return f"aggregate(sequence(1, {steps}), {state('true', cells, none, none)}, (s, r) -> {step}, s -> named_struct('left', size(s.cells), 'found', s.found))"
 
 
-def differing(df: DataFrame, a: str, b: str, out: str, first: tuple[str, str] | None = None) -> DataFrame:
+def differing(df: DataFrame, a: str, b: str, out: str, given: dict[int, str] | None = None) -> DataFrame:
     """The differing digests of two columns of digests, by sketches that grow until peeling is complete, and the number of
     tries beyond the first in the column `{out}_tries`; one more than the ladder has if the digests had to be compared.
-    `first`: the columns with the smallest sketches of both, if these are there; of two empty lists they may be others."""
-    state, tries = f"{out}_state", f"{out}_tries"
+    `given`: by width the cells of the sketches' difference, as placed() gives them, where these are there."""
+    state, tries, given = f"{out}_state", f"{out}_tries", given or {}
     for n, width in enumerate(CELLS):
-        # Two empty lists leave nothing to peel.
-        tried = peel(f"case when size({a}) + size({b}) = 0 then array() else {subtract(*first) if first and not n else difference(a, b, width) if width > WIDE else subtract(sketch(a, width), sketch(b, width))} end", width)
+        if width not in given:
+            # Two empty lists leave nothing to peel.
+            cells = difference(a, b, width) if width > WIDE else subtract(sketch(a, width), sketch(b, width))
+            tried = peel(placed(f"case when size({a}) + size({b}) = 0 then array() else {cells} end", width), width)
+        else:
+            tried = peel(given[width], width)
         if n:
-            df = df.withColumn(tries, F.expr(f"case when {complete(state)} then {tries} else {n} end")).withColumn(state, F.expr(f"case when {tries} < {n} then {state} else {tried} end"))
+            df = df.withColumn(tries, F.expr(f"case when {state}.left = 0 then {tries} else {n} end")).withColumn(state, F.expr(f"case when {tries} < {n} then {state} else {tried} end"))
+        elif width in given:
+            # A step that finds something empties a cell, so there are no more steps than that.
+            first = f"{out}_first"
+            empty = "named_struct('left', 0, 'found', cast(array() as array<bigint>))"
+            tried = peel(first, width, f"2 * least({ROUNDS}, size({first}))")
+            df = df.withColumn(first, F.expr(given[width])).withColumn(state, F.expr(f"case when size({first}) = 0 then {empty} else {tried} end")).withColumn(tries, F.lit(0)).drop(first)
         else:
             df = df.withColumn(state, F.expr(tried)).withColumn(tries, F.lit(0))
-    df = df.withColumn(tries, F.expr(f"case when {complete(state)} then {tries} else {len(CELLS)} end"))
-    return df.withColumn(out, F.expr(f"case when {tries} < {len(CELLS)} then transform({state}.found, x -> x.k) else array_union(array_except({a}, {b}), array_except({b}, {a})) end")).drop(state)
+    df = df.withColumn(tries, F.expr(f"case when {state}.left = 0 then {tries} else {len(CELLS)} end"))
+    return df.withColumn(out, F.expr(f"case when {tries} < {len(CELLS)} then {state}.found else array_union(array_except({a}, {b}), array_except({b}, {a})) end")).drop(state)
 
 
 def ranged(keyed: DataFrame, rows: int) -> DataFrame:
@@ -154,9 +165,27 @@ def with_next(docs: DataFrame, rows: int | None = None) -> DataFrame:
     return dealt.selectExpr("doc_id", "text", "range", "turn", "a", f"row_number() {over} as place", f"lead(text) {over} as next_text", f"lead(a) {over} as n").where("turn = 0").drop("turn")
 
 
-def written(cells: str) -> str:
-    """A group's cells in hexadecimal: two digits of the number, sixteen of the digests, eight of the checks."""
-    return "lower(concat(" + ",".join(f"lpad(hex({cells}[{i}].c & 255), 2, '0'), lpad(hex({cells}[{i}].k), 16, '0'), lpad(hex({cells}[{i}].h & 4294967295L), 8, '0')" for i in range(3 * CELLS[0])) + "))"
+def summed(of: str) -> list:
+    """The smallest sketch of digests as aggregates of their rows: number, digests and checks of all, and of each row's first cell; the second has the rest."""
+    pick = lambda r, x: f"{x}_{of}" if r is None else f"case when at_{r} & 1 = 0 then {x}_{of} else 0 end"
+    return [F.expr(f"{'sum' if x == 'c' else 'bit_xor'}({pick(r, x)})").alias(f"{x}_{of}" + ("" if r is None else f"_{r}")) for r in (None, 0, 1, 2) for x in "ckh"]
+
+
+def written(of: str) -> str:
+    """A group's cells in hexadecimal, of what summed() gives: two digits of the number, sixteen of the digests, eight of the checks."""
+    cell = lambda r, i, x: f"{x}_{of}_{r}" if i == 0 else f"({x}_{of} {'-' if x == 'c' else '^'} {x}_{of}_{r})"
+    return "lower(concat(" + ",".join(f"lpad(hex({cell(r, i, 'c')} & 255), 2, '0'), lpad(hex({cell(r, i, 'k')}), 16, '0'), lpad(hex({cell(r, i, 'h')} & 4294967295L), 8, '0')" for r in range(3) for i in range(CELLS[0])) + "))"
+
+
+def crossed(pair: str) -> list:
+    """The difference of a pair's sketches of `WIDE` cells a row as aggregates of both versions' rows: a common digest cancels."""
+    return [F.expr(f"bit_xor(case when at_{r} = {i} then {x}_{pair} else 0 end)").alias(f"{x}_{pair}_{r}_{i}") for r in range(3) for i in range(WIDE) for x in "kh"]
+
+
+def folded(pair: str, width: int) -> str:
+    """The cells of a narrower sketch, of what crossed() gives, as placed() would have them."""
+    cell = lambda r, v, x: " ^ ".join(f"{x}_{pair}_{r}_{i}" for i in range(v, WIDE, width))
+    return "filter(array(" + ", ".join(f"named_struct('s', {ROW_BITS * r}, 'v', {v}L, 'k', {cell(r, v, 'k')}, 'h', {cell(r, v, 'h')})" for r in range(3) for v in range(width)) + "), x -> x.k <> 0 or x.h <> 0)"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -178,15 +207,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     meta = ("doc_id", "n_chars", "sha", "n_a", "n_e", "n_n")
     rows = rows.select("range", "place", *meta, *sizes, F.expr(f"posexplode_outer(concat({entry('a')}, {entry('e')}, {entry('n')}))").alias("at", "entry"))
     rows = rows.selectExpr("range", "place", *sizes, "entry.k as k", "entry.of as of", "entry.size as size", f"{group_of('entry.k', 'entry.size')} as g", *(f"case when coalesce(at, 0) = 0 then {c} end as {c}" for c in meta))
-    groups = rows.groupBy("range", "place", *sizes, "size", "g").agg(*(F.expr(f"collect_list(case when of = '{c}' then k end)").alias(c) for c in "aen"), *(F.max(c).alias(c) for c in meta))
-    groups = groups.withColumns({f"{c}_first": F.expr(sketch(c, CELLS[0])) for c in "aen"})
+    # What a digest's row adds to the sketches: its version's own, at the size of that, and the differences that it is part of.
+    adds = {"a": "of = 'a' and size = g_a", "e": "of = 'e' and size = g_e", "edited": "of <> 'n' and size = g_edited", "next": "of <> 'e' and size = g_next"}
+    rows = rows.withColumn("h", F.expr(f"xxhash64(k, {CHECK})")).withColumns({f"at_{r}": F.expr(f"cast(shiftright(k, {ROW_BITS * r}) & {WIDE - 1} as int)") for r in range(3)})
+    # A document without digests has a row of nulls, which adds nothing.
+    rows = rows.withColumns({f"{x}_{of}": F.expr(f"case when k is not null and {test} then {'1' if x == 'c' else x} else {'0' if x == 'c' else '0L'} end") for of, test in adds.items() for x in ("ckh" if of in "ae" else "kh")})
+    sums = [x for of in "ae" for x in summed(of)] + [x for pair in ("edited", "next") for x in crossed(pair)]
+    groups = rows.groupBy("range", "place", *sizes, "size", "g").agg(*(F.expr(f"collect_list(case when of = '{c}' then k end)").alias(c) for c in "aen"), *(F.max(c).alias(c) for c in meta), *sums)
     for c in "ae":
-        groups = groups.withColumn(f"{c}_cells", F.expr(f"case when size = g_{c} and size({c}) > 0 then {c}_first end"))
-        groups = groups.withColumn(f"{c}_text", F.expr(f"case when {c}_cells is not null then concat(lower(hex(g)), ':', {written(f'{c}_cells')}) end"))
+        groups = groups.withColumn(f"{c}_text", F.expr(f"case when c_{c} > 0 then concat(lower(hex(g)), ':', {written(c)}) end"))
     for other, out in (("e", "edited"), ("n", "next")):
         # Empty lists differ in nothing, so groups of another size cost next to nothing.
         one, two = (f"case when size = g_{out} then {c} else cast(array() as array<bigint>) end" for c in ("a", other))
-        groups = differing(groups.withColumn("one", F.expr(one)).withColumn("two", F.expr(two)), "one", "two", out, ("a_first", f"{other}_first"))
+        groups = differing(groups, f"({one})", f"({two})", out, {width: folded(out, width) for width in CELLS if width <= WIDE})
     per = [F.expr(f"array_join(transform(array_sort(collect_list(case when {c}_text is not null then named_struct('g', g, 't', {c}_text) end)), x -> x.t), '.')").alias(f"{c}_text") for c in "ae"]
     per += [F.sum(F.size(c)).alias(c) for c in ("edited", "next")]
     per += [F.sum(F.expr(f"cast(edited_tries {test} as long) + cast(next_tries {test} as long)")).alias(c) for c, test in (("retried", "> 0"), ("compared", f"= {len(CELLS)}"))]
