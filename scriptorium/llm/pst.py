@@ -100,9 +100,15 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIRS = -1
 
 
-def _count_classes(classes: Classes):
+#: Rows of _count_classes() whose grams are split: the class farthest from the next, and the next.
+SPLIT = "near int, far array<short>, next array<short>, n array<int>"
+
+
+def _count_classes(classes: Classes, split: bool = False):
     """(near, gram, n): lists of grams and their counts by the nearest two classes of the context, and under PAIRS the counts of a
-    class and the next by themselves. A flush of a task's counter makes one row for each."""
+    class and the next by themselves. A flush of a task's counter makes one row for each.
+
+    If split, rows are as in SPLIT, a quarter of the bytes: a class has two bytes up to a vocabulary of 2^45, and a task's counts four."""
     size, bits = classes.size, classes.bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +127,13 @@ def _count_classes(classes: Classes):
             near = near[order]
             starts = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
             ends = pa.array(np.concatenate((starts, [len(g), len(g) + len(met)])), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in ((g[order], met), (n[order], pairs[met]))]
-            return pa.RecordBatch.from_arrays([pa.array(np.append(near[starts], PAIRS), pa.int32()), *lists], ["near", "gram", "n"])
+            g, names, kinds = g[order], ["gram", "n"], [np.int64] * 2
+            parts = [(g, met), (n[order], pairs[met])]
+            if split:
+                names, kinds = ["far", "next", "n"], [np.int16, np.int16, np.int32]
+                parts[:1] = [(g >> 3 * bits, met >> bits), (g & (size - 1), met & (size - 1))]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t))) for x, t in zip(parts, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(near[starts], PAIRS), pa.int32()), *lists], ["near", *names])
 
         known = _Known(classes.of)
         for b in batches:
@@ -269,7 +280,10 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
             held.clear()
 
         for b in batches:
-            g, n = (c.flatten().to_numpy() if pa.types.is_list(c.type) else c.to_numpy() for c in (b.column("gram"), b.column("n")))
+            g, n = (c.flatten().to_numpy() if pa.types.is_list(c.type) else c.to_numpy() for c in (b.column("far" if "far" in b.schema.names else "gram"), b.column("n")))
+            if "far" in b.schema.names:
+                near = np.repeat(b.column("near").to_numpy().astype(np.int64), b.column("far").value_lengths().to_numpy())
+                g = g.astype(np.int64) << 3 * bits | near << bits | b.column("next").flatten().to_numpy()
             near = (g >> bits) & (size * size - 1)
             cuts = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(g)]
             for i, j in zip(cuts, cuts[1:], strict=False):
@@ -293,32 +307,37 @@ def _lifts(classes: Classes, root: np.ndarray, first: np.ndarray):
     return run
 
 
-def summed(grams: DataFrame, bits: int, size: int, copies: int = COPIES, every: int = 16) -> DataFrame:
-    """(gram, n, near): counts by gram, or lists of them, with the nearest two classes of its context.
+def summed(grams: DataFrame, bits: int, size: int, copies: int = COPIES, every: int = 16, most: int = 2**31 - 1) -> DataFrame:
+    """(gram, n, near): counts by gram, or lists of them, with the nearest two classes of its context; (far, next, n, near) of split ones.
 
     Every task counts for itself, so a pair of classes may have many rows of one gram. Where it has more than `copies` for each
     gram that there can be, by the rows of one in `every` files of the table, they are added up first; others are few and meet as they are.
     """
     listed = "near" in grams.columns
+    named = ["far", "next"] if "far" in grams.columns else ["gram"]
     near = F.col("near") if listed else F.shiftright("gram", bits).bitwiseAND(size * size - 1).alias("near")
-    keyed = grams.select("gram", "n", near)
+    keyed = grams.select(*named, "n", near)
     if listed:
         keyed = keyed.where(F.col("near") != PAIRS)
     files = sorted(grams.inputFiles())
     some = files[::every]
     share = len(some) / len(files) if files else 1.0
     part = grams.sparkSession.read.schema(grams.schema).parquet(*some) if files else grams
-    seen = part.select(near, (F.size("gram") if listed else F.lit(1)).alias("rows")).groupBy("near").agg(F.sum("rows").alias("rows")).where(F.col("near") != PAIRS)
+    seen = part.select(near, (F.size(named[0]) if listed else F.lit(1)).alias("rows")).groupBy("near").agg(F.sum("rows").alias("rows")).where(F.col("near") != PAIRS)
     hot = [r.near for r in seen.where(F.col("rows") > copies * size * size * share).collect()]  # at most size ^ 2
     if not hot:
         return keyed
     copied = keyed.where(F.col("near").isin(hot))
     if listed:
-        copied = copied.select("near", F.explode(F.arrays_zip("gram", "n")).alias("r")).select("r.gram", "r.n", "near")
-    added = copied.groupBy("gram").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
-    if listed:
+        copied = copied.select("near", F.explode(F.arrays_zip(*named, "n")).alias("r")).select(*(f"r.{c}" for c in (*named, "n")), "near")
+    added = copied.groupBy("near", *named).agg(F.sum("n").alias("n"))
+    if len(named) > 1:
+        # A sum too large for four bytes is sent as several counts of its gram.
+        added = added.withColumn("n", F.expr(f"transform(sequence(0L, (n - 1) div {most}), i -> cast(least({most}L, n - i * {most}) as int))"))
+        added = added.select("near", *(F.expr(f"array_repeat({c}, size(n))").alias(c) for c in named), "n")
+    elif listed:
         added = added.select(F.array("gram").alias("gram"), F.array("n").alias("n"), "near")
-    return keyed.where(~F.col("near").isin(hot)).select("gram", "n", "near").unionByName(added)
+    return keyed.where(~F.col("near").isin(hot)).unionByName(added)
 
 
 def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFrame, int, int]:
@@ -335,12 +354,12 @@ def train(docs: DataFrame, hot_grams: float = HOT_GRAMS) -> tuple[Model, DataFra
         sizes[r["class"]] = r.n, r.v
     root = sizes[:, 0] + 0.5 * sizes[:, 1] + 0.5 / size
     root /= root.sum()
-    grams = checkpointed(map_arrow(docs.select("text"), _count_classes(classes), "near int, gram array<long>, n array<long>"))
-    pairs = grams.where(F.col("near") == PAIRS).select(F.explode(F.arrays_zip("gram", "n")).alias("r")).groupBy(F.col("r.gram").alias("pair")).agg(F.sum("r.n").alias("n")).toArrow()  # at most size ^ 2 rows
+    grams = checkpointed(map_arrow(docs.select("text"), _count_classes(classes, split=True), SPLIT))
+    pairs = grams.where(F.col("near") == PAIRS).select(F.explode(F.arrays_zip("far", "next", "n")).alias("r")).groupBy((F.col("r.far").cast("int") * size + F.col("r.next")).alias("pair")).agg(F.sum("r.n").alias("n")).toArrow()  # at most size ^ 2 rows
     counts = np.zeros(size * size)
     counts[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     first = np.array([_smoothed(n, root)[1] for n in counts.reshape(size, size)])
-    sent = summed(grams, classes.bits, size).repartition("near").sortWithinPartitions("near").select("gram", "n")
+    sent = summed(grams, classes.bits, size).repartition("near").sortWithinPartitions("near").select("near", "far", "next", "n")
     tables = checkpointed(map_arrow(sent, _lifts(classes, root, first), "kind int, key long, n long, v float", 65_536))
     discard(grams)
 

@@ -469,6 +469,31 @@ def test_context_helps_on_held_out_text(docs_of):
     assert (got.score > got.base_score + 20).all()
 
 
+def test_grams_travel_split_in_few_bytes(spark):
+    """Split rows hold two bytes a class; their groups, sums and tables are those of whole grams, which were sent before."""
+    import pyarrow as pa
+
+    size, rng = 4, random.Random(21)
+    classes, bits = pst.Classes({b"a": 1, pst.END: 0}, {b"1": 2}, size), 2
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choice(["a", "x1", "y"]) for _ in range(80)) for _ in range(30)])], ["text"])
+    whole, split = (list(pst._count_classes(classes, s)([batch])) for s in (False, True))
+    root = np.full(size, 1 / size)
+    rows = lambda batches: sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+    lifts = lambda batches: rows(pst._lifts(classes, root, np.tile(root, (size, 1)))(batches))
+    cut = lambda b: b.slice(0, len(b) - 1)  # without the row of pairs
+    assert [str(t) for t in split[0].schema.types[1:]] == ["list<item: int16>", "list<item: int16>", "list<item: int32>"]
+    assert lifts(map(cut, split)) == lifts(map(cut, whole)) and len(lifts(map(cut, split))) > 4
+    table = spark.createDataFrame(pa.Table.from_batches(split).to_pylist(), pst.SPLIT)
+    plain = {(r["near"], g >> 3 * bits, g & size - 1): n for r in pa.Table.from_batches(whole).to_pylist() if r["near"] != pst.PAIRS for g, n in zip(r["gram"], r["n"])}
+    for copies, most in ((pst.COPIES, 2**31 - 1), (0, 2**31 - 1), (0, 3)):
+        found = Counter()
+        for r in pst.summed(table, bits, size, copies, most=most).collect():
+            assert len(r.far) == len(r.next) == len(r.n) and max(r.n) <= most
+            for f, x, n in zip(r.far, r.next, r.n):
+                found[r.near, f, x] += n
+        assert found == plain
+
+
 # --- 8 BPE
 
 
